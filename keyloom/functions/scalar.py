@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 # Identifier patterns of the public nomenclatures.
 WBGENE_PATTERN = r"WBGene[0-9]{8}"
 SEQUENCE_NAME_PATTERN = r"[A-Z,0-9]{2,}\.[0-9]{1,2}"
@@ -92,36 +94,50 @@ def _box_cox(x: Column, lam: float) -> Column:
     return F.ln(x) if lam == 0 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
 
 
-def box_cox_lambdas(df: DataFrame, columns: Sequence[str], low: float = -5.0, high: float = 5.0, points: int = 17,
-                    rounds: int = 9) -> dict[str, float]:
+def box_cox_lambdas(df: DataFrame, columns: Sequence[str], low: float = -5.0, high: float = 5.0, points: int = 33,
+                    rounds: int = 6) -> dict[str, float]:
     """Maximum-likelihood lambda of ``x + 1`` per column.
 
-    Every round is one aggregate that evaluates the likelihood of all columns on a grid and narrows the bracket
-    around the best point; repeated values are collapsed first.
+    Repeated values are collapsed and stored once. Every round is then one aggregate that evaluates the likelihood
+    of all columns on a grid and narrows the bracket around the best point.
     """
-    long = df.select(F.explode(F.array(*[
+    long = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("col"), (F.col(c).cast("double") + 1).alias("x")) for i, c in enumerate(columns)
-    ])).alias("e")).select("e.col", "e.x").filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    base = {r["col"]: r for r in long.groupBy("col").agg(
-        F.count("x").alias("n"), F.avg(F.ln("x")).alias("mean_log"), F.min("x").alias("low")).collect()}
-    if any(r["low"] <= 0 for r in base.values()):
+    ]))).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    distinct = checkpoint(long.groupBy("col", "x").agg(F.count(F.lit(1)).alias("w")))
+    base = {row["col"]: row for row in distinct.groupBy("col").agg(
+        F.sum("w").alias("n"), (F.sum(F.col("w") * F.ln("x")) / F.sum("w")).alias("mean_log"),
+        F.min("x").alias("low")).collect()}
+    if any(row["low"] <= 0 for row in base.values()):
         raise ValueError("Box-Cox needs values greater than -1")
     brackets = {i: (low, high) for i in base}
-    best = {}
+    best: dict[int, float] = {}
+
+    def per_column(values: dict[int, float]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(v) for i in values for v in (i, float(values[i]))]), F.col("col"))
+
+    def shape(x: Column, lam: Column) -> Column:
+        flat = F.abs(lam) < 1e-12
+        return F.when(flat, F.ln(x)).otherwise((F.pow(x, lam) - 1) / F.when(flat, 1.0).otherwise(lam))
+
+    centre = per_column({i: math.exp(row["mean_log"]) for i, row in base.items()})
     for _ in range(rounds):
-        grids = {i: [a + (b - a) * j / (points - 1) for j in range(points)] for i, (a, b) in brackets.items()}
-        picks = []
-        for j in range(points):
-            lam = F.element_at(F.create_map(*[F.lit(v) for i in base for v in (i, grids[i][j])]), F.col("col"))
-            y = F.when(F.abs(lam) < 1e-12, F.ln("x")).otherwise((F.pow("x", lam) - 1) / F.when(F.abs(lam) < 1e-12, 1.0).otherwise(lam))
-            picks.append(F.var_pop(y).alias(f"v{j}"))
-        for r in long.groupBy("col").agg(*picks).collect():
-            i = r["col"]
-            score = [(lam - 1) * base[i]["mean_log"] - 0.5 * math.log(r[f"v{j}"]) if r[f"v{j}"] else -math.inf
-                     for j, lam in enumerate(grids[i])]
-            top = max(range(points), key=score.__getitem__)
-            best[i] = grids[i][top]
-            brackets[i] = (grids[i][max(top - 1, 0)], grids[i][min(top + 1, points - 1)])
+        step = {i: (b - a) / (points - 1) for i, (a, b) in brackets.items()}
+        lam = per_column({i: a for i, (a, _) in brackets.items()}) + F.col("j") * per_column(step)
+        grid = distinct.select("col", "x", "w", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j"))
+        y = shape(F.col("x"), lam) - shape(centre, lam)
+        sums = grid.select("col", "j", "w", y.alias("y")).groupBy("col", "j").agg(
+            F.sum(F.col("w") * F.col("y")).alias("s1"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("s2"))
+        score: dict[int, dict[int, float]] = {i: {} for i in base}
+        for row in sums.collect():
+            i, n = row["col"], base[row["col"]]["n"]
+            var = row["s2"] / n - (row["s1"] / n) ** 2
+            at = brackets[i][0] + row["j"] * step[i]
+            score[i][row["j"]] = (at - 1) * base[i]["mean_log"] - 0.5 * math.log(var) if var > 0 else -math.inf
+        for i, (a, b) in list(brackets.items()):
+            top = max(score[i], key=score[i].__getitem__)
+            best[i] = a + top * step[i]
+            brackets[i] = (a + max(top - 1, 0) * step[i], a + min(top + 1, points - 1) * step[i])
     return {c: best[i] for i, c in enumerate(columns)}
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 SAMPLES = ["a_f", "a_o", "n_f", "n_o", "r_f", "r_o"]
 F_SAMPLES, O_SAMPLES = SAMPLES[0::2], SAMPLES[1::2]
 EVENT_SAMPLES = ["click", "error", "purchase", "signup", "view"]
@@ -22,6 +24,11 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise(0.0)).alias(s) for s in SAMPLES])
 
 
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The count matrix, stored once for operators that pass over it more than once."""
+    return checkpoint(counts(spark, sf_dir))
+
+
 COUNTS = "counts AS (SELECT l_partkey AS gene, " + ", ".join(
     f"sum(CASE WHEN lower(l_returnflag)='{s[0]}' AND lower(l_linestatus)='{s[2]}' THEN l_quantity ELSE 0 END) AS {s}"
     for s in SAMPLES) + " FROM lineitem GROUP BY l_partkey)"

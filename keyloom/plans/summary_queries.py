@@ -201,17 +201,17 @@ def _(spark, d):
 
 @query("standardize", f"""{_C} SELECT gene, {_each('round(({c}-avg({c}) OVER ())/stddev_pop({c}) OVER (),6)+0.0 AS {c}')} FROM counts""")
 def _(spark, d):
-    return rounded(scalar.standardize(r.counts(spark, d), S))
+    return rounded(scalar.standardize(r.matrix(spark, d), S))
 
 
 @query("box_cox")
 def _(spark, d):
-    return rounded(scalar.box_cox(r.counts(spark, d), S), digits=4)
+    return rounded(scalar.box_cox(r.matrix(spark, d), S), digits=4)
 
 
 @query("shift_to_baseline", f"{_C}, m AS (SELECT min(least({_each('{c}')})) AS lo FROM counts) SELECT gene, {_each('{c}-lo+1 AS {c}')} FROM counts, m")
 def _(spark, d):
-    return scalar.shift_to_baseline(r.counts(spark, d), S, 1)
+    return scalar.shift_to_baseline(r.matrix(spark, d), S, 1)
 
 
 @query("extract_ids_from_text", """SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,4}-[A-Z,0-9]{1,4}')) AS id FROM documents""")
@@ -258,14 +258,14 @@ _RPM = _each("{c}/(sum({c}) OVER ()/1e6) AS {c}")
 
 @query("normalize_to_rpm", f"{_C} SELECT gene, {_each('round({c}/(sum({c}) OVER ()/1e6),6) AS {c}')} FROM counts")
 def _(spark, d):
-    return rounded(normalize.normalize_to_rpm(r.counts(spark, d), "gene"))
+    return rounded(normalize.normalize_to_rpm(r.matrix(spark, d), "gene"))
 
 
 @query("expressed_top_features", f"""{_C}, n AS (SELECT gene, {_RPM} FROM counts), f AS (SELECT *, {"+".join(S)} AS total FROM n
   WHERE {"+".join(f"CASE WHEN {c} >= 450 THEN 1 ELSE 0 END" for c in S)} >= 2)
   SELECT gene, {_each('round({c},6) AS {c}')}, round(total,6) AS total FROM (SELECT * FROM f ORDER BY total DESC, gene LIMIT 100)""")
 def _(spark, d):
-    rpm = normalize.normalize_to_rpm(r.counts(spark, d), "gene")
+    rpm = normalize.normalize_to_rpm(r.matrix(spark, d), "gene")
     expressed = filters.filter_low_reads(rpm, "gene", 450, 2).withColumn("total", filters.row_sum(S))
     return rounded(sorting.filter_top_n(expressed, "gene", "total", 100, ascending=False))
 
@@ -273,7 +273,7 @@ def _(spark, d):
 @query("normalize_to_rpm_special_counters", f"""{_C}, x AS (SELECT 'n' AS k, {_each('sum({c}) AS {c}')} FROM counts)
   SELECT gene, {_each('round(counts.{c}/((x.{c}+x.{c}/4*3)/1e6),6) AS {c}')} FROM counts, x""")
 def _(spark, d):
-    c = r.counts(spark, d)
+    c = r.matrix(spark, d)
     names = [*normalize.LIBRARY_COUNTERS, "__too_low_aQual"]
     special = c.agg(*[(F.sum(s) / 4).alias(s) for s in S]).withColumn("counter", F.explode(F.array(*map(F.lit, names))))
     return rounded(normalize.normalize_to_rpm_htseqcount(c, "gene", special, "counter"))
@@ -289,20 +289,20 @@ def _lengths(spark, d):
 @query("normalize_to_rpkm", f"""{_C}, {_LEN} SELECT gene, {_each('round({c}/((sum({c}) OVER ()/1e6)*(length/1000)),6) AS {c}')}
   FROM counts LEFT JOIN len USING (gene)""")
 def _(spark, d):
-    return rounded(normalize.normalize_to_rpkm(r.counts(spark, d), "gene", _lengths(spark, d)))
+    return rounded(normalize.normalize_to_rpkm(r.matrix(spark, d), "gene", _lengths(spark, d)))
 
 
 @query("normalize_to_tpm", f"""{_C}, {_LEN}, q AS (SELECT gene, {_each('{c}/(length/1000) AS {c}')} FROM counts LEFT JOIN len USING (gene))
   SELECT gene, {_each('round({c}/(sum({c}) OVER ()/1e6),6) AS {c}')} FROM q""")
 def _(spark, d):
-    return rounded(normalize.normalize_to_tpm(r.counts(spark, d), "gene", _lengths(spark, d)))
+    return rounded(normalize.normalize_to_tpm(r.matrix(spark, d), "gene", _lengths(spark, d)))
 
 
 @query("normalize_to_quantile", f"""{_C}, z AS (SELECT * FROM counts WHERE greatest({_each('{c}')}) > 0),
   q AS (SELECT {_each('quantile_cont({c}, 0.75) AS {c}')} FROM z), m AS (SELECT ({"+".join(S)})/6 AS m FROM q)
   SELECT gene, {_each('round(counts.{c}/(q.{c}/m.m),6) AS {c}')} FROM counts, q, m""")
 def _(spark, d):
-    return rounded(normalize.normalize_to_quantile(r.counts(spark, d), "gene"))
+    return rounded(normalize.normalize_to_quantile(r.matrix(spark, d), "gene"))
 
 
 _MA_ROWS = " UNION ALL ".join(f"""SELECT gene, '{c}' AS sample, {c} AS raw, a_f AS rraw, {c}/(SELECT sum({c}) FROM used) AS x,
@@ -313,7 +313,7 @@ _MA = f"""used AS (SELECT * FROM counts WHERE a_f > 0), rows AS ({_MA_ROWS}),
 
 @query("ma_table", f"{_C}, {_MA} SELECT gene, sample, round(m,6)+0.0 AS m, round(a,6) AS a FROM ma")
 def _(spark, d):
-    ma = normalize.ma_table(r.counts(spark, d), "gene", S, "a_f").filter("m is not null")
+    ma = normalize.ma_table(r.matrix(spark, d), "gene", S, "a_f").filter("m is not null")
     return rounded(ma.select("gene", "sample", "m", "a"))
 
 
@@ -324,13 +324,13 @@ def _(spark, d):
   g AS (SELECT exp(avg(ln(f))) AS g FROM f), w AS (SELECT {_each("max(CASE WHEN sample='{c}' THEN f END)/max(g) AS {c}")} FROM f, g)
   SELECT gene, {_each('round(counts.{c}/w.{c},5) AS {c}')} FROM counts, w""")
 def _(spark, d):
-    return rounded(normalize.normalize_tmm(r.counts(spark, d), "gene", ref="a_f"), digits=5)
+    return rounded(normalize.normalize_tmm(r.matrix(spark, d), "gene", ref="a_f"), digits=5)
 
 
 @query("normalize_rle", f"""{_C}, p AS (SELECT *, exp(({"+".join(f"ln({c})" for c in S)})/6) AS g FROM counts WHERE least({_each('{c}')}) > 0),
   w AS (SELECT {_each('quantile_cont({c}/g, 0.5) AS {c}')} FROM p) SELECT gene, {_each('round(counts.{c}/w.{c},6) AS {c}')} FROM counts, w""")
 def _(spark, d):
-    return rounded(normalize.normalize_rle(r.counts(spark, d), "gene"))
+    return rounded(normalize.normalize_rle(r.matrix(spark, d), "gene"))
 
 
 @query("normalize_median_of_ratios", f"""{_C}, t AS (SELECT {_each('sum({c}) AS {c}')} FROM counts),
@@ -340,18 +340,18 @@ def _(spark, d):
   g AS (SELECT exp(({"+".join(f"ln({c})" for c in S)})/6) AS g FROM f)
   SELECT gene, {_each('round(counts.{c}/(f.{c}/g),6) AS {c}')} FROM counts, f, g""")
 def _(spark, d):
-    return rounded(normalize.normalize_median_of_ratios(r.counts(spark, d), [r.F_SAMPLES, r.O_SAMPLES]))
+    return rounded(normalize.normalize_median_of_ratios(r.matrix(spark, d), [r.F_SAMPLES, r.O_SAMPLES]))
 
 
 @query("normalize_with_scaling_factors", f"{_C}, q AS (SELECT {_each('avg({c}) AS {c}')} FROM counts) SELECT gene, {_each('round(counts.{c}/q.{c},6) AS {c}')} FROM counts, q")
 def _(spark, d):
-    c = r.counts(spark, d)
+    c = r.matrix(spark, d)
     return rounded(normalize.normalize_with_scaling_factors(c, "gene", c.agg(*[F.avg(s).alias(s) for s in S])))
 
 
 @query("normalize_with_keyed_factors", f"{_C}, q AS (SELECT gene, {_each('{c}+1 AS {c}')} FROM counts WHERE a_f > 120) SELECT gene, {_each('round(counts.{c}/q.{c},6) AS {c}')} FROM counts LEFT JOIN q USING (gene)")
 def _(spark, d):
-    c = r.counts(spark, d)
+    c = r.matrix(spark, d)
     keyed = c.filter("a_f > 120").select("gene", *[(F.col(s) + 1).alias(s) for s in S])
     return rounded(normalize.normalize_with_scaling_factors(c, "gene", keyed))
 
