@@ -72,8 +72,9 @@ def best_key_variant(annotation: DataFrame, keys: DataFrame, key: str, feature:
 def biotype_map(annotation: DataFrame, keys: DataFrame, key: str, attribute: str = "gene_biotype",
                 feature: str = "gene") -> DataFrame:
     """(key, biotype) in the spelling the table uses."""
-    use_name, use_version, split_ids = best_key_variant(annotation, keys, key, feature)
-    found = gene_attribute_map(annotation, attribute, feature, use_name, use_version, split_ids)
+    tagged = annotation.filter(F.col("attrs")[attribute].isNotNull())
+    use_name, use_version, split_ids = best_key_variant(tagged, keys, key, feature)
+    found = gene_attribute_map(tagged, attribute, feature, use_name, use_version, split_ids)
     return found.select(F.col("key").alias(key), F.col("value").alias("biotype"))
 
 

@@ -54,7 +54,7 @@ def reverse_resolved(candidates: DataFrame, reverse: DataFrame) -> DataFrame:
     """
     counted = candidates.groupBy("from_id").agg(F.count(F.lit(1)).alias("n"), F.min("to_id").alias("only"))
     scores = reverse.groupBy(F.col("from_id").alias("to_id")).agg(F.max("score").alias("score"))
-    several = candidates.join(counted.filter("n > 1").select("from_id"), "from_id", "left_semi").join(scores, "to_id")
+    several = candidates.select("from_id", "to_id").join(counted.filter("n > 1").select("from_id"), "from_id", "left_semi").join(scores, "to_id")
     unique = counted.filter("n = 1").select("from_id", F.col("only").alias("to_id"))
     return unique.unionByName(best_mapping(several.select("from_id", "to_id", "score")))
 

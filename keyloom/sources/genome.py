@@ -29,7 +29,9 @@ def _last_wins(keys: Column, values: Column) -> Column:
     numbered = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")),
                            lambda e, i: F.struct(e["k"].alias("k"), e["v"].alias("v"), i.alias("i")))
     kept = F.filter(numbered, lambda e: ~F.array_contains(F.slice(keys, e["i"] + 2, F.size(keys)), e["k"]))
-    return F.map_from_arrays(F.transform(kept, lambda e: e["k"]), F.transform(kept, lambda e: e["v"]))
+    deduplicated = F.map_from_arrays(F.transform(kept, lambda e: e["k"]), F.transform(kept, lambda e: e["v"]))
+    # most lines repeat no key, so the slower path is rarely evaluated
+    return F.when(F.size(keys) == F.size(F.array_distinct(keys)), F.map_from_arrays(keys, values)).otherwise(deduplicated)
 
 
 def parse_lines(lines: DataFrame, file_type: str, value: str = "value") -> DataFrame:
