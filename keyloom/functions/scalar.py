@@ -116,24 +116,22 @@ def box_cox_lambdas(df: DataFrame, columns: Sequence[str], low: float = -5.0, hi
     def per_column(values: dict[int, float]) -> Column:
         return F.element_at(F.create_map(*[F.lit(v) for i in values for v in (i, float(values[i]))]), F.col("col"))
 
-    def shape(x: Column, lam: Column) -> Column:
-        flat = F.abs(lam) < 1e-12
-        return F.when(flat, F.ln(x)).otherwise((F.pow(x, lam) - 1) / F.when(flat, 1.0).otherwise(lam))
-
-    centre = per_column({i: math.exp(row["mean_log"]) for i, row in base.items()})
+    centre = per_column({i: row["mean_log"] for i, row in base.items()})
+    logs = F.ln("x") - centre
     for _ in range(rounds):
         step = {i: (b - a) / (points - 1) for i, (a, b) in brackets.items()}
         lam = per_column({i: a for i, (a, _) in brackets.items()}) + F.col("j") * per_column(step)
         grid = distinct.select("col", "x", "w", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j"))
-        y = shape(F.col("x"), lam) - shape(centre, lam)
+        # around the geometric mean the terms in lambda * mean(ln x) cancel, which leaves the variance to minimise
+        flat = F.abs(lam) < 1e-12
+        y = F.when(flat, logs).otherwise(F.expm1(lam * logs) / F.when(flat, 1.0).otherwise(lam))
         sums = grid.select("col", "j", "w", y.alias("y")).groupBy("col", "j").agg(
             F.sum(F.col("w") * F.col("y")).alias("s1"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("s2"))
         score: dict[int, dict[int, float]] = {i: {} for i in base}
         for row in sums.collect():
             i, n = row["col"], base[row["col"]]["n"]
             var = row["s2"] / n - (row["s1"] / n) ** 2
-            at = brackets[i][0] + row["j"] * step[i]
-            score[i][row["j"]] = (at - 1) * base[i]["mean_log"] - 0.5 * math.log(var) if var > 0 else -math.inf
+            score[i][row["j"]] = -math.log(var) if var > 0 else -math.inf
         for i, (a, b) in list(brackets.items()):
             top = max(score[i], key=score[i].__getitem__)
             best[i] = a + top * step[i]

@@ -126,6 +126,7 @@ def _shape(df: DataFrame) -> DataFrame:
 
 def finish(results: DataFrame, alpha: float = 0.05, method: str = "bh", return_nonsignificant: bool = True) -> DataFrame:
     """Correct for multiple testing inside each set and flag significance."""
+    results = checkpoint(results)  # one row per set and attribute; read several times below
     out = fdr_adjust(results, "pval", [SET], method).withColumn("significant", F.coalesce(F.col("padj") <= alpha, F.lit(False)))
     return out if return_nonsignificant else out.filter("significant")
 
@@ -136,8 +137,9 @@ def enrichment(annotations: DataFrame, targets: DataFrame, key: str, background:
                test: str = "fisher", alpha: float = 0.05, exclude_unannotated: bool = True,
                return_nonsignificant: bool = True, correction: str = "bh", reps: int = 10000, seed: int = 0) -> DataFrame:
     """Test each target set against each attribute: name, samples, obs, exp, log2 fold enrichment, p-values."""
-    scope = resolve_background(annotations, key, background, exclude_unannotated)
-    chosen = resolve_targets(targets, key, scope)
+    annotations = checkpoint(annotations.select("attribute", key).distinct())
+    scope = checkpoint(resolve_background(annotations, key, background, exclude_unannotated))
+    chosen = checkpoint(resolve_targets(targets, key, scope))
     pvalue = _row_test(_test(test, reps, seed))
     tested = set_parameters(annotations, chosen, key, scope).withColumn(
         "pval", pvalue("population", "draws", "successes", "hits"))
