@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 SALT = "__salt"
 
 
 def heavy_keys(df: DataFrame, on: Sequence[str], share: float = 1e-3, floor: int = 100_000) -> DataFrame:
     """Keys holding at least ``share`` of the rows. At most ``1/share`` keys can qualify, so the result may
     be broadcast whatever the size of ``df``."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
-    total = df.count()
+    counts = checkpoint(df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows")))
+    total = counts.agg(F.sum("__rows")).first()[0] or 0
     return counts.filter(F.col("__rows") >= max(floor, int(total * share))).select(*on)
 
 
@@ -47,8 +49,9 @@ def lookup(df: DataFrame, ref: DataFrame, on: Sequence[str], heavy: DataFrame, s
     on = list(on)
     values = [c for c in ref.columns if c not in on]
     hot = F.broadcast(heavy.select(*on, *[F.col(c).alias(f"__hot_{c}") for c in values], F.lit(True).alias("__heavy")))
+    spread = F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
     tagged = df.join(hot, on, "left").withColumn(
-        SALT, F.when(F.col("__heavy"), 1 + F.pmod(F.xxhash64(*df.columns), F.lit(salts))).otherwise(F.lit(0)))
+        SALT, F.when(F.col("__heavy"), 1 + F.pmod(spread, F.lit(salts))).otherwise(F.lit(0)))
     joined = tagged.join(ref.withColumn(SALT, F.lit(0).cast("long")), [*on, SALT], "left")
     picked = [F.when(F.col("__heavy"), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in values]
     return joined.select(*df.columns, *picked)

@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-_MODULES = ("table_queries", "summary_queries", "mapping_queries", "enrichment_queries", "cluster_queries")
+_MODULES = ("table_queries", "summary_queries", "mapping_queries", "enrichment_queries", "cluster_queries", "read_queries",
+            "model_queries")
 
 
 def load_all():
