@@ -148,9 +148,15 @@ def _ops(cigar: str | Column) -> Column:
     return F.zip_with(sizes, kinds, lambda n, op: F.struct(n.cast("long").alias("n"), op.alias("op")))
 
 
+def _plain(cigar: str | Column) -> Column:
+    """Length of a CIGAR that is one run of matches, else null. Most are, and those skip the general parse."""
+    return F.regexp_extract(cigar, r"^(\d+)[M=X]$", 1).try_cast("long")
+
+
 def _length_of(cigar: str | Column, ops: str) -> Column:
-    return F.aggregate(_ops(cigar), F.lit(0).cast("long"),
-                       lambda acc, o: acc + F.when(F.lit(ops).contains(o["op"]), o["n"]).otherwise(0))
+    general = F.aggregate(_ops(cigar), F.lit(0).cast("long"),
+                          lambda acc, o: acc + F.when(F.lit(ops).contains(o["op"]), o["n"]).otherwise(0))
+    return F.coalesce(_plain(cigar), general)
 
 
 def reference_length(cigar: str | Column) -> Column:
@@ -173,15 +179,20 @@ def blocks(pos: str | Column, cigar: str | Column) -> Column:
         return F.struct((acc["at"] + F.when(moves, o["n"]).otherwise(F.lit(0).cast("long"))).alias("at"),
                         F.when(aligned, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(_ops(cigar), start, step, lambda acc: acc["out"])
+    general = F.aggregate(_ops(cigar), start, step, lambda acc: acc["out"])
+    plain = _plain(cigar)
+    one = F.array(F.struct(col.cast("long").alias("start"), (col + plain - 1).cast("long").alias("end")))
+    return F.when(plain.isNotNull(), one).otherwise(general)
 
 
 def five_prime_position(pos: str = "pos", cigar: str = "cigar", flag: str = "flag") -> Column:
     """Unclipped 5' coordinate of the fragment end."""
-    lead = F.coalesce(F.regexp_extract(cigar, r"^(?:\d+H)?(\d+)S", 1).try_cast("long"), F.lit(0)) + \
-        F.coalesce(F.regexp_extract(cigar, r"^(\d+)H", 1).try_cast("long"), F.lit(0))
-    trail = F.coalesce(F.regexp_extract(cigar, r"(\d+)S(?:\d+H)?$", 1).try_cast("long"), F.lit(0)) + \
-        F.coalesce(F.regexp_extract(cigar, r"(\d+)H$", 1).try_cast("long"), F.lit(0))
+    def clipped(pattern: str) -> Column:
+        return F.coalesce(F.regexp_extract(cigar, pattern, 1).try_cast("long"), F.lit(0))
+
+    clips = F.col(cigar).rlike("[SH]")
+    lead = F.when(clips, clipped(r"^(?:\d+H)?(\d+)S") + clipped(r"^(\d+)H")).otherwise(F.lit(0))
+    trail = F.when(clips, clipped(r"(\d+)S(?:\d+H)?$") + clipped(r"(\d+)H$")).otherwise(F.lit(0))
     return F.when(sam.has_bit(flag, sam.REVERSE), F.col(pos) + reference_length(cigar) - 1 + trail).otherwise(F.col(pos) - lead)
 
 
@@ -206,9 +217,9 @@ def find_duplicates(alignments: DataFrame, handling: str = "mark", scoring: str
     names = F.split("qname", ":")
     tagged = alignments.withColumn("__place", F.when(counts, F.xxhash64(place))).withColumn("__score", score)
     group = ["sample", "rname", "__place"]
-    ranked = tagged.filter(counts).groupBy(*group).agg(
-        F.max(F.struct("__score", "qname", "flag", "pos", "cigar")).alias("__best"), F.count(F.lit(1)).alias("__n"))
-    total = tagged.count()
+    ranked = checkpoint(tagged.filter(counts).groupBy(*group).agg(
+        F.max(F.struct("__score", "qname", "flag", "pos", "cigar")).alias("__best"), F.count(F.lit(1)).alias("__n")))
+    total = ranked.agg(F.sum("__n")).first()[0] or 0
     heavy = ranked.filter(F.col("__n") >= max(100_000, total // 1000))
     joined = lookup(tagged, ranked, group, heavy)
     mine = F.struct("__score", "qname", "flag", "pos", "cigar")

@@ -51,7 +51,8 @@ def lookup(df: DataFrame, ref: DataFrame, on: Sequence[str], heavy: DataFrame, s
     hot = F.broadcast(heavy.select(*on, *[F.col(c).alias(f"__hot_{c}") for c in values], F.lit(True).alias("__heavy")))
     spread = F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
     tagged = df.join(hot, on, "left").withColumn(
-        SALT, F.when(F.col("__heavy"), 1 + F.pmod(spread, F.lit(salts))).otherwise(F.lit(0)))
-    joined = tagged.join(ref.withColumn(SALT, F.lit(0).cast("long")), [*on, SALT], "left")
+        SALT, F.when(F.col("__heavy"), 1 + F.pmod(spread, F.lit(salts))).otherwise(F.lit(0)).cast("long"))
+    # a literal zero would be folded out of the join keys and the heavy rows would meet again in one task
+    joined = tagged.join(ref.withColumn(SALT, F.pmod(F.xxhash64(*on), F.lit(1))), [*on, SALT], "left")
     picked = [F.when(F.col("__heavy"), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in values]
     return joined.select(*df.columns, *picked)
