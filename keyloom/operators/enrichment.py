@@ -371,7 +371,8 @@ def _elim(params: DataFrame, rows: DataFrame, targets: DataFrame, key: str, node
         if significant is not None:
             lost_keys = (significant.join(closure, "term").select(SET, F.col("ancestor").alias("attribute"), "term")
                          .join(here.select("attribute").distinct(), "attribute", "left_semi")
-                         .join(rows, "term").select(SET, "attribute", key).distinct())
+                         .join(rows, "term").select(SET, "attribute", key).distinct()
+                         .join(rows.withColumnRenamed("term", "attribute"), ["attribute", key], "left_semi"))
             mine = targets.withColumn("__t", F.lit(1))
             lost = lost_keys.join(mine, [SET, key], "left").groupBy(SET, "attribute").agg(
                 F.count(F.lit(1)).alias("lost"), F.count("__t").alias("lost_hits"))

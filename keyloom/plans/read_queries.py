@@ -136,16 +136,17 @@ _DUP = f"""WITH {_ALN}, a AS (SELECT *, CASE WHEN flag & 16 > 0 THEN pos+len-1 E
 
 @query("mark_duplicates", _DUP + "SELECT sample, coalesce(rn > 1, false) AS duplicate, count(*)::BIGINT AS n FROM k GROUP BY 1, 2")
 def _(spark, d):
-    return reads.find_duplicates(_unique(spark, d)).groupBy("sample", "duplicate").agg(F.count(F.lit(1)).alias("n"))
+    return reads.find_duplicates(_stored(spark, d)).groupBy("sample", "duplicate").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _unique(spark, d):
-    return _alignments(spark, d)
+def _stored(spark, d):
+    """Parsed once, for operators that pass over the alignments more than once."""
+    return checkpoint(_alignments(spark, d))
 
 
 @query("remove_duplicates", _DUP + "SELECT sample, rname, count(*)::BIGINT AS n, sum(len)::BIGINT AS bases FROM k WHERE rn IS NULL OR rn = 1 GROUP BY 1, 2")
 def _(spark, d):
-    return reads.find_duplicates(_unique(spark, d), "remove_all").groupBy("sample", "rname").agg(
+    return reads.find_duplicates(_stored(spark, d), "remove_all").groupBy("sample", "rname").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("bases"))
 
 
@@ -171,7 +172,7 @@ def _pivot(value):
 @query("count_features", f"""{_HITS} SELECT ex.gene, {_pivot('w')} FROM (SELECT DISTINCT gene FROM ex) ex LEFT JOIN
   (SELECT gene, h.sample, 1 AS w FROM h JOIN c USING (sample, qname, flag, rname, pos, len) WHERE genes = 1) k USING (gene) GROUP BY 1""")
 def _(spark, d):
-    aln = _alignments(spark, d)
+    aln = _stored(spark, d)
     return reads.count_features(aln, _exons(spark, d), ["A", "N", "R"], bin_size=64)[0]
 
 
@@ -180,7 +181,7 @@ def _(spark, d):
   (SELECT gene, h.sample, 1.0::DOUBLE/(nh*genes) AS w FROM h JOIN c USING (sample, qname, flag, rname, pos, len)) k USING (gene) GROUP BY 1""")
 def _(spark, d):
     from .registry import rounded
-    return rounded(reads.count_features(_alignments(spark, d), _exons(spark, d), ["A", "N", "R"], stranded="forward", min_mapping_quality=20,
+    return rounded(reads.count_features(_stored(spark, d), _exons(spark, d), ["A", "N", "R"], stranded="forward", min_mapping_quality=20,
                                         count_multi_overlapping=True, count_fractionally=True, bin_size=64)[0])
 
 
@@ -188,7 +189,7 @@ def _(spark, d):
   WHEN genes > 1 THEN 'Unassigned_Ambiguity' ELSE 'Assigned' END AS status FROM u LEFT JOIN c USING (sample, qname, flag, rname, pos, len))
   SELECT status, {", ".join(f"sum(CASE WHEN sample='{s}' THEN 1 ELSE 0 END)::BIGINT AS {s}" for s in "ANR")} FROM st GROUP BY 1""")
 def _(spark, d):
-    return reads.count_features(_alignments(spark, d), _exons(spark, d), ["A", "N", "R"], bin_size=64)[1]
+    return reads.count_features(_stored(spark, d), _exons(spark, d), ["A", "N", "R"], bin_size=64)[1]
 
 
 @query("count_fragments_paired")
