@@ -105,8 +105,9 @@ def _nearest(assigned: DataFrame, key: str, centres: Mapping[int, np.ndarray], m
             for c, part in pdf.groupby("cluster"):
                 if c in centres:
                     d = distance.distances(_matrix(part["features"]), centres[c][None, :], metric)[:, 0]
-                    near = part[[key, "cluster", "features"]].assign(d=d).nsmallest(top, ["d", key])
-                    kept[c] = pd.concat([kept[c], near]).nsmallest(top, ["d", key]) if c in kept else near
+                    near = part[[key, "cluster", "features"]].assign(d=d)
+                    near = pd.concat([kept[c], near]) if c in kept else near
+                    kept[c] = near.sort_values(["d", key]).head(top)
         yield from kept.values()
 
     short = assigned.select(key, "cluster", "features").mapInPandas(

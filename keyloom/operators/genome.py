@@ -113,7 +113,7 @@ def feature_lengths(annotation: DataFrame, feature: str = "gene", method: str =
     is_list = dict(annotation.dtypes)["attrs"].endswith("array<string>>")
     attrs = F.col("attrs")
     if is_list:
-        parents, ident, gene = attrs["Parent"], attrs["ID"][0], attrs["Parent"][0]
+        parents, ident, gene = attrs["Parent"], F.get(attrs["ID"], F.lit(0)), F.get(attrs["Parent"], F.lit(0))
     else:
         parents, ident, gene = F.array(attrs["transcript_id"]), attrs["transcript_id"], attrs["gene_id"]
     models = annotation.filter(F.col("feature").isin("transcript", "mRNA")).select(

@@ -41,8 +41,8 @@ def parse_lines(lines: DataFrame, file_type: str, value: str = "value") -> DataF
     rest = [c for c in lines.columns if c != value]
     parts = F.split(F.rtrim(F.col(value)), "\t")
     rows = lines.filter(~F.col(value).startswith("#")).select(*rest, parts.alias("p")).filter(F.size("p") == 9)
-    attrs = (gtf_attributes if file_type == "gtf" else gff3_attributes)(F.col("p")[8])
-    typed = [F.col("p")[i].cast("long" if f in ("start", "end") else "string").alias(f) for i, f in enumerate(FIELDS)]
+    attrs = (gtf_attributes if file_type == "gtf" else gff3_attributes)(F.get("p", F.lit(8)))
+    typed = [F.get("p", F.lit(i)).cast("long" if f in ("start", "end") else "string").alias(f) for i, f in enumerate(FIELDS)]
     return rows.select(*rest, *typed, attrs.alias("attrs"))
 
 

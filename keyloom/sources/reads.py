@@ -73,8 +73,9 @@ def parse_sam(lines: DataFrame, value: str = "value") -> DataFrame:
     """Alignment lines to typed columns plus a tag map; header lines are skipped. Other columns of ``lines`` stay."""
     rest = [c for c in lines.columns if c != value]
     rows = lines.filter(~F.col(value).startswith("@") & (F.col(value) != "")).select(*rest, F.split(value, "\t").alias("p"))
-    typed = [F.col("p")[i].cast(kind).alias(name) for i, (name, kind) in enumerate(SAM_FIELDS)]
-    tags = F.map_from_entries(F.transform(F.slice("p", 12, 1000), lambda t: F.struct(t.substr(1, 2), F.substring(t, 6, 10000))))
+    typed = [F.get("p", F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(SAM_FIELDS)]
+    tags = F.map_from_entries(F.transform(F.slice("p", F.lit(12), F.greatest(F.size("p") - 11, F.lit(0))),
+                                          lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, F.lit(6), F.length(t)))))
     return rows.filter(F.size("p") >= 11).select(*rest, *typed, tags.alias("tags"))
 
 
