@@ -239,27 +239,35 @@ def xl_mhg_pvalue(n: int, k_total: int, min_hits: int, lowest: int, stat: float)
     """Exact p-value of the XL-mHG statistic: one minus the share of lattice paths that never touch a cell
     (cutoff, hits) whose upper tail is at most ``stat``.
 
-    The state is the probability of every hit count at the current cutoff, so memory is O(k_total).
+    At a given cutoff those cells are the hit counts from a limit upwards, and the limit never falls when the cutoff grows. So
+    the state is the probability of each hit count below the limit, and one tail per cutoff keeps the limit up to date.
     """
     if stat >= 1 or k_total == 0 or k_total == n:
         return 1.0
-    hits = np.arange(k_total + 1, dtype=float)
+    bound = stat * (1 + 1e-11)
     log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
     base = log_fact[n] - log_fact[k_total] - log_fact[n - k_total]
-    alive = np.zeros(k_total + 1)
+
+    def pmf(k: int, cutoff: int) -> float:
+        if k < 0 or k > min(k_total, cutoff) or cutoff - k > n - k_total:
+            return 0.0
+        return math.exp(log_fact[cutoff] - log_fact[k] - log_fact[cutoff - k] + log_fact[n - cutoff]
+                        - log_fact[k_total - k] - log_fact[n - cutoff - k_total + k] - base)
+
+    hits = np.arange(k_total + 1, dtype=float)
+    alive = np.zeros(k_total + 2)
     alive[0] = 1.0
-    ints = np.arange(k_total + 1)
+    limit, tail = 1, 0.0  # tail = P(hits >= limit) at the current cutoff
     for cutoff in range(1, lowest + 1):
         left = n - cutoff + 1
-        p_hit = np.clip((k_total - hits) / left, 0, 1)
-        moved = alive * p_hit
-        alive = alive * (1 - p_hit)
-        alive[1:] += moved[:-1]
-        legal = (ints <= cutoff) & (cutoff - ints <= n - k_total)
-        logpmf = np.full(k_total + 1, -np.inf)
-        j = ints[legal]
-        logpmf[legal] = (log_fact[cutoff] - log_fact[j] - log_fact[cutoff - j]
-                         + log_fact[n - cutoff] - log_fact[k_total - j] - log_fact[n - cutoff - k_total + j] - base)
-        tail = np.cumsum(np.exp(logpmf)[::-1])[::-1]
-        alive[(ints >= min_hits) & (tail <= stat * (1 + 1e-11)) & legal] = 0.0
+        tail += pmf(limit - 1, cutoff - 1) * (k_total - limit + 1) / left
+        while tail > bound:
+            limit += 1
+            tail = hypergeom_sf(limit - 1, n, k_total, cutoff)
+        top = min(max(limit, min_hits), k_total + 1)
+        p_hit = np.clip((k_total - hits[:top]) / left, 0, 1)
+        moved = alive[:top] * p_hit
+        alive[:top] -= moved
+        alive[1:top] += moved[:-1]  # what would reach the limit is lost
+        alive[top:] = 0.0
     return float(min(1.0, max(0.0, 1.0 - alive.sum())))

@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..session import checkpoint
+from ..session import checkpoint, spread
 from . import designs
 from .aggregates import column_sums
 from .normalize import rle_factors
 from .ranking import fdr_adjust, quantiles
 
 TREND_BINS = 60
+ROWS_PER_TASK = 20_000
 
 
 def _values(df: DataFrame, key: str, samples: Sequence[str], round_counts: bool = False) -> DataFrame:
@@ -84,7 +85,7 @@ def limma_voom(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataF
         raise ValueError("more samples than coefficients are needed")
     sizes = column_sums(df, samples)
     lib = np.array([sizes[c] + 1 for c in samples])
-    rows = checkpoint(_values(df, key, samples))
+    rows = checkpoint(spread(_values(df, key, samples), ROWS_PER_TASK))
     kind = df.schema[key].dataType.simpleString()
 
     def logcpm(y: np.ndarray) -> np.ndarray:
@@ -147,10 +148,10 @@ def _variance_prior(fits: DataFrame, df_resid: int) -> tuple[float, float]:
     """Prior degrees of freedom and variance by moments of the log variances."""
     row = fits.filter("var > 0").agg(F.avg(F.ln("var")).alias("m"), F.var_samp(F.ln("var")).alias("v")).first()
     e = row["m"] - stats.digamma(df_resid / 2) + math.log(df_resid / 2)
-    spread = (row["v"] or 0.0) - stats.trigamma(df_resid / 2)
-    if spread <= 0:
+    excess = (row["v"] or 0.0) - stats.trigamma(df_resid / 2)
+    if excess <= 0:
         return math.inf, math.exp(e)
-    d0 = 2 * stats.trigamma_inverse(spread)
+    d0 = 2 * stats.trigamma_inverse(excess)
     return d0, math.exp(e + stats.digamma(d0 / 2) - math.log(d0 / 2))
 
 
@@ -258,7 +259,7 @@ def deseq2(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataFrame
         raise ValueError("more samples than coefficients are needed")
     factors_by_sample = scaling_factors or rle_factors(df, samples)
     size = np.array([factors_by_sample[c] for c in samples])
-    rows = checkpoint(_values(df, key, samples, round_counts=True).filter(F.exists("y", lambda v: v > 0)))
+    rows = checkpoint(spread(_values(df, key, samples, round_counts=True).filter(F.exists("y", lambda v: v > 0)), ROWS_PER_TASK))
     kind = df.schema[key].dataType.simpleString()
 
     def genewise(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -277,8 +278,8 @@ def deseq2(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataFrame
     middle = quantiles(resid, "r", {"q": 0.5}).first()
     middle = middle["q"] if middle and middle["q"] is not None else 0.0
     mad = quantiles(resid.select(F.abs(F.col("r") - F.lit(middle)).alias("a")), "a", {"q": 0.5}).first()
-    spread = ((mad["q"] if mad and mad["q"] is not None else 1.0) * 1.4826) ** 2
-    prior_var = max(spread - stats.trigamma((n - p) / 2), 0.25)
+    noise = ((mad["q"] if mad and mad["q"] is not None else 1.0) * 1.4826) ** 2
+    prior_var = max(noise - stats.trigamma((n - p) / 2), 0.25)
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         y, mean, own = _stack(pdf["y"]), pdf["mean"].to_numpy(), pdf["disp"].to_numpy()
@@ -286,7 +287,7 @@ def deseq2(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataFrame
         _, mu, _ = _nb_fit(y, size, own, x)
         disp = _dispersion(y, mu, x, center, prior_var)
         # values far above the trend are kept as they are
-        disp = np.where(np.log(own) > center + 2 * math.sqrt(spread), own, disp)
+        disp = np.where(np.log(own) > center + 2 * math.sqrt(noise), own, disp)
         beta, mu, inverse = _nb_fit(y, size, disp, x)
         w = mu / (1 + disp[:, None] * mu)
         hat = w * np.einsum("sp,npq,sq->ns", x, inverse, x)

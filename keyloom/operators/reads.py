@@ -323,9 +323,11 @@ def count_features(alignments: DataFrame, features: DataFrame, samples: Sequence
     reverse = sam.has_bit("flag", sam.REVERSE)
     if paired:  # a second mate reads the opposite strand of its fragment
         reverse = reverse != sam.has_bit("flag", sam.SECOND)
-    alone = F.struct("sample", "qname") if paired else F.struct("sample", "qname", "flag", "rname", "pos", "cigar")
+    identity = ["sample", "qname"] if paired else ["sample", "qname", "flag", "rname", "pos", "cigar"]
+    # two independent 64-bit hashes: a short fixed-width key for the joins and aggregates below
+    read = F.struct(F.xxhash64(*identity).alias("a"), F.xxhash64(F.lit("second"), *identity).alias("b"))
     rows = alignments.select(
-        alone.alias("read"), "sample", "rname", F.when(reverse, "-").otherwise("+").alias("strand"),
+        read.alias("read"), "sample", "rname", F.when(reverse, "-").otherwise("+").alias("strand"),
         F.when(sam.has_bit("flag", sam.UNMAPPED), "Unassigned_Unmapped")
         .when(F.col("mapq") < min_mapping_quality, "Unassigned_MappingQuality")
         .when(F.lit(ignore_secondary) & sam.has_bit("flag", sam.SECONDARY), "Unassigned_Secondary")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import attributes as attr
 from ..operators import genome, mapping
 from ..sources import genome as genome_source
+from ..session import spread
 from . import relations as r
 from .registry import query, rounded
 
@@ -244,7 +245,9 @@ def _(spark, d):
 
 def _gtf_lines(spark, d):
     """Nine-field text lines, so that the parser is part of the query."""
-    part, orders, li = (r.table(spark, d, t) for t in ("part", "orders", "lineitem"))
+    part = r.table(spark, d, "part")
+    orders = spread(r.table(spark, d, "orders").select("o_orderkey", "o_custkey"))
+    li = spread(r.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity"))
     q = F.lit('"')
 
     def pair(k, v):

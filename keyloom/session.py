@@ -40,3 +40,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    """Give CPU-heavy row work enough tasks.
+
+    Byte-based splits can leave very few partitions (a small file, one row group, coalesced shuffle output). Inputs that
+    already have enough partitions are returned unchanged, so large scans are never shuffled for this.
+    ``rows_per_task`` also bounds the rows of a task, at the price of counting them.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if rows_per_task:
+        wanted = max(wanted, -(-df.count() // rows_per_task))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
