@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import column_sums
+from .ranking import quantiles
 
 # name / version / split settings in the order in which they are tried
 KEY_VARIANTS = [(n, v, s) for n in (False, True) for v in (True, False) for s in (True, False)]
@@ -102,7 +103,7 @@ def union_lengths(intervals: DataFrame, groups: Sequence[str], start: str = "sta
 
 _LENGTH_METHODS = {
     "mean": lambda x: F.avg(x), "max": lambda x: F.max(x), "min": lambda x: F.min(x),
-    "median": lambda x: F.percentile(x, F.lit(0.5)), "geometric_mean": lambda x: F.exp(F.avg(F.ln(x))),
+    "median": None, "geometric_mean": lambda x: F.exp(F.avg(F.ln(x))),
 }
 
 
@@ -125,8 +126,10 @@ def feature_lengths(annotation: DataFrame, feature: str = "gene", method: str =
     per_transcript = exons.groupBy("transcript").agg(F.sum("n").alias("length"))
     if feature == "transcript":
         return per_transcript.withColumnRenamed("transcript", "key")
-    # the transcripts of one gene are few, so an in-memory median per gene is bounded
-    return per_transcript.join(models, "transcript").groupBy("key").agg(
+    by_gene = per_transcript.join(models, "transcript")
+    if method == "median":
+        return quantiles(by_gene, "length", {"length": 0.5}, ["key"])
+    return by_gene.groupBy("key").agg(
         _LENGTH_METHODS[method](F.col("length")).cast("double").alias("length"))
 
 

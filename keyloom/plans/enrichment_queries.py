@@ -328,7 +328,30 @@ def _(spark, d):
     return _term_tests(spark, d, propagate="no", test="hypergeometric")
 
 
-@query("ontology_enrichment_elim")
+def _elim_sql(alpha: float, depth: int) -> str:
+    """Level by level: the p-values of a level use what its significant descendants left over."""
+    parts, seen = [], []
+    score = "hits > 0 AND (hits/draws::DOUBLE) > (successes/population::DOUBLE)"
+    for level in range(depth, -1, -1):
+        lost = "SELECT NULL::VARCHAR AS set_id, NULL::VARCHAR AS attribute, 0 AS lost, 0 AS lost_hits WHERE false"
+        if seen:
+            lost = f"""SELECT x.set_id, x.attribute, count(*) AS lost, count(tg.gene) AS lost_hits FROM (SELECT DISTINCT sg.set_id, closure.ancestor AS attribute, ann.gene
+              FROM ({" UNION ALL ".join(f"SELECT * FROM sg{v}" for v in seen)}) sg JOIN closure ON closure.term = sg.attribute JOIN ann ON ann.attribute = sg.attribute) x
+              LEFT JOIN tg ON tg.set_id = x.set_id AND tg.gene = x.gene GROUP BY 1, 2"""
+        parts.append(f"""lo{level} AS ({lost}), ba{level} AS (SELECT prm.set_id, prm.attribute, population, draws, successes AS full_s, hits AS full_h,
+          successes - coalesce(lost,0) AS successes, hits - coalesce(lost_hits,0) AS hits FROM prm JOIN mx ON mx.term = prm.attribute AND mx.level = {level}
+          LEFT JOIN lo{level} l ON l.set_id = prm.set_id AND l.attribute = prm.attribute), {_pmf(f"ba{level}", level)},
+          ob{level} AS (SELECT set_id, attribute, p AS po FROM pmf{level} WHERE i = hits), te{level} AS (SELECT b.set_id, b.attribute, any_value(population) AS population,
+          any_value(draws) AS draws, any_value(full_s) AS successes, any_value(full_h) AS hits, least(1.0, sum(CASE WHEN p <= po*(1+1e-7) THEN p ELSE 0 END)) AS pval
+          FROM pmf{level} b JOIN ob{level} o ON o.set_id = b.set_id AND o.attribute = b.attribute GROUP BY 1, 2),
+          sg{level} AS (SELECT set_id, attribute FROM te{level} WHERE pval <= {alpha} AND {score})""")
+        seen.append(level)
+    union = " UNION ALL ".join(f"SELECT * FROM te{v}" for v in seen)
+    return ", ".join(parts) + f", tested AS ({union})"
+
+
+@query("ontology_enrichment_elim", f"""{_ONTO}, {_LVL}, mx AS (SELECT term, max(level)::INTEGER AS level FROM lv GROUP BY 1), ann AS (SELECT term AS attribute, gene FROM prop),
+  {_PARAMS}, {_elim_sql(0.2, 3)}, {_fdr(extra=_BY)} {_TERM_OUT.replace("0.05", "0.2")}""")
 def _(spark, d):
     return _term_tests(spark, d, propagate="elim", alpha=0.2)
 

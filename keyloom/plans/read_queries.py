@@ -52,7 +52,11 @@ def _(spark, d):
     return reads.trim_exact_three_prime(_reads(spark, d), "ACGTA")
 
 
-@query("trim_quality")
+@query("trim_quality", f"""WITH {_LINES}, q AS (SELECT sample, read_id, i, sum(20-(ascii(substr(qual, (len(qual)-i+1)::INT, 1))-33)) OVER (PARTITION BY sample, read_id ORDER BY i) AS s
+  FROM (SELECT sample, read_id, qual, unnest(range(1, len(qual)+1)) AS i FROM rd)), st AS (SELECT sample, read_id, min(CASE WHEN s < 0 THEN i END) AS stop FROM q GROUP BY 1, 2),
+  c AS (SELECT sample, read_id, min(i) AS cut FROM (SELECT q.*, max(s) OVER (PARTITION BY sample, read_id) AS top FROM q JOIN st USING (sample, read_id) WHERE stop IS NULL OR i < stop)
+    WHERE s = top AND top > 0 GROUP BY 1, 2)
+  SELECT sample, read_id, substr(seq, 1, (len(qual)-coalesce(cut,0))::INT) AS seq, substr(qual, 1, (len(qual)-coalesce(cut,0))::INT) AS qual FROM rd LEFT JOIN c USING (sample, read_id)""")
 def _(spark, d):
     return reads.trim_quality(_reads(spark, d), 20)
 
@@ -202,7 +206,9 @@ def _(spark, d):
     return reads.count_features(_stored(spark, d), _exons(spark, d), ["A", "N", "R"], bin_size=64)[1]
 
 
-@query("count_fragments_paired")
+@query("count_fragments_paired", f"""WITH {_ALN}, {_EXONS}, h AS (SELECT sample, split_part(qname, ':', 1) AS q, gene FROM aln JOIN ex ON ex.rname = aln.rname AND pos <= e AND s <= pos+len-1
+  WHERE flag & 256 = 0), c AS (SELECT sample, q, count(DISTINCT gene) AS genes, any_value(gene) AS gene FROM h GROUP BY 1, 2)
+  SELECT ex.gene, {_pivot('w')} FROM (SELECT DISTINCT gene FROM ex) ex LEFT JOIN (SELECT gene, sample, 1 AS w FROM c WHERE genes = 1) k USING (gene) GROUP BY 1""")
 def _(spark, d):
     aln = _stored(spark, d)
     paired = aln.withColumns({"flag": F.col("flag").bitwiseOR(F.lit(sam.PAIRED)).bitwiseOR(

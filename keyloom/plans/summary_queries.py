@@ -214,9 +214,9 @@ def _(spark, d):
     return scalar.shift_to_baseline(r.matrix(spark, d), S, 1)
 
 
-@query("extract_ids_from_text", """SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{3,4}-[A-Z,0-9]{1,4}')) AS id FROM documents""")
+@query("extract_ids_from_text", """SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z,0-9]{2,}\\.[0-9]{1,2}')) AS id FROM documents""")
 def _(spark, d):
-    return scalar.extract_ids(r.table(spark, d, "documents"), "text", scalar.GENE_NAME_PATTERN)
+    return scalar.extract_ids(r.table(spark, d, "documents"), "text", scalar.SEQUENCE_NAME_PATTERN)
 
 
 @query("extract_sequence_names_from_pages", """SELECT DISTINCT unnest(regexp_extract_all(html, '[A-Z,0-9]{2,}\\.[0-9]{1,2}')) AS id FROM pages""")

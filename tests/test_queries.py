@@ -8,7 +8,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 SF = f"{DATA}/sf0.001"
 # results that may be empty on the smallest tables
-MAY_BE_EMPTY = {"extract_ids_from_text", "filter_duplicate_ids_neither", "filter_by_attribute_intersection", "filter_by_terms",
+MAY_BE_EMPTY = {"filter_duplicate_ids_neither", "filter_by_attribute_intersection", "filter_by_terms",
                 "mark_duplicates", "density_clusters"}
 
 
