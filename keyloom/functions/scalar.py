@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint
 
 # Identifier patterns of the public nomenclatures.
 WBGENE_PATTERN = r"WBGene[0-9]{8}"
-SEQUENCE_NAME_PATTERN = r"[A-Z,0-9]{2,}\.[0-9]{1,2}"
-GENE_NAME_PATTERN = r"[a-z]{3,4}-[A-Z,0-9]{1,4}"
+SEQUENCE_NAME_PATTERN = r"[A-Z,0-9]{5,8}\.[0-9]{1,2}"
+GENE_NAME_PATTERN = r"[a-z]{3,4}-[A-Z,0-9.]{1,4}"
 UNIPROT_PATTERN = r"([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2})"
 GO_PATTERN = r"(GO:[0-9]{7})"
 
@@ -35,6 +37,14 @@ def transform_columns(df: DataFrame, columns: Sequence[str], function: str | Cal
     raise ValueError(f"unknown transform {function!r}")
 
 
+def map_elements(df: DataFrame, columns: Sequence[str], function: Callable[..., float], **kwargs) -> DataFrame:
+    """Apply a Python function to every element. Prefer a Column function; this one leaves the JVM in Arrow batches."""
+    @F.pandas_udf(T.DoubleType())
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: function(v, **kwargs), na_action="ignore").astype(float)
+    return df.withColumns({c: run(F.col(c)) for c in columns})
+
+
 def extract_ids(df: DataFrame, text: str, pattern: str, name: str = "id") -> DataFrame:
     """Distinct matches of ``pattern`` in a text column, over whole texts."""
     return df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))).alias(name)
@@ -48,7 +58,7 @@ def first_id(text: str | Column, pattern: str) -> Column:
 
 def sanitize_name(column: str | Column) -> Column:
     """Non-alphanumerics become ``_``; a leading digit is prefixed with ``var_``."""
-    cleaned = F.regexp_replace(column, r"[^0-9a-zA-Z_]", "_")
+    cleaned = F.regexp_replace(F.rtrim(column), r"[^\p{L}\p{N}]", "_")
     return F.when(cleaned.rlike(r"^[0-9]"), F.concat(F.lit("var_"), cleaned)).otherwise(cleaned)
 
 
@@ -61,8 +71,17 @@ def strip_suffix(column: str | Column) -> Column:
     return F.regexp_replace(column, r"(?<=[^/])\.[^./]*$", "")
 
 
+def remove_given_suffix(column: str | Column, suffixes: Sequence[str]) -> Column:
+    """Remove the longest of the suffixes that the text ends with."""
+    text = F.col(column) if isinstance(column, str) else column
+    out = text
+    for suffix in sorted(suffixes, key=len):
+        out = F.when(text.endswith(suffix), F.substring(text, F.lit(1), F.length(text) - len(suffix))).otherwise(out)
+    return out
+
+
 def slug(column: str | Column) -> Column:
-    cleaned = F.lower(F.regexp_replace(column, r"[^\w\s-]", ""))
+    cleaned = F.regexp_replace(column, r"[^\w\s-]", "")
     return F.regexp_replace(F.regexp_replace(cleaned, r"[-\s]+", "-"), r"^[-_]+|[-_]+$", "")
 
 

@@ -76,9 +76,11 @@ def _test(name: str, reps: int = 10000, seed: int = 0) -> Callable[[int, int, in
 # --- scope ------------------------------------------------------------------------------------------------------------
 
 def resolve_background(annotations: DataFrame, key: str, background: DataFrame | None = None,
-                       exclude_unannotated: bool = True) -> DataFrame:
-    """Background keys: all annotated ones, or the given ones (limited to annotated unless told otherwise)."""
-    annotated = annotations.select(key).filter(F.col(key).isNotNull()).distinct()
+                       exclude_unannotated: bool = True, annotated: DataFrame | None = None) -> DataFrame:
+    """Background keys: all annotated ones, or the given ones (limited to annotated unless told otherwise).
+
+    A wide reference table also lists features without any attribute; pass its keys as ``annotated`` to count them."""
+    annotated = (annotations if annotated is None else annotated).select(key).filter(F.col(key).isNotNull()).distinct()
     if background is None:
         return annotated
     given = background.select(key).filter(F.col(key).isNotNull()).distinct()
@@ -135,10 +137,11 @@ def finish(results: DataFrame, alpha: float = 0.05, method: str = "bh", return_n
 
 def enrichment(annotations: DataFrame, targets: DataFrame, key: str, background: DataFrame | None = None,
                test: str = "fisher", alpha: float = 0.05, exclude_unannotated: bool = True,
-               return_nonsignificant: bool = True, correction: str = "bh", reps: int = 10000, seed: int = 0) -> DataFrame:
+               return_nonsignificant: bool = True, correction: str = "bh", reps: int = 10000, seed: int = 0,
+               annotated: DataFrame | None = None) -> DataFrame:
     """Test each target set against each attribute: name, samples, obs, exp, log2 fold enrichment, p-values."""
     annotations = checkpoint(annotations.select("attribute", key).distinct())
-    scope = checkpoint(resolve_background(annotations, key, background, exclude_unannotated))
+    scope = checkpoint(resolve_background(annotations, key, background, exclude_unannotated, annotated))
     chosen = checkpoint(resolve_targets(targets, key, scope))
     pvalue = _row_test(_test(test, reps, seed))
     tested = set_parameters(annotations, chosen, key, scope).withColumn(
@@ -226,12 +229,15 @@ def ranked_enrichment(annotations: DataFrame, ranked: DataFrame, key: str, rank:
                       correction: str = "bh") -> DataFrame:
     """XL-mHG test of a ranked list (ranks 0..n-1) from both ends; the more significant end is reported.
 
-    The statistic is the smallest upper tail over the positions of an attribute's keys. Positions are numbered with
+    Keys without any annotation leave the list first. The statistic is the smallest upper tail over the positions of an attribute's keys. Positions are numbered with
     the distributed row numbers, so an attribute that covers a third of the list is still split over tasks.
     """
-    n = ranked.count()
+    annotations = annotations.select("attribute", key).distinct()
+    known = ranked.join(annotations.select(key).distinct(), key, "left_semi").select(key, rank)
+    placed_keys = checkpoint(row_numbers(known, [], [rank], "__n").select(key, (F.col("__n") - 1).alias("__r")))
+    n = placed_keys.count()
     min_hits, lowest = min(min_positive, n), min(int(math.floor(lowest_cutoff * n)), n)
-    placed = annotations.select("attribute", key).distinct().join(ranked.select(key, F.col(rank).alias("__r")), key)
+    placed = annotations.join(placed_keys, key)
     totals = placed.groupBy("attribute").agg(F.count(F.lit(1)).alias("successes"))
     both = placed.select("attribute", F.inline(F.array(
         F.struct(F.lit("top").alias("end"), F.col("__r").cast("long").alias("at")),

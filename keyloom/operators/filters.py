@@ -12,15 +12,15 @@ from .ranking import quantiles
 
 NUMBER_OPERATORS = {
     "gt": ("gt", ">", "greater than"),
-    "eq": ("eq", "=", "equals"),
+    "eq": ("eq", "=", "equals", "equal"),
     "lt": ("lt", "<", "lesser than"),
-    "abs_gt": ("abs_gt", "abs >", "abs_greater_than"),
+    "abs_gt": ("abs_gt", "abs greater than", "|x|>"),
 }
 TEXT_OPERATORS = {
-    "equals": ("equals", "=", "eq"),
-    "contains": ("contains", "in"),
-    "starts_with": ("starts_with", "sw"),
-    "ends_with": ("ends_with", "ew"),
+    "equals": ("equals", "equal", "eq", "="),
+    "contains": ("contains", "ct", "in"),
+    "starts_with": ("starts with", "begins with", "sw"),
+    "ends_with": ("ends with", "ew"),
 }
 # In-list predicates stay literals up to this many values; longer lists become a join.
 INLINE_LIMIT = 1000

@@ -51,9 +51,13 @@ def transcripts_to_genes(annotation: DataFrame, use_name: bool = False, use_vers
                          split_ids: bool = True, order: str = "_row") -> DataFrame:
     """(transcript, gene) from transcript lines; the first line of a transcript wins."""
     attrs = F.col("attrs")
-    gene = attrs["gene_name"] if use_name else _identifier(attrs, "gene", use_version, split_ids)
-    rows = annotation.filter("feature = 'transcript'").select(
-        _identifier(attrs, "transcript", use_version, split_ids).alias("transcript"), gene.alias("gene"), order)
+    versioned = F.lit(use_version) & attrs["transcript_version"].isNotNull() & attrs["gene_version"].isNotNull()
+
+    def ident(feature: str) -> Column:
+        return F.when(versioned, _identifier(attrs, feature, True, split_ids)).otherwise(_identifier(attrs, feature, False, split_ids))
+
+    gene = attrs["gene_name"] if use_name else ident("gene")
+    rows = annotation.filter("feature = 'transcript'").select(ident("transcript").alias("transcript"), gene.alias("gene"), order)
     return _first(rows.filter("transcript is not null and gene is not null"), ["transcript"], "gene", order)
 
 

@@ -214,14 +214,20 @@ def _(spark, d):
     return scalar.shift_to_baseline(r.matrix(spark, d), S, 1)
 
 
-@query("extract_ids_from_text", """SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z,0-9]{2,}\\.[0-9]{1,2}')) AS id FROM documents""")
+@query("extract_ids_from_text", """SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9.]+')) AS id FROM documents""")
 def _(spark, d):
-    return scalar.extract_ids(r.table(spark, d, "documents"), "text", scalar.SEQUENCE_NAME_PATTERN)
+    return scalar.extract_ids(r.table(spark, d, "documents"), "text", "[a-z0-9.]+@[a-z0-9.]+")
 
 
-@query("extract_sequence_names_from_pages", """SELECT DISTINCT unnest(regexp_extract_all(html, '[A-Z,0-9]{2,}\\.[0-9]{1,2}')) AS id FROM pages""")
+@query("transform_element_function", f"{_C} SELECT gene, round(a_f*2+3,6) AS a_f, r_o FROM counts")
 def _(spark, d):
-    return scalar.extract_ids(r.table(spark, d, "pages"), "html", scalar.SEQUENCE_NAME_PATTERN)
+    c = r.counts(spark, d).select("gene", "a_f", "r_o")
+    return rounded(scalar.map_elements(c, ["a_f"], lambda x, shift: x * 2 + shift, shift=3))
+
+
+@query("extract_sequence_names_from_pages", """SELECT DISTINCT unnest(regexp_extract_all(html, '[A-Z,0-9]{2,8}\\.[0-9]{1,2}')) AS id FROM pages""")
+def _(spark, d):
+    return scalar.extract_ids(r.table(spark, d, "pages"), "html", r"[A-Z,0-9]{2,8}\.[0-9]{1,2}")
 
 
 @query("first_accession_in_text", """SELECT doc_id, nullif(regexp_extract(text, '([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2})', 1), '') AS accession,
@@ -233,7 +239,7 @@ def _(spark, d):
 
 
 @query("name_cleanup", r"""SELECT page_id, CASE WHEN regexp_matches(c, '^[0-9]') THEN 'var_' || c ELSE c END AS variable, stem FROM
-  (SELECT page_id, regexp_replace(url, '[^0-9a-zA-Z_]', '_', 'g') AS c, regexp_replace(url, '([^/])\.[^/]*$', '\1') AS stem FROM pages)""")
+  (SELECT page_id, regexp_replace(rtrim(url), '[^\p{L}\p{N}]', '_', 'g') AS c, regexp_replace(url, '([^/])\.[^/]*$', '\1') AS stem FROM pages)""")
 def _(spark, d):
     return r.table(spark, d, "pages").select("page_id", scalar.sanitize_name("url").alias("variable"),
                                              scalar.strip_suffixes("url").alias("stem"))

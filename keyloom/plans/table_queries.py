@@ -50,7 +50,7 @@ def _(spark, d):
 def _(spark, d):
     part = r.table(spark, d, "part").select("p_partkey", "p_name", "p_type")
     hits = [filters.text_filters(part, "p_partkey", c, op, v) for c, op, v in (
-        ("p_name", "starts_with", "red"), ("p_name", "ends_with", "ring"), ("p_type", "equals", "PROMO"))]
+        ("p_name", "starts with", "red"), ("p_name", "ends with", "ring"), ("p_type", "equals", "PROMO"))]
     return sets.union(hits, "p_partkey").join(part, "p_partkey")
 
 

@@ -18,7 +18,7 @@ EVIDENCE_GROUPS = {
 }
 ASPECTS = {"biological_process": "P", "molecular_function": "F", "cellular_component": "C"}
 QUALIFIERS = ("not", "contributes_to", "colocalizes_with")
-GO_ID = r"GO:\d+"
+GO_ID = r"GO:[0-9]{7}"
 
 
 # --- ontology ---------------------------------------------------------------------------------------------------
@@ -118,18 +118,49 @@ def read_pathway_names(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_replace("pathway", "^path:", "").alias("pathway"), "name")
 
 
-def read_pathway_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """KGML: nodes (entry, name, kind, members[]) and typed edges (source, target, kind, subtypes[])."""
-    node_schema = ("_id long, _name string, _type string, graphics struct<_name:string>, "
-                   "component array<struct<_id:long>>")
-    nodes = spark.read.format("xml").option("rowTag", "entry").schema(node_schema).load(path).select(
-        F.col("_id").alias("entry"), F.coalesce("graphics._name", "_name").alias("name"), F.col("_type").alias("kind"),
-        F.split("_name", " ").alias("members"), F.col("component._id").alias("components"))
-    edge_schema = "_entry1 long, _entry2 long, _type string, subtype array<struct<_name:string,_value:string>>"
-    edges = spark.read.format("xml").option("rowTag", "relation").schema(edge_schema).load(path).select(
-        F.col("_entry1").alias("source"), F.col("_entry2").alias("target"), F.col("_type").alias("kind"),
-        F.col("subtype._name").alias("subtypes"))
-    return nodes, edges
+def read_compound_names(spark: SparkSession, path: str) -> DataFrame:
+    """Tab table of compound codes and their names (main name first): (compound, name)."""
+    raw = spark.read.option("sep", "\t").schema("compound string, names string").csv(path)
+    return raw.select(F.regexp_replace("compound", "^(cpd|gl):", "").alias("compound"), F.substring_index("names", ";", 1).alias("name"))
+
+
+def read_pathway_graph(spark: SparkSession, path: str, compounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """KGML: nodes (entry, name, kind, members[], components[]) and edges (source, target, relation, symbol).
+
+    A relation through a compound becomes two edges, a relation without subtypes is named after its type, and a reaction leads from
+    its substrates to the enzyme and on to its products.
+    """
+    def rows(tag: str, schema: str) -> DataFrame:
+        return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+
+    entries = rows("entry", "_id long, _name string, _type string, graphics struct<_name:string>, component array<struct<_id:long>>")
+    members = F.transform(F.split("_name", " "), lambda m: F.regexp_replace(m, "^(cpd|gl):", ""))
+    nodes = entries.select(F.col("_id").alias("entry"), F.substring_index(F.coalesce("graphics._name", "_name"), ",", 1).alias("name"),
+                           F.col("_type").alias("kind"), members.alias("members"), F.col("component._id").alias("components"))
+    if compounds is not None:
+        main = compounds.select(F.col("compound").alias("__code"), F.col("name").alias("__name"))
+        nodes = nodes.withColumn("__code", F.when(F.col("kind") == "compound", F.get("members", F.lit(0)))).join(main, "__code", "left").select(
+            "entry", F.coalesce("__name", "name").alias("name"), "kind", "members", "components")
+
+    def edge(source, target, relation, symbol):
+        return F.struct(source.cast("long").alias("source"), target.cast("long").alias("target"), relation.alias("relation"),
+                        symbol.alias("symbol"))
+
+    rel = rows("relation", "_entry1 long, _entry2 long, _type string, subtype array<struct<_name:string,_value:string>>")
+    a, b, arrow = F.col("_entry1"), F.col("_entry2"), F.lit("->")
+    bare = F.when(F.col("_type") == "PCrel", "compound").when(F.col("_type") == "maplink", "missing interaction").otherwise("unknown")
+    plain = F.array(edge(a, b, bare, F.when(bare == "unknown", "?").otherwise("->")))
+    typed = F.flatten(F.transform("subtype", lambda x: F.when(
+        x["_name"] == "compound", F.array(edge(a, x["_value"].try_cast("long"), x["_name"], arrow), edge(x["_value"].try_cast("long"), b, x["_name"], arrow))
+    ).otherwise(F.array(edge(a, b, x["_name"], x["_value"])))))
+    relations = rel.select(F.inline(F.when(F.size("subtype") > 0, typed).otherwise(plain)))
+    rea = rows("reaction", "_id long, _type string, substrate array<struct<_id:long>>, product array<struct<_id:long>>")
+    enzyme, both = F.col("_id"), F.col("_type") == "reversible"
+    name = F.when(both, "reversible reaction").otherwise("irreversible reaction")
+    symbol = F.when(both, "<->").otherwise("->")
+    reactions = rea.select(F.inline(F.concat(
+        F.transform("substrate", lambda x: edge(x["_id"], enzyme, name, symbol)), F.transform("product", lambda x: edge(enzyme, x["_id"], name, symbol)))))
+    return nodes, relations.unionByName(reactions)
 
 
 # --- ID mappings ------------------------------------------------------------------------------------------------------

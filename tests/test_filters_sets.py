@@ -134,3 +134,19 @@ def test_histogram_edges(spark):
     df = spark.createDataFrame([(float(i),) for i in range(11)], "x double")
     h = sorted(aggregates.histogram(df, "x", 5).collect())
     assert [r["count"] for r in h] == [2, 2, 2, 2, 3]
+
+
+def test_identifier_patterns(spark):
+    from keyloom.functions import scalar
+    df = spark.createDataFrame([("see WBGene00000001, lin-4 and AH6.1 or Y55D5A.5 P12345 GO:0008150",), ("daf-2.1 WBGene00000001",)], "t string")
+
+    def found(pattern):
+        return sorted(r["id"] for r in scalar.extract_ids(df, "t", pattern).collect())
+    assert found(scalar.WBGENE_PATTERN) == ["WBGene00000001"]
+    assert found(scalar.GENE_NAME_PATTERN) == ["daf-2.1", "lin-4"]
+    assert found(scalar.SEQUENCE_NAME_PATTERN) == ["Y55D5A.5"]
+    first = df.select(scalar.first_id("t", scalar.UNIPROT_PATTERN).alias("u"), scalar.first_id("t", scalar.GO_PATTERN).alias("g")).collect()
+    assert [tuple(r) for r in first] == [("P12345", "GO:0008150"), (None, None)]
+    names = spark.createDataFrame([("1 a-b ",), ("x/y.fastq.gz",)], "t string")
+    got = [tuple(r) for r in names.select(scalar.sanitize_name("t"), scalar.strip_suffixes("t"), scalar.remove_given_suffix("t", [".gz", ".fastq.gz"])).collect()]
+    assert got[0][0] == "var_1_a_b" and got[1] == ("x_y_fastq_gz", "x/y", "x/y")

@@ -133,13 +133,19 @@ def test_pathway_files(spark, tmp_path):
     got = {tuple(r) for r in annotations.read_pathway_entries(spark, str(f), "cel").collect()}
     assert got == {("cel1", "cel:G_1"), ("cel1", "cel:G_2"), ("cel2", "cel:G_3")}
     x = tmp_path / "k.xml"
-    x.write_text('<?xml version="1.0"?>\n<pathway name="p"><entry id="1" name="h:1 h:2" type="gene"><graphics name="A"/></entry>'
-                 '<entry id="2" name="h:3" type="gene"><graphics name="B"/></entry><relation entry1="1" entry2="2" type="PPrel">'
-                 '<subtype name="activation" value="--&gt;"/></relation></pathway>')
-    nodes, edges = annotations.read_pathway_graph(spark, str(x))
-    assert {r["entry"]: (r["name"], r["members"]) for r in nodes.collect()} == {1: ("A", ["h:1", "h:2"]), 2: ("B", ["h:3"])}
-    e = edges.first()
-    assert (e["source"], e["target"], e["kind"], e["subtypes"]) == (1, 2, "PPrel", ["activation"])
+    x.write_text('<?xml version="1.0"?>\n<pathway name="p"><entry id="1" name="h:1 h:2" type="gene"><graphics name="A, A2"/></entry>'
+                 '<entry id="2" name="h:3" type="gene"><graphics name="B"/></entry><entry id="3" name="cpd:C1" type="compound"><graphics name="C1"/></entry>'
+                 '<relation entry1="1" entry2="2" type="PPrel"><subtype name="activation" value="--&gt;"/></relation>'
+                 '<relation entry1="1" entry2="2" type="ECrel"><subtype name="compound" value="3"/></relation>'
+                 '<relation entry1="2" entry2="1" type="maplink"></relation>'
+                 '<reaction id="2" type="reversible"><substrate id="3"/><product id="1"/></reaction></pathway>')
+    names = tmp_path / "c.txt"
+    names.write_text("cpd:C1\tWater; H2O\n")
+    nodes, edges = annotations.read_pathway_graph(spark, str(x), annotations.read_compound_names(spark, str(names)))
+    assert {r["entry"]: (r["name"], r["members"]) for r in nodes.collect()} == {1: ("A", ["h:1", "h:2"]), 2: ("B", ["h:3"]), 3: ("Water", ["C1"])}
+    assert {tuple(r) for r in edges.collect()} == {
+        (1, 2, "activation", "-->"), (1, 3, "compound", "->"), (3, 2, "compound", "->"), (2, 1, "missing interaction", "->"),
+        (3, 2, "reversible reaction", "<->"), (2, 1, "reversible reaction", "<->")}
 
 
 def test_mapping_files_and_policies(spark, tmp_path):
