@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +23,8 @@ from ..functions import arrays, distance, scalar
 from ..session import checkpoint
 from .filters import numeric_columns
 from .graphs import connected_components
-from .skew import salted_join
+from .neighbours import neighbour_counts, neighbour_links
+from .ranking import row_numbers
 
 UNCLUSTERED = -1
 
@@ -36,11 +37,17 @@ def prepare(df: DataFrame, key: str, samples: Sequence[str] | None = None, power
     return checkpoint(shaped.select(key, F.array(*[F.col(c).cast("double") for c in samples]).alias("features")))
 
 
+def number_clusters(labels: DataFrame, key: str, min_size: int = 1) -> DataFrame:
+    """Number the groups of ``cluster`` (any type) from 0 by decreasing size, the larger old label first on ties. Rows without a group
+    and rows of groups under ``min_size`` get -1. The numbers are distributed row numbers: there may be as many groups as rows."""
+    sizes = labels.filter(F.col("cluster").isNotNull()).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_size)
+    order = row_numbers(sizes, [], [F.desc("n"), F.desc("cluster")], "__new").select("cluster", (F.col("__new") - 1).cast("int").alias("__new"))
+    return labels.join(order, "cluster", "left").select(key, F.coalesce("__new", F.lit(UNCLUSTERED)).alias("cluster"))
+
+
 def sort_clusters(labels: DataFrame, key: str) -> DataFrame:
     """Renumber clusters by decreasing size; the larger old label first on ties. -1 stays -1."""
-    sizes = labels.filter(F.col("cluster") != UNCLUSTERED).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    order = sizes.select("cluster", (F.row_number().over(Window.orderBy(F.desc("n"), F.desc("cluster"))) - 1).alias("__new"))
-    return labels.join(order, "cluster", "left").select(key, F.coalesce("__new", F.lit(UNCLUSTERED)).alias("cluster"))
+    return number_clusters(labels.withColumn("cluster", F.when(F.col("cluster") != UNCLUSTERED, F.col("cluster"))), key)
 
 
 def attach(df: DataFrame, key: str, labels: DataFrame) -> DataFrame:
@@ -66,12 +73,14 @@ def kmeans(feats: DataFrame, key: str, n_clusters: int, n_init: int = 3, max_ite
 
 
 def hierarchical(feats: DataFrame, key: str, n_clusters: int | None = None, distance_threshold: float | None = None,
-                 max_iter: int = 50, seed: int = 0) -> DataFrame:
-    """Top-down bisection into K clusters, or single linkage cut at a distance."""
+                 max_iter: int = 50, seed: int = 0, metric: str = "euclidean") -> DataFrame:
+    """Top-down bisection into K clusters (Euclidean), or exact single linkage cut at a distance in any metric."""
     if (n_clusters is None) == (distance_threshold is None):
         raise ValueError("give either n_clusters or distance_threshold")
     if distance_threshold is not None:
-        return density_clusters(feats, key, distance_threshold, min_samples=1, min_cluster_size=1)
+        return density_clusters(feats, key, distance_threshold, min_samples=1, min_cluster_size=1, metric=metric)
+    if metric not in ("euclidean", "l2"):
+        raise ValueError("bisection into n_clusters is Euclidean")
     data = feats.withColumn("v", array_to_vector("features"))
     model = BisectingKMeans(k=n_clusters, maxIter=max_iter, seed=seed, featuresCol="v", predictionCol="cluster").fit(data)
     return sort_clusters(model.transform(data).select(key, "cluster"), key)
@@ -168,42 +177,20 @@ def kmedoids(feats: DataFrame, key: str, n_clusters: int, n_init: int = 3, max_i
 # --- density clusters -------------------------------------------------------------------------------------------------------
 
 def density_clusters(feats: DataFrame, key: str, eps: float, min_samples: int = 1, min_cluster_size: int = 5,
-                     resolution: float = 0.1) -> DataFrame:
-    """Clusters of core points linked within ``eps``; everything else, and small clusters, is -1.
+                     metric: str = "euclidean") -> DataFrame:
+    """Clusters of core points linked within ``eps``; everything else, and clusters of fewer than ``min_cluster_size`` rows, is -1.
 
-    Rows are first merged into grid cells whose diagonal is ``resolution * eps``; a dense spot becomes one weighted point,
-    so the neighbour join depends on the space the data fills, not on how many rows share a spot. Distances are
-    therefore exact to within that diagonal. Neighbours are found by joining on a coarse grid of the first three
-    axes; heavy coarse cells are salted.
+    A core point has at least ``min_samples`` rows within ``eps``, itself included. Every distance is measured between rows; with metrics
+    that a grid bounds only rows of neighbouring boxes are compared. Links are a spanning set, not pairs.
     """
-    dims = len(feats.select("features").first()["features"])
-    side = resolution * eps / math.sqrt(dims)
-    cell = F.transform("features", lambda x: F.floor(x / side))
-    tagged = feats.select(key, "features", cell.alias("cell"))
-    cells = checkpoint(tagged.groupBy("cell").agg(
-        F.min(key).alias("id"), F.count(F.lit(1)).alias("n"),
-        Summarizer.mean(array_to_vector("features")).alias("v")).withColumn("p", vector_to_array("v")).drop("v"))
-    axes = min(3, dims)
-    home = F.array(*[F.floor(F.col("p")[i] / eps) for i in range(axes)])
-    left = cells.select(F.col("id").alias("a"), F.col("p").alias("pa"), F.xxhash64(home).alias("box"))
-    around = [F.array(*[F.floor(F.col("p")[i] / eps) + s for i, s in enumerate(shift)])
-              for shift in itertools.product((-1, 0, 1), repeat=axes)]
-    right = cells.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"),
-                         F.explode(F.array(*around)).alias("box")).withColumn("box", F.xxhash64("box"))
-    squared = arrays.total(F.zip_with("pa", "pb", lambda x, y: (x - y) * (x - y)))
-    near = checkpoint(salted_join(left, right, ["box"], ["a"]).filter(squared <= eps * eps).select("a", "b", "nb").distinct())
-    weight = near.groupBy("a").agg(F.sum("nb").alias("w"))
-    core = checkpoint(weight.filter(F.col("w") >= min_samples).select(F.col("a").alias("node")))
-    links = near.join(core.withColumnRenamed("node", "a"), "a", "left_semi").join(
-        core.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
-    comps = connected_components(core, links)
-    named = cells.select("cell", F.col("id").alias("node")).join(comps, "node").select("cell", "component")
-    labelled = tagged.select(key, "cell").join(named, "cell", "left").select(key, "component")
-    big = labelled.filter("component is not null").groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(
-        F.col("n") >= min_cluster_size)
-    numbered = big.select("component", F.row_number().over(Window.orderBy("component")).alias("cluster"))
-    return sort_clusters(labelled.join(numbered, "component", "left").select(
-        key, F.coalesce("cluster", F.lit(UNCLUSTERED)).alias("cluster")), key)
+    points = checkpoint(feats.select(F.col(key).alias("node"), F.col("features").alias("p")))
+    core = points
+    if min_samples > 1:
+        dense = neighbour_counts(points, eps, metric).filter(F.col("n") >= min_samples).select("node")
+        core = checkpoint(points.join(dense, "node", "left_semi"))
+    groups = connected_components(core.select("node"), neighbour_links(core, eps, metric))
+    labelled = points.join(groups, "node", "left").select(F.col("node").alias(key), F.col("component").alias("cluster"))
+    return number_clusters(labelled, key, min_cluster_size)
 
 
 # --- number of clusters -----------------------------------------------------------------------------------------------------
@@ -422,11 +409,8 @@ def consensus(solutions: DataFrame, key: str, evidence_threshold: float = 2 / 3,
     # most votes, then the smallest block name
     winner = votes.groupBy(key).agg(F.min(F.struct((-F.col("v")).alias("v"), "component")).alias("w")).select(
         key, F.col("w.component").alias("component"))
-    big = winner.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_cluster_size)
-    numbered = big.select("component", F.row_number().over(Window.orderBy("component")).alias("cluster"))
     keys = solutions.select(key).distinct()
-    return sort_clusters(keys.join(winner, key, "left").join(numbered, "component", "left").select(
-        key, F.coalesce("cluster", F.lit(UNCLUSTERED)).alias("cluster")), key)
+    return number_clusters(keys.join(winner.withColumnRenamed("component", "cluster"), key, "left"), key, min_cluster_size)
 
 
 # --- profiles ------------------------------------------------------------------------------------------------------------------

@@ -6,29 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .skew import heavy_keys, lookup
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a", b: str = "b",
-                         max_rounds: int = 100) -> DataFrame:
+                         salts: int = 16) -> DataFrame:
     """(node, component): the smallest node ID of each component.
 
-    Smallest-label propagation with pointer jumping. Both steps are joins plus a combining minimum, so a hub with very
-    many neighbours does not gather them in one task.
+    Smallest-label propagation with pointer jumping, repeated until no label moves; every round lowers at least one label, so it
+    ends. Edges look up the label of their far end, where hubs are answered from a bounded broadcast. Nodes look up the label
+    of their component over ``salts`` copies of the components in use, so the members of a giant component are spread.
     """
     both = edges.filter(F.col(a) != F.col(b)).select(F.inline(F.array(
         F.struct(F.col(a).alias("src"), F.col(b).alias("dst")), F.struct(F.col(b).alias("src"), F.col(a).alias("dst")))))
     both = checkpoint(both.distinct())
+    hubs = checkpoint(heavy_keys(both, ["dst"]))
     labels = checkpoint(nodes.select(node, F.col(node).alias("component")).distinct())
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col(node).alias("dst"), F.col("component").alias("__c")), "dst").groupBy(
-            F.col("src").alias(node)).agg(F.min("__c").alias("__near"))
-        closer = labels.join(near, node, "left").select(
-            node, F.col("component").alias("__old"), F.least("component", F.coalesce("__near", "component")).alias("component"))
-        jump = closer.select(F.col(node).alias("component"), F.col("component").alias("__up"))
-        moved = closer.join(jump, "component", "left").select(
-            node, "__old", F.least("component", F.coalesce("__up", "component")).alias("component"))
-        moved = checkpoint(moved)
+    while True:
+        ends = labels.select(F.col(node).alias("dst"), F.col("component").alias("__c"))
+        near = lookup(both, ends, ["dst"], ends.join(F.broadcast(hubs), "dst")).groupBy(F.col("src").alias(node)).agg(
+            F.min("__c").alias("__near"))
+        closer = checkpoint(labels.join(near, node, "left").select(
+            node, F.col("component").alias("__old"), F.least("component", F.coalesce("__near", "component")).alias("component")))
+        used = closer.select(F.col("component").alias(node)).distinct()
+        jump = closer.join(used, node).select(F.col(node).alias("component"), F.col("component").alias("__up"),
+                                              F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+        salted = closer.withColumn("__salt", F.pmod(F.xxhash64(node), F.lit(salts)).cast("int"))
+        moved = checkpoint(salted.join(jump, ["component", "__salt"], "left").select(
+            node, "__old", F.least("component", F.coalesce("__up", "component")).alias("component")))
         labels = moved.select(node, "component")
         if moved.filter(F.col("__old") != F.col("component")).isEmpty():
             return labels
-    raise RuntimeError("connected components did not settle")

@@ -41,16 +41,40 @@ def _(spark, d):
     return cluster.hierarchical(_profiles(spark, d), "gene", 5, seed=1)
 
 
-@query("single_linkage_threshold")
+def _components(links: str) -> str:
+    """Clusters as connected components of ``links`` (a, b): the smallest label of a neighbour is taken until none moves."""
+    return f"""links AS MATERIALIZED ({links}), comp(gene, component) USING KEY (gene) AS (SELECT gene, gene FROM core UNION
+  SELECT l.a, min(c.component) FROM comp c JOIN links l ON l.b = c.gene JOIN recurring.comp o ON o.gene = l.a WHERE c.component < o.component GROUP BY l.a)"""
+
+
+_PROFILE = f"""profile AS MATERIALIZED (SELECT gene, [{", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in S)}] AS p FROM counts)"""
+
+
+def _numbered(least: int) -> str:
+    return f"""sized AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component DESC) - 1 AS cluster FROM comp GROUP BY component HAVING count(*) >= {least})
+  SELECT profile.gene, coalesce(cluster, -1)::INTEGER AS cluster FROM profile LEFT JOIN comp ON comp.gene = profile.gene LEFT JOIN sized USING (component)"""
+
+
+@query("single_linkage_threshold", f"""WITH RECURSIVE {r.COUNTS}, {_PROFILE}, core AS (SELECT gene FROM profile),
+  {_components("SELECT x.gene AS a, y.gene AS b FROM profile x JOIN profile y ON x.gene <> y.gene AND list_distance(x.p, y.p) <= 0.8")}, {_numbered(1)}""")
 def _(spark, d):
     return cluster.hierarchical(_profiles(spark, d), "gene", distance_threshold=0.8)
 
 
-@query("density_clusters")
+@query("density_clusters", f"""WITH RECURSIVE {r.COUNTS}, {_PROFILE},
+  near AS MATERIALIZED (SELECT x.gene AS a, y.gene AS b FROM profile x JOIN profile y ON list_distance(x.p, y.p) <= 0.9), core AS (SELECT a AS gene FROM near GROUP BY a HAVING count(*) >= 5),
+  {_components("SELECT a, b FROM near WHERE a <> b AND a IN (FROM core) AND b IN (FROM core)")}, {_numbered(10)}""")
 def _(spark, d):
     return cluster.density_clusters(_profiles(spark, d), "gene", 0.9, min_samples=5, min_cluster_size=10)
 
 
+@query("density_clusters_manhattan", f"""WITH RECURSIVE {r.COUNTS}, {_PROFILE},
+  near AS MATERIALIZED (SELECT x.gene AS a, y.gene AS b FROM profile x JOIN profile y ON list_sum(list_transform(list_zip(x.p, y.p), lambda t: abs(t[1] - t[2]))) <= 1.7),
+  core AS (SELECT a AS gene FROM near GROUP BY a HAVING count(*) >= 4), {_components("SELECT a, b FROM near WHERE a <> b AND a IN (FROM core) AND b IN (FROM core)")}, {_numbered(5)}""")
+def _(spark, d):
+    return cluster.density_clusters(_profiles(spark, d), "gene", 1.7, min_samples=4, min_cluster_size=5, metric="manhattan")
+
+
 @query("cluster_sizes_by_label", """SELECT (row_number() OVER (ORDER BY count(*) DESC, label DESC) - 1)::INTEGER AS cluster, count(*)::BIGINT AS n FROM embeddings GROUP BY label""")
 def _(spark, d):
     labels = r.table(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster"))
