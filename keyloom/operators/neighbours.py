@@ -23,14 +23,15 @@ BOXED = {"euclidean", "l2", "manhattan", "cityblock", "l1", "chebyshev", "sqeucl
 
 def _meetings(points: DataFrame, radius: float, metric: str, axes: int, chunk_rows: int) -> DataFrame:
     """(box, c, v, home, node, p): chunk c of the homes of a box meets chunk v of its visitors."""
-    if metric in BOXED and radius > 0:
-        dims = len(points.select("p").first()["p"])
+    some = points.select("p").first() if metric in BOXED and radius > 0 else None
+    if some is not None and len(some["p"]):
+        dims = len(some["p"])
         side = (radius ** 0.5 if metric == "sqeuclidean" else radius) * (1 + 1e-9)
         used = range(min(axes, dims))
         own = F.array(*[F.floor(F.get("p", F.lit(i)) / side) for i in used])
         around = F.array(*[F.array(*[F.floor(F.get("p", F.lit(i)) / side) + s for i, s in zip(used, shift)])
                            for shift in itertools.product((-1, 0, 1), repeat=len(used))])
-    else:  # no grid bounds this metric: everything is one box
+    else:  # no grid bounds this metric, or there is nothing to bound: everything is one box
         own, around = F.array(F.lit(0).cast("long")), F.array(F.array(F.lit(0).cast("long")))
     homes = points.select(own.alias("box"), "node", "p")
     visitors = points.select(F.explode(around).alias("box"), "node", "p")
