@@ -219,6 +219,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, blocks: in
     nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b"))).distinct()
     groups = connected_components(nodes, links).select(F.col("node").alias("fp"), "component")
     rooted = store(fps.join(groups, "fp", "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = store(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # stored, so that the join below can split a hot root
     return rooted.join(least, "root").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
