@@ -126,8 +126,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     lines = plain.select(F.col("doc_id").cast("long"), "text").join(doubted, "doc_id").select(
         "doc_id", F.explode(suspected("text", "__h")).alias("key"))
     lines = store(lines.distinct())
-    repeated = lines.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.max("doc_id").alias("__keeper")).filter(
-        F.col("__n") >= min_docs).select("key", "__keeper")
+    # stored, so that the join below has nothing to do but join and can split the rows of a hot line
+    repeated = store(lines.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.max("doc_id").alias("__keeper")).filter(
+        F.col("__n") >= min_docs).select("key", "__keeper"))
     lost = lines.join(repeated, "key").filter(F.col("doc_id") != F.col("__keeper")).groupBy(
         F.col("doc_id").alias("__id")).agg(F.collect_list("key").alias("__lost"))
 
