@@ -8,14 +8,14 @@ as soon as all its distances exceed the radius. A task returns a spanning set of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graphs import connected_components
@@ -112,23 +112,33 @@ def within(planes: np.ndarray, shifts: np.ndarray, wanted: np.ndarray, radius: i
     return np.nonzero(np.unpackbits(found.view(np.uint8), bitorder="little").reshape(len(shifts), -1)[:, :wanted.shape[1]])
 
 
-def union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the label trees of the pairs (a, b) in place; a label is the smallest lane of its tree."""
+def forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Merge the label trees of the pairs (a, b) in place and return those pairs, (2, n), that did it: fewer than the lanes merged. A label is the
+    smallest lane of its tree."""
+    used = []
     while len(a):
         la, lb = labels[a], labels[b]
         apart = la != lb
         a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
+        if not len(a):
+            break
+        # every tree hooks itself to a smaller one by one pair
+        high, low = np.maximum(la, lb), np.minimum(la, lb)
+        trees, chosen = np.unique(high, return_index=True)
+        labels[trees] = low[chosen]
+        used.append(np.stack([a[chosen], b[chosen]]))
         while True:
             up = labels[labels]
             if np.array_equal(up, labels):
                 break
             labels[:] = up
+    return np.concatenate(used, axis=1) if used else np.zeros((2, 0), dtype=np.int64)
 
 
 def links_of(runs: np.ndarray, fps: np.ndarray, sides: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, smallest-lane fingerprint of its group) that connect all fingerprints within ``radius`` in the same
-    run. ``runs`` is sorted. Side 1 and side 2 of a run are compared with each other only, side 0 with itself."""
+    """Pairs within ``radius`` that span the groups connected by all pairs within ``radius`` in the same run, fewer than the lanes. ``runs`` is
+    sorted. Side 1 and side 2 of a run are compared with each other only, side 0 with itself."""
+    ends: list[np.ndarray] = []
     keep = np.arange(len(fps))
     labels = np.arange(len(fps))
     shift, planes = 1, bit_planes(fps)
@@ -140,7 +150,7 @@ def links_of(runs: np.ndarray, fps: np.ndarray, sides: np.ndarray, radius: int)
             todo[row, :-d] = (r[:-d] == r[d:]) & ((s[:-d] == 0) | (s[:-d] != s[d:])) & (lab[:-d] != lab[d:])
         if todo.any():
             row, lane = within(planes, shifts, todo, radius)
-            union(labels, keep[lane], keep[lane + shifts[row]])
+            ends.append(forest(labels, keep[lane], keep[lane + shifts[row]]))
         shift = int(shifts[-1]) + 1
         if len(keep) <= shift:
             break
@@ -150,8 +160,8 @@ def links_of(runs: np.ndarray, fps: np.ndarray, sides: np.ndarray, radius: int)
         if longer.sum() * 2 < len(keep) and len(keep) > 4096:  # most runs are over: lay out the rest anew
             keep = keep[np.isin(r, r[:-shift][longer])]
             planes = bit_planes(fps[keep])
-    moved = np.flatnonzero(labels != np.arange(len(fps)))
-    return fps[moved], fps[labels[moved]]
+    pairs = np.concatenate(ends, axis=1) if ends else np.zeros((2, 0), dtype=np.int64)
+    return fps[pairs[0]], fps[pairs[1]]
 
 
 def _compare(radius: int, rows_at_once: int):
@@ -186,11 +196,22 @@ def _compare(radius: int, rows_at_once: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 3, blocks: int = 5, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(a, b): links between distinct fingerprints of column ``fp`` whose transitive closure is that of all pairs within ``radius``."""
-    if not 0 < radius < blocks <= 64:
-        raise ValueError("needs 0 < radius < blocks <= 64")
-    signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(radius, blocks)]
+def sampled_masks(tables: int, bits: int, seed: int = 11) -> list[int]:
+    """Masks of ``bits`` random bits: fingerprints d bits apart agree under one of them with the chance 1 - (1 - q) ** tables, q the share of
+    masks that avoid d given bits."""
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+
+
+def near_links(fps: DataFrame, radius: int = 3, masks: Sequence[int] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(a, b): pairs within ``radius`` of distinct fingerprints of column ``fp`` that agree under one of ``masks``.
+
+    Of the pairs that meet under a mask a spanning set is returned, so with ``block_masks`` for the radius (the default, five
+    blocks for three bits) the transitive closure is that of all pairs. The order in a bucket changes with the mask, so
+    other masks give other pairs of a group.
+    """
+    masks = masks or block_masks(radius, radius + 2)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k"))
                        for t, m in enumerate(signed)])
     keyed = fps.select("fp", F.inline(tables))
@@ -201,11 +222,24 @@ def near_links(fps: DataFrame, radius: int = 3, blocks: int = 5, chunk_rows: int
         "t", "k", "fp", "__c", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("__x"))
     met = met.select("t", "k", F.least("__c", "__x").alias("i"), F.greatest("__c", "__x").alias("j"),
                      F.when(F.col("__c") == F.col("__x"), 0).when(F.col("__c") < F.col("__x"), 1).otherwise(2).alias("side"), "fp")
-    return met.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInPandas(
+    return met.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", F.xxhash64("t", "fp")).mapInPandas(
         _compare(radius, 4 * chunk_rows), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
+def _hex(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def group(fps: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest doc_id of the component of each row's fingerprint."""
+    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b"))).distinct()
+    groups = connected_components(nodes, links).select(F.col("node").alias("fp"), "component")
+    rooted = store(fps.join(groups, "fp", "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("root")))
+    least = store(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # stored, so that the join below can split a hot root
+    return rooted.join(least, "root").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links between
     fingerprints with at most ``radius`` differing bits).
 
@@ -214,11 +248,48 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, blocks: in
     doc_id, null if it has none. Other columns are not read. An empty table gives an empty result.
     """
     fps = store(fingerprints(docs, width))
+    links = store(near_links(store(fps.select("fp").distinct()), radius).distinct())
+    return group(fps, links).select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
+
+
+def similarity(a: str | None, b: str | None, width: int) -> float:
+    """Share of common distinct shingles."""
+    own, other = set(shingle_hashes(a, width)), set(shingle_hashes(b, width))
+    return len(own & other) / len(own | other) if own or other else 1.0
+
+
+def similar_links(docs: DataFrame, fps: DataFrame, distinct: DataFrame, shingle: int, least: float, radius: int, tables: int, bits: int,
+                  nearest: int) -> DataFrame:
+    """(a, b): pairs of fingerprints up to ``radius`` bits apart whose texts share at least ``least`` of their shingles.
+
+    Candidates meet under sampled masks. Of those a fingerprint has, its ``nearest`` are read and measured: groups of copies stay connected
+    through their nearest members, and the number of texts read stays linear.
+    """
+    pairs = near_links(distinct, radius, sampled_masks(tables, bits)).distinct()
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    sided = pairs.select(F.inline(F.array(F.struct("a", "b", apart.alias("d")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), apart.alias("d")))))
+    place = Window.partitionBy("a").orderBy("d", F.xxhash64("b"))
+    kept = sided.withColumn("__n", F.row_number().over(place)).filter(F.col("__n") <= nearest).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    holders = fps.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    ends = store(kept.select("a", "b", F.explode(F.array("a", "b")).alias("fp")).join(holders, "fp").select("a", "b", "fp", F.col("doc_id").alias("__id")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, F.col("doc_id") == F.col("__id"))
+    both = texts.groupBy("a", "b").agg(F.min(F.when(F.col("fp") == F.col("a"), F.col("text"))).alias("ta"),
+                                       F.min(F.when(F.col("fp") == F.col("b"), F.col("text"))).alias("tb"))
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y, shingle) >= least for x, y in zip(left, right)], dtype=bool)
+
+    return both.filter(F.col("ta").isNotNull() & F.col("tb").isNotNull()).filter(alike("ta", "tb")).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, width: int = 3, radius: int = 3, shingle: int = 5, least: float = 0.8, wide_radius: int = 10,
+                      tables: int = 40, bits: int = 14, nearest: int = 3) -> DataFrame:
+    """Near duplicates as in ``near_duplicates``, and also documents up to ``wide_radius`` bits apart that on reading prove to share at
+    least ``least`` of their distinct ``shingle``-word shingles. Returns doc_id, component_id; the same cases are defined alike."""
+    fps = store(fingerprints(docs, width))
     distinct = store(fps.select("fp").distinct())
-    links = store(near_links(distinct, radius, blocks).distinct())
-    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b"))).distinct()
-    groups = connected_components(nodes, links).select(F.col("node").alias("fp"), "component")
-    rooted = store(fps.join(groups, "fp", "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("root")))
-    least = store(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # stored, so that the join below can split a hot root
-    return rooted.join(least, "root").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    close = near_links(distinct, radius)
+    links = store(close.union(similar_links(docs, fps, distinct, shingle, least, wide_radius, tables, bits, nearest)).distinct())
+    return group(fps, links).select("doc_id", "component_id")

@@ -129,7 +129,7 @@ def test_links_connect_what_all_pairs_connect(spark, radius, blocks):
                 x ^= 1 << int(b)
             fps.add(x)
     signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
-    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), radius, blocks, chunk_rows=8).collect()
+    links = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), radius, simhash.block_masks(radius, blocks), 8).collect()
 
     def groups(pairs):
         label = {x: x for x in signed}
@@ -147,3 +147,26 @@ def test_large_runs_return_a_spanning_set():
     fps = np.array([center] + [center ^ 1 << i for i in range(64)] + [center ^ 1 << i ^ 1 << j for i in range(64) for j in range(i)], dtype=np.uint64)
     a, b = simhash.links_of(np.zeros(len(fps)), fps, np.zeros(len(fps), dtype=int), 3)
     assert len(a) == len(fps) - 1
+    assert all(bin(int(x) ^ int(y)).count("1") <= 3 for x, y in zip(a, b))
+
+
+def test_similar_documents_are_read_before_they_are_linked(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for i in range(60):
+        words = list(rng.choice(vocabulary, 250))
+        texts.append((10 * i, " ".join(words)))
+        copy = list(words)
+        for at in rng.choice(250, i // 6, replace=False):
+            copy[at] = "other"
+        texts.append((10 * i + 1, " ".join(copy)))
+    texts += [(5000, None), (5001, ""), (None, texts[0][1]), (5002, "a b c"), (5002, "x y z")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, texts)).collect()}
+    text = dict(texts)
+    alike = [simhash.similarity(text[10 * i], text[10 * i + 1], 5) >= 0.8 for i in range(60)]
+    close = [bin(brute_fingerprint(text[10 * i]) ^ brute_fingerprint(text[10 * i + 1])).count("1") <= 3 for i in range(60)]
+    joined = [got[10 * i + 1] == 10 * i for i in range(60)]
+    assert all(j <= (a or c) for j, a, c in zip(joined, alike, close)) and all(j for j, c in zip(joined, close) if c)
+    assert sum(j and a for j, a in zip(joined, alike)) >= 0.9 * sum(alike) > 20
+    assert got[None] == 0 and got[5000] == got[5001] == 5000
