@@ -191,12 +191,17 @@ def predict(model: Model, text: str | None, slack: float) -> tuple[str, float, f
 
 def train(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on up to ``sample_docs`` documents per non-null language among the ``usable`` rows, chosen by a hash of doc_id."""
+    labelled = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    counts = labelled.groupBy(F.col("lang").alias("__lang")).agg(F.count(F.lit(1)).alias("__rows"))
+    # both broadcasts hold less per language than the model does: a count, then up to sample_docs ids
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    few = labelled.select("lang", "doc_id").join(F.broadcast(counts), F.col("lang") == F.col("__lang")).filter(
+        u * F.col("__rows") < 2 * sample_docs)  # about twice as many as needed, whatever the size of the language
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id").withColumn(
-        "__n", F.row_number().over(order)).filter(F.col("__n") <= sample_docs)
-    chosen = chosen.select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"), "__n").distinct()
+    chosen = few.select("lang", "doc_id").distinct().withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= sample_docs).select(
+        F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"), "__n")
     sample = docs.select("doc_id", "lang", "text").join(
-        chosen, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text", "__n")
+        F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text", "__n")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f"c{i}" for i in range(ORDER)]
