@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 from ..functions import stats
 from ..session import checkpoint, spread
 from .ranking import fdr_adjust, quantiles, row_numbers
+from .skew import grid
 
 SET = "set_id"
-MAX_SETS = 100_000
 
 # --- tests on count parameters -------------------------------------------------------------------------------------
 
@@ -94,23 +94,14 @@ def resolve_targets(targets: DataFrame, key: str, background: DataFrame) -> Data
 
 
 def set_parameters(annotations: DataFrame, targets: DataFrame, key: str, background: DataFrame) -> DataFrame:
-    """(set_id, attribute, population, draws, successes, hits) for every set and attribute.
-
-    Set sizes are named by the user and brought to the driver (their number is checked); attributes are paired with
-    them by exploding that list, so attributes without a hit stay in the result.
-    """
-    sizes = [(row[SET], row["n"]) for row in
-             targets.groupBy(SET).agg(F.count(F.lit(1)).alias("n")).orderBy(SET).limit(MAX_SETS + 1).collect()]
-    if len(sizes) > MAX_SETS:
-        raise ValueError(f"more than {MAX_SETS} target sets; test them in several calls")
+    """(set_id, attribute, population, draws, successes, hits) for every set and attribute, those without a hit included."""
+    sizes = targets.groupBy(SET).agg(F.count(F.lit(1)).alias("draws"))
     population = background.count()
     rows = annotations.select("attribute", key).distinct().join(background, key, "left_semi")
     totals = rows.groupBy("attribute").agg(F.count(F.lit(1)).alias("successes"))
     hits = rows.join(targets, key).groupBy(SET, "attribute").agg(F.count(F.lit(1)).alias("hits"))
-    pairs = F.array(*[F.struct(F.lit(s).alias(SET), F.lit(n).cast("long").alias("draws")) for s, n in sizes]) \
-        if sizes else F.array().cast(f"array<struct<{SET}:string,draws:bigint>>")
-    grid = totals.select("attribute", "successes", F.inline(pairs))
-    return grid.join(hits, [SET, "attribute"], "left").select(
+    pairs = grid(totals, sizes)
+    return pairs.join(hits, [SET, "attribute"], "left").select(
         SET, "attribute", F.lit(population).cast("long").alias("population"), "draws", "successes",
         F.coalesce("hits", F.lit(0)).alias("hits"))
 
@@ -313,7 +304,7 @@ PROPAGATION = ("classic", "elim", "weight", "all.m", "no")
 
 
 def ontology_enrichment(annotations: DataFrame, targets: DataFrame, key: str, nodes: DataFrame, edges: DataFrame,
-                        background: DataFrame | None = None, propagate: str = "classic", test: str = "fisher",
+                        background: DataFrame | None = None, propagate: str = "elim", test: str = "fisher",
                         alpha: float = 0.05, correction: str = "by", return_nonsignificant: bool = True) -> DataFrame:
     """Enrichment in ontology terms. ``annotations`` is (term, key); ``nodes`` has term, level and namespace;
     ``edges`` is (child, parent) of the relations to follow."""

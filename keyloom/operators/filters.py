@@ -22,8 +22,6 @@ TEXT_OPERATORS = {
     "starts_with": ("starts with", "begins with", "sw"),
     "ends_with": ("ends with", "ew"),
 }
-# In-list predicates stay literals up to this many values; longer lists become a join.
-INLINE_LIMIT = 1000
 
 
 def _operator(name: str, table: dict[str, tuple[str, ...]]) -> str:
@@ -99,12 +97,9 @@ def filter_by_row_name(df: DataFrame, key: str, row_names: str | Sequence[str] |
                        opposite: bool = False) -> DataFrame:
     """Remove the named rows. A DataFrame of names (first column) is anti-joined."""
     names = [row_names] if isinstance(row_names, str) else row_names
-    if isinstance(names, DataFrame) or len(names) > INLINE_LIMIT:
-        table = names if isinstance(names, DataFrame) else df.sparkSession.createDataFrame(
-            [(n,) for n in names], T.StructType([T.StructField(key, df.schema[key].dataType)]))
-        kept = complement(df, table.toDF(key) if len(table.columns) == 1 else table.select(key), key)
-    else:
-        kept = df.filter(~F.col(key).isin(list(names)))
+    table = names if isinstance(names, DataFrame) else df.sparkSession.createDataFrame(
+        [(n,) for n in names], T.StructType([T.StructField(key, df.schema[key].dataType)]))
+    kept = complement(df, table.toDF(key) if len(table.columns) == 1 else table.select(key), key)
     return complement(df, kept, key) if opposite else kept
 
 
@@ -186,10 +181,10 @@ def split_fold_change_direction(df: DataFrame, key: str, column: str = "log2Fold
 
 def volcano(df: DataFrame, alpha: float = 0.1, log2fc_threshold: float = 1, log2fc: str = "log2FoldChange",
             padj: str = "padj") -> DataFrame:
-    """Add ``neg_log10_padj`` and the class ``up`` / ``down`` / ``neutral``."""
+    """Add ``neg_log10_padj`` (infinite for 0) and the class ``up`` / ``down`` / ``neutral``."""
     significant = F.col(padj) <= alpha
     return df.withColumns({
-        "neg_log10_padj": -F.log10(padj),
+        "neg_log10_padj": F.when(F.col(padj) == 0, float("inf")).otherwise(-F.log10(padj)),
         "direction": F.when(significant & (F.col(log2fc) >= log2fc_threshold), "up")
         .when(significant & (F.col(log2fc) <= -log2fc_threshold), "down").otherwise("neutral"),
     })

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .skew import salted_join
 
 PARENT_RELATIONS = ("is_a", "part_of")
-MAX_DEPTH = 200
 
 
 def parent_edges(edges: DataFrame, relations: Sequence[str] = PARENT_RELATIONS) -> DataFrame:
@@ -39,14 +39,17 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges = checkpoint(edges.select("child", "parent").distinct())
     frontier = checkpoint(nodes.select("term").distinct().join(
         edges.select(F.col("child").alias("term")).distinct(), "term", "left_anti"))
-    found = frontier.withColumn("level", F.lit(0))
-    for depth in range(1, MAX_DEPTH + 1):
+    found, depth, limit = frontier.withColumn("level", F.lit(0)), 0, nodes.select("term").distinct().count()
+    while depth < limit:  # the longest path has fewer steps than there are terms
+        depth += 1
         frontier = checkpoint(edges.join(frontier.withColumnRenamed("term", "parent"), "parent").select(
             F.col("child").alias("term")).distinct())
         if frontier.isEmpty():
             return found.groupBy("term").agg(F.max("level").alias("level"))
         found = found.unionByName(frontier.withColumn("level", F.lit(depth)))
-    raise ValueError("the ontology has a cycle or is deeper than MAX_DEPTH")
+    if limit == 0:
+        return found.groupBy("term").agg(F.max("level").alias("level"))
+    raise ValueError("the ontology has a cycle")
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
@@ -56,21 +59,22 @@ def ancestors(edges: DataFrame) -> DataFrame:
     """
     known = checkpoint(edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct())
     size = known.count()
-    for _ in range(MAX_DEPTH.bit_length()):
+    while True:
         step = known.select(F.col("term").alias("mid"), F.col("ancestor").alias("up"))
         longer = known.join(step, known["ancestor"] == step["mid"]).select("term", F.col("up").alias("ancestor"))
         known = checkpoint(known.unionByName(longer).distinct())
         grown = known.count()
         if grown == size:
+            if not known.filter(F.col("term") == F.col("ancestor")).isEmpty():
+                raise ValueError("the ontology has a cycle")
             return known
         size = grown
-    raise ValueError("the ontology has a cycle or is deeper than MAX_DEPTH")
 
 
 def propagate(annotations: DataFrame, closure: DataFrame, key: str = "key") -> DataFrame:
     """(term, key) pairs carried to every ancestor of the term, without repeats."""
     direct = annotations.select("term", key).distinct()
-    lifted = direct.join(closure, "term").select(F.col("ancestor").alias("term"), key)
+    lifted = salted_join(direct, closure, ["term"], [key]).select(F.col("ancestor").alias("term"), key)
     return direct.unionByName(lifted).distinct()
 
 

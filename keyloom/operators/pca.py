@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..session import checkpoint
 
-SQL_GRAM_LIMIT = 24
-
 
 def row_box_cox(values: np.ndarray, low: float = -5.0, high: float = 5.0, points: int = 33, rounds: int = 6) -> np.ndarray:
     """Box-Cox of x + 1 with lambda fitted per row; vectorised over the rows of one batch."""
@@ -67,15 +65,7 @@ def standardized_rows(df: DataFrame, key: str, samples: Sequence[str], power_tra
 
 
 def gram_matrix(rows: DataFrame, n: int) -> np.ndarray:
-    """Sum over features of z_i * z_j: a samples x samples matrix from one aggregate."""
-    if n <= SQL_GRAM_LIMIT:
-        pairs = [(i, j) for i in range(n) for j in range(i, n)]
-        row = rows.agg(*[F.sum(F.col("z")[i] * F.col("z")[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
-        gram = np.zeros((n, n))
-        for i, j in pairs:
-            gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
-        return gram
-
+    """Sum over features of z_i * z_j: a samples x samples matrix from one product per batch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((n, n))
         for pdf in batches:

@@ -137,9 +137,8 @@ def fdr_adjust(df: DataFrame, pvalue: str = "pval", groups: Sequence[str] = (),
 
 
 def harmonic(m: Column) -> Column:
-    """Sum of 1/i for i in 1..m: term by term up to 1000, asymptotic series beyond (error below 1e-15)."""
-    exact = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(1000)).cast("int")), F.lit(0.0),
-                        lambda acc, i: acc + F.lit(1.0) / i)
-    x = m.cast("double")
-    series = F.log(x) + F.lit(0.57721566490153286) + 1 / (2 * x) - 1 / (12 * x * x)
-    return F.when(m <= 1000, exact).otherwise(series)
+    """Sum of 1/i for i in 1..m, for any m: the asymptotic series of the sum up to m + 16, less its last 16 terms."""
+    x = m.cast("double") + 16
+    s = 1 / (x * x)
+    series = F.log(x) + F.lit(0.57721566490153286) + 1 / (2 * x) - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s / 132))))
+    return series - sum(1 / (m + i) for i in range(1, 17))

@@ -198,8 +198,10 @@ def five_prime_position(pos: str = "pos", cigar: str = "cigar", flag: str = "fla
 
 def find_duplicates(alignments: DataFrame, handling: str = "mark", scoring: str = "sum_of_base_qualities",
                     optical_distance: int = 100, seed: int = 0) -> DataFrame:
-    """Keep the best alignment per fragment position; the others are flagged, or removed (all, or optical ones only).
+    """Keep the best fragment per position; the others are flagged, or removed (all, or optical ones only).
 
+    A pair with both mates here is judged as one: its position is both unclipped 5' ends with their strands, its score the sum of its
+    mates', and both mates are flagged or kept together. Other reads, and mates whose partner is missing, are judged by their own end.
     The best one is a combining maximum per position, so a position with very many copies is not gathered; copies learn
     the result through a join in which heavy positions are answered from a broadcast of at most 1000 rows. A
     duplicate is optical when it sits on the kept read's tile within ``optical_distance`` pixels of it.
@@ -211,19 +213,29 @@ def find_duplicates(alignments: DataFrame, handling: str = "mark", scoring: str
              "random": F.pmod(F.xxhash64(F.lit(seed), "qname", "flag"), F.lit(1 << 30))}[scoring].cast("long")
     # primary mapped alignments compete; reads of a pair carry their mate's place in the key
     counts = ~sam.has_bit("flag", sam.UNMAPPED | sam.SECONDARY | sam.SUPPLEMENTARY)
-    place = F.struct("sample", "rname", five_prime_position().alias("at"), sam.has_bit("flag", sam.REVERSE).alias("rev"),
-                     F.when(sam.has_bit("flag", sam.PAIRED), F.struct("rnext", "pnext", sam.has_bit("flag", sam.FIRST).alias("first")))
-                     .alias("mate"))
+    end = F.struct("rname", five_prime_position().alias("at"), sam.has_bit("flag", sam.REVERSE).alias("rev"))
+    paired = counts & sam.has_bit("flag", sam.PAIRED) & ~sam.has_bit("flag", sam.MATE_UNMAPPED)
     names = F.split("qname", ":")
-    tagged = alignments.withColumn("__place", F.when(counts, F.xxhash64(place))).withColumn("__score", score)
-    group = ["sample", "rname", "__place"]
+    scored = alignments.withColumns({"__score": score, "__pair": paired, "__end": F.when(counts, end)})
+    pairs = scored.filter("__pair").groupBy(F.col("sample").alias("__s"), F.col("qname").alias("__q")).agg(
+        F.min("__end").alias("__low"), F.max("__end").alias("__high"), F.sum("__score").alias("__both"), F.count(F.lit(1)).alias("__ends"))
+    mates = (F.col("sample") == F.col("__s")) & (F.col("qname") == F.col("__q")) & F.col("__pair")
+    joined = scored.join(pairs.filter("__ends >= 2"), mates, "left")
+    whole = F.col("__q").isNotNull()
+    # both mates of a pair carry the same place and the same candidate
+    mine = F.struct(F.when(whole, F.col("__both")).otherwise(F.col("__score")).alias("score"), "qname",
+                    F.when(whole, 0).otherwise(F.col("flag")).alias("flag"), F.when(whole, 0).otherwise(F.col("pos")).alias("pos"),
+                    F.when(whole, "").otherwise(F.col("cigar")).alias("cigar"))
+    place = F.when(whole, F.xxhash64("sample", "__low", "__high")).otherwise(F.xxhash64("sample", "__end"))
+    tagged = joined.withColumns({"__place": F.when(counts, place), "__mine": mine}).drop(
+        "__s", "__q", "__low", "__high", "__both", "__ends", "__pair", "__score", "__end")
+    group = ["sample", "__place"]
     ranked = checkpoint(tagged.filter(counts).groupBy(*group).agg(
-        F.max(F.struct("__score", "qname", "flag", "pos", "cigar")).alias("__best"), F.count(F.lit(1)).alias("__n")))
+        F.max("__mine").alias("__best"), F.count(F.lit(1)).alias("__n")))
     total = ranked.agg(F.sum("__n")).first()[0] or 0
     heavy = ranked.filter(F.col("__n") >= max(100_000, total // 1000))
     joined = lookup(tagged, ranked, group, heavy)
-    mine = F.struct("__score", "qname", "flag", "pos", "cigar")
-    duplicate = F.coalesce((F.col("__n") > 1) & (mine != F.col("__best")), F.lit(False))
+    duplicate = F.coalesce((F.col("__n") > 1) & (F.col("__mine") != F.col("__best")), F.lit(False))
     kept = F.split("__best.qname", ":")
 
     def coordinate(parts: Column, i: int) -> Column:
@@ -239,7 +251,7 @@ def find_duplicates(alignments: DataFrame, handling: str = "mark", scoring: str
         marked = marked.filter(~F.col("duplicate"))
     elif handling == "remove_optical":
         marked = marked.filter(~F.col("optical"))
-    return marked.drop("__place", "__score", "__best", "__n")
+    return marked.drop("__place", "__mine", "__best", "__n")
 
 
 def sort_alignments(alignments: DataFrame, order: str = "coordinate") -> DataFrame:

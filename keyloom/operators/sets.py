@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +24,8 @@ def _tagged(sets: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def membership(sets: Sequence[DataFrame], key: str) -> DataFrame:
-    """One row per key with a bit mask: bit i is set when the key occurs in set i. One shuffle for all sets."""
-    bits = _mask_expr(len(sets))
-    return _tagged(sets, key).groupBy(key).agg(bits.alias("mask"), F.count(F.lit(1)).alias("n_sets"))
-
-
-def _mask_expr(n: int):
-    return F.sum(F.element_at(F.array(*[F.lit(1 << i) for i in range(n)]), F.col("member") + 1)).cast("long")
+    """One row per key: the sorted numbers of the sets that hold it, and how many. One shuffle for any number of sets."""
+    return _tagged(sets, key).groupBy(key).agg(F.array_sort(F.collect_list("member")).alias("members"), F.count(F.lit(1)).alias("n_sets"))
 
 
 def union(sets: Sequence[DataFrame], key: str) -> DataFrame:
@@ -50,7 +44,7 @@ def intersect_rows(df: DataFrame, others: Sequence[DataFrame], key: str) -> Data
 
 
 def difference(first: DataFrame, others: Sequence[DataFrame], key: str) -> DataFrame:
-    return membership([first, *others], key).filter(F.col("mask") == 1).select(key)
+    return membership([first, *others], key).filter(F.col("members") == F.array(F.lit(0))).select(key)
 
 
 def difference_rows(df: DataFrame, others: Sequence[DataFrame], key: str) -> DataFrame:
@@ -81,13 +75,14 @@ def intersection_nonempty(sets: Sequence[DataFrame], key: str) -> DataFrame:
 
 def exclusive_intersections(sets: Mapping[str, DataFrame], key: str) -> DataFrame:
     """Size of every membership pattern: ``(mask, sets, size)`` for all 2^n - 1 patterns, zero sizes included."""
-    names = list(sets)
-    sizes = membership(list(sets.values()), key).groupBy("mask").agg(F.count(F.lit(1)).alias("size"))
-    patterns = [(sum(1 << i for i in combo), ";".join(names[i] for i in combo))
-                for r in range(1, len(names) + 1) for combo in combinations(range(len(names)), r)]
-    spark = next(iter(sets.values())).sparkSession
-    labels = spark.createDataFrame(patterns, "mask long, sets string")
-    return labels.join(sizes, "mask", "left").select("mask", "sets", F.coalesce("size", F.lit(0)).alias("size"))
+    names, spark = list(sets), next(iter(sets.values())).sparkSession
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    mask = F.aggregate("members", F.lit(0).cast("long"), lambda m, i: m + bit(i))
+    sizes = membership(list(sets.values()), key).groupBy("members").agg(F.count(F.lit(1)).alias("size")).select(mask.alias("mask"), "size")
+    label = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.col("mask").bitwiseAND(bit(i)) != 0),
+                                     lambda i: F.get(F.array(*[F.lit(n) for n in names]), i)), ";")
+    patterns = spark.range(1, 1 << len(names)).select(F.col("id").alias("mask")).withColumn("sets", label)
+    return patterns.join(sizes, "mask", "left").select("mask", "sets", F.coalesce("size", F.lit(0)).alias("size"))
 
 
 def venn(sets: Mapping[str, DataFrame], key: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _MODULES = ("table_queries", "summary_queries", "mapping_queries", "enrichment_queries", "cluster_queries", "read_queries",
-            "model_queries")
+            "model_queries", "source_queries")
 
 
 def load_all():

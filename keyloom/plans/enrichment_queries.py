@@ -94,13 +94,13 @@ def _(spark, d):
 
 
 @query("pathway_enrichment", f"""{_BASE}, path AS (SELECT DISTINCT l_partkey AS gene, n_name AS attribute FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
-  JOIN nation ON n_nationkey = s_nationkey WHERE l_discount > 0.08), ann AS (SELECT attribute, gene FROM path), {_PARAMS}, {_FISHER}, {_fdr(extra=_BY)} {_OUT}, r_name AS pathway_name
+  JOIN nation ON n_nationkey = s_nationkey), ann AS (SELECT attribute, gene FROM path), {_PARAMS}, {_FISHER}, {_fdr(extra=_BY)} {_OUT}, r_name AS pathway_name
   FROM adj JOIN nation ON n_name = attribute JOIN region ON r_regionkey = n_regionkey""")
 def _(spark, d):
     li, s, n, reg = (r.table(spark, d, t) for t in ("lineitem", "supplier", "nation", "region"))
     names = n.join(reg, n["n_regionkey"] == reg["r_regionkey"]).select(F.col("n_name").alias("pathway"), F.col("r_name").alias("name"))
     by_nation = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select("s_suppkey", F.col("n_name").alias("pathway"))
-    members = li.filter("l_discount > 0.08").join(by_nation, li["l_suppkey"] == by_nation["s_suppkey"]).select(
+    members = li.join(by_nation, li["l_suppkey"] == by_nation["s_suppkey"]).select(
         "pathway", F.col("l_partkey").alias("gene")).distinct()
     return _round(en.pathway_enrichment(members, names, r.target_sets(spark, d), "gene"))
 
@@ -299,10 +299,10 @@ def _(spark, d):
 
 
 @query("filter_by_pathway", f"""WITH {r.COUNTS} SELECT gene, a_f FROM counts WHERE gene IN (SELECT l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
-  WHERE s_nationkey = 3 AND l_discount > 0.08)""")
+  WHERE s_nationkey = 3)""")
 def _(spark, d):
     li, s = r.table(spark, d, "lineitem"), r.table(spark, d, "supplier")
-    members = li.filter("l_discount > 0.08").join(s, li["l_suppkey"] == s["s_suppkey"]).select(
+    members = li.join(s, li["l_suppkey"] == s["s_suppkey"]).select(
         F.col("s_nationkey").cast("string").alias("pathway"), F.col("l_partkey").alias("gene"))
     return attr.filter_by_pathway(r.counts(spark, d).select("gene", "a_f"), "gene", members, "3")
 
@@ -320,7 +320,7 @@ _TERM_OUT = f"{_OUT}, level FROM adj JOIN (SELECT term, max(level)::INTEGER AS l
 
 @query("ontology_enrichment_classic", f"{_ONTO}, {_LVL}, ann AS (SELECT term AS attribute, gene FROM prop), {_PARAMS}, {_FISHER}, {_fdr(extra=_BY)} {_TERM_OUT}")
 def _(spark, d):
-    return _term_tests(spark, d)
+    return _term_tests(spark, d, propagate="classic")
 
 
 @query("ontology_enrichment_unpropagated", f"{_ONTO}, {_LVL}, ann AS (SELECT term AS attribute, gene FROM dir), {_PARAMS}, {_HYPER}, {_fdr(extra=_BY)} {_TERM_OUT}")
@@ -384,7 +384,7 @@ def _(spark, d):
 
 
 @query("pathway_node_degrees", """WITH e AS (SELECT DISTINCT s_nationkey::BIGINT AS source, c_nationkey::BIGINT AS target FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-  JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount > 0.09), n AS (SELECT source AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT target, 1, 0 FROM e)
+  JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey), n AS (SELECT source AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT target, 1, 0 FROM e)
   SELECT node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*)::BIGINT AS degree FROM n GROUP BY 1""")
 def _(spark, d):
     return onto.node_degrees(_trade(spark, d))
@@ -392,16 +392,16 @@ def _(spark, d):
 
 def _trade(spark, d):
     li, o, c, s = (r.table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    return (li.filter("l_discount > 0.09").join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"])
+    return (li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"])
             .join(s, li["l_suppkey"] == s["s_suppkey"]).select(
                 F.col("s_nationkey").cast("long").alias("source"), F.col("c_nationkey").cast("long").alias("target")).distinct())
 
 
 @query("pathway_marked_nodes", f"""WITH {r.COUNTS}, {r.TARGET} SELECT n_nationkey::BIGINT AS entry, n_name AS name, n_nationkey IN (SELECT s_nationkey FROM lineitem
-  JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount > 0.097 AND l_partkey IN (SELECT gene FROM target)) AS marked FROM nation""")
+  JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey IN (SELECT gene FROM target)) AS marked FROM nation""")
 def _(spark, d):
     li, s = r.table(spark, d, "lineitem"), r.table(spark, d, "supplier")
     nodes = r.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("entry"), F.col("n_name").alias("name"))
-    members = li.filter("l_discount > 0.097").join(s, li["l_suppkey"] == s["s_suppkey"]).select(
+    members = li.join(s, li["l_suppkey"] == s["s_suppkey"]).select(
         F.col("s_nationkey").cast("long").alias("entry"), F.col("l_partkey").alias("gene"))
     return onto.marked_pathway(nodes, members, r.target_set(spark, d), "gene")

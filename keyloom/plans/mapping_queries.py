@@ -178,16 +178,16 @@ def _(spark, d):
     return mapping.orthologs_from_groups(_ortholog_groups(spark, d))[1]
 
 
-@query("paralog_pairs", f"""{_C}, {_CAND} SELECT from_id AS gene, to_id AS paralog FROM cand WHERE from_id IN (SELECT gene FROM counts WHERE a_f > 120)""")
+@query("paralog_pairs", f"""{_C}, {_CAND} SELECT from_id AS gene, to_id AS paralog FROM cand WHERE from_id IN (SELECT gene FROM counts)""")
 def _(spark, d):
-    return mapping.paralogs(r.counts(spark, d).filter("a_f > 120"), "gene", _candidates(spark, d))
+    return mapping.paralogs(r.counts(spark, d), "gene", _candidates(spark, d))
 
 
 @query("paralog_pairs_closest", f"""{_C}, {_CAND} SELECT from_id AS gene, to_id AS paralog FROM (SELECT *, row_number() OVER
-  (PARTITION BY from_id ORDER BY score DESC, to_id) AS rn FROM cand) WHERE rn = 1 AND from_id IN (SELECT gene FROM counts WHERE a_f > 120)""")
+  (PARTITION BY from_id ORDER BY score DESC, to_id) AS rn FROM cand) WHERE rn = 1 AND from_id IN (SELECT gene FROM counts)""")
 def _(spark, d):
     pairs = _candidates(spark, d).withColumnRenamed("score", "perc_id").drop("order")
-    return mapping.paralogs(r.counts(spark, d).filter("a_f > 120"), "gene", pairs, True)
+    return mapping.paralogs(r.counts(spark, d), "gene", pairs, True)
 
 
 @query("back_translate", f"""WITH {_CAND}, {_BEST} SELECT best.from_id, s_acctbal AS balance FROM best JOIN supplier ON s_suppkey = to_id""")

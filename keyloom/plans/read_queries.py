@@ -158,6 +158,21 @@ def _stored(spark, d):
         F.repeat(F.lit("I"), n).alias("qual"), F.create_map(F.lit("NH"), F.when(F.col("l_linenumber") > 5, "2").otherwise("1")).alias("tags")))
 
 
+def _paired(spark, d):
+    """Two mates for each line item: the forward one as above, the reverse one 10 to 70 bases on."""
+    one = _stored(spark, d).filter(F.col("flag").bitwiseAND(F.lit(256)) == 0)
+    first = one.withColumn("flag", F.lit(sam.PAIRED | sam.FIRST)).withColumn("seq", F.substring("seq", 1, 20)).withColumn("qual", F.substring("qual", 1, 20))
+    second = one.withColumn("flag", F.lit(sam.PAIRED | sam.SECOND | sam.REVERSE)).withColumn("pos", F.col("pos") + 10 * F.split("qname", ":")[1].cast("long"))
+    return checkpoint(first.withColumn("cigar", F.lit("20M")).unionByName(second))
+
+
+@query("mark_duplicates_paired", f"""WITH {_ALN}, f AS (SELECT *, row_number() OVER (PARTITION BY sample, rname, pos, pos + 10*split_part(qname, ':', 2)::BIGINT + len - 1
+  ORDER BY least(len, 20)*40 + len*40 DESC, qname DESC) AS rn FROM aln WHERE flag & 256 = 0), m AS (SELECT sample, rn FROM f UNION ALL SELECT sample, rn FROM f)
+  SELECT sample, rn > 1 AS duplicate, count(*)::BIGINT AS n FROM m GROUP BY 1, 2""")
+def _(spark, d):
+    return reads.find_duplicates(_paired(spark, d)).groupBy("sample", "duplicate").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("remove_duplicates", _DUP + "SELECT sample, rname, count(*)::BIGINT AS n, sum(len)::BIGINT AS bases FROM k WHERE rn IS NULL OR rn = 1 GROUP BY 1, 2")
 def _(spark, d):
     return reads.find_duplicates(_stored(spark, d), "remove_all").groupBy("sample", "rname").agg(

@@ -80,10 +80,9 @@ def _(spark, d):
 
 @query("average_replicates_geometric_mean", f"""{_C} SELECT gene, round(CASE WHEN least(a_f,a_o) <= 0 THEN 0 ELSE exp((ln(a_f)+ln(a_o))/2) END,6) AS a,
   round(CASE WHEN least(n_f,n_o,r_f) <= 0 THEN 0 ELSE exp((ln(n_f)+ln(n_o)+ln(r_f))/3) END,6) AS b
-  FROM (SELECT gene, {_each('{c}')} FROM counts WHERE least({_each('{c}')}) > 0)""")
+  FROM counts""")
 def _(spark, d):
-    positive = r.counts(spark, d).filter(F.least(*S) > 0)
-    return rounded(agg.average_replicates(positive, "gene", _GROUPS[:2], ["a", "b"], "geometric_mean"))
+    return rounded(agg.average_replicates(r.counts(spark, d), "gene", _GROUPS[:2], ["a", "b"], "geometric_mean"))
 
 
 @query("fold_change", f"WITH {r.FC} SELECT gene, round(fc,6) AS fc FROM fcs")

@@ -157,12 +157,13 @@ def _(spark, d):
     return rounded(filters.filter_fold_change_direction(r.fold_changes(spark, d), "gene", "neg", "fc", True))
 
 
-@query("volcano", f"""{_D} SELECT gene, round(-log10(padj),6)+0.0 AS neg_log10_padj,
+@query("volcano", f"""{_D} SELECT gene, CASE WHEN padj <= 1e-300 THEN 300.0::DOUBLE ELSE round(-log10(padj),6)+0.0 END AS neg_log10_padj,
   CASE WHEN padj <= 0.1 AND "log2FoldChange" >= 0.2 THEN 'up' WHEN padj <= 0.1 AND "log2FoldChange" <= -0.2 THEN 'down'
-  ELSE 'neutral' END AS direction FROM de WHERE padj > 1e-300 OR padj IS NULL""")
+  ELSE 'neutral' END AS direction FROM de""")
 def _(spark, d):
-    de = r.de_table(spark, d).filter("padj > 1e-300 or padj is null")
-    return rounded(filters.volcano(de, 0.1, 0.2).select("gene", "neg_log10_padj", "direction"))
+    drawn = filters.volcano(r.de_table(spark, d), 0.1, 0.2)  # 300 stands for all that is higher, where exp() has few digits left
+    return rounded(drawn.select("gene", F.when(F.col("neg_log10_padj") < 300, F.col("neg_log10_padj")).when(
+        F.col("neg_log10_padj").isNotNull(), 300.0).alias("neg_log10_padj"), "direction"))
 
 
 @query("filter_low_reads", f"{_C} SELECT * FROM counts WHERE " + " + ".join(

@@ -55,8 +55,14 @@ def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
 # --- gene annotations -----------------------------------------------------------------------------------------------
 
 def read_annotation_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Saved search responses (``response.docs[]``) to (term, key, source[, other document fields])."""
-    docs = spark.read.option("multiLine", True).json(path).select(F.explode("response.docs").alias("d")).select("d.*")
+    """Saved search responses (``response.docs[]``), one per file, to (term, key, source, aspect, evidence_type, qualifier)."""
+    return parse_annotation_responses(spark.read.option("wholetext", True).text(path))
+
+
+def parse_annotation_responses(texts: DataFrame, value: str = "value") -> DataFrame:
+    """One response per row, so that a response split into many is read by many tasks."""
+    fields = "annotation_class:string,bioentity_internal_id:string,source:string,aspect:string,evidence_type:string,qualifier:string"
+    docs = texts.select(F.from_json(value, f"response struct<docs:array<struct<{fields}>>>").alias("r")).select(F.inline("r.response.docs"))
     return docs.withColumnsRenamed({"annotation_class": "term", "bioentity_internal_id": "key"})
 
 
@@ -180,7 +186,10 @@ def read_protein_orthologs(spark: SparkSession, path: str, target_taxon: int) ->
 
 
 def read_ortholog_groups(spark: SparkSession, path: str) -> DataFrame:
-    """JSON records (``data[]`` or one per line) to (type, orthologs[], inparalogs[])."""
-    schema = "type string, orthologs array<string>, inparalogs array<string>"
-    raw = spark.read.option("multiLine", True).schema(f"data array<struct<{schema.replace(' string', ':string').replace(' array', ':array')}>>").json(path)
-    return raw.select(F.inline("data"))
+    """JSON to (type, orthologs[], inparalogs[]). A file is one response with the records in ``data[]``, or has a record in each line."""
+    record = "type:string,orthologs:array<string>,inparalogs:array<string>"
+    lines = spark.read.schema(f"data array<struct<{record}>>, type string, orthologs array<string>, inparalogs array<string>, _corrupt_record string").json(path)
+    single = lines.filter(F.col("data").isNull() & (F.col("type").isNotNull() | F.col("orthologs").isNotNull())).select(
+        "type", "orthologs", "inparalogs")
+    whole = spark.read.option("multiLine", True).schema(f"data array<struct<{record}>>").json(path).select(F.inline("data"))
+    return single.unionByName(whole)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,25 +119,25 @@ def write_id_list(df: DataFrame, key: str, path: str) -> None:
     df.select(F.col(key).cast("string")).filter(F.col(key).isNotNull()).distinct().write.mode("overwrite").text(path)
 
 
-def _sample_from_path(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", "")
+def _sample_pattern(suffix: str) -> str:
+    """The name before ``suffix``, of a file or of a folder of part files."""
+    return rf"([^/]+?){re.escape(suffix)}(?:/[^/]*)?$"
 
 
-def _file_names(spark: SparkSession, df: DataFrame) -> list[str]:
-    """Sample names, one per input file, taken from the file listing rather than from the data."""
-    names = [PurePosixPath(p).name for p in df.inputFiles()]
-    return sorted({PurePosixPath(n).stem for n in names})
+def _sample_names(df: DataFrame, pattern: str) -> list[str]:
+    """Sample names taken from the file listing rather than from the data."""
+    return sorted({re.search(pattern, unquote(p))[1] for p in df.inputFiles()})
 
 
 def read_count_folder(spark: SparkSession, folder: str, input_format: str = ".txt", header: bool = True,
                       sep: str | None = None) -> DataFrame:
-    """One count file per sample (key first, count last) joined by key into a matrix; samples sorted by name."""
-    sep = sep or SEPARATORS.get(input_format) or "\t"
-    raw = spark.read.option("header", header).option("sep", sep).option("pathGlobFilter", f"*{input_format}").csv(folder)
-    samples = _file_names(spark, raw)
+    """One count file per sample (key first, count last), or one folder of part files, joined by key into a matrix; samples sorted by name."""
+    sep, pattern = sep or SEPARATORS.get(input_format) or "\t", _sample_pattern(input_format)
+    raw = spark.read.option("header", header).option("sep", sep).csv(f"{folder}/*{input_format}")
+    samples = _sample_names(raw, pattern)
     long = raw.select(F.trim(F.col(f"`{raw.columns[0]}`")).alias("key"),
                       F.col(f"`{raw.columns[-1]}`").cast("double").alias("n"),
-                      _sample_from_path(F.col("_metadata.file_path")).alias("sample"))
+                      F.regexp_extract(F.url_decode("_metadata.file_path"), pattern, 1).alias("sample"))
     return long.groupBy("key").pivot("sample", samples).agg(F.first("n", ignorenulls=True))
 
 
@@ -148,12 +150,12 @@ def read_htseq_folder(spark: SparkSession, folder: str, input_format: str = ".tx
 
 def read_abundance_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Per-sample ``<sample>/abundance.tsv`` files merged by transcript: (estimated counts, TPM)."""
-    raw = (spark.read.option("header", True).option("sep", "\t").option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "abundance.tsv")
-           .schema("target_id string, length long, eff_length double, est_counts double, tpm double").csv(folder))
-    samples = sorted({PurePosixPath(p).parent.name for p in raw.inputFiles()})
+    pattern = _sample_pattern("/abundance.tsv")
+    raw = (spark.read.option("header", True).option("sep", "\t")
+           .schema("target_id string, length long, eff_length double, est_counts double, tpm double").csv(f"{folder}/*/abundance.tsv"))
+    samples = _sample_names(raw, pattern)
     long = raw.select("target_id", "est_counts", "tpm",
-                      F.regexp_extract("_metadata.file_path", r"([^/]+)/abundance\.tsv$", 1).alias("sample"))
+                      F.regexp_extract(F.url_decode("_metadata.file_path"), pattern, 1).alias("sample"))
     return tuple(long.groupBy("target_id").pivot("sample", samples).agg(F.first(c)) for c in ("est_counts", "tpm"))
 
 
