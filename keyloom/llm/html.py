@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: A repeated passage has at least so many tokens (a power of two), or is a whole block.
 RUN_TOKENS = 8
 #: Pages of one suffix array. A larger host is dealt to several at random, each a fair sample of the host.
-SHARD_PAGES = 2048
+SHARD_PAGES = 512
 #: Hosts with at least one in so many pages are dealt over tasks.
 HOT_SHARE = 1000
 
