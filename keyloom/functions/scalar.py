@@ -118,7 +118,7 @@ def box_cox_lambdas(df: DataFrame, columns: Sequence[str], low: float = -5.0, hi
     """Maximum-likelihood lambda of ``x + 1`` per column.
 
     Repeated values are collapsed and stored once. Every round is then one aggregate that evaluates the likelihood
-    of all columns on a grid and narrows the bracket around the best point.
+    of all columns on a grid and narrows the bracket around the best point; at the edge of a bracket it moves on instead.
     """
     long = df.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("col"), (F.col(c).cast("double") + 1).alias("x")) for i, c in enumerate(columns)
@@ -131,13 +131,16 @@ def box_cox_lambdas(df: DataFrame, columns: Sequence[str], low: float = -5.0, hi
         raise ValueError("Box-Cox needs values greater than -1")
     brackets = {i: (low, high) for i in base}
     best: dict[int, float] = {}
+    open_: set[int] = set()
 
     def per_column(values: dict[int, float]) -> Column:
         return F.element_at(F.create_map(*[F.lit(v) for i in values for v in (i, float(values[i]))]), F.col("col"))
 
     centre = per_column({i: row["mean_log"] for i, row in base.items()})
     logs = F.ln("x") - centre
-    for _ in range(rounds):
+    left = rounds
+    while left or open_:
+        left = left if open_ else left - 1
         step = {i: (b - a) / (points - 1) for i, (a, b) in brackets.items()}
         lam = per_column({i: a for i, (a, _) in brackets.items()}) + F.col("j") * per_column(step)
         grid = distinct.select("col", "x", "w", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j"))
@@ -154,7 +157,13 @@ def box_cox_lambdas(df: DataFrame, columns: Sequence[str], low: float = -5.0, hi
         for i, (a, b) in list(brackets.items()):
             top = max(score[i], key=score[i].__getitem__)
             best[i] = a + top * step[i]
-            brackets[i] = (a + max(top - 1, 0) * step[i], a + min(top + 1, points - 1) * step[i])
+            inner = score[i].get(1 if top == 0 else points - 2, -math.inf)
+            if top in (0, points - 1) and score[i][top] > inner > -math.inf:  # the maximum lies outside: look there, as widely as before
+                brackets[i] = (best[i] - (b - a), a + step[i]) if top == 0 else (b - step[i], best[i] + (b - a))
+                open_.add(i)
+            else:
+                brackets[i] = (a + max(top - 1, 0) * step[i], a + min(top + 1, points - 1) * step[i])
+                open_.discard(i)
     return {c: best[i] for i, c in enumerate(columns)}
 
 

@@ -23,7 +23,7 @@ from ..functions import arrays, distance, scalar
 from ..session import checkpoint
 from .filters import numeric_columns
 from .graphs import connected_components
-from .neighbours import neighbour_counts, neighbour_links
+from .neighbours import distance_sums, neighbour_counts, neighbour_links
 from .ranking import row_numbers
 
 UNCLUSTERED = -1
@@ -81,7 +81,8 @@ def hierarchical(feats: DataFrame, key: str, n_clusters: int | None = None, dist
         return density_clusters(feats, key, distance_threshold, min_samples=1, min_cluster_size=1, metric=metric)
     if metric not in ("euclidean", "l2"):
         raise ValueError("bisection into n_clusters is Euclidean")
-    data = feats.withColumn("v", array_to_vector("features"))
+    # the first split moves the mean by a share of its length, so standardised data must not have it at zero
+    data = feats.withColumn("v", array_to_vector(F.transform("features", lambda x: x + 10.0)))
     model = BisectingKMeans(k=n_clusters, maxIter=max_iter, seed=seed, featuresCol="v", predictionCol="cluster").fit(data)
     return sort_clusters(model.transform(data).select(key, "cluster"), key)
 
@@ -104,74 +105,42 @@ def _assign(feats: DataFrame, key: str, points: np.ndarray, metric: str) -> Data
     return feats.mapInPandas(run, f"{key} {kind}, features array<double>, cluster int, dist double")
 
 
-def _nearest(assigned: DataFrame, key: str, centres: Mapping[int, np.ndarray], metric: str, top: int) -> DataFrame:
-    """For each cluster the ``top`` members nearest to its centre: a short list per partition, then one per cluster."""
-    kind = assigned.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[int, pd.DataFrame] = {}
-        for pdf in batches:
-            for c, part in pdf.groupby("cluster"):
-                if c in centres:
-                    d = distance.distances(_matrix(part["features"]), centres[c][None, :], metric)[:, 0]
-                    near = part[[key, "cluster", "features"]].assign(d=d)
-                    near = pd.concat([kept[c], near]) if c in kept else near
-                    kept[c] = near.sort_values(["d", key]).head(top)
-        yield from kept.values()
-
-    short = assigned.select(key, "cluster", "features").mapInPandas(
-        run, f"{key} {kind}, cluster int, features array<double>, d double")
-    # at most ``top`` rows per cluster and partition
-    w = Window.partitionBy("cluster").orderBy("d", key)
-    return short.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= top)
-
-
-def _costs(assigned: DataFrame, candidates: Mapping[int, np.ndarray], metric: str) -> dict[tuple[int, int], float]:
-    """Total distance of every candidate medoid to all members of its cluster."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for c, part in pdf.groupby("cluster"):
-                total = distance.distances(_matrix(part["features"]), candidates[c], metric).sum(0)
-                sums[c] = sums.get(c, 0) + total
-        for c, total in sums.items():
-            yield pd.DataFrame({"cluster": c, "candidate": np.arange(len(total)), "cost": total})
+def medoids_of(assigned: DataFrame, key: str, metric: str) -> DataFrame:
+    """(cluster, gene key, features, cost): of each cluster the member with the lowest total distance to all members; the smaller key on
+    ties. Members meet chunk by chunk, and only their sums leave a task."""
+    points = assigned.select(F.col(key).alias("node"), F.col("features").alias("p"), F.col("cluster").cast("string").alias("box"))
+    costs = distance_sums(points, metric)
+    members = assigned.select(key, "cluster", "features").join(costs.withColumnRenamed("node", key), key)
+    return members.groupBy("cluster").agg(F.min(F.struct("cost", key, "features")).alias("m")).select("cluster", f"m.{key}", "m.features", "m.cost")
 
-    parts = assigned.select("cluster", "features").mapInPandas(run, "cluster int, candidate int, cost double")
-    return {(r["cluster"], r["candidate"]): r["cost"] for r in
-            parts.groupBy("cluster", "candidate").agg(F.sum("cost").alias("cost")).collect()}
 
-
-def kmedoids(feats: DataFrame, key: str, n_clusters: int, n_init: int = 3, max_iter: int = 20, metric: str = "euclidean",
-             candidates: int = 16, seed: int = 0) -> DataFrame:
-    """Alternate between assigning all rows to their nearest medoid and re-choosing medoids.
-
-    Possible new medoids are the members closest to the cluster mean; their cost is taken over all members. Of
-    ``n_init`` starts (seeded k-means centres moved to the nearest row) the one with the lowest total distance wins.
-    """
+def fit_kmedoids(feats: DataFrame, key: str, n_clusters: int, n_init: int = 3, max_iter: int = 300, metric: str = "euclidean",
+                 seed: int = 0) -> np.ndarray:
+    """Medoids of the start with the lowest total distance. A start takes the rows nearest to seeded k-means centres, then alternates between
+    assigning all rows to their nearest medoid and re-choosing each medoid among all members, until the total stops falling."""
     best: tuple[float, np.ndarray] | None = None
     for i in range(n_init):
         model, _ = _fit_kmeans(feats, n_clusters, 1, 5, seed + i)
-        medoids = np.array(model.clusterCenters())
-        cost = math.inf
+        near = checkpoint(_assign(feats, key, np.array(model.clusterCenters()), metric))
+        first = near.groupBy("cluster").agg(F.min(F.struct("dist", key, "features")).alias("m")).orderBy("cluster").collect()
+        medoids, cost = np.array([r["m"]["features"] for r in first]), math.inf
         for _ in range(max_iter):
             assigned = checkpoint(_assign(feats, key, medoids, metric))
-            means = {r["cluster"]: np.array(r["m"]) for r in assigned.groupBy("cluster").agg(
-                Summarizer.mean(array_to_vector("features")).alias("m")).collect()}
-            short = _nearest(assigned, key, means, metric, candidates).collect()
-            options: dict[int, list] = {}
-            for r in sorted(short, key=lambda r: (r["cluster"], r["rn"])):
-                options.setdefault(r["cluster"], []).append(r["features"])
-            table = {c: np.array(v) for c, v in options.items()}
-            costs = _costs(assigned, table, metric)
-            chosen = {c: min(range(len(v)), key=lambda j: costs[c, j]) for c, v in table.items()}
-            total = sum(costs[c, j] for c, j in chosen.items())
+            total = assigned.agg(F.sum("dist")).first()[0]
             if total >= cost * (1 - 1e-12):
                 break
-            cost, medoids = total, np.array([table[c][j] for c, j in sorted(chosen.items())])
+            cost, kept = total, medoids
+            medoids = np.array([r["features"] for r in medoids_of(assigned, key, metric).orderBy("cluster").collect()])
         if best is None or cost < best[0]:
-            best = (cost, medoids)
-    return sort_clusters(_assign(feats, key, best[1], metric).select(key, "cluster"), key)
+            best = (cost, kept)
+    return best[1]
+
+
+def kmedoids(feats: DataFrame, key: str, n_clusters: int, n_init: int = 3, max_iter: int = 300, metric: str = "euclidean",
+             seed: int = 0) -> DataFrame:
+    """Labels by nearest medoid. Re-choosing medoids measures all members of a cluster against each other, in chunks."""
+    medoids = fit_kmedoids(feats, key, n_clusters, n_init, max_iter, metric, seed)
+    return sort_clusters(_assign(feats, key, medoids, metric).select(key, "cluster"), key)
 
 
 # --- density clusters -------------------------------------------------------------------------------------------------------

@@ -78,13 +78,13 @@ def resolve(candidates: DataFrame, mode: str = "first", preference: Column | Non
     """One-to-one mapping from ranked candidates (from_id, to_id, order).
 
     Only the best ``preference`` of a source competes; ties go by ``mode``: first or last by ``order``, random by a
-    seeded hash, or ``none`` to leave the source unmapped. Two map-side combining aggregates, no window.
+    seeded md5, or ``none`` to leave the source unmapped. Two map-side combining aggregates, no window.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     rank = F.lit(0.0) if preference is None else preference.cast("double")
     pair = F.struct(order, "to_id")
-    shuffled = F.struct(F.xxhash64(F.lit(seed), "from_id", "to_id").alias("h"), F.col("to_id"))
+    shuffled = F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), "from_id", "to_id").cast("binary")).alias("h"), F.col("to_id"))
     chosen = {"first": F.min(pair), "last": F.max(pair), "random": F.min(shuffled), "none": F.min(pair)}[mode]
     levels = candidates.withColumn("__p", rank).groupBy("from_id", "__p").agg(
         F.count(F.lit(1)).alias("n"), chosen.alias("pick"))

@@ -35,6 +35,12 @@ def _meetings(points: DataFrame, radius: float, metric: str, axes: int, chunk_ro
         own, around = F.array(F.lit(0).cast("long")), F.array(F.array(F.lit(0).cast("long")))
     homes = points.select(own.alias("box"), "node", "p")
     visitors = points.select(F.explode(around).alias("box"), "node", "p")
+    text = F.concat_ws(",", F.transform("box", lambda x: x.cast("string")))
+    return _deal(homes.withColumn("box", text), visitors.withColumn("box", text), chunk_rows)
+
+
+def _deal(homes: DataFrame, visitors: DataFrame, chunk_rows: int) -> DataFrame:
+    """Cut the homes and the visitors of each box into chunks and let every two of them meet."""
     home_chunks = homes.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("__h"))
     chunks = visitors.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("__v")).join(home_chunks, "box")
 
@@ -44,8 +50,21 @@ def _meetings(points: DataFrame, radius: float, metric: str, axes: int, chunk_ro
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs), F.lit(home).alias("home"), "node", "p").select(
             "box", "c", "v", "home", "node", "p")
     met = dealt(homes, "__h", "__v", "c", "v", True).union(dealt(visitors, "__v", "__h", "v", "c", False))
-    return met.withColumn("box", F.concat_ws(",", F.transform("box", lambda x: x.cast("string")))).repartition(
-        "box", "c", "v").sortWithinPartitions("box", "c", "v")
+    return met.repartition("box", "c", "v").sortWithinPartitions("box", "c", "v")
+
+
+def distance_sums(points: DataFrame, metric: str = "euclidean", chunk_rows: int = 2048) -> DataFrame:
+    """(node, cost): total distance of each row of ``points`` (node, p, box) to all rows of its box."""
+    kind = points.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _tasks(batches):
+            homes, visitors = rows[rows["home"]], rows[~rows["home"]]
+            if len(homes) and len(visitors):
+                d = distance.distances(np.stack(homes["p"].to_numpy()), np.stack(visitors["p"].to_numpy()), metric)
+                yield pd.DataFrame({"node": homes["node"], "cost": d.sum(1)})
+    rows = points.select("box", "node", "p")
+    return _deal(rows, rows, chunk_rows).mapInPandas(run, f"node {kind}, cost double").groupBy("node").agg(F.sum("cost").alias("cost"))
 
 
 def _tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

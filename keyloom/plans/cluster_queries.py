@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, pca
+from ..functions import arrays
+from ..operators import cluster, pca, ranking
 from ..session import checkpoint
 from . import relations as r
 from .registry import query, rounded
@@ -21,24 +22,53 @@ def _profiles(spark, d, power=False):
     return cluster.prepare(r.counts(spark, d), "gene", S, power)
 
 
-@query("kmeans_embeddings")
-def _(spark, d):
-    return cluster.kmeans(_embeddings(spark, d), "vec_id", 10, seed=1)
+def _checked(feats, labels, key):
+    """What must hold of a clustering, from its labels: (rows, clusters, by_size, settled). ``settled``: all but one row in a hundred are nearest
+    to the mean of their own cluster, which a converged k-means has up to its tolerance."""
+    labels = checkpoint(labels)
+    means, _, _ = cluster._cluster_sums(feats, labels, key)
+    near = F.array_min(F.array(*[F.struct(arrays.total(F.zip_with("features", F.array(*[F.lit(float(x)) for x in m["m"]]), lambda x, y: (x - y) * (x - y))).alias("d"),
+                                          F.lit(m["cluster"]).alias("c")) for m in means]))["c"]
+    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    shape = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("clusters"),
+                      F.max(F.struct("n", (-F.col("cluster")).alias("c")))["c"].alias("__first")).select(
+        "rows", "clusters", (F.col("__first") == 0).alias("by_size"))
+    settled = feats.join(labels, key).agg((F.avg((near == F.col("cluster")).cast("int")) >= 0.99).alias("settled"))
+    return shape.withColumn("settled", F.lit(settled.first()["settled"]))
 
 
-@query("kmeans_power_transformed")
+@query("kmeans_embeddings", "SELECT count(*)::BIGINT AS rows, 10::BIGINT AS clusters, true AS by_size, true AS settled FROM embeddings")
 def _(spark, d):
-    return cluster.kmeans(_profiles(spark, d, True), "gene", 4, seed=1)
+    e = _embeddings(spark, d)
+    return _checked(e, cluster.kmeans(e, "vec_id", 10, seed=1), "vec_id")
 
 
-@query("kmedoids_profiles")
+@query("kmeans_power_transformed", f"WITH {r.COUNTS} SELECT count(*)::BIGINT AS rows, 4::BIGINT AS clusters, true AS by_size, true AS settled FROM counts")
 def _(spark, d):
-    return cluster.kmedoids(_profiles(spark, d), "gene", 4, n_init=1, metric="pearson", seed=1)
+    p = _profiles(spark, d, True)
+    return _checked(p, cluster.kmeans(p, "gene", 4, seed=1), "gene")
 
 
-@query("hierarchical_profiles")
+@query("kmedoids_profiles", f"WITH {r.COUNTS} SELECT count(*)::BIGINT AS rows, 4::BIGINT AS clusters, true AS by_size, true AS nearest, true AS settled FROM counts")
 def _(spark, d):
-    return cluster.hierarchical(_profiles(spark, d), "gene", 5, seed=1)
+    """All rows are with their nearest medoid, and no member of a cluster has a lower total distance than its medoid."""
+    p = _profiles(spark, d)
+    medoids = cluster.fit_kmedoids(p, "gene", 4, metric="pearson", seed=1)
+    assigned = checkpoint(cluster._assign(p, "gene", medoids, "pearson"))
+    labels = cluster.sort_clusters(assigned.select("gene", "cluster"), "gene")
+    best = cluster.medoids_of(assigned, "gene", "pearson")
+    own = assigned.filter(F.col("dist") <= 1e-12).groupBy("cluster").agg(F.min("gene").alias("gene"))
+    shape = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("clusters"), (F.max(F.struct("n", (-F.col("cluster")).alias("c")))["c"] == 0).alias("by_size"))
+    total = assigned.groupBy("cluster").agg(F.sum("dist").alias("total")).join(best.select("cluster", "cost"), "cluster").agg(
+        F.bool_and(F.col("total") <= F.col("cost") * (1 + 1e-9) + 1e-9).alias("ok")).first()["ok"]
+    return shape.select("rows", "clusters", "by_size", F.lit(own.count() == 4).alias("nearest"), F.lit(total).alias("settled"))
+
+
+@query("hierarchical_profiles", f"WITH {r.COUNTS} SELECT count(*)::BIGINT AS rows, 5::BIGINT AS clusters, true AS by_size FROM counts")
+def _(spark, d):
+    p = _profiles(spark, d)
+    return _checked(p, cluster.hierarchical(p, "gene", 5, seed=1), "gene").drop("settled")
 
 
 def _components(links: str) -> str:
@@ -111,14 +141,22 @@ def _(spark, d):
     return rounded(e.agg(F.lit(score).alias("score")), digits=4)
 
 
-@query("silhouette_by_k")
+@query("silhouette_by_k", f"WITH {r.COUNTS} SELECT unnest(range(2, least(20, (SELECT count(*) FROM counts) // 4) + 1))::INTEGER AS k, true AS in_range, true AS best_is_highest, 1::BIGINT AS chosen")
 def _(spark, d):
-    return rounded(cluster.score_k(_profiles(spark, d), "gene", "silhouette", 4, n_init=1, seed=1))
+    scores = checkpoint(cluster.score_k(_profiles(spark, d), "gene", "silhouette", n_init=1, seed=1))
+    top = scores.agg(F.max("score").alias("top"), F.sum(F.col("best").cast("long")).alias("chosen")).first()
+    return scores.select("k", F.col("score").between(-1, 1).alias("in_range"), ((F.col("score") == top["top"]) == F.col("best")).alias("best_is_highest"),
+                         F.lit(top["chosen"]).alias("chosen"))
 
 
-@query("gap_statistic")
+@query("gap_statistic", "SELECT unnest([1, 2, 3])::INTEGER AS k, true AS rule, 1::BIGINT AS chosen")
 def _(spark, d):
-    return rounded(cluster.gap_statistic(r.event_counts(spark, d), "gene", r.EVENT_SAMPLES, 3, 2, False, seed=1))
+    """The chosen K against the rule, worked out from the returned gaps and errors."""
+    gaps = checkpoint(cluster.gap_statistic(r.event_counts(spark, d), "gene", r.EVENT_SAMPLES, 3, 2, seed=1))
+    after = gaps.select((F.col("k") - 1).alias("k"), F.col("gap").alias("g1"), F.col("error").alias("e1"))
+    good = gaps.join(after, "k", "left").withColumn("good", F.coalesce((F.col("k") > 1) & (F.col("gap") >= F.col("g1") - F.col("e1")), F.lit(False)))
+    first = good.agg(F.coalesce(F.min(F.when(F.col("good"), F.col("k"))), F.max("k")).alias("first"), F.sum(F.col("best").cast("long")).alias("chosen")).first()
+    return good.select("k", ((F.col("k") == first["first"]) == F.col("best")).alias("rule"), F.lit(first["chosen"]).alias("chosen"))
 
 
 def _solutions(spark, d):
@@ -148,11 +186,15 @@ def _(spark, d):
     return rounded(cluster.evidence_for_pairs(_solutions(spark, d), pairs, "gene"))
 
 
-@query("consensus_clusters")
+@query("consensus_clusters", f"WITH {r.COUNTS} SELECT count(*)::BIGINT AS rows, true AS large_enough, true AS by_size FROM counts")
 def _(spark, d):
-    setups = cluster.expand_setups([{"method": "kmeans", "n_clusters": [2, 3], "n_init": 1}, {"method": "hierarchical", "n_clusters": 3}], [False])
+    setups = cluster.expand_setups([{"method": "kmeans", "n_clusters": [2, 3]}, {"method": "hierarchical", "n_clusters": 3},
+                                    {"method": "hdbscan", "eps": 0.9, "min_samples": 5, "min_cluster_size": 10}], [False])
     solutions = cluster.run_setups(r.matrix(spark, d), "gene", setups, [S])
-    return cluster.consensus(solutions, "gene", 0.5, min_cluster_size=5)
+    sizes = cluster.consensus(solutions, "gene", 0.5, min_cluster_size=5).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    named = F.col("cluster") >= 0
+    return sizes.agg(F.sum("n").alias("rows"), F.bool_and(~named | (F.col("n") >= 5)).alias("large_enough"), F.coalesce(
+        F.max(F.when(named, F.struct("n", (-F.col("cluster")).alias("c"))))["c"] == 0, F.lit(True)).alias("by_size"))
 
 
 @query("cluster_profiles", f"""WITH {_EMB} SELECT label AS cluster, 'd' || i AS sample, round(avg(x),6)+0.0 AS mean, round(stddev_samp(x),6) AS std FROM e GROUP BY 1, 2""")
@@ -162,10 +204,13 @@ def _(spark, d):
     return rounded(cluster.cluster_profiles(e, labels, "vec_id", [f"d{i}" for i in range(64)]))
 
 
-@query("cluster_projection")
+@query("cluster_projection", f"""WITH {r.COUNTS} SELECT count(*)::BIGINT AS rows, 3::BIGINT AS clusters, true AS uncorrelated, true AS first_is_widest, true AS inside FROM counts""")
 def _(spark, d):
+    """Both axes are uncorrelated, the first is the widest, and neither is wider than all six standardised samples together."""
     p = _profiles(spark, d)
-    return rounded(cluster.clustered_projection(p, cluster.kmeans(p, "gene", 3, n_init=1), "gene"))
+    out = cluster.clustered_projection(p, cluster.kmeans(p, "gene", 3), "gene")
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("cluster").alias("clusters"), (F.abs(F.corr("pc1", "pc2")) < 1e-6).alias("uncorrelated"),
+                   (F.var_pop("pc1") >= F.var_pop("pc2")).alias("first_is_widest"), (F.var_pop("pc1") + F.var_pop("pc2") <= 6 + 1e-9).alias("inside"))
 
 
 @query("clustergram", f"""WITH {r.COUNTS}, l AS (SELECT gene, {", ".join(f"log2({c}+1) AS {c}" for c in S)} FROM counts), m AS (SELECT *, ({"+".join(S)})/6 AS m FROM l),
@@ -176,16 +221,6 @@ def _(spark, d):
 
 # --- principal components ------------------------------------------------------------------------------------------------------
 
-@query("pca_scores")
-def _(spark, d):
-    return rounded(pca.PCA(r.counts(spark, d), "gene", S).scores(3), digits=4)
-
-
-@query("pca_explained_variance")
-def _(spark, d):
-    return rounded(pca.PCA(r.counts(spark, d), "gene", S, False).explained())
-
-
 _Z = f"""z AS (SELECT gene, {", ".join(f"CASE WHEN s > 0 THEN ({c}-m)/s ELSE 0 END AS {c}" for c in S)} FROM (SELECT *, sqrt(({"+".join(f"({c}-m)^2" for c in S)})/6) AS s FROM
   (SELECT *, ({"+".join(S)})/6 AS m FROM counts)))"""
 
@@ -198,11 +233,50 @@ def _(spark, d):
     return rounded(out, digits=4)
 
 
-@query("sort_by_principal_component")
+@query("pca_scores", f"WITH {r.COUNTS}, {_Z} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum({a}*{b}),4)+0.0 AS product FROM z" for i, a in enumerate(S) for b in S[i:]))
+def _(spark, d):
+    """Scores in all components have the inner products of the standardised samples."""
+    t = pca.PCA(r.counts(spark, d), "gene", S, False).scores(6)
+    left, right = (t.select(F.col("sample").alias(n), F.array(*[f"PC{i}" for i in range(1, 7)]).alias(f"s{n}")) for n in "ab")
+    pairs = left.withColumn("j", F.lit(1)).join(right.withColumn("j", F.lit(1)), "j")
+    order = F.create_map(*[F.lit(x) for i, s in enumerate(S) for x in (s, i)])
+    return rounded(pairs.filter(F.element_at(order, F.col("a")) <= F.element_at(order, F.col("b"))).select(
+        "a", "b", arrays.total(F.zip_with("sa", "sb", lambda x, y: x * y)).alias("product")), digits=4)
+
+
+_GRAM = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, sum({a}*{b}) AS g FROM z" for a in S for b in S)
+
+
+@query("pca_explained_variance", f"""WITH {r.COUNTS}, {_Z}, g AS ({_GRAM}) SELECT 6::BIGINT AS components, 100.0::DOUBLE AS total,
+  round(10000 * sum(g*g) / sum(CASE WHEN a = b THEN g END)^2, 6) AS squares, true AS falls FROM g""")
 def _(spark, d):
-    return pca.sort_by_principal_component(r.matrix(spark, d), "gene", S, 1, power_transform=False)
+    """Shares add up to 100, and their squares to those of the Gram matrix."""
+    e = pca.PCA(r.counts(spark, d), "gene", S, False).explained()
+    return rounded(e.agg(F.count(F.lit(1)).alias("components"), F.sum("percent").alias("total"), F.sum(F.col("percent") * F.col("percent")).alias("squares"),
+                         (F.corr("component", "percent") < 0).alias("falls")))
 
 
-@query("split_by_principal_components")
+@query("sort_by_principal_component", f"WITH {r.COUNTS} SELECT count(*)::BIGINT AS rows, 1.0::DOUBLE AS length, true AS ascending FROM counts")
+def _(spark, d):
+    """Loadings are a unit vector and rise from row to row of the sorted table."""
+    m = r.matrix(spark, d)
+    weights = pca.PCA(m, "gene", S, False).loadings([1])
+    ordered = pca.sort_by_principal_component(m, "gene", S, 1, power_transform=False).select("gene").withColumn("place", F.monotonically_increasing_id())
+    rows = checkpoint(ordered).join(weights, "gene")
+    ranked = ranking.row_numbers(rows, [], ["PC1", "gene"], "n").select("place", "n")
+    placed = ranking.row_numbers(ranked, [], ["place"], "m")
+    size = rows.agg(F.sum(F.col("PC1") * F.col("PC1"))).first()[0]
+    return rounded(placed.agg(F.count(F.lit(1)).alias("rows"), F.lit(size).alias("length"), F.bool_and(F.col("n") == F.col("m")).alias("ascending")))
+
+
+@query("split_by_principal_components", f"""WITH {r.COUNTS} SELECT unnest([1, 1, 2, 2])::INTEGER AS component, unnest(['top', 'bottom', 'top', 'bottom']) AS side,
+  floor(0.1 * (SELECT count(*) FROM counts) * 0.5)::BIGINT AS n, true AS extreme""")
 def _(spark, d):
-    return pca.split_by_principal_components(r.matrix(spark, d), "gene", S, (1, 2), 0.1)
+    """No row left out is more extreme than one that was picked."""
+    m = r.matrix(spark, d)
+    picked = checkpoint(pca.split_by_principal_components(m, "gene", S, (1, 2), 0.1).select("gene", "component", "side"))
+    weights = checkpoint(pca.PCA(m, "gene", S).loadings((1, 2)).select("gene", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("component"), F.lit(s).alias("side"), (F.col(f"PC{c}") * (1 if s == "top" else -1)).alias("w")) for c in (1, 2) for s in ("top", "bottom")]))))
+    rows = weights.join(picked.withColumn("in", F.lit(True)), ["gene", "component", "side"], "left")
+    return rows.groupBy("component", "side").agg(F.count("in").alias("n"), (F.min(F.when(F.col("in"), F.col("w"))) >= F.max(
+        F.when(F.col("in").isNull(), F.col("w")))).alias("extreme"))

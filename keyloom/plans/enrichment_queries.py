@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..operators import attributes as attr
 from ..operators import enrichment as en
 from ..operators import ontology as onto
@@ -76,9 +79,16 @@ def _(spark, d):
     return _round(en.enrichment(r.attributes(spark, d), r.target_sets(spark, d), "gene", bg, "hypergeometric"))
 
 
-@query("enrichment_permutation")
+@query("enrichment_permutation", f"""{_BASE}, ann AS (SELECT * FROM attrs), {_PARAMS}, {_pmf("prm")}, tails AS (SELECT set_id, attribute, any_value(draws) AS draws, any_value(hits) AS hits,
+  sum(CASE WHEN i >= hits THEN p ELSE 0 END) AS high, sum(CASE WHEN i <= hits THEN p ELSE 0 END) AS low, any_value(population)::DOUBLE AS population, any_value(successes)::DOUBLE AS successes FROM pmf GROUP BY 1, 2)
+  SELECT set_id, attribute AS name, hits::BIGINT AS obs, round(CASE WHEN hits*population >= successes*draws AND hits > 0 THEN high ELSE low END, 6)+0.0 AS tail, true AS near FROM tails""")
 def _(spark, d):
-    return _round(en.enrichment(r.attributes(spark, d), r.target_sets(spark, d), "gene", test="randomization", seed=3))
+    """The drawn p-values against the exact tails they estimate: within five standard errors and the step of one draw."""
+    drawn = en.enrichment(r.attributes(spark, d), r.target_sets(spark, d), "gene", test="randomization", seed=3)
+    en.register_test("one_tail", lambda n, k, s, x: stats.hypergeom_sf(x - 1, n, s, k) if x * n >= s * k and x > 0 else stats.hypergeom_cdf(x, n, s, k))
+    exact = en.enrichment(r.attributes(spark, d), r.target_sets(spark, d), "gene", test="one_tail").select("set_id", "name", F.col("pval").alias("tail"))
+    error = 5 * F.sqrt(F.col("tail") * (1 - F.least("tail", F.lit(1.0))) / 10000) + 2 / 10001
+    return rounded(drawn.join(exact, ["set_id", "name"]).select("set_id", "name", "obs", "tail", (F.abs(F.col("pval") - F.col("tail")) <= error).alias("near")))
 
 
 @query("enrichment_significant_only", f"{_BASE}, ann AS (SELECT * FROM attrs), {_PARAMS}, {_HYPER}, {_fdr()} {_OUT.replace('0.05', '0.5')} FROM adj WHERE padj <= 0.5")
@@ -130,9 +140,14 @@ def _(spark, d):
     return rounded(rounded(res, ["obs", "exp"]), ["pval", "padj"], 8)
 
 
-@query("numeric_enrichment_t_test")
+@query("numeric_enrichment_t_test", f"""{_BASE}, {_NUM}, {_MIDDLE}, ts AS (SELECT set_id, attribute, count(*)::BIGINT AS n, avg(value) AS obs, max(mean) AS mean,
+  abs((avg(value)-max(mean))/(stddev_samp(value)/sqrt(count(*)))) AS t FROM tv GROUP BY 1, 2),
+  grid AS (SELECT *, unnest(range(0, 20001)) AS i FROM ts),
+  area AS (SELECT set_id, attribute, any_value(n) AS n, any_value(obs) AS obs, any_value(mean) AS mean, sum((CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+    * exp(lgamma(n/2.0::DOUBLE) - lgamma((n-1)/2.0::DOUBLE) - n/2.0::DOUBLE*ln(1 + (i*t/20000)^2/(n-1))) / sqrt((n-1)*pi())) * any_value(t)/20000/3 AS half FROM grid GROUP BY 1, 2)
+  SELECT set_id, attribute AS name, n AS samples, round(obs,6)+0.0 AS obs, round(mean,6)+0.0 AS exp, round(1 - 2*half,6)+0.0 AS pval FROM area""")
 def _(spark, d):
-    return rounded(en.numeric_enrichment(_numeric(spark, d), r.target_sets(spark, d), "gene", parametric=True))
+    return rounded(en.numeric_enrichment(_numeric(spark, d), r.target_sets(spark, d), "gene", parametric=True).select("set_id", "name", "samples", "obs", "exp", "pval"))
 
 
 @query("numeric_t_statistics", f"""{_BASE}, {_NUM}, {_MIDDLE} SELECT set_id, attribute, round((avg(value)-max(mean))/(stddev_samp(value)/sqrt(count(*))),6)+0.0 AS t FROM tv GROUP BY 1, 2""")
@@ -184,10 +199,19 @@ def _(spark, d):
     return _ranked(spark, d)
 
 
-@query("ranked_list_enrichment")
+@query("ranked_list_enrichment", f"""{_BASE}, rkd AS (SELECT gene FROM counts WHERE gene IN (SELECT gene FROM attrs)), ks AS (SELECT attribute, count(*)::BIGINT AS k FROM attrs JOIN rkd USING (gene) GROUP BY 1)
+  SELECT attribute AS name, (SELECT count(*) FROM rkd)::BIGINT AS samples, k AS successes, true AS bounded, true AS adjusted FROM ks""")
 def _(spark, d):
-    res = en.ranked_enrichment(r.attributes(spark, d), checkpoint(_ranked(spark, d)), "gene")
-    return rounded(res)
+    """The reported cutoff's tail bounds the p-value: tail <= p <= tail times the number of keys of the attribute, up to 1."""
+    res = checkpoint(en.ranked_enrichment(r.attributes(spark, d), checkpoint(_ranked(spark, d)), "gene"))
+    keys = r.attributes(spark, d).join(_ranked(spark, d), "gene").groupBy(F.col("attribute").alias("name")).agg(F.count(F.lit(1)).alias("successes"))
+    found = F.col("obs") > 0
+    draws = F.round(F.col("exp") * F.col("samples") / F.col("successes")).cast("long")
+    tail = F.when(found, en._upper_tail("samples", draws, "successes", "obs")).otherwise(F.lit(1.0))
+    rows = res.join(keys, "name").withColumn("tail", tail)
+    slack = 1 + 1e-9
+    return rows.select("name", "samples", "successes", ((F.col("tail") <= F.col("pval") * slack) & (
+        F.col("pval") <= F.least(F.lit(1.0), F.col("tail") * F.col("successes")) * slack)).alias("bounded"), (F.col("padj") >= F.col("pval")).alias("adjusted"))
 
 
 @query("ranked_list_statistic", f"""{_BASE}, rkd AS (SELECT gene, row_number() OVER (ORDER BY {'+'.join(r.SAMPLES)} DESC, gene) AS cut FROM counts),
@@ -208,11 +232,17 @@ def _(spark, d):
     return rounded(tails.groupBy("attribute").agg(F.min("tail").alias("stat")), digits=8)
 
 
-@query("fold_change_randomization")
+@query("fold_change_randomization", f"""WITH {r.FC}, t AS (SELECT count(*)::BIGINT AS n, avg(fc) AS m FROM fcs WHERE gene IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO'))
+  SELECT n AS group_size, round(m,6) AS observed_fold_change, round((SELECT avg(fc) FROM fcs),6) AS expected_fold_change, true AS near FROM t""")
 def _(spark, d):
+    """The drawn p-value against the normal tail of the mean of a random subset."""
     fc = checkpoint(r.fold_changes(spark, d))
     picked = fc.join(r.table(spark, d, "part").filter("p_type = 'PROMO'").select(F.col("p_partkey").alias("gene")), "gene", "left_semi")
-    return rounded(en.fold_change_randomization(picked, fc, "gene", "fc", reps=1000, seed=11))
+    row = en.fold_change_randomization(picked, fc, "gene", "fc", seed=11)
+    spread_, total = fc.agg(F.stddev_samp("fc"), F.count("fc")).first()
+    error = F.lit(spread_) * F.sqrt((1 - F.col("group_size") / total) / F.col("group_size"))
+    tail = F.udf(lambda z: 0.5 * math.erfc(abs(z) / math.sqrt(2)), "double")((F.col("observed_fold_change") - F.col("expected_fold_change")) / error)
+    return rounded(row.withColumn("near", F.abs(F.col("pval") - tail) <= 0.03).select("group_size", "observed_fold_change", "expected_fold_change", "near"))
 
 
 # --- ontology: brand, type and size classes of parts with a shared root -------------------------------------------------

@@ -120,7 +120,8 @@ def _(spark, d):
     return mapping.orthologs_by_divergence(_ldo(spark, d), mode="none")
 
 
-@query("orthologs_random")
+@query("orthologs_random", f"""WITH {_CAND} SELECT from_id, to_id FROM (SELECT *, row_number() OVER
+  (PARTITION BY from_id ORDER BY md5('7:' || from_id || ':' || to_id), to_id) AS rn FROM cand) WHERE rn = 1""")
 def _(spark, d):
     return mapping.resolve(_candidates(spark, d), "random", seed=7)
 

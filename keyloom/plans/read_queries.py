@@ -66,6 +66,18 @@ def _(spark, d):
     return reads.trim_single_end(_reads(spark, d), three_prime=["ACGTACCGTA"], quality_trimming=None, minimum_length=5)
 
 
+def _cut(seq: str, adapter: str) -> str:
+    """Bases to keep before the first whole match of the adapter, or before the longest match of its beginning with the end of the read."""
+    ends = "".join(f" WHEN right({seq}, {k}) = '{adapter[:k]}' THEN len({seq}) - {k}" for k in range(len(adapter) - 1, 2, -1))
+    return f"(CASE WHEN instr({seq}, '{adapter}') > 0 THEN instr({seq}, '{adapter}') - 1{ends} ELSE len({seq}) END)"
+
+
+@query("trim_adapters_exact", f"""WITH {_LINES}, k AS (SELECT *, {_cut('seq', 'ACGTACC')} AS k FROM rd) SELECT sample, read_id, substr(seq, 1, k) AS seq, substr(qual, 1, k) AS qual
+  FROM k WHERE k < len(seq) AND k >= 5""")
+def _(spark, d):
+    return reads.trim_single_end(_reads(spark, d), three_prime=["ACGTACC"], quality_trimming=None, trim_ns=False, minimum_length=5, error_tolerance=0.0, allow_indels=False)
+
+
 @query("trim_adapters_paired_end")
 def _(spark, d):
     first = _reads(spark, d)
