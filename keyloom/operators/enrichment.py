@@ -331,11 +331,11 @@ def ontology_enrichment(annotations: DataFrame, targets: DataFrame, key: str, no
     elif propagate == "elim":
         tested = _elim(params, rows, chosen, key, nodes, closure, fn, alpha)
     elif propagate == "weight":
-        tested = _weight(params, nodes, edges, closure)
+        tested = _weight(params, rows, chosen, key, nodes, edges, closure, fn)
     else:
         tested = _combine(params.withColumn("pval", fn("population", "draws", "successes", "hits")),
                           _elim(params, rows, chosen, key, nodes, closure, fn, alpha),
-                          _weight(params, nodes, edges, closure))
+                          _weight(params, rows, chosen, key, nodes, edges, closure, fn))
     out = finish(_shape(tested), alpha, correction, return_nonsignificant)
     info = nodes.select(F.col("term").alias("name"), "level", *[c for c in ("namespace",) if c in nodes.columns])
     return out.join(info, "name")
@@ -388,64 +388,59 @@ def _elim(params: DataFrame, rows: DataFrame, targets: DataFrame, key: str, node
     return out
 
 
-def _table_pvalue(population: int, draws: int, successes: float, hits: float) -> float:
-    """Fisher's test on a weighted table; its cells are cut to integers."""
-    a, b = int(hits), int(successes - hits)
-    c, d = int(draws - hits), int(population - successes - draws + hits)
-    return stats.fisher_pvalue(a + b + c + d, a + c, a + b, a)
+def _weight(params: DataFrame, rows: DataFrame, targets: DataFrame, key: str, nodes: DataFrame, edges: DataFrame, closure: DataFrame, fn) -> DataFrame:
+    """Genes of a term carry weights that terms and their children share by significance (Alexa et al. 2006, method "weight").
 
-
-def _weigh_terms(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One set and namespace: a walk over the terms, deepest first, sharing weight between a term and its children.
-
-    Every step scales all genes of a term alike, so a term's state is one weight and its two counts; genes are not
-    needed here and the group is no larger than the ontology.
+    Levels go deepest first. A term is tested on its weighted genes. As long as some child is at least as significant, with the ratio
+    p(term) / p(child), the genes of such children lose that factor in the term and all its ancestors, the children are done with, and the term is
+    tested again. Children that are all less significant lose their ratio in their own genes. A level is worked
+    through in common, one round for all its terms, on a stored table of (set, term, gene, weight).
     """
-    terms = pdf.set_index("attribute").to_dict("index")
-    weight = dict.fromkeys(terms, 1.0)
-    pval: dict[str, float] = {}
-
-    def solve(t: str) -> float:
-        row = terms[t]
-        return _table_pvalue(row["population"], row["draws"], row["successes"] * weight[t], row["hits"] * weight[t])
-
-    for t in sorted(terms, key=lambda x: (-terms[x]["level"], x)):
-        left = [c for c in terms[t]["children"] if c in terms]
-        up = [t, *[a for a in terms[t]["ancestors"] if a in terms]]
-        pval[t] = solve(t)
-        while left:
-            ratio = {}
-            for c in left:
-                if abs(pval[c]) <= 1e-50:
-                    ratio[c] = pval[t] / (pval[c] + 1e-50)
-                elif abs(pval[c] - pval[t]) <= 1e-50:
-                    ratio[c] = 1.0
-                else:
-                    ratio[c] = pval[t] / pval[c]
-            stronger = [c for c in left if ratio[c] >= 1]
-            if not stronger:
-                for c in left:
-                    weight[c] *= ratio[c]
-                    pval[c] = solve(c)
-                break
-            for c in stronger:
-                for a in up:
-                    weight[a] /= ratio[c]
-            left = [c for c in left if ratio[c] < 1]
-            pval[t] = solve(t)
-    return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "attribute": list(terms), "pval": [pval[t] for t in terms]})
-
-
-def _weight(params: DataFrame, nodes: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFrame:
-    below = edges.groupBy(F.col("parent").alias("attribute")).agg(F.sort_array(F.collect_set("child")).alias("children"))
-    above = closure.groupBy(F.col("term").alias("attribute")).agg(F.sort_array(F.collect_set("ancestor")).alias("ancestors"))
-    space = F.col("namespace") if "namespace" in nodes.columns else F.lit("all")
-    info = nodes.select(F.col("term").alias("attribute"), "level", space.alias("namespace"))
-    none = F.array().cast("array<string>")
-    ready = (params.join(info, "attribute").join(below, "attribute", "left").join(above, "attribute", "left")
-             .withColumns({"children": F.coalesce("children", none), "ancestors": F.coalesce("ancestors", none)}))
-    solved = ready.groupBy(SET, "namespace").applyInPandas(_weigh_terms, f"{SET} string, attribute string, pval double")
-    return params.join(solved, [SET, "attribute"])
+    sizes = params.select(SET, F.col("attribute").alias("term"), "population", "draws")
+    hit = targets.select(SET, key).distinct().withColumn("hit", F.lit(1.0))
+    state = checkpoint(grid(rows.select("term", key), sizes.select(SET).distinct()).join(hit, [SET, key], "left").select(
+        SET, "term", key, F.coalesce("hit", F.lit(0.0)).alias("hit"), F.lit(1.0).alias("w")))
+    itself = checkpoint(rows.select("term").distinct())
+    upward = closure.select("term", F.col("ancestor").alias("up")).union(itself.select("term", F.col("term").alias("up")))
+
+    def fresh(name: str) -> Column:
+        """The column without what Catalyst knows of its equals: a union cannot carry that over a checkpoint."""
+        return F.concat(F.col(name), F.lit("")).alias(name)
+
+    def tested(which: DataFrame) -> DataFrame:
+        s, h = F.col("s"), F.col("h")
+        cells = [F.floor(c) for c in (h, s - h, F.col("draws") - h, F.col("population") - s - F.col("draws") + h)]
+        sums = state.join(which.select(SET, "term").distinct(), [SET, "term"], "left_semi").groupBy(SET, "term").agg(
+            F.sum("w").alias("s"), F.sum(F.col("w") * F.col("hit")).alias("h"))
+        return checkpoint(sums.join(sizes, [SET, "term"]).select(
+            fresh(SET), fresh("term"), fn(cells[0] + cells[1] + cells[2] + cells[3], cells[0] + cells[2], cells[0] + cells[1], cells[0]).alias("pval")))
+
+    def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+        return checkpoint(old.join(new, [SET, "term"], "left_anti").unionByName(new))
+
+    leveled = checkpoint(sizes.select(SET, "term").join(nodes.select("term", "level"), "term"))
+    done = None
+    for depth in [r["level"] for r in leveled.select("level").distinct().orderBy(F.desc("level")).collect()]:
+        mine = tested(leveled.filter(F.col("level") == depth))
+        links = mine.select(SET, "term").join(edges.select(F.col("parent").alias("term"), "child").distinct(), "term")
+        left = None if done is None else checkpoint(links.join(done.select(SET, F.col("term").alias("child")), [SET, "child"], "left_semi"))
+        while left is not None and not left.isEmpty():
+            below = done.select(SET, F.col("term").alias("child"), F.col("pval").alias("pc"))
+            ratio = F.nanvl(F.col("pval") / F.greatest("pc", F.lit(1e-50)), F.lit(1.0))
+            pairs = left.join(mine, [SET, "term"]).join(below, [SET, "child"]).withColumn("ratio", ratio)
+            waits = pairs.groupBy(SET, "term").agg((F.max("ratio") >= 1).alias("waits"))
+            pairs = checkpoint(pairs.join(waits, [SET, "term"]))
+            rising = pairs.filter("ratio >= 1")
+            shrink = pairs.filter(~F.col("waits")).groupBy(SET, F.col("child").alias("term")).agg(F.product("ratio").alias("own"))
+            share = rising.join(upward, "term").select(SET, F.col("up").alias("term"), "child", "ratio").join(
+                rows.select(F.col("term").alias("child"), key), "child").groupBy(SET, "term", key).agg(F.product(1 / F.col("ratio")).alias("shared"))
+            state = checkpoint(state.join(shrink, [SET, "term"], "left").join(share, [SET, "term", key], "left").select(
+                SET, "term", key, "hit", (F.col("w") * F.coalesce("own", F.lit(1.0)) * F.coalesce("shared", F.lit(1.0))).alias("w")))
+            done = replaced(done, tested(shrink))
+            mine = replaced(mine, tested(rising))
+            left = checkpoint(pairs.filter("waits AND ratio < 1").select(SET, "term", "child"))
+        done = mine if done is None else checkpoint(done.unionByName(mine))
+    return params.join(done.withColumnRenamed("term", "attribute"), [SET, "attribute"])
 
 
 def _combine(*tested: DataFrame) -> DataFrame:

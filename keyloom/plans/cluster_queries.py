@@ -146,7 +146,7 @@ def _(spark, d):
     scores = checkpoint(cluster.score_k(_profiles(spark, d), "gene", "silhouette", n_init=1, seed=1))
     top = scores.agg(F.max("score").alias("top"), F.sum(F.col("best").cast("long")).alias("chosen")).first()
     return scores.select("k", F.col("score").between(-1, 1).alias("in_range"), ((F.col("score") == top["top"]) == F.col("best")).alias("best_is_highest"),
-                         F.lit(top["chosen"]).alias("chosen"))
+                         F.lit(top["chosen"]).cast("long").alias("chosen"))
 
 
 @query("gap_statistic", "SELECT unnest([1, 2, 3])::INTEGER AS k, true AS rule, 1::BIGINT AS chosen")
@@ -156,7 +156,7 @@ def _(spark, d):
     after = gaps.select((F.col("k") - 1).alias("k"), F.col("gap").alias("g1"), F.col("error").alias("e1"))
     good = gaps.join(after, "k", "left").withColumn("good", F.coalesce((F.col("k") > 1) & (F.col("gap") >= F.col("g1") - F.col("e1")), F.lit(False)))
     first = good.agg(F.coalesce(F.min(F.when(F.col("good"), F.col("k"))), F.max("k")).alias("first"), F.sum(F.col("best").cast("long")).alias("chosen")).first()
-    return good.select("k", ((F.col("k") == first["first"]) == F.col("best")).alias("rule"), F.lit(first["chosen"]).alias("chosen"))
+    return good.select("k", ((F.col("k") == first["first"]) == F.col("best")).alias("rule"), F.lit(first["chosen"]).cast("long").alias("chosen"))
 
 
 def _solutions(spark, d):

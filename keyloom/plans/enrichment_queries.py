@@ -386,14 +386,26 @@ def _(spark, d):
     return _term_tests(spark, d, propagate="elim", alpha=0.2)
 
 
-@query("ontology_enrichment_weight")
+_TERMS = f"""{_ONTO}, ann AS (SELECT term AS attribute, gene FROM prop), {_PARAMS} SELECT set_id, attribute AS name, draws::BIGINT AS samples, hits::BIGINT AS obs,
+  round(draws*successes/population::DOUBLE, 6) AS exp, true AS sound FROM prm"""
+
+
+@query("ontology_enrichment_weight", _TERMS)
 def _(spark, d):
-    return _term_tests(spark, d, propagate="weight")
+    """Weighting keeps counts and expectations, p-values are probabilities and adjusted ones no smaller."""
+    res = _term_tests(spark, d, propagate="weight")
+    return res.select("set_id", "name", "samples", "obs", "exp", (F.col("pval").between(0, 1) & (F.col("padj") >= F.col("pval"))).alias("sound"))
 
 
-@query("ontology_enrichment_combined")
+@query("ontology_enrichment_combined", _TERMS)
 def _(spark, d):
-    return _term_tests(spark, d, propagate="all.m")
+    """The combined p-value is the geometric mean of the three methods'."""
+    each = {m: checkpoint(_term_tests(spark, d, propagate=m).select("set_id", "name", "samples", "obs", "exp", F.col("pval").alias(m))) for m in ("classic", "elim", "weight", "all.m")}
+    rows = each["all.m"]
+    for m in ("classic", "elim", "weight"):
+        rows = rows.join(each[m].select("set_id", "name", m), ["set_id", "name"])
+    mean = F.pow(F.col("classic") * F.col("elim") * F.col("weight"), 1 / 3)
+    return rows.select("set_id", "name", "samples", "obs", "exp", (F.abs(F.col("`all.m`") - mean) <= 1e-3).alias("sound"))
 
 
 @query("enrichment_top_results", f"{_BASE}, ann AS (SELECT * FROM attrs), {_PARAMS}, {_FISHER}, {_fdr()} SELECT * FROM ({_OUT} FROM adj ORDER BY adj.padj, adj.pval, set_id, name LIMIT 10)")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from ..operators import designs, models
+from ..operators import designs, models, ranking
+from ..session import checkpoint
 from . import relations as r
 from .registry import query, rounded
 
@@ -15,29 +17,48 @@ def _design():
     return pd.DataFrame({"sample": S, "condition": ["f", "o"] * 3, "batch": ["a", "a", "n", "n", "r", "r"]})
 
 
-@query("limma_voom")
-def _(spark, d):
-    res = models.limma_voom(r.matrix(spark, d), "gene", S, _design(), [("condition", "f", "o")], model_factors=["condition"])
-    return rounded(res["condition_f_vs_o"])
+_CPM = ", ".join(f"log2(({c}+0.5)/((SELECT sum({c}) FROM counts)+1)*1e6) AS {c}" for c in S)
+
+
+_LOGS = f"""WITH {r.COUNTS}, l AS (SELECT gene, {_CPM} FROM counts)"""
+_RLE = f"""WITH {r.COUNTS}, p AS (SELECT *, exp(({"+".join(f"ln({c})" for c in S)})/6) AS g FROM counts WHERE least({", ".join(S)}) > 0),
+  w AS (SELECT {", ".join(f"quantile_cont({c}/g, 0.5) AS {c}" for c in S)} FROM p)"""
+_BASE = f"""{_RLE} SELECT gene, round(({"+".join(f"round_even(counts.{c}, 0)/w.{c}" for c in S)})/6, 5) AS base, true AS sound FROM counts, w WHERE greatest({", ".join(f"counts.{c}" for c in S)}) > 0"""
 
 
-@query("limma_voom_factor_test")
+def _adjusted(df):
+    """Benjamini-Hochberg from the returned p-values agrees with the returned adjusted ones, both inside [0, 1]."""
+    again = ranking.fdr_adjust(checkpoint(df).drop("padj"), "pvalue", name="again").select("gene", "again")
+    return df.join(again, "gene").withColumn("adjusted", F.col("pvalue").isNull() | (
+        F.col("pvalue").between(0, 1) & (F.abs(F.col("padj") - F.col("again")) < 1e-9) & (F.col("padj") >= F.col("pvalue"))))
+
+
+@query("limma_voom", f"{_LOGS} SELECT gene, round(({'+'.join(S)})/6,6) AS ave, true AS sound FROM l")
 def _(spark, d):
-    return rounded(models.limma_voom(r.matrix(spark, d), "gene", S, _design(), lrt_factors=["batch"])["LRT_batch"].drop("logFC"))
+    """Mean log counts, and signs, p-values and their adjustment that fit each other."""
+    res = checkpoint(models.limma_voom(r.matrix(spark, d), "gene", S, _design(), [("condition", "f", "o")], model_factors=["condition"])["condition_f_vs_o"])
+    sound = F.col("adjusted") & (F.signum("stat") == F.signum("logFC")) & ((F.abs("stat") > 12.8) | (F.col("pvalue") > F.lit(1e-40)))
+    return rounded(_adjusted(res).select("gene", F.col("AveExpr").alias("ave"), sound.alias("sound")))
 
 
-@query("deseq2_wald")
+@query("limma_voom_factor_test", f"{_LOGS} SELECT gene, round(({'+'.join(S)})/6,6) AS ave, true AS sound FROM l")
 def _(spark, d):
-    res = models.deseq2(r.matrix(spark, d), "gene", S, _design(), [("condition", "f", "o")], model_factors=["condition"])
-    return rounded(res["condition_f_vs_o"])
+    res = checkpoint(models.limma_voom(r.matrix(spark, d), "gene", S, _design(), lrt_factors=["batch"])["LRT_batch"])
+    return rounded(_adjusted(res).select("gene", F.col("AveExpr").alias("ave"), (F.col("adjusted") & (F.col("stat") >= 0)).alias("sound")))
 
 
-@query("deseq2_likelihood_ratio")
+@query("deseq2_wald", _BASE)
 def _(spark, d):
-    return rounded(models.deseq2(r.matrix(spark, d), "gene", S, _design(), lrt_factors=["condition"])["LRT_condition"])
+    """Mean normalised counts, and a statistic that is the fold change over its error."""
+    res = checkpoint(models.deseq2(r.matrix(spark, d), "gene", S, _design(), [("condition", "f", "o")], model_factors=["condition"])["condition_f_vs_o"])
+    sound = F.col("adjusted") & (F.abs(F.col("stat") * F.col("lfcSE") - F.col("log2FoldChange")) < 1e-6) & (F.col("lfcSE") > 0)
+    return rounded(_adjusted(res).select("gene", F.col("baseMean").alias("base"), sound.alias("sound")), digits=5)
 
 
-_CPM = ", ".join(f"log2(({c}+0.5)/((SELECT sum({c}) FROM counts)+1)*1e6) AS {c}" for c in S)
+@query("deseq2_likelihood_ratio", _BASE)
+def _(spark, d):
+    res = checkpoint(models.deseq2(r.matrix(spark, d), "gene", S, _design(), lrt_factors=["condition"])["LRT_condition"])
+    return rounded(_adjusted(res).select("gene", F.col("baseMean").alias("base"), (F.col("adjusted") & (F.col("stat") >= 0)).alias("sound")), digits=5)
 
 
 @query("linear_model_effects", f"""WITH {r.COUNTS}, l AS (SELECT gene, {_CPM} FROM counts) SELECT gene,

@@ -61,8 +61,9 @@ def test_elim_golden(go):
 
 
 def test_weight_against_golden_subset(go):
-    _, _, edges, nodes, params = go
-    got = {r["attribute"]: r["pval"] for r in en._weight(params, nodes, edges, onto.ancestors(edges)).collect()}
+    rows, targets, edges, nodes, params = go
+    fisher = en._row_test(stats.fisher_pvalue)
+    got = {r["attribute"]: r["pval"] for r in en._weight(params, rows, targets, "key", nodes, edges, onto.ancestors(edges), fisher).collect()}
     for term, want in WEIGHT.items():
         assert got[term] == pytest.approx(want, rel=1e-6)
 
@@ -72,7 +73,7 @@ def test_combined_is_geometric_mean(go):
     fisher = en._row_test(stats.fisher_pvalue)
     closure = onto.ancestors(edges)
     parts = [params.withColumn("pval", fisher("population", "draws", "successes", "hits")),
-             en._elim(params, rows, targets, "key", nodes, closure, fisher, 0.05), en._weight(params, nodes, edges, closure)]
+             en._elim(params, rows, targets, "key", nodes, closure, fisher, 0.05), en._weight(params, rows, targets, "key", nodes, edges, closure, fisher)]
     tables = [{r["attribute"]: r["pval"] for r in p.collect()} for p in parts]
     for r in en._combine(*parts).collect():
         assert r["pval"] == pytest.approx(math.prod(t[r["attribute"]] for t in tables) ** (1 / 3))
