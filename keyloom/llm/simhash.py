@@ -233,9 +233,9 @@ def _hex(fp: str) -> Column:
 def group(fps: DataFrame, links: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id of the component of each row's fingerprint."""
     nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b"))).distinct()
-    groups = connected_components(nodes, links).select(F.col("node").alias("fp"), "component")
+    groups = store(connected_components(nodes, links).select(F.col("node").alias("fp"), "component"))
     rooted = store(fps.join(groups, "fp", "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("root")))
-    least = store(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # stored, so that the join below can split a hot root
+    least = store(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # both stored, so that the joins can split a hot key
     return rooted.join(least, "root").select("doc_id", "fp", "component_id")
 
 
