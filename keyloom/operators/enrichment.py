@@ -198,10 +198,7 @@ def _sign_pvalue(above: pd.Series, below: pd.Series) -> pd.Series:
 
 # --- ranked lists -------------------------------------------------------------------------------------------------------
 
-@F.pandas_udf(T.DoubleType())
-def _upper_tail(population: pd.Series, draws: pd.Series, successes: pd.Series, hits: pd.Series) -> pd.Series:
-    return pd.Series([stats.hypergeom_sf(int(k) - 1, int(n), int(s), int(d))
-                      for n, d, s, k in zip(population, draws, successes, hits)], dtype=float)
+_upper_tail = _row_test(lambda population, draws, successes, hits: stats.hypergeom_sf(hits - 1, population, successes, draws))
 
 
 def _mhg_pvalue(min_hits: int, lowest: int):
@@ -235,14 +232,14 @@ def ranked_enrichment(annotations: DataFrame, ranked: DataFrame, key: str, rank:
         F.struct(F.lit("bottom").alias("end"), (F.lit(n - 1) - F.col("__r")).cast("long").alias("at")))))
     numbered = row_numbers(both.filter(F.col("at") < lowest), ["attribute", "end"], ["at"], "hits").select(
         "attribute", "end", (F.col("at") + 1).alias("draws"), "hits")
-    cells = checkpoint(spread(numbered.filter(F.col("hits") >= min_hits).join(totals, "attribute")).withColumn(
+    cells = checkpoint(spread(checkpoint(numbered.filter(F.col("hits") >= min_hits).join(totals, "attribute"))).withColumn(
         "tail", _upper_tail(F.lit(n), "draws", "successes", "hits")))
     best = cells.groupBy("attribute", "end").agg(F.min(F.struct("tail", "draws", "hits")).alias("b"))
     ends = totals.select("attribute", "successes", F.explode(F.array(F.lit("top"), F.lit("bottom"))).alias("end"))
     stats_by_end = ends.join(best, ["attribute", "end"], "left").select(
         "attribute", "end", "successes", F.coalesce("b.tail", F.lit(1.0)).alias("stat"),
         F.coalesce("b.draws", F.lit(0)).alias("draws"), F.coalesce("b.hits", F.lit(0)).alias("hits"))
-    scored = checkpoint(spread(stats_by_end, 50)
+    scored = checkpoint(spread(checkpoint(stats_by_end), 50)
         .withColumn("pval", _mhg_pvalue(min_hits, lowest)(F.lit(n), "successes", "stat")))
     fold = F.col("hits") / (F.col("successes") * F.col("draws") / F.lit(float(n)))
     escore = cells.join(scored.select("attribute", "end", "pval"), ["attribute", "end"]).filter("tail <= pval").groupBy(

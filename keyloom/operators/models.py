@@ -85,7 +85,7 @@ def limma_voom(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataF
         raise ValueError("more samples than coefficients are needed")
     sizes = column_sums(df, samples)
     lib = np.array([sizes[c] + 1 for c in samples])
-    rows = checkpoint(spread(_values(df, key, samples), ROWS_PER_TASK))
+    rows = spread(checkpoint(_values(df, key, samples)), ROWS_PER_TASK)
     kind = df.schema[key].dataType.simpleString()
 
     def logcpm(y: np.ndarray) -> np.ndarray:
@@ -259,7 +259,7 @@ def deseq2(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataFrame
         raise ValueError("more samples than coefficients are needed")
     factors_by_sample = scaling_factors or rle_factors(df, samples)
     size = np.array([factors_by_sample[c] for c in samples])
-    rows = checkpoint(spread(_values(df, key, samples, round_counts=True).filter(F.exists("y", lambda v: v > 0)), ROWS_PER_TASK))
+    rows = spread(checkpoint(_values(df, key, samples, round_counts=True).filter(F.exists("y", lambda v: v > 0))), ROWS_PER_TASK)
     kind = df.schema[key].dataType.simpleString()
 
     def genewise(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -54,7 +54,8 @@ def spread(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
 
     Byte-based splits can leave very few partitions (a small file, one row group, coalesced shuffle output). Inputs that
     already have enough partitions are returned unchanged, so large scans are never shuffled for this.
-    ``rows_per_task`` also bounds the rows of a task, at the price of counting them.
+    ``rows_per_task`` also bounds the rows of a task, at the price of counting them. Give a stored table: both look at its
+    partitions, which would otherwise be computed for that alone.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     if rows_per_task:
