@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sum
+from .common import running_sum, store
 from .ordering import TOKENIZER, encoding
 
 #: Printed marks before the role, before the text and after the text. Their ids follow the vocabulary and its end-of-document id.
@@ -48,7 +48,7 @@ def assemble(segments: list[list[int]], marks: list[int], learned: bool) -> tupl
 def format_turns(turns: DataFrame, learn: tuple[str, ...] = ("assistant",), tokenizer: str = TOKENIZER) -> DataFrame:
     """One row per turn: conv_id, turn, first_token (tokens of the conversation before it), ids, mask.
 
-    ``mask`` is 1 on the tokens of the text if the role is in ``learn``. Turns follow each other by ``turn`` (null first; ties by role, then text).
+    ``mask`` is 1 on the tokens of the text if the role is in ``learn``. Turns follow each other by ``turn`` (null first; ties by the md5 of role, newline and text).
     Null roles and texts are empty; a null conv_id is a conversation too. Rows that repeat are turns of their own. Turns are
     encoded one by one and positions are running sums over ranges, so a conversation of any length is spread over tasks. An
     empty table gives an empty result.
@@ -66,10 +66,13 @@ def format_turns(turns: DataFrame, learn: tuple[str, ...] = ("assistant",), toke
                 [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.binary()),
                  pa.array([len(i) for i in ids], pa.int64()), batch.column(4)], ["conv_id", "turn", "ids", "mask", "__len", "__tie"])
     plain = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text",
-                         F.concat_ws("\n", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("__tie"))
-    encoded = plain.mapInArrow(run, "conv_id long, turn long, ids array<int>, mask binary, __len long, __tie string")
-    summed = running_sum(encoded, ["conv_id"], ["turn", "__tie"], {"__upto": F.col("__len")})
-    return summed.select("conv_id", "turn", (F.col("__upto") - F.col("__len")).alias("first_token"), "ids", "mask")
+                         F.md5(F.concat_ws("\n", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).cast("binary")).alias("__tie"))
+    # encoded once and stored; only lengths are ordered and summed, and come back to their row by its number
+    encoded = store(plain.mapInArrow(run, "conv_id long, turn long, ids array<int>, mask binary, __len long, __tie string").withColumn(
+        "__row", F.monotonically_increasing_id()))
+    summed = running_sum(encoded.select("__row", "conv_id", "turn", "__tie", "__len"), ["conv_id"], ["turn", "__tie"], {"__upto": F.col("__len")})
+    return encoded.join(summed.select("__row", "__upto"), "__row").select(
+        "conv_id", "turn", (F.col("__upto") - F.col("__len")).alias("first_token"), "ids", "mask")
 
 
 def read_turn(ids: np.ndarray, mask: np.ndarray, enc) -> tuple[str, str, str, str]:

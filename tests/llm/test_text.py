@@ -96,7 +96,8 @@ def test_chat_round_trip(spark):
         queries._digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     want = []
     for conv in {t[0] for t in TURNS}:
-        own = sorted([t for t in TURNS if t[0] == conv], key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
+        own = sorted([t for t in TURNS if t[0] == conv], key=lambda t: (
+            t[1] is not None, t[1] or 0, hashlib.md5(f"{t[2] or ''}\n{t[3] or ''}".encode()).hexdigest()))
         said = "".join(f"{r or ''}\n{x or ''}\n" for _, _, r, x in own)
         learned = "".join(x or "" for _, _, r, x in own if r == "assistant")
         want.append((conv, len(own), hashlib.sha256(said.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest()))
