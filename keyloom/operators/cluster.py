@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -227,25 +227,26 @@ def default_max_k(n_rows: int) -> int:
     return min(20, n_rows // 4)
 
 
-def score_k(feats: DataFrame, key: str, method: str = "silhouette", max_k: int | None = None, **options) -> DataFrame:
-    """(k, score, best) for k-means with every K from 2 up."""
+def score_k(feats: DataFrame, key: str, method: str = "silhouette", max_k: int | None = None, fit: Callable = kmeans, **options) -> DataFrame:
+    """(k, score, best) with every K from 2 up, for the clustering ``fit(feats, key, k, **options)``."""
     fn, larger = K_CRITERIA[method]
     top = max_k or default_max_k(feats.count())
-    scores = {k: fn(feats, checkpoint(kmeans(feats, key, k, **options)), key) for k in range(2, top + 1)}
+    scores = {k: fn(feats, checkpoint(fit(feats, key, k, **options)), key) for k in range(2, top + 1)}
     best = (max if larger else min)(scores, key=scores.__getitem__)
     return feats.sparkSession.createDataFrame([(k, float(s), k == best) for k, s in scores.items()],
                                               "k int, score double, best boolean")
 
 
-def _dispersion(feats: DataFrame, key: str, k: int, seed: int, n_init: int) -> float:
-    if k == 1:
-        return sum(p["ss"] for p in _cluster_sums(feats, feats.select(key, F.lit(0).alias("cluster")), key)[0])
+def _dispersion(feats: DataFrame, key: str, k: int, seed: int, n_init: int, fit: Callable | None = None) -> float:
+    if k == 1 or fit is not None:
+        labels = feats.select(key, F.lit(0).alias("cluster")) if k == 1 else checkpoint(fit(feats, key, k, seed=seed))
+        return sum(p["ss"] for p in _cluster_sums(feats, labels, key)[0])
     return _fit_kmeans(feats, k, n_init, 300, seed)[0].summary.trainingCost
 
 
 def gap_statistic(df: DataFrame, key: str, samples: Sequence[str], max_k: int | None = None, n_refs: int = 10,
-                  power_transform: bool = True, n_init: int = 1, seed: int = 0) -> DataFrame:
-    """(k, gap, error, best). Reference tables are uniform in the principal axes of the data and are generated where
+                  power_transform: bool = True, n_init: int = 1, seed: int = 0, fit: Callable | None = None) -> DataFrame:
+    """(k, gap, error, best), for k-means or for ``fit(feats, key, k, seed=...)``. Reference tables are uniform in the principal axes of the data and are generated where
     they are used; K is the smallest with Gap(K) >= Gap(K+1) - S(K+1), not counting 1."""
     n = df.count()
     top = max_k or default_max_k(n)
@@ -268,8 +269,8 @@ def gap_statistic(df: DataFrame, key: str, samples: Sequence[str], max_k: int |
     ks = list(range(1, top + 1))
     gaps, errors = [], []
     for k in ks:
-        logs = np.log([_dispersion(ref, key, k, seed, n_init) for ref in references])
-        gaps.append(float(logs.mean() - math.log(_dispersion(observed, key, k, seed, n_init))))
+        logs = np.log([_dispersion(ref, key, k, seed, n_init, fit) for ref in references])
+        gaps.append(float(logs.mean() - math.log(_dispersion(observed, key, k, seed, n_init, fit))))
         errors.append(float(logs.std() * math.sqrt(1 + 1 / n_refs)))
     good = [ks[i] for i in range(len(ks) - 1) if gaps[i] - gaps[i + 1] + errors[i + 1] >= 0 and ks[i] > 1]
     best = good[0] if good else ks[-1]

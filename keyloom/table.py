@@ -6,6 +6,7 @@ The wrappers hold no data and never run a job by themselves; every method return
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -364,28 +365,35 @@ class CountTable(FeatureTable):
     def _features(self, power_transform: bool) -> DataFrame:
         return cluster.prepare(self.df, self.key, self.samples, power_transform)
 
-    def split_kmeans(self, n_clusters: int | str | Sequence[int], n_init: int = 3, max_iter: int = 300, random_seed: int = 0,
-                     power_transform: bool = True, max_k: int | None = None):
-        """One table per K; a criterion name picks K first."""
+    def _split_by_k(self, n_clusters: int | str | Sequence[int], fit: Callable, power_transform: bool, max_k: int | None, seed: int):
+        """One table per K of ``fit(feats, key, k, seed=...)``; a criterion name (``gap`` or one of ``cluster.K_CRITERIA``) picks K first."""
         feats = self._features(power_transform)
         if isinstance(n_clusters, str):
-            scored = (cluster.gap_statistic(self.df, self.key, self.samples, max_k, power_transform=power_transform, seed=random_seed)
-                      if n_clusters == "gap" else cluster.score_k(feats, self.key, n_clusters, max_k, seed=random_seed))
+            scored = (cluster.gap_statistic(self.df, self.key, self.samples, max_k, power_transform=power_transform, seed=seed, fit=fit)
+                      if n_clusters == "gap" else cluster.score_k(feats, self.key, n_clusters, max_k, fit, seed=seed))
             n_clusters = scored.filter("best").first()["k"]
         several = [n_clusters] if isinstance(n_clusters, int) else list(n_clusters)
-        out = [self._clusters(cluster.kmeans(feats, self.key, k, n_init, max_iter, random_seed)) for k in several]
+        out = [self._clusters(fit(feats, self.key, k, seed=seed)) for k in several]
         return out[0] if len(out) == 1 else tuple(out)
 
-    def split_kmedoids(self, n_clusters: int, n_init: int = 3, max_iter: int = 20, random_seed: int = 0, metric: str = "euclidean",
-                       power_transform: bool = True):
-        return self._clusters(cluster.kmedoids(self._features(power_transform), self.key, n_clusters, n_init, max_iter, metric,
-                                               seed=random_seed))
-
-    def split_hierarchical(self, n_clusters: int | None = None, distance_threshold: float | None = None, power_transform: bool = True):
-        return self._clusters(cluster.hierarchical(self._features(power_transform), self.key, n_clusters, distance_threshold))
-
-    def split_hdbscan(self, min_cluster_size: int, min_samples: int = 1, epsilon: float = 1.0, power_transform: bool = True):
-        return self._clusters(cluster.density_clusters(self._features(power_transform), self.key, epsilon, min_samples, min_cluster_size))
+    def split_kmeans(self, n_clusters: int | str | Sequence[int], n_init: int = 3, max_iter: int = 300, random_seed: int = 0,
+                     power_transform: bool = True, max_k: int | None = None):
+        return self._split_by_k(n_clusters, partial(cluster.kmeans, n_init=n_init, max_iter=max_iter), power_transform, max_k, random_seed)
+
+    def split_kmedoids(self, n_clusters: int | str | Sequence[int], n_init: int = 3, max_iter: int = 300, random_seed: int = 0,
+                       metric: str = "euclidean", power_transform: bool = True, max_k: int | None = None):
+        fit = partial(cluster.kmedoids, n_init=n_init, max_iter=max_iter, metric=metric)
+        return self._split_by_k(n_clusters, fit, power_transform, max_k, random_seed)
+
+    def split_hierarchical(self, n_clusters: int | str | Sequence[int] | None = None, distance_threshold: float | None = None,
+                           metric: str = "euclidean", power_transform: bool = True, max_k: int | None = None, random_seed: int = 0):
+        """Bisection into K clusters, or exact single linkage cut at a distance in ``metric``."""
+        if distance_threshold is not None:
+            return self._clusters(cluster.hierarchical(self._features(power_transform), self.key, n_clusters, distance_threshold, metric=metric))
+        return self._split_by_k(n_clusters, partial(cluster.hierarchical, metric=metric), power_transform, max_k, random_seed)
+
+    def split_hdbscan(self, min_cluster_size: int, min_samples: int = 1, epsilon: float = 1.0, metric: str = "euclidean", power_transform: bool = True):
+        return self._clusters(cluster.density_clusters(self._features(power_transform), self.key, epsilon, min_samples, min_cluster_size, metric))
 
     def split_clicom(self, *parameter_dicts: Mapping, replicate_grouping: Sequence[Sequence[str]] | None = None,
                      power_transform: Sequence[bool] = (True,), evidence_threshold: float = 2 / 3, cluster_unclustered_features: bool = False,

@@ -58,3 +58,32 @@ def test_components_of_a_star_and_a_chain(spark):
     nodes = spark.range(400).withColumnRenamed("id", "node")
     got = {r["node"]: r["component"] for r in graphs.connected_components(nodes, table).collect()}
     assert got == {i: 0 if i < 200 else 300 if 300 <= i <= 360 else i for i in range(400)}
+
+
+def _blobs(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"g{c}_{i}", *map(float, 50 + 40 * np.eye(3)[c] + rng.normal(size=3))) for c in range(3) for i in range(12)]
+    return spark.createDataFrame(rows, "gene string, a double, b double, c double")
+
+
+@pytest.mark.parametrize("split,options", [("split_kmedoids", {"metric": "manhattan"}), ("split_hierarchical", {}), ("split_kmeans", {})])
+def test_k_is_chosen_by_a_criterion_for_every_method(spark, split, options):
+    from keyloom.table import CountTable
+    table = CountTable(_blobs(spark), "gene")
+    out = getattr(table, split)("silhouette", max_k=4, power_transform=False, **options).df
+    groups = {r["gene"]: r["cluster"] for r in out.select("gene", "cluster").collect()}
+    assert len({(g[:2], c) for g, c in groups.items()}) == 3 == len(set(groups.values()))
+    two, three = getattr(table, split)([2, 3], power_transform=False, **options)
+    assert two.df.select("cluster").distinct().count() == 2 and three.df.select("cluster").distinct().count() == 3
+
+
+def test_medoids_are_the_best_members(spark):
+    points = np.random.default_rng(9).normal(size=(60, 3))
+    table = _table(spark, points)
+    medoids = cluster.fit_kmedoids(table, "gene", 3, metric="manhattan", seed=2)
+    d = distance.distances(points, medoids, "manhattan")
+    labels = d.argmin(1)
+    for c in range(3):
+        own = points[labels == c]
+        costs = distance.distances(own, own, "manhattan").sum(0)
+        assert d[labels == c, c].sum() == pytest.approx(costs.min())
