@@ -74,7 +74,7 @@ class Model:
     contexts: list[np.ndarray] = field(default_factory=list)
     log_backoff: list[np.ndarray] = field(default_factory=list)
     unseen: np.ndarray | None = None                            # log-probability of a character nobody has seen
-    calibration: np.ndarray | None = None                       # per language: mean, variance between documents (of all), variance of a character
+    calibration: np.ndarray | None = None                       # per language: cross-entropy of texts and of shuffled texts, variance of a character
 
     def log_likelihood(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Per language: sum of log-probabilities and of their squares over the characters after the first; their number."""
@@ -161,22 +161,22 @@ def fit(counts: pd.DataFrame) -> Model:
 
 
 def calibrate(model: Model, texts: pd.DataFrame) -> None:
-    """Mean and variances of the cross-entropy of (lang, text) rows that the model has not been fitted to."""
-    rows: dict[int, list[tuple[float, float, int]]] = {i: [] for i in range(len(model.languages))}
+    """From (lang, text) rows that the model has not been fitted to: per language the mean cross-entropy, that of the same texts with their
+    characters shuffled (under the language that likes them best), and the variance of a character."""
+    own: list[list[tuple[float, float, float]]] = [[] for _ in model.languages]
+    shuffle = np.random.default_rng(0)
     for lang, text in texts.itertuples(index=False):
         chars = characters(text)
         if lang in model.languages and len(chars) > 20:
             i = model.languages.index(lang)
             total, squares, n = model.log_likelihood(chars)
-            rows[i].append((-total[i] / n, squares[i] / n - (total[i] / n) ** 2, n))
-    everything = [r for own in rows.values() for r in own] or [(np.log(1e6), 0.0, 1)]
-    means = [np.mean([r[0] for r in (own if len(own) >= 5 else everything)]) for own in rows.values()]
-    around = [r[0] - m for own, m in zip(rows.values(), means) if len(own) >= 5 for r in own] or [0.0]
-    each = [np.mean([r[1] for r in (own if len(own) >= 5 else everything)]) for own in rows.values()]
-    model.calibration = np.array([(m, np.var(around), e) for m, e in zip(means, each)])
+            noise = np.concatenate([[SPACE], shuffle.permutation(chars[1:-1]), [SPACE]]).astype(np.uint64)
+            own[i].append((-total[i] / n, -model.log_likelihood(noise)[0].max() / n, squares[i] / n - (total[i] / n) ** 2))
+    everything = [r for rows in own for r in rows] or [(0.0, np.log(1e6), 0.0)]
+    model.calibration = np.array([np.mean(rows if len(rows) >= 5 else everything, axis=0) for rows in own])
 
 
-def predict(model: Model, text: str | None, slack: float) -> tuple[str, float, float | None, bool]:
+def predict(model: Model, text: str | None, strictness: float) -> tuple[str, float, float | None, bool]:
     """(language, score, cross-entropy, accepted). The score is the share of the language among the per-character likelihoods."""
     chars = characters(text)
     if not len(chars) or not model.languages:
@@ -184,8 +184,8 @@ def predict(model: Model, text: str | None, slack: float) -> tuple[str, float, f
     total, _, n = model.log_likelihood(chars)
     entropy = -total / n
     best = int(np.argmin(entropy))
-    mean, between, each = model.calibration[best]
-    limit = mean + slack * np.sqrt(between + each / n)
+    mean, noise, each = model.calibration[best]
+    limit = mean + (1 - strictness) * (noise - mean) + 3 * np.sqrt(each / n)
     return model.languages[best], float(1 / np.exp(entropy[best] - entropy).sum()), float(entropy[best]), bool(entropy[best] <= limit)
 
 
@@ -224,13 +224,13 @@ def train(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> Mo
     return model
 
 
-def identify(docs: DataFrame, usable: Column | None = None, sample_docs: int = SAMPLE_DOCS, slack: float = 20.0) -> DataFrame:
+def identify(docs: DataFrame, usable: Column | None = None, sample_docs: int = SAMPLE_DOCS, strictness: float = 0.3) -> DataFrame:
     """``docs`` with lang_pred, score, cross_entropy and accepted; columns of these names are replaced.
 
     The model learns from ``text`` and ``lang`` of the ``usable`` rows (all by default) and predicts from ``text`` alone. A text
     that is null or has no letter is ``und`` with score 0 and is rejected; so is every text if there is nothing to learn from. A text is rejected
-    too if its cross-entropy is more than ``slack`` standard deviations above that of held-out training documents,
-    which allows for its length. The default lets documents through that mix two learned languages. Ties go to the first language by code point. Rows may repeat and doc_id may be null (such
+    too if its cross-entropy is closer than ``strictness`` (a share of the way) to that of held-out training documents with their characters shuffled
+    than to theirs as they are, with three standard errors for its length. The default lets documents through that mix learned languages. Ties go to the first language by code point. Rows may repeat and doc_id may be null (such
     rows are not learned from). An empty table gives an empty result.
     """
     model = train(docs, F.lit(True) if usable is None else usable, sample_docs)
@@ -239,7 +239,7 @@ def identify(docs: DataFrame, usable: Column | None = None, sample_docs: int = S
 
     @F.arrow_udf("struct<lang_pred: string, score: double, cross_entropy: double, accepted: boolean>")
     def judge(texts: pa.Array) -> pa.Array:
-        found = [predict(shared.value, t, slack) for t in texts.to_pylist()]
+        found = [predict(shared.value, t, strictness) for t in texts.to_pylist()]
         return pa.array([dict(zip(("lang_pred", "score", "cross_entropy", "accepted"), f)) for f in found], type=out)
 
     plain = docs.drop("lang_pred", "score", "cross_entropy", "accepted")
