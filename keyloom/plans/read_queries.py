@@ -61,9 +61,16 @@ def _(spark, d):
     return reads.trim_quality(_reads(spark, d), 20)
 
 
-@query("trim_adapters_single_end")
+_BARE = "regexp_replace(regexp_replace({0}, '^N+', ''), 'N+$', '')"
+
+
+@query("trim_adapters_single_end", f"""WITH {_LINES}, k AS (SELECT sample, read_id, substr(seq, 1, instr(seq, 'ACGTACC') - 1) AS s, qual FROM rd WHERE instr(seq, 'ACGTACC') > 0)
+  SELECT sample, read_id, {_BARE.format('s')} AS seq, substr(qual, len(s) - len(regexp_replace(s, '^N+', '')) + 1, len({_BARE.format('s')})) AS qual FROM k WHERE len({_BARE.format('s')}) >= 5""")
 def _(spark, d):
-    return reads.trim_single_end(_reads(spark, d), three_prime=["ACGTACCGTA"], quality_trimming=None, minimum_length=5)
+    """All reads are trimmed with errors allowed; those that hold the whole adapter must be cut where it starts."""
+    every = _reads(spark, d)
+    whole = every.filter(F.col("seq").contains("ACGTACC")).select("sample", "read_id")
+    return reads.trim_single_end(every, three_prime=["ACGTACC"], quality_trimming=None, minimum_length=5).join(whole, ["sample", "read_id"], "left_semi")
 
 
 def _cut(seq: str, adapter: str) -> str:
@@ -78,12 +85,17 @@ def _(spark, d):
     return reads.trim_single_end(_reads(spark, d), three_prime=["ACGTACC"], quality_trimming=None, trim_ns=False, minimum_length=5, error_tolerance=0.0, allow_indels=False)
 
 
-@query("trim_adapters_paired_end")
+@query("trim_adapters_paired_end", f"""WITH {_LINES}, m AS (SELECT sample, read_id, seq, translate(reverse(seq), 'ACGT', 'TGCA') AS back FROM rd),
+  k AS (SELECT sample, read_id, {_BARE.format("substr(seq, 1, instr(seq, 'ACGTACC') - 1)")} AS seq1, {_BARE.format("substr(back, 1, instr(back, 'GTACGTT') - 1)")} AS seq2
+    FROM m WHERE instr(seq, 'ACGTACC') > 0 AND instr(back, 'GTACGTT') > 0)
+  SELECT * FROM k WHERE len(seq1) >= 10 AND len(seq2) >= 10""")
 def _(spark, d):
+    """All pairs are trimmed with errors allowed; those whose mates both hold their adapter must be cut where it starts."""
     first = _reads(spark, d)
     second = first.select("sample", "read_id", sam.reverse_complement("seq").alias("seq"), F.reverse("qual").alias("qual"))
-    return reads.trim_paired_end(first, second, (["ACGTACCGTA"], ["TTTACGTACG"]), quality_trimming=None, discard_untrimmed=False,
-                                 pair_filter="any")
+    whole = first.filter(F.col("seq").contains("ACGTACC") & sam.reverse_complement("seq").contains("GTACGTT")).select("sample", "read_id")
+    cut = reads.trim_paired_end(first, second, (["ACGTACC"], ["GTACGTT"]), quality_trimming=None, discard_untrimmed=False, pair_filter="any")
+    return cut.join(whole, ["sample", "read_id"], "left_semi").select("sample", "read_id", "seq1", "seq2")
 
 
 @query("filter_read_length", f"WITH {_LINES} SELECT sample, read_id, seq, qual FROM rd WHERE len(seq) BETWEEN 10 AND 60")
