@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sum, store
+from .common import in_slices, running_sum, store
 from .ordering import TOKENIZER, encoding
 
 #: Printed marks before the role, before the text and after the text. Their ids follow the vocabulary and its end-of-document id.
@@ -56,7 +56,7 @@ def format_turns(turns: DataFrame, learn: tuple[str, ...] = ("assistant",), toke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer)
         marks = [enc.n_vocab + 1 + i for i in range(len(MARKS))]
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, masks = [], []
             for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 parts = [enc.encode_ordinary(escape(role or "")), enc.encode_ordinary(escape(text or ""))]

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_slices
+
 #: A repeated passage has at least so many tokens (a power of two), or is a whole block.
 RUN_TOKENS = 8
 #: Pages of one suffix array. A larger host is dealt to several at random, each a fair sample of the host.
@@ -179,7 +181,7 @@ def main_text(pages: DataFrame, min_pages: int = 3, share: float = 0.01, shard_p
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host.alias("__host"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [blocks_of(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(3), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())),

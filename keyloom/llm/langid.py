@@ -239,7 +239,7 @@ def identify(docs: DataFrame, usable: Column | None = None, sample_docs: int = S
 
     @F.arrow_udf("struct<lang_pred: string, score: double, cross_entropy: double, accepted: boolean>")
     def judge(texts: pa.Array) -> pa.Array:
-        found = [predict(shared.value, t, strictness) for t in texts.to_pylist()]
+        found = [predict(shared.value, t.as_py(), strictness) for t in texts]
         return pa.array([dict(zip(("lang_pred", "score", "cross_entropy", "accepted"), f)) for f in found], type=out)
 
     plain = docs.drop("lang_pred", "score", "cross_entropy", "accepted")

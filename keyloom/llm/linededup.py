@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, store
+from .common import SPACE_BYTES, in_slices, store
 
 #: Hashes that one filter shard takes: it holds them (32 MB) next to its two filters (8 MB each).
 SHARD_HASHES = 4_000_000
@@ -80,7 +80,7 @@ def repeated_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _hashes_of(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, hashes = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = {line_hash(k) for k in line_keys(text, min_chars) if k is not None}

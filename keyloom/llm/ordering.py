@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sum, store
+from .common import in_slices, running_sum, store
 
 #: A record is doc_id (8 bytes), number of the record in its document (4), used ids (4), then the ids, 2 bytes each.
 HEADER, HEADER_BYTES = "<qii", 16
@@ -70,7 +70,7 @@ def token_records(docs: DataFrame, length: int, tokenizer: str) -> DataFrame:
     """(part, number, record): fixed-stride records of all documents, numbered within the stored partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, number = encoding(tokenizer), 0
-        for batch in batches:
+        for batch in in_slices(batches):
             records = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.array([*enc.encode_ordinary(text or ""), enc.n_vocab], dtype="<u2")
