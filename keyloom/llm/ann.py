@@ -67,7 +67,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     Nearness is the inner product in double precision. A candidate with the query's own vec_id is left out; ties go to the smaller vec_id. The
     ascent stops where the k-th neighbour found so far has been caught with probability ``recall`` at least; as that one is never
     nearer than the true one, the rule errs to the safe side. Vectors that are null, zero, or hold null or non-finite components
-    take no part; all others must have the length of most. A query with fewer than k candidates gets all. Rows that
+    take no part; nor do any shorter than the longest. A query with fewer than k candidates gets all. Rows that
     repeat a vec_id are candidates of their own. Of exactly equal vectors only the k + 1 smallest ids are indexed, as no others can be in a
     result. Empty tables give an empty result.
     """

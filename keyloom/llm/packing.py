@@ -7,6 +7,8 @@ to the next until a compatible bin is found, else a bin is opened.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,7 +63,7 @@ class Bins:
 
 
 def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Best-fit decreasing over one shard; a piece for each full capacity of a long document and one for its rest."""
+    """Best-fit decreasing over one shard, crowded sources first; a piece for each full capacity of a long document and one for its rest."""
     rows = rows.sort_values(["size", "doc_id", "uid"], ascending=[False, True, True], kind="stable")
     sources = pd.factorize(rows["source"], use_na_sentinel=False)[0]
     repeated = rows["cluster"].duplicated(keep=False).to_numpy()
@@ -76,7 +78,9 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
             out.append((row[0], row[1], piece, piece * capacity, capacity, number, 0))
         if left or not full:
             rest.append((left, row[0], row[1], full, 1 << int(source), bit))
-    rest.sort(key=lambda r: -r[0])
+    # a source with many pieces needs as many bins: open those first, or its small pieces would find no bin left without it
+    pieces, least = Counter(r[4] for r in rest), sum(r[0] for r in rest) / capacity
+    rest.sort(key=lambda r: (-pieces[r[4]] if 2 * pieces[r[4]] > least else 0, -r[0]))
     for size, doc, uid, piece, source, cluster in rest:
         number, offset = bins.place(size, source, cluster)
         out.append((doc, uid, piece, piece * capacity, size, number, offset))
