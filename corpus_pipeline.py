@@ -33,8 +33,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id. A group is connected by fingerprints up to three bits apart, or up to ten
-    if the texts share 0.8 of their five-word shingles. Of rows that repeat a doc_id all stay or go; rows without one stay."""
+    """One document of each group stays: the one with the smallest doc_id. A group is connected by fingerprints up to three bits apart, and by
+    texts that share 0.8 of their five-word shingles. Of rows that repeat a doc_id all stay or go; rows without one stay."""
     groups = simhash.similar_documents(docs).filter(F.col("doc_id").isNotNull())
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)

@@ -25,6 +25,14 @@ from .common import in_slices, store
 CHUNK_ROWS = 16_384
 SHINGLES_AT_ONCE = 65_536
 SHIFTS_AT_ONCE = 64
+#: Rows of a bucket of the shingle join that one salt holds.
+SALT_ROWS = 1024
+#: Sets and shingles of a chunk of texts that are read together.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 200_000
+#: Bits of the map of wanted texts, broadcast in words of 64.
+NEEDED_BITS = 1 << 24
+#: Shingles that so many documents of one in SAMPLE_ONE_IN hold go last in prefixes.
+SAMPLE_ONE_IN, COMMON_IN_SAMPLE, COMMON_MOST = 20, 10, 65_536
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -196,19 +204,11 @@ def _compare(radius: int, rows_at_once: int):
     return run
 
 
-def sampled_masks(tables: int, bits: int, seed: int = 11) -> list[int]:
-    """Masks of ``bits`` random bits: fingerprints d bits apart agree under one of them with the chance 1 - (1 - q) ** tables, q the share of
-    masks that avoid d given bits."""
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
-
-
 def near_links(fps: DataFrame, radius: int = 3, masks: Sequence[int] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(a, b): pairs within ``radius`` of distinct fingerprints of column ``fp`` that agree under one of ``masks``.
 
     Of the pairs that meet under a mask a spanning set is returned, so with ``block_masks`` for the radius (the default, five
-    blocks for three bits) the transitive closure is that of all pairs. The order in a bucket changes with the mask, so
-    other masks give other pairs of a group.
+    blocks for three bits) the transitive closure is that of all pairs.
     """
     masks = masks or block_masks(radius, radius + 2)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
@@ -258,38 +258,151 @@ def similarity(a: str | None, b: str | None, width: int) -> float:
     return len(own & other) / len(own | other) if own or other else 1.0
 
 
-def similar_links(docs: DataFrame, fps: DataFrame, distinct: DataFrame, shingle: int, least: float, radius: int, tables: int, bits: int,
-                  nearest: int) -> DataFrame:
-    """(a, b): pairs of fingerprints up to ``radius`` bits apart whose texts share at least ``least`` of their shingles.
+def in_order(hashes: Sequence[int], common: np.ndarray) -> np.ndarray:
+    """The distinct hashes in 63 bits as signed longs, in the one order of all prefixes: by number, those of ``common`` (sorted, not negative) last."""
+    own = (np.unique(np.array(hashes, dtype="<u8")) >> np.uint64(1)).view(np.int64)
+    if len(common):
+        last = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+    else:
+        last = np.zeros(len(own), dtype=bool)
+    return np.sort(np.where(last, own, own + np.int64(-1 << 63)))
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """The shingles that most documents of a sample hold. They only go last in the order of prefixes, so the choice decides the work, not the result."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            own = [np.unique(np.array(shingle_hashes(t, shingle), dtype="<u8")) >> np.uint64(1) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))], ["h"])
+    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_ONE_IN)) == 0).mapInArrow(run, "h long")
+    often = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON_IN_SAMPLE)
+    return np.sort(np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(COMMON_MOST).collect()], dtype=np.int64))
+
+
+def shingle_prefixes(docs: DataFrame, width: int, shingle: int, least: float) -> DataFrame:
+    """Per row of ``docs``: doc_id, fp, ``th`` (hash of the text), and of the set of its ``shingle``-word shingles ``key`` (its hash, null if it is empty),
+    ``size`` and ``prefix``: its first shingles, of which sets that share ``least`` have one in common."""
+    common = common_shingles(docs, shingle)
 
-    Candidates meet under sampled masks. Of those a fingerprint has, its ``nearest`` are read and measured: groups of copies stay connected
-    through their nearest members, and the number of texts read stays linear.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            texts = batch.column(1).to_pylist()
+            fps = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64)
+            sets = [in_order(shingle_hashes(t, shingle), common) for t in texts]
+            keys = [xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63) if len(own) else None for own in sets]
+            heads = [own[:len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1] if len(own) else own for own in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(fps.view(np.int64)), batch.column(2), pa.array(keys, pa.int64()), pa.array([len(own) for own in sets], pa.int64()),
+                 pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "fp", "th", "key", "size", "prefix"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(
+        run, "doc_id long, fp long, th long, key long, size long, prefix array<long>")
+
+
+def promising(met: DataFrame, least: float) -> DataFrame:
+    """(a, b, spot) of the pairs (one row a common prefix shingle ``h``; keys, sizes and last prefix shingles of both) that may share ``least``. All of
+    the prefix that ends first is counted against the other, so beyond the count only the rest of that set can be common."""
+    small, large = F.least("sa", "sb"), F.greatest("sa", "sb")
+    first = F.when(F.col("la") <= F.col("lb"), F.col("sa")).otherwise(F.col("sb"))
+    most = F.col("n") + F.ceil(F.lit(least) * first - 1e-9) - 1
+    fits = met.filter((F.col("a") != F.col("b")) & (small >= F.lit(least) * large - 1e-6))
+    return fits.groupBy("a", "b", "sa", "sb", "la", "lb").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("spot")).filter(
+        most >= F.lit(least / (1 + least)) * (F.col("sa") + F.col("sb")) - 1e-6).select("a", "b", "sa", "sb", "spot")
+
+
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int, least: float, block_sets: int = BLOCK_SETS,
+             block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b): of ``pairs`` (a, b, sa, sb, spot) those that share ``least`` on reading, as far as they join what was apart in their block.
+
+    The sets of a spot are cut into chunks of bounded size; a block holds the texts of two chunks, each read once however many pairs it is in.
     """
-    pairs = near_links(distinct, radius, sampled_masks(tables, bits)).distinct()
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    sided = pairs.select(F.inline(F.array(F.struct("a", "b", apart.alias("d")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), apart.alias("d")))))
-    place = Window.partitionBy("a").orderBy("d", F.xxhash64("b"))
-    kept = sided.withColumn("__n", F.row_number().over(place)).filter(F.col("__n") <= nearest).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    holders = fps.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    ends = store(kept.select("a", "b", F.explode(F.array("a", "b")).alias("fp")).join(holders, "fp").select("a", "b", "fp", F.col("doc_id").alias("__id")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, F.col("doc_id") == F.col("__id"))
-    both = texts.groupBy("a", "b").agg(F.min(F.when(F.col("fp") == F.col("a"), F.col("text"))).alias("ta"),
-                                       F.min(F.when(F.col("fp") == F.col("b"), F.col("text"))).alias("tb"))
-
-    @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y, shingle) >= least for x, y in zip(left, right)], dtype=bool)
-
-    return both.filter(F.col("ta").isNotNull() & F.col("tb").isNotNull()).filter(alike("ta", "tb")).select("a", "b")
-
-
-def similar_documents(docs: DataFrame, width: int = 3, radius: int = 3, shingle: int = 5, least: float = 0.8, wide_radius: int = 10,
-                      tables: int = 40, bits: int = 14, nearest: int = 3) -> DataFrame:
-    """Near duplicates as in ``near_duplicates``, and also documents up to ``wide_radius`` bits apart that on reading prove to share at
-    least ``least`` of their distinct ``shingle``-word shingles. Returns doc_id, component_id; the same cases are defined alike."""
-    fps = store(fingerprints(docs, width))
-    distinct = store(fps.select("fp").distinct())
-    close = near_links(distinct, radius)
-    links = store(close.union(similar_links(docs, fps, distinct, shingle, least, wide_radius, tables, bits, nearest)).distinct())
-    return group(fps, links).select("doc_id", "component_id")
+    pairs = store(pairs)
+    ends = pairs.select("spot", F.inline(F.array(F.struct(F.col("a").alias("key"), F.col("sa").alias("size")), F.struct(F.col("b").alias("key"), F.col("sb").alias("size"))))).distinct()
+    spots = store(ends.groupBy("spot").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("size") / block_shingles)).alias("chunks")))
+    one, two = (F.pmod(F.xxhash64(F.col(c), F.lit(5)), F.col("chunks")).cast("int") for c in "ab")
+    placed = store(pairs.join(spots, "spot").select("spot", "a", "b", F.least(one, two).alias("i"), F.greatest(one, two).alias("j")))
+    needed = store(placed.select("spot", "i", "j", F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", "th"), "key"))
+    # a bitmap of bounded size first keeps most other texts out of the shuffle
+    bit = F.pmod("th", F.lit(NEEDED_BITS))
+    word, flag = F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(th, {NEEDED_BITS}) & 63 as int))")
+    bitmap = needed.groupBy(word).agg(F.bit_or(flag).alias("flags"))
+    some = docs.select("text", F.xxhash64("text").alias("th")).withColumn("word", word).join(F.broadcast(bitmap), "word").filter(
+        F.col("flags").bitwiseAND(flag) != 0).select("text", "th")
+    once = some.join(needed.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.min("text").alias("text"))
+    texts = needed.join(once, "th").groupBy("spot", "i", "j").agg(F.collect_list(F.struct("key", "text")).alias("texts"))
+    blocks = placed.groupBy("spot", "i", "j").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).join(texts, ["spot", "i", "j"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, 1):
+            for a, b, texts in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                own = {t["key"]: np.unique(np.array(shingle_hashes(t["text"], shingle), dtype="<u8")) for t in texts}
+                place = {key: n for n, key in enumerate(own)}
+                labels, links = list(range(len(own))), []
+
+                def root(x: int) -> int:
+                    while labels[x] != x:
+                        labels[x] = x = labels[labels[x]]
+                    return x
+
+                for x, y in zip(a, b):
+                    rx, ry = root(place[x]), root(place[y])
+                    if rx != ry:
+                        both = len(np.intersect1d(own[x], own[y], assume_unique=True))
+                        if both / (len(own[x]) + len(own[y]) - both) >= least:
+                            labels[rx] = ry
+                            links.append((x, y))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+    return blocks.select("a", "b", "texts").mapInArrow(run, "a long, b long")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, close: DataFrame, shingle: int, least: float, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """(a, b): links of fingerprints that, with ``close``, connect the rows whose texts share at least ``least`` of their shingles.
+
+    An exact join: sets that share so much have a shingle of their prefixes in common. Sets first meet one hub of each bucket; then all pairs
+    of a bucket that are not connected yet by verified links meet, over salts, and every one that can share enough is read.
+    """
+    sets = store(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(
+        F.min("fp").alias("fp"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
+    equal = rows.select("key", F.col("fp").alias("b")).distinct().join(sets.select("key", F.col("fp").alias("a")), "key").filter("a != b").select("a", "b")
+    entries = sets.select("key", "size", F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("h"))
+    bucket = Window.partitionBy("h")
+    shared = store(entries.withColumns({
+        "n": F.count(F.lit(1)).over(bucket),
+        "hub": F.min(F.struct(F.xxhash64("key").alias("o"), "key", "size", "last")).over(bucket)}).filter(F.col("n") > 1))
+    keys = sets.select("key", "fp")
+
+    def of_fingerprints(found: DataFrame) -> DataFrame:
+        return found.join(keys.select(F.col("key").alias("a"), F.col("fp").alias("fa")), "a").join(
+            keys.select(F.col("key").alias("b"), F.col("fp").alias("fb")), "b").filter("fa != fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        groups = connected_components(nodes, links).select(F.col("node").alias("fp"), "component")
+        return store(keys.join(groups, "fp", "left").select("key", F.coalesce("component", "fp").alias("label")))
+
+    links = store(close.union(equal).distinct())
+    label = labelled(links)
+    hubs = promising(shared.select(F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("hub.size").alias("sa"), F.col("size").alias("sb"),
+                                   F.col("hub.last").alias("la"), F.col("last").alias("lb"), "h"), least)
+    apart = hubs.join(label.toDF("a", "ga"), "a").join(label.toDF("b", "gb"), "b").filter("ga != gb").drop("ga", "gb")
+    links = store(links.union(of_fingerprints(verified(docs, sets, apart, shingle, least))).distinct())
+    label = labelled(links)
+
+    members = store(shared.drop("hub").join(label, "key"))
+    mixed = store(members.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("salts")).filter(
+        "lo != hi").select("h", "salts"))
+    open_ = members.join(mixed, "h").drop("n")
+    left = open_.withColumn("salt", F.pmod(F.xxhash64("key", "h"), F.col("salts")).cast("int")).select(
+        "h", "salt", F.col("key").alias("a"), F.col("size").alias("sa"), F.col("last").alias("la"), F.col("label").alias("ga"))
+    right = open_.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("key").alias("b"), F.col("size").alias("sb"),
+                         F.col("last").alias("lb"), F.col("label").alias("gb"))
+    met = left.join(right.hint("merge"), ["h", "salt"]).filter("a < b and ga != gb").drop("salt", "ga", "gb")
+    return links.union(of_fingerprints(verified(docs, sets, promising(met, least), shingle, least))).distinct()
+
+
+def similar_documents(docs: DataFrame, width: int = 3, radius: int = 3, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Near duplicates as in ``near_duplicates``, and also all documents that share at least ``least`` of their distinct ``shingle``-word shingles,
+    however many bits apart. Returns doc_id, component_id; the same cases are defined alike."""
+    rows = store(shingle_prefixes(docs, width, shingle, least))
+    close = store(near_links(store(rows.select("fp").distinct()), radius).distinct())
+    links = store(similar_links(docs, rows, close, shingle, least))
+    return group(rows.select("doc_id", "fp"), links).select("doc_id", "component_id")

@@ -170,3 +170,43 @@ def test_similar_documents_are_read_before_they_are_linked(spark):
     assert all(j <= (a or c) for j, a, c in zip(joined, alike, close)) and all(j for j, c in zip(joined, close) if c)
     assert sum(j and a for j, a in zip(joined, alike)) >= 0.9 * sum(alike) > 20
     assert got[None] == 0 and got[5000] == got[5001] == 5000
+
+
+def brute_similar(texts, least=0.8, width=5, radius=3):
+    sets = [set(simhash.shingle_hashes(t, width)) for _, t in texts]
+    fps = [simhash.fingerprint(t) for _, t in texts]
+    label = list(range(len(texts)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+    for i in range(len(texts)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= radius or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) > 0:
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    least_id = {c: min(d for n, (d, _) in enumerate(texts) if root(n) == c) for c in {root(n) for n in range(len(texts))}}
+    return {d: least_id[root(n)] for n, (d, _) in enumerate(texts)}
+
+
+def test_edited_copies_of_one_document_are_found_through_it(spark):
+    """Copies share 0.8 with the original only, about 0.7 with each other."""
+    rng = np.random.default_rng(21)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    original = list(rng.choice(vocabulary, 300))
+    texts = [(1000, " ".join(original))]
+    for i in range(400):
+        copy = list(original)
+        for at in np.linspace(10, 285, 5).astype(int) + rng.integers(-10, 10, 5):
+            copy[at] = f"edit{i}x{at}"
+        texts.append((i, " ".join(copy)))
+    for i in range(200):  # others, some of them in pairs around the limit
+        words = list(rng.choice(vocabulary, 200))
+        texts.append((2000 + 2 * i, " ".join(words)))
+        words[:i % 20 * 3] = ["other"] * (i % 20 * 3)
+        texts.append((2001 + 2 * i, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, texts)).collect()}
+    want = brute_similar(texts)
+    assert sum(c == 0 for c in want.values()) == 401
+    assert got == want
