@@ -210,3 +210,19 @@ def test_edited_copies_of_one_document_are_found_through_it(spark):
     want = brute_similar(texts)
     assert sum(c == 0 for c in want.values()) == 401
     assert got == want
+
+
+def test_no_candidate_is_crowded_out_by_nearer_ones(spark):
+    """Groups of 60 copies: many are nearer in bits to each other than to the original, but share 0.8 with it alone."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for g in range(4):
+        original = list(rng.choice([f"w{i}" for i in range(5000)], 300))
+        texts.append((100 * g + 99, " ".join(original)))
+        for i in range(60):
+            copy = list(original)
+            for at in np.linspace(10, 285, 5).astype(int) + rng.integers(-10, 10, 5):
+                copy[at] = f"edit{i}x{at}"
+            texts.append((100 * g + i, " ".join(copy)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, texts)).collect()}
+    assert got == brute_similar(texts) == {d: d // 100 * 100 for d, _ in texts}
