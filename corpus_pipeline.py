@@ -41,9 +41,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix_sources(docs).select("doc_id", "copies").filter(F.col("copies") > 0)
-    return docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each row as often as the mix takes it, also rows without a doc_id and rows that repeat one."""
+    rows = store(docs.withColumn("__row", F.monotonically_increasing_id()))  # stored, so that every reader sees the same numbers
+    copies = mixing.mix_sources(rows, keep=["__row"]).select("__row", "copies").filter(F.col("copies") > 0)
+    return rows.join(copies, "__row").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def pack_contexts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

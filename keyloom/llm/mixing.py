@@ -46,17 +46,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
-                seed: str = "mix") -> DataFrame:
+                seed: str = "mix", keep: Sequence[str] = ()) -> DataFrame:
     """How many copies of each document the mix takes.
 
-    Returns per row of ``docs``: doc_id, size (words; null text 0), source, source_size, target, copies, taken (copies x size).
+    Returns per row of ``docs``: doc_id, size (words; null text 0), source, source_size, target, copies, taken (copies x size), and the
+    columns ``keep`` of ``docs``, such as a row number to go back by.
     Within a source the sum of ``taken`` differs from the target by less than one document: of the two cuts around the target the nearer
     is taken, the lower on a tie. ``copies`` never exceeds ``cap`` rounded up. The random number depends on doc_id
     and ``seed`` alone, so reruns agree; rows that share a doc_id are ordered by text and stay separate rows. A null doc_id counts as
     the id "null". Sources without words have target 0 and copies of their empty documents at the whole part of the ratio 0.
     An empty table gives an empty result.
     """
-    sized = store(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+    sized = store(docs.select(*keep, "doc_id", "source", word_count(F.col("text")).alias("size"),
                               F.xxhash64("text").alias("__tie")))
     targets = source_targets(sized, weights, share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -73,4 +74,4 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     picked = (F.col("__upto") - F.col("size") / 2 < rest) & (F.col("__odds") < float("inf"))
     copies = (F.col("__whole") + picked.cast("long")).cast("long")
     return summed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-                         (copies * F.col("size")).alias("taken"))
+                         (copies * F.col("size")).alias("taken"), *keep)

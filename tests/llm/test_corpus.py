@@ -262,3 +262,17 @@ def test_pipeline_on_nulls_and_nothing(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = store(stage(spark, docs, SF))
         assert docs.count() >= 0
+
+
+def test_pipeline_mix_takes_every_row_for_itself(spark):
+    rows = [(None if i % 4 == 0 else i // 3, f"{i} " + "word " * (i % 7), "en", "abc"[i % 3], i) for i in range(120)]
+    docs = store(spark.createDataFrame(rows, DOCS))
+    mixed = corpus_pipeline.mix_to_targets(spark, docs, SF)
+    assert mixed.columns == corpus_pipeline.COLUMNS
+    got = Counter((r["doc_id"], r["text"]) for r in mixed.collect())
+    numbered = store(docs.withColumn("number", F.col("n_chars")))
+    want = Counter()
+    for r in mixing.mix_sources(numbered, keep=["number"]).collect():
+        want[rows[r["number"]][:2]] += r["copies"]
+    assert got == +want and sum(n for (i, _), n in got.items() if i is None) > 20
+    assert sum(got.values()) == sum(r["copies"] for r in mixing.mix_sources(docs).collect())
