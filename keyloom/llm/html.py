@@ -14,14 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices
+from .common import in_slices, store
 
 #: A repeated passage has at least so many tokens (a power of two), or is a whole block.
 RUN_TOKENS = 8
-#: Pages of one suffix array. A larger host is dealt to several at random, each a fair sample of the host.
+#: Pages of one suffix array. A larger host is cut, and its repeated passages are counted over all its pages before.
 SHARD_PAGES = 512
 #: Hosts with at least one in so many pages are dealt over tasks.
 HOT_SHARE = 1000
@@ -134,8 +135,25 @@ def repeated(tokens: np.ndarray, pages: np.ndarray, starts: np.ndarray, lengths:
     return covered
 
 
-def main_texts(rows: pd.DataFrame, min_pages: int, share: float) -> list[str]:
-    """Main text of each page (columns kinds and texts) of one host shard."""
+def passages(text: str) -> list[int]:
+    """Hashes of the passages that start at each token of a block: ``RUN_TOKENS`` tokens, or a whole shorter block."""
+    words = text.split(" ")
+    if len(words) < RUN_TOKENS:
+        return [xxhash.xxh64_intdigest(text + "\n") - (1 << 63)]
+    return [xxhash.xxh64_intdigest(" ".join(words[i:i + RUN_TOKENS])) - (1 << 63) for i in range(len(words) - RUN_TOKENS + 1)]
+
+
+def covered_by(text: str, common: np.ndarray) -> np.ndarray:
+    """Which tokens of a block lie in a passage of ``common``."""
+    edge = np.zeros(text.count(" ") + 2, dtype=np.int64)
+    hits = np.flatnonzero(np.isin(np.array(passages(text), dtype=np.int64), common))
+    np.add.at(edge, hits, 1)
+    np.add.at(edge, np.minimum(hits + RUN_TOKENS, len(edge) - 1), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def main_texts(rows: pd.DataFrame, min_pages: int, share: float, common: np.ndarray | None = None) -> list[str]:
+    """Main text of each page (columns kinds and texts) of one host, or of some of its pages if ``common`` holds the host's repeated passages."""
     words, page_of, starts, lengths, where = [], [], [], [], []
     at = 0
     for page, texts in enumerate(rows["texts"]):
@@ -145,7 +163,7 @@ def main_texts(rows: pd.DataFrame, min_pages: int, share: float) -> list[str]:
             starts.append(at), lengths.append(len(own)), where.append((page, b))
             at += len(own) + RUN_TOKENS - 1
     covered = np.zeros(0, dtype=bool)
-    if where:
+    if where and common is None:
         starts, lengths = np.array(starts), np.array(lengths)
         tokens = np.full(at, -1, dtype=np.int64)
         tokens[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(words))] = pd.factorize(np.array(words, dtype=object))[0]
@@ -160,7 +178,7 @@ def main_texts(rows: pd.DataFrame, min_pages: int, share: float) -> list[str]:
             continue
         text = texts[page][b]
         if kind == OUTSIDE:
-            own = covered[start:start + length]
+            own = covered[start:start + length] if common is None else covered_by(text, common)
             text = " ".join(w for w, gone in zip(text.split(" "), own) if not gone) if own.any() else text
         if text:
             kept[page].append(text)
@@ -173,8 +191,8 @@ def main_text(pages: DataFrame, min_pages: int = 3, share: float = 0.01, shard_p
     Text is the page's blocks joined by newlines. Blocks in furniture (menus, headers, footers, sidebars, notices, adverts,
     forms, reader comments, known by element or by class, id or role) go. If the page has an article or main element its blocks
     are the text; else what is left of the others after passages that at least ``min_pages`` pages, and ``share`` of the
-    pages, of its host shard repeat. The host is the part of the url after :// (null or none: the empty host). A host shard
-    is up to ``shard_pages`` pages of a host, in the order of a hash of page_id and url. Null and empty html give the empty text; rows that
+    pages, of its host repeat. The host is the part of the url after :// (null or none: the empty host). Of hosts with more than
+    ``shard_pages`` pages, passages are counted by a Spark aggregate if any of their pages needs them. Null and empty html give the empty text; rows that
     repeat each give a row; tags that do not close and very long pages are handled in one pass. An empty table gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
@@ -187,6 +205,18 @@ def main_text(pages: DataFrame, min_pages: int = 3, share: float = 0.01, shard_p
                 [batch.column(0), batch.column(1), batch.column(3), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())),
                  pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))], ["page_id", "url", "host", "kinds", "texts"])
 
+    def passages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            for host_, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.array(list({h for _, t in blocks_of(source) for h in passages(t)}), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([host_] * len(own), pa.string()), pa.array(own)], ["__host", "h"])
+
+    def needing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            kinds = [[k for k, _ in blocks_of(source)] for source in batch.column(1).to_pylist()]
+            found = {h for h, own in zip(batch.column(0).to_pylist(), kinds) if OUTSIDE in own and ARTICLE not in own}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["__host"])
+
     parsed = plain.mapInArrow(parse, "page_id long, url string, host string, kinds array<int>, texts array<string>")
     counts = plain.groupBy("__host").agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n")).first()[0] or 0
@@ -196,27 +226,45 @@ def main_text(pages: DataFrame, min_pages: int = 3, share: float = 0.01, shard_p
     dealt = parsed.join(F.broadcast(hot), F.col("host") == F.col("__host"), "left").withColumn("turn", F.xxhash64("page_id", "url"))
     dealt = dealt.withColumn("shard", F.pmod("turn", shards).cast("int")).select("page_id", "url", "host", "shard", "turn", "kinds", "texts")
 
-    def extract(rows: list[pd.DataFrame]) -> pd.DataFrame:
+    # hosts that one suffix array does not hold: their passages that pages share, where a page without article or main needs them
+    large = store(counts.filter(F.col("__n") > shard_pages))
+    of_large = plain.join(large, "__host").select("__host", "html")
+    wanted = store(of_large.mapInArrow(needing, "__host string").distinct())
+    often = of_large.join(wanted, "__host", "left_semi").mapInArrow(passages_of, "__host string, h long").groupBy("__host", "h").agg(
+        F.count(F.lit(1)).alias("__pages")).join(large, "__host").filter(
+        F.col("__pages") >= F.greatest(F.lit(min_pages), F.ceil(F.lit(share) * F.col("__n"))))
+    lists = large.join(often.groupBy("__host").agg(F.collect_list("h").alias("common")), "__host", "left")
+    is_hot = F.col("__n") * HOT_SHARE >= F.lit(total)
+    # one row ahead of each shard of such a host
+    ahead = lists.select(F.col("__host").alias("host"), F.explode(F.sequence(F.lit(0), F.when(is_hot, F.ceil(F.col("__n") / shard_pages) - 1).otherwise(0).cast("int"))).alias("shard"),
+                         F.coalesce("common", F.array().cast("array<long>")).alias("common"))
+    dealt = dealt.withColumn("common", F.lit(None).cast("array<long>")).unionByName(ahead, allowMissingColumns=True)
+
+    def extract(rows: list[pd.DataFrame], common: np.ndarray | None) -> pd.DataFrame:
         own = pd.concat(rows, ignore_index=True)
-        return own[["page_id", "url"]].assign(text=main_texts(own, min_pages, share)).astype({"page_id": "Int64"})
+        return own[["page_id", "url"]].assign(text=main_texts(own, min_pages, share, common)).astype({"page_id": "Int64"})
 
     def shard_by_shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, key = [], None
+        held, key, common = [], None, None
         for batch in batches:
             for own, rows in batch.groupby(["host", "shard"], sort=False):
-                if held and own != key:
-                    yield extract(held)
-                    held = []
+                if own != key:
+                    if held:
+                        yield extract(held, common)
+                    held, common = [], None
                 key = own
+                first = rows["common"].iloc[0]
+                if first is not None:  # the shard's row ahead comes first
+                    common, rows = np.asarray(first, dtype=np.int64), rows.iloc[1:]
                 while len(rows):
                     room = shard_pages - sum(map(len, held))
                     held.append(rows.iloc[:room])
                     rows = rows.iloc[room:]
                     if sum(map(len, held)) == shard_pages:
-                        yield extract(held)
+                        yield extract(held, common)
                         held = []
         if held:
-            yield extract(held)
+            yield extract(held, common)
 
-    return dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", "turn").mapInPandas(
+    return dealt.repartition("host", "shard").sortWithinPartitions("host", "shard", F.col("common").isNull(), "turn").mapInPandas(
         shard_by_shard, "page_id long, url string, text string")

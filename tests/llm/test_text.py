@@ -206,3 +206,12 @@ def test_held_out_accuracy(spark):
     rows = queries.op7_language_id(spark, "/root/testdata/sf0.01").join(
         queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.98 and np.mean([r["accepted"] for r in rows]) > 0.99
+
+
+def test_main_text_counts_passages_over_the_whole_host(spark):
+    notice = "this notice stands on every page of the whole site"
+    rows = [(i, "http://big.example/" + str(i), f"<body><p>{notice}</p><p>page {i} says " + " ".join(f"w{i}x{j}" for j in range(12)) + "</p></body>")
+            for i in range(17)]  # shards of 16 leave a remainder of one page
+    got = html.main_text(spark.createDataFrame(rows, PAGES), shard_pages=16).collect()
+    assert len(got) == 17 and not any(notice in r["text"] for r in got)
+    assert all(r["text"] == f"page {r['page_id']} says " + " ".join(f"w{r['page_id']}x{j}" for j in range(12)) for r in got)
