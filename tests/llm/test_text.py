@@ -209,9 +209,9 @@ def test_held_out_accuracy(spark):
 
 
 def test_main_text_counts_passages_over_the_whole_host(spark):
-    notice = "this notice stands on every page of the whole site"
-    rows = [(i, "http://big.example/" + str(i), f"<body><p>{notice}</p><p>page {i} says " + " ".join(f"w{i}x{j}" for j in range(12)) + "</p></body>")
-            for i in range(17)]  # shards of 16 leave a remainder of one page
-    got = html.main_text(spark.createDataFrame(rows, PAGES), shard_pages=16).collect()
-    assert len(got) == 17 and not any(notice in r["text"] for r in got)
-    assert all(r["text"] == f"page {r['page_id']} says " + " ".join(f"w{r['page_id']}x{j}" for j in range(12)) for r in got)
+    notice = "this notice stands on every third page of the site"
+    own = ["page {} says ".format(i) + " ".join(f"w{i}x{j}" for j in range(12)) for i in range(40)]
+    rows = [(i, f"http://big.example/{i}", f"<body>{f'<p>{notice}</p>' if i % 3 == 0 else ''}<p>{own[i]}</p></body>") for i in range(40)]
+    # 14 pages hold it, but no shard of at most 16 pages has ten of them
+    got = html.main_text(spark.createDataFrame(rows, PAGES), min_pages=10, shard_pages=16).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == list(enumerate(own))
