@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, chat, html, langid, linededup, mixing, ordering, ordermin, packing, simhash
+from . import ann, chat, decontam, html, langid, linededup, mixing, negatives, ordering, ordermin, packing, simhash
 
 #: The conversation that the formatting contract adds: it holds the template's own control strings.
 ADDED_CONVERSATION, ADDED_TEXT = -7, r"\### Assistant: </turn> ok"
@@ -125,7 +125,50 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.training_order(table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP11_SQL = r"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS t
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM items WHERE len(w) > 0)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+spelled AS (SELECT r, i, m, string_agg(word, ' ') OVER later AS t, count(*) OVER later AS n FROM words, (SELECT DISTINCT m FROM windows)
+  WINDOW later AS (PARTITION BY r, m ORDER BY i ROWS BETWEEN CURRENT ROW AND m - 1 FOLLOWING)),
+met AS (SELECT s.r, s.i, s.m, w.item_id FROM spelled s JOIN windows w ON s.t = w.t AND s.n = w.m AND s.m = w.m),
+hits AS (SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM met) GROUP BY r),
+named AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM met WHERE item_id IS NOT NULL)
+  GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated FROM texts LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = r"""WITH sound AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM sound a JOIN sound r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_line_dedup, op3_chat_formatting, op4_nearest_neighbours, op5_best_fit_packing, op6_order_minhash,
-    op7_language_id, op8_source_mixing, op9_simhash_near_dedup, op10_training_order)} | {"pipeline": corpus_pipeline.run}
-SQL = {"op2_line_dedup": OP2_SQL, "op8_source_mixing": OP8_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    op7_language_id, op8_source_mixing, op9_simhash_near_dedup, op10_training_order, op11_benchmark_decontamination,
+    op13_hard_negatives)} | {"pipeline": corpus_pipeline.run}
+SQL = {"op2_line_dedup": OP2_SQL, "op8_source_mixing": OP8_SQL, "op11_benchmark_decontamination": OP11_SQL, "op13_hard_negatives": OP13_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
