@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, chat, decontam, html, langid, linededup, mixing, negatives, ordering, ordermin, packing, simhash
+from . import ann, chat, decontam, html, langid, linededup, mixing, negatives, ordering, ordermin, packing, repair, simhash
 
 #: The conversation that the formatting contract adds: it holds the template's own control strings.
 ADDED_CONVERSATION, ADDED_TEXT = -7, r"\### Assistant: </turn> ok"
@@ -148,6 +148,84 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
   coalesce(n_hit, 0) > 0 AS contaminated FROM texts LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
 
 
+class _RepairDigest(repair.Report):
+    """The columns of the contract for one conversation; only the string of initials is held."""
+
+    def __init__(self, conv_id):
+        self.initials, self.digest, self.any = [], hashlib.sha256(), False
+        super().__init__(conv_id)
+
+    def edit(self, edit: tuple) -> None:
+        initial, role, text, _ = edit
+        self.initials.append(initial)
+        if initial != "D":
+            self.digest.update(("\n" * self.any + f"{role}:{text}").encode())
+            self.any = True
+
+    def results(self) -> Iterator[dict]:
+        cost = self.search.end()
+        yield self.summary(cost) | {"audit": "".join(self.initials), "repaired_sha256": self.digest.hexdigest()}
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, copies) of conversations with the faults that the contract puts in; copies is 0 where a row is dropped."""
+    space = F.lit(" ")
+    fault = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space)).cast("binary")) % 20
+    text = F.coalesce("text", space)
+    return turns.select(
+        "conv_id", "turn", F.when(fault == 4, repair.USER).otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.over_conversations(damaged(table(spark, sf_dir, "conversations")), _RepairDigest,
+                                     "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
+
+
+#: A row of the state after row i: the cheapest (cost, initials) for each state of the grammar, 1e9 where it cannot be reached.
+OP12_SQL = r"""WITH RECURSIVE steps AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([n], range(8)),
+  lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(n))),
+crcs AS (SELECT c.conv_id, c.turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([4294967295::BIGINT],
+  list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault FROM conversations c, steps),
+damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE WHEN fault = 0 THEN 0 WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM crcs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+  regexp_replace(text, '[ 	-]+$', '') AS told, role[1] AS ini FROM damaged),
+judged AS (SELECT *, CASE WHEN told = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN told[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  CASE WHEN lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS illegal FROM placed),
+rows_ AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS more FROM judged),
+known AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, sum(illegal) AS illegal, max(i) AS n FROM rows_ GROUP BY conv_id),
+found AS (
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'p': ''} AS f0, {'c': 1000000000::BIGINT, 'p': ''} AS f1, {'c': 2::BIGINT, 'p': 'I'} AS f2, {'c': 4::BIGINT, 'p': 'II'} AS f3 FROM known
+  UNION ALL
+  SELECT conv_id, i, g0, g1, h2, list_sort([g3, {'c': h2.c + 2, 'p': h2.p || 'I'}])[1] FROM (
+    SELECT *, list_sort([g2, {'c': g0.c + 2, 'p': g0.p || 'I'}, {'c': g1.c + 2, 'p': g1.p || 'I'}, {'c': g3.c + 2, 'p': g3.p || 'I'}])[1] AS h2 FROM (
+      SELECT r.conv_id, r.i, {'c': f0.c + 3, 'p': f0.p || 'D'} AS g0,
+        list_sort([{'c': f1.c + 3, 'p': f1.p || 'D'}, {'c': CASE WHEN gone OR ini <> 's' THEN 1000000000 ELSE f0.c + more END, 'p': f0.p || 'K'}])[1] AS g1,
+        list_sort([{'c': f2.c + 3, 'p': f2.p || 'D'}] || list_transform([f0, f1, f3], lambda f: {'c': CASE WHEN gone THEN 1000000000
+          WHEN ini = 'u' THEN f.c + more ELSE f.c + more + 2 END, 'p': f.p || CASE WHEN ini = 'u' THEN 'K' ELSE 'R' END}))[1] AS g2,
+        list_sort([{'c': f3.c + 3, 'p': f3.p || 'D'}, {'c': CASE WHEN gone THEN 1000000000 WHEN ini = 'a' THEN f2.c + more ELSE f2.c + more + 2 END,
+          'p': f2.p || CASE WHEN ini = 'a' THEN 'K' ELSE 'R' END}])[1] AS g3
+      FROM found f JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i + 1))),
+best AS (SELECT f.conv_id, list_sort([f0, f3])[1] AS b FROM found f JOIN known k ON f.conv_id IS NOT DISTINCT FROM k.conv_id AND f.i = k.n),
+edits AS (SELECT conv_id, unnest(string_split(b.p, '')) AS e, unnest(range(len(b.p))) AS j FROM best WHERE b.p <> ''),
+numbered AS (SELECT *, count(*) FILTER (e <> 'I') OVER upto AS i, count(*) FILTER (e <> 'D') OVER upto AS o FROM edits
+  WINDOW upto AS (PARTITION BY conv_id ORDER BY j ROWS UNBOUNDED PRECEDING)),
+led AS (SELECT n.*, r.role, r.text, max(CASE WHEN o = 1 AND e = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv_id) AS lead_s
+  FROM numbered n LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM n.conv_id AND r.i = n.i AND e <> 'I'),
+written AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - lead_s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j)
+  FILTER (e <> 'D') AS told FROM led GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.p, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN known k ON c.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+LEFT JOIN written w ON c.conv_id IS NOT DISTINCT FROM w.conv_id"""
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
@@ -170,5 +248,6 @@ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DE
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_line_dedup, op3_chat_formatting, op4_nearest_neighbours, op5_best_fit_packing, op6_order_minhash,
     op7_language_id, op8_source_mixing, op9_simhash_near_dedup, op10_training_order, op11_benchmark_decontamination,
-    op13_hard_negatives)} | {"pipeline": corpus_pipeline.run}
-SQL = {"op2_line_dedup": OP2_SQL, "op8_source_mixing": OP8_SQL, "op11_benchmark_decontamination": OP11_SQL, "op13_hard_negatives": OP13_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    op12_conversation_repair, op13_hard_negatives)} | {"pipeline": corpus_pipeline.run}
+SQL = {"op2_line_dedup": OP2_SQL, "op8_source_mixing": OP8_SQL, "op11_benchmark_decontamination": OP11_SQL,
+       "op12_conversation_repair": OP12_SQL, "op13_hard_negatives": OP13_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
