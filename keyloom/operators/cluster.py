@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, distance, scalar
 from ..session import checkpoint
+from . import linkage as trees
 from .filters import numeric_columns
 from .graphs import connected_components
 from .neighbours import distance_sums, neighbour_counts, neighbour_links
@@ -73,12 +74,18 @@ def kmeans(feats: DataFrame, key: str, n_clusters: int, n_init: int = 3, max_ite
 
 
 def hierarchical(feats: DataFrame, key: str, n_clusters: int | None = None, distance_threshold: float | None = None,
-                 max_iter: int = 50, seed: int = 0, metric: str = "euclidean") -> DataFrame:
-    """Top-down bisection into K clusters (Euclidean), or exact single linkage cut at a distance in any metric."""
+                 max_iter: int = 50, seed: int = 0, metric: str = "euclidean", linkage: str = "bisecting") -> DataFrame:
+    """Top-down bisection into K clusters (Euclidean), or exact single linkage in any metric, into K clusters or cut at a distance."""
     if (n_clusters is None) == (distance_threshold is None):
         raise ValueError("give either n_clusters or distance_threshold")
+    if linkage not in ("bisecting", "single"):
+        raise ValueError("linkage is bisecting or single")
     if distance_threshold is not None:
         return density_clusters(feats, key, distance_threshold, min_samples=1, min_cluster_size=1, metric=metric)
+    if linkage == "single":
+        points = _points(feats, key)
+        groups = trees.cut_into(points, trees.minimum_spanning_tree(points, metric), n_clusters)
+        return number_clusters(groups.select(F.col("node").alias(key), F.col("component").alias("cluster")), key)
     if metric not in ("euclidean", "l2"):
         raise ValueError("bisection into n_clusters is Euclidean")
     # the first split moves the mean by a share of its length, so standardised data must not have it at zero
@@ -87,6 +94,28 @@ def hierarchical(feats: DataFrame, key: str, n_clusters: int | None = None, dist
     return sort_clusters(model.transform(data).select(key, "cluster"), key)
 
 
+def _points(feats: DataFrame, key: str) -> DataFrame:
+    return checkpoint(feats.select(F.col(key).alias("node"), F.col("features").alias("p")))
+
+
+def dendrogram(feats: DataFrame, key: str, metric: str = "euclidean") -> DataFrame:
+    """Single linkage as a table of merges, lightest first: merge, distance, the nearest rows of the two sides, what each side is (the number of an
+    earlier merge, or null for that single row) and its size."""
+    joined = trees.merges(trees.minimum_spanning_tree(_points(feats, key), metric))
+    return joined.select("merge", F.col("w").alias("distance"), F.col("a").alias("left_row"), F.col("b").alias("right_row"), "left", "right", "left_size", "right_size")
+
+
+def hdbscan(feats: DataFrame, key: str, min_cluster_size: int = 5, min_samples: int = 1, metric: str = "euclidean", cluster_selection_method: str = "eom",
+            cluster_selection_epsilon: float = 0.0, probabilities: bool = False, seed: int | None = None) -> DataFrame:
+    """Clusters that persist in the hierarchy of densities, found without a radius; rows of none are -1. With ``probabilities`` also the strength with
+    which each row belongs to its cluster, 0 outside. ``min_samples`` counts other rows. Nothing is drawn, so ``seed`` is not used."""
+    if min_cluster_size < 2:
+        raise ValueError("min_cluster_size is at least 2")
+    found = checkpoint(trees.density_hierarchy(_points(feats, key), metric, min_cluster_size, min_samples, cluster_selection_method, cluster_selection_epsilon))
+    labels = number_clusters(found.select(F.col("node").alias(key), "cluster"), key)
+    return labels.join(found.select(F.col("node").alias(key), "probability"), key) if probabilities else labels
+
+
 # --- k-medoids -----------------------------------------------------------------------------------------------------------
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -317,7 +346,7 @@ def expand_setups(parameter_dicts: Sequence[Mapping], power_transform: Sequence[
 
 def run_setups(df: DataFrame, key: str, setups: Sequence[Mapping], sample_groups: Sequence[Sequence[str]]) -> DataFrame:
     """(solution, cluster, key) for every setup and sample group; unclustered rows are left out."""
-    runners = {"kmeans": kmeans, "kmedoids": kmedoids, "hierarchical": hierarchical, "hdbscan": density_clusters}
+    runners = {"kmeans": kmeans, "kmedoids": kmedoids, "hierarchical": hierarchical, "hdbscan": hdbscan, "radius": density_clusters}
     prepared: dict[tuple, DataFrame] = {}
     out = None
     for number, (setup, group) in enumerate(itertools.product(setups, sample_groups)):
@@ -325,7 +354,8 @@ def run_setups(df: DataFrame, key: str, setups: Sequence[Mapping], sample_groups
         if slot not in prepared:
             prepared[slot] = prepare(df, key, group, setup["power_transform"])
         options = {k: v for k, v in setup.items() if k not in ("method", "power_transform")}
-        labels = runners[setup["method"]](prepared[slot], key, **options).filter(F.col("cluster") != UNCLUSTERED)
+        method = "radius" if setup["method"] == "hdbscan" and "eps" in options else setup["method"]
+        labels = runners[method](prepared[slot], key, **options).filter(F.col("cluster") != UNCLUSTERED)
         part = labels.select(F.lit(number).alias("solution"), "cluster", key)
         out = part if out is None else out.unionByName(part)
     return checkpoint(out)

@@ -1,7 +1,7 @@
 """Exact neighbour counts and links within a radius, without emitting pairs.
 
-Rows meet in boxes of a grid over a few axes: a row is at home in one box and visits the boxes around it, so all its neighbours
-visit its home. Boxes with many rows are cut into chunks of homes and chunks of visitors that meet task by task. A
+Rows meet in boxes: of a grid where there are few axes, else in cells around pivots. A row is at home in one box and visits those that may hold a
+row within the radius, so all its neighbours visit its home. Boxes with many rows are cut into chunks of homes and chunks of visitors that meet task by task. A
 task measures real rows against real rows; it returns one count per home row, or a spanning set of links.
 """
 
@@ -16,27 +16,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distance
+from .pivots import cells, visits
 
 #: Coordinates of rows within a distance differ by no more than that distance (its root for squares).
 BOXED = {"euclidean", "l2", "manhattan", "cityblock", "l1", "chebyshev", "sqeuclidean"}
 
 
 def _meetings(points: DataFrame, radius: float, metric: str, axes: int, chunk_rows: int) -> DataFrame:
-    """(box, c, v, home, node, p): chunk c of the homes of a box meets chunk v of its visitors."""
+    """(box, c, v, home, node, p): chunk c of the homes of a box meets chunk v of its visitors. Boxes are those of a grid where it has all the axes,
+    else cells around pivots."""
     some = points.select("p").first() if metric in BOXED and radius > 0 else None
-    if some is not None and len(some["p"]):
+    if some is not None and 0 < len(some["p"]) <= axes:
         dims = len(some["p"])
         side = (radius ** 0.5 if metric == "sqeuclidean" else radius) * (1 + 1e-9)
-        used = range(min(axes, dims))
-        own = F.array(*[F.floor(F.get("p", F.lit(i)) / side) for i in used])
-        around = F.array(*[F.array(*[F.floor(F.get("p", F.lit(i)) / side) + s for i, s in zip(used, shift)])
-                           for shift in itertools.product((-1, 0, 1), repeat=len(used))])
-    else:  # no grid bounds this metric, or there is nothing to bound: everything is one box
-        own, around = F.array(F.lit(0).cast("long")), F.array(F.array(F.lit(0).cast("long")))
-    homes = points.select(own.alias("box"), "node", "p")
-    visitors = points.select(F.explode(around).alias("box"), "node", "p")
-    text = F.concat_ws(",", F.transform("box", lambda x: x.cast("string")))
-    return _deal(homes.withColumn("box", text), visitors.withColumn("box", text), chunk_rows)
+        own = F.array(*[F.floor(F.get("p", F.lit(i)) / side) for i in range(dims)])
+        around = F.array(*[F.array(*[F.floor(F.get("p", F.lit(i)) / side) + s for i, s in enumerate(shift)])
+                           for shift in itertools.product((-1, 0, 1), repeat=dims)])
+        homes = points.select(own.alias("box"), "node", "p")
+        visitors = points.select(F.explode(around).alias("box"), "node", "p")
+        text = F.concat_ws(",", F.transform("box", lambda x: x.cast("string")))
+        return _deal(homes.withColumn("box", text), visitors.withColumn("box", text), chunk_rows)
+    index = cells(points, metric, chunk_rows)
+    homes = index.rows.select(F.col("cell").cast("string").alias("box"), "node", "p")
+    visitors = visits(index, F.lit(float(radius))).filter("v = 0").select(F.col("box").cast("string").alias("box"), "node", "p")
+    return _deal(homes, visitors, chunk_rows)
 
 
 def _deal(homes: DataFrame, visitors: DataFrame, chunk_rows: int) -> DataFrame:

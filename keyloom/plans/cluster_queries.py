@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import cluster, pca, ranking
+from ..operators import cluster, linkage, pca, ranking
 from ..session import checkpoint
 from . import relations as r
 from .registry import query, rounded
@@ -105,6 +105,79 @@ def _(spark, d):
     return cluster.density_clusters(_profiles(spark, d), "gene", 1.7, min_samples=4, min_cluster_size=5, metric="manhattan")
 
 
+# Prim: the recursive table holds for each row its lightest edge to the tree so far, of equal ones that of the smaller genes; each step takes the
+# row at the lightest edge and updates the others.
+def _prim(core: str = "0.0::DOUBLE") -> str:
+    weight = "greatest(list_distance(x.p, c.p), x.core, c.core)"
+    return f"""cored AS MATERIALIZED (SELECT gene, p, {core} AS core FROM profile), prim(gene, w, near, done) USING KEY (gene) AS (
+  SELECT gene, CASE WHEN gene = (SELECT min(gene) FROM cored) THEN -1.0::DOUBLE ELSE 1e300 END, NULL::BIGINT, false FROM cored UNION
+  (WITH cur AS (SELECT r.gene, r.w, r.near, o.p, o.core FROM recurring.prim r JOIN cored o USING (gene) WHERE NOT r.done ORDER BY r.w, least(r.gene, r.near), greatest(r.gene, r.near) LIMIT 1)
+   SELECT gene, w, near, true FROM cur UNION ALL
+   SELECT x.gene, {weight}, c.gene, false FROM cored x JOIN recurring.prim r ON r.gene = x.gene, cur c WHERE NOT r.done AND x.gene <> c.gene AND ({weight} < r.w OR
+     ({weight} = r.w AND (least(x.gene, c.gene), greatest(x.gene, c.gene)) < (least(x.gene, r.near), greatest(x.gene, r.near)))))),
+  tree AS MATERIALIZED (SELECT least(gene, near) AS a, greatest(gene, near) AS b, w, row_number() OVER (ORDER BY w, least(gene, near), greatest(gene, near)) AS n FROM prim WHERE near IS NOT NULL)"""
+
+
+@query("single_linkage_tree", f"WITH RECURSIVE {r.COUNTS}, {_PROFILE}, {_prim()} SELECT n AS merge, round(w, 9) AS distance FROM tree")
+def _(spark, d):
+    return rounded(cluster.dendrogram(_profiles(spark, d), "gene").select("merge", "distance"), digits=9)
+
+
+def _cut(k: int) -> str:
+    return f"""links{k} AS MATERIALIZED (SELECT a, b FROM tree WHERE n <= (SELECT count(*) FROM profile) - {k} UNION ALL SELECT b, a FROM tree WHERE n <= (SELECT count(*) FROM profile) - {k}),
+  comp{k}(gene, component) USING KEY (gene) AS (SELECT gene, gene FROM profile UNION
+    SELECT l.a, min(c.component) FROM comp{k} c JOIN links{k} l ON l.b = c.gene JOIN recurring.comp{k} o ON o.gene = l.a WHERE c.component < o.component GROUP BY l.a),
+  sized{k} AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component DESC) - 1 AS cluster FROM comp{k} GROUP BY component)"""
+
+
+@query("hierarchical_single_k", f"WITH RECURSIVE {r.COUNTS}, {_PROFILE}, {_prim()}, {_cut(2)}, {_cut(5)}, {_cut(20)} " + " UNION ALL ".join(
+    f"SELECT {k}::INTEGER AS k, gene, cluster::INTEGER AS cluster FROM comp{k} JOIN sized{k} USING (component)" for k in (2, 5, 20)))
+def _(spark, d):
+    """Single linkage into 2, 5 and 20 clusters, from one tree."""
+    points = cluster._points(_profiles(spark, d), "gene")
+    tree = linkage.minimum_spanning_tree(points)
+    parts = [cluster.number_clusters(linkage.cut_into(points, tree, k).select(F.col("node").alias("gene"), F.col("component").alias("cluster")), "gene").select(
+        F.lit(k).alias("k"), "gene", "cluster") for k in (2, 5, 20)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+# Density hierarchy with at least 8 rows a cluster, 4 other rows a neighbourhood: all merges of the tree, one a step (rows of the table: a gene with
+# its component and last merge, or with a negative id a merge); clusters of the condensed tree by going down; their choice by going up.
+_HIERARCHY = f"""{_prim("(SELECT list_sort(list(list_distance(o.p, profile.p)))[5] FROM profile o)")},
+  kr(id, comp, top, size, w, l, r, ls, rs, step) USING KEY (id) AS (
+    SELECT gene, gene, NULL::BIGINT, 1::BIGINT, 0.0::DOUBLE, NULL::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM profile UNION
+    (WITH m AS (SELECT e.n AS s, e.w, x.comp AS ca, y.comp AS cb, x.top AS ta, y.top AS tb, x.size AS sa, y.size AS sb FROM (SELECT max(step) + 1 AS s FROM kr) cur
+       JOIN tree e ON e.n = cur.s JOIN recurring.kr x ON x.id = e.a JOIN recurring.kr y ON y.id = e.b)
+     SELECT o.id, m.ca, m.s, m.sa + m.sb, 0.0::DOUBLE, NULL, NULL, 0, 0, m.s FROM recurring.kr o, m WHERE o.id >= 0 AND o.comp IN (m.ca, m.cb) UNION ALL
+     SELECT -m.s, NULL, m.s, m.sa + m.sb, m.w, m.ta, m.tb, m.sa, m.sb, m.s FROM m)),
+  merged AS MATERIALIZED (SELECT -id AS merge, w, 1 / w AS density, l, r, size, least(ls, rs) AS small, ls >= 8 AND rs >= 8 AS splits FROM kr WHERE id < 0),
+  large AS MATERIALIZED (SELECT * FROM merged WHERE size >= 8),
+  down(merge, chain, parent, born) AS (SELECT merge, merge, NULL::BIGINT, 0.0::DOUBLE FROM large WHERE merge = (SELECT max(merge) FROM large) UNION ALL
+    SELECT c.merge, CASE WHEN p.splits THEN c.merge ELSE d.chain END, CASE WHEN p.splits THEN d.chain ELSE d.parent END, CASE WHEN p.splits THEN p.density ELSE d.born END
+    FROM down d JOIN large p ON p.merge = d.merge JOIN large c ON c.merge IN (p.l, p.r)),
+  chains AS MATERIALIZED (SELECT chain, any_value(parent) AS parent, any_value(born) AS born, max(density) AS ends,
+    sum(density * CASE WHEN merge = low THEN size ELSE small END) - max(size) * any_value(born) AS stability, any_value(low) AS low
+    FROM (SELECT *, min(merge) OVER (PARTITION BY chain) AS low FROM down JOIN large USING (merge)) GROUP BY chain),
+  turns AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY low) AS t FROM chains),
+  up(chain, parent, best, takes, t) USING KEY (chain) AS (SELECT NULL::BIGINT, NULL::BIGINT, 0.0::DOUBLE, false, 0::BIGINT UNION
+    SELECT c.chain, c.parent, CASE WHEN c.parent IS NOT NULL AND c.stability >= c.below THEN c.stability ELSE c.below END, c.parent IS NOT NULL AND c.stability >= c.below, c.t
+    FROM (SELECT turns.*, coalesce((SELECT sum(k.best) FROM recurring.up k WHERE k.parent = turns.chain), 0) AS below FROM turns JOIN (SELECT max(t) + 1 AS t FROM up) cur USING (t)) c),
+  named(chain, cluster) AS (SELECT chain, NULL::BIGINT FROM up WHERE parent IS NULL AND chain IS NOT NULL UNION ALL
+    SELECT c.chain, coalesce(n.cluster, CASE WHEN c.takes THEN c.chain END) FROM named n JOIN up c ON c.parent = n.chain),
+  above AS MATERIALIZED (SELECT unnest([l, r]) AS top, merge, size FROM merged),
+  first AS MATERIALIZED (SELECT e.gene, min(e.n) AS merge FROM (SELECT a AS gene, n FROM tree UNION ALL SELECT b, n FROM tree) e GROUP BY e.gene),
+  climb(gene, merge) AS (SELECT gene, merge FROM first UNION ALL SELECT c.gene, a.merge FROM climb c JOIN merged m USING (merge) JOIN above a ON a.top = c.merge WHERE m.size < 8),
+  leaves AS (SELECT c.gene, m.merge, m.density FROM climb c JOIN merged m USING (merge) WHERE m.size >= 8)"""
+
+
+@query("density_hierarchy", f"""WITH RECURSIVE {r.COUNTS}, {_PROFILE}, {_HIERARCHY},
+  placed AS (SELECT gene, cluster, least(density, ends) / ends AS probability FROM leaves JOIN down USING (merge) JOIN named USING (chain) LEFT JOIN (SELECT chain AS cluster, ends FROM chains) USING (cluster)),
+  sized AS (SELECT cluster, row_number() OVER (ORDER BY count(*) DESC, min(low) DESC) - 1 AS number FROM placed JOIN (SELECT chain AS cluster, low FROM chains) USING (cluster) GROUP BY cluster)
+  SELECT gene, coalesce(number, -1)::INTEGER AS cluster, round(coalesce(probability, 0), 6) AS probability FROM profile LEFT JOIN placed USING (gene) LEFT JOIN sized USING (cluster)""")
+def _(spark, d):
+    return rounded(cluster.hdbscan(_profiles(spark, d), "gene", min_cluster_size=8, min_samples=4, probabilities=True))
+
+
 @query("cluster_sizes_by_label", """SELECT (row_number() OVER (ORDER BY count(*) DESC, label DESC) - 1)::INTEGER AS cluster, count(*)::BIGINT AS n FROM embeddings GROUP BY label""")
 def _(spark, d):
     labels = r.table(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster"))

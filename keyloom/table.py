@@ -386,13 +386,19 @@ class CountTable(FeatureTable):
         return self._split_by_k(n_clusters, fit, power_transform, max_k, random_seed)
 
     def split_hierarchical(self, n_clusters: int | str | Sequence[int] | None = None, distance_threshold: float | None = None,
-                           metric: str = "euclidean", power_transform: bool = True, max_k: int | None = None, random_seed: int = 0):
-        """Bisection into K clusters, or exact single linkage cut at a distance in ``metric``."""
+                           metric: str = "euclidean", power_transform: bool = True, max_k: int | None = None, random_seed: int = 0, linkage: str = "bisecting"):
+        """Bisection into K clusters, or exact single linkage in ``metric``: into K clusters or cut at a distance."""
         if distance_threshold is not None:
             return self._clusters(cluster.hierarchical(self._features(power_transform), self.key, n_clusters, distance_threshold, metric=metric))
-        return self._split_by_k(n_clusters, partial(cluster.hierarchical, metric=metric), power_transform, max_k, random_seed)
+        return self._split_by_k(n_clusters, partial(cluster.hierarchical, metric=metric, linkage=linkage), power_transform, max_k, random_seed)
 
-    def split_hdbscan(self, min_cluster_size: int, min_samples: int = 1, epsilon: float = 1.0, metric: str = "euclidean", power_transform: bool = True):
+    def split_hdbscan(self, min_cluster_size: int, min_samples: int = 1, metric: str = "euclidean", cluster_selection_epsilon: float = 0.0,
+                      cluster_selection_method: str = "eom", power_transform: bool = True, return_probabilities: bool = False):
+        return self._clusters(cluster.hdbscan(self._features(power_transform), self.key, min_cluster_size, min_samples, metric, cluster_selection_method,
+                                              cluster_selection_epsilon, return_probabilities))
+
+    def split_density(self, epsilon: float, min_samples: int = 1, min_cluster_size: int = 1, metric: str = "euclidean", power_transform: bool = True):
+        """Clusters of rows linked within a radius."""
         return self._clusters(cluster.density_clusters(self._features(power_transform), self.key, epsilon, min_samples, min_cluster_size, metric))
 
     def split_clicom(self, *parameter_dicts: Mapping, replicate_grouping: Sequence[Sequence[str]] | None = None,
