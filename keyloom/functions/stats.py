@@ -266,38 +266,62 @@ def tetragamma(x: float) -> float:
 # --- minimum hypergeometric test ----------------------------------------------------------------------------------------
 
 def xl_mhg_pvalue(n: int, k_total: int, min_hits: int, lowest: int, stat: float) -> float:
-    """Exact p-value of the XL-mHG statistic: one minus the share of lattice paths that never touch a cell
-    (cutoff, hits) whose upper tail is at most ``stat``.
+    """Exact p-value of the XL-mHG statistic: the share of lattice paths that touch a cell (cutoff, hits) whose upper tail is at most ``stat``.
 
-    At a given cutoff those cells are the hit counts from a limit upwards, and the limit never falls when the cutoff grows. So
-    the state is the probability of each hit count below the limit, and one tail per cutoff keeps the limit up to date.
+    For a number of hits those are the cutoffs up to a last one, which rises with the hits. So a path touches one if its k-th hit comes no later
+    than that of k, for some k; the hits are followed from one such cutoff to the next, at most one step for each hit and none for the
+    cutoffs between, and what is lost on the way is added up, which keeps small p-values exact.
     """
     if stat >= 1 or k_total == 0 or k_total == n:
         return 1.0
-    bound = stat * (1 + 1e-11)
-    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
-    base = log_fact[n] - log_fact[k_total] - log_fact[n - k_total]
-
-    def pmf(k: int, cutoff: int) -> float:
-        if k < 0 or k > min(k_total, cutoff) or cutoff - k > n - k_total:
-            return 0.0
-        return math.exp(log_fact[cutoff] - log_fact[k] - log_fact[cutoff - k] + log_fact[n - cutoff]
-                        - log_fact[k_total - k] - log_fact[n - cutoff - k_total + k] - base)
-
-    hits = np.arange(k_total + 1, dtype=float)
-    alive = np.zeros(k_total + 2)
-    alive[0] = 1.0
-    limit, tail = 1, 0.0  # tail = P(hits >= limit) at the current cutoff
-    for cutoff in range(1, lowest + 1):
-        left = n - cutoff + 1
-        tail += pmf(limit - 1, cutoff - 1) * (k_total - limit + 1) / left
-        while tail > bound:
-            limit += 1
-            tail = hypergeom_sf(limit - 1, n, k_total, cutoff)
-        top = min(max(limit, min_hits), k_total + 1)
-        p_hit = np.clip((k_total - hits[:top]) / left, 0, 1)
-        moved = alive[:top] * p_hit
-        alive[:top] -= moved
-        alive[1:top] += moved[:-1]  # what would reach the limit is lost
-        alive[top:] = 0.0
-    return float(min(1.0, max(0.0, 1.0 - alive.sum())))
+    bound, lost, at = stat * (1 + 1e-11), 0.0, 0
+    alive = np.ones(1)
+    for k in range(max(1, min_hits), min(k_total, lowest) + 1):
+        last = _last_cutoff(n, k_total, k, max(at, k), lowest, bound)
+        if last is None:
+            continue
+        if last > at:
+            alive = _hits_later(alive, n - at, k_total, last - at)
+            lost, alive, at = lost + float(alive[k:].sum()), alive[:k], last
+        if last == lowest:
+            break
+    return min(1.0, lost)
+
+
+def _last_cutoff(n: int, k_total: int, k: int, low: int, high: int, bound: float) -> int | None:
+    """The largest cutoff from ``low`` to ``high`` at which the tail of ``k`` hits is within ``bound``: strides that double, then halves."""
+    inside = lambda cutoff: hypergeom_sf(k - 1, n, k_total, cutoff) <= bound
+    if low > high or not inside(low):
+        return None
+    step = 1
+    while low + step <= high and inside(low + step):
+        low, step = low + step, 2 * step
+    high = min(high, low + step - 1)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if inside(middle) else (low, middle - 1)
+    return low
+
+
+def _hits_later(alive: np.ndarray, left: int, k_total: int, draws: int) -> np.ndarray:
+    """Probabilities of each number of hits after ``draws`` more of the ``left`` keys, from those before. The hits of a step are a band around their mean,
+    wide enough for tails of 1e-40; its probabilities follow from their ratios, so they are as exact for long lists as for short ones."""
+    before = np.flatnonzero(alive > 1e-60 * alive.max(initial=0.0))
+    if not len(before):
+        return np.zeros(len(alive))
+    successes = k_total - before[:, None].astype(float)
+    mean = draws * k_total / left
+    band = int(min(draws, k_total, math.ceil(mean + 14 * math.sqrt(mean + 1)) + 60))
+    d = np.arange(band, dtype=float)[None, :]
+    more = left - successes - draws + d + 1  # not positive where fewer hits are impossible
+    chance = np.maximum(successes - d, 0) * (draws - d)
+    with np.errstate(divide="ignore"):
+        steps = np.where(more > 0, np.log(chance) - np.log((d + 1) * np.maximum(more, 1)), 0.0)
+    logs = np.concatenate([np.zeros((len(before), 1)), np.cumsum(steps, axis=1)], axis=1)
+    logs[:, :-1][more <= 0] = -np.inf
+    share = np.exp(logs - logs.max(axis=1, keepdims=True))
+    share *= (alive[before] / share.sum(axis=1))[:, None]
+    after = np.zeros(before[-1] + band + 1)
+    for more_hits in range(band + 1):
+        np.add.at(after, before + more_hits, share[:, more_hits])
+    return after

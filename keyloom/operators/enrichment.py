@@ -257,41 +257,80 @@ def ranked_enrichment(annotations: DataFrame, ranked: DataFrame, key: str, rank:
 
 # --- randomisation of fold changes ---------------------------------------------------------------------------------------
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: np.ndarray) -> np.ndarray:
+    """Good ones among so many draws, for each number of draws."""
+    if good + bad < 1_000_000_000:  # the generator's own limit
+        return rng.hypergeometric(good, bad, draws) if good + bad else np.zeros(len(draws), np.int64)
+    u, out = rng.random(len(draws)), np.zeros(len(draws), np.int64)
+    for n in np.unique(draws):
+        # the distribution function around its mode; what lies beyond 14 deviations is below what a double can add
+        mode = int((n + 1) * (good + 1) // (good + bad + 2))
+        reach = int(14 * math.sqrt(n * (good / (good + bad)) * (bad / (good + bad)) + 1)) + 60
+        k = np.arange(max(0, n - bad, mode - reach), min(n, good, mode + reach) + 1)
+        steps = np.log((good - k[:-1]) / (k[:-1] + 1)) + np.log((n - k[:-1]) / (bad - n + k[:-1] + 1.0))
+        logs = np.concatenate([[0.0], np.cumsum(steps)])
+        total = np.cumsum(np.exp(logs - logs.max()))
+        out[draws == n] = k[np.minimum(np.searchsorted(total / total[-1], u[draws == n], side="right"), len(k) - 1)]
+    return out
+
+
+def _shares(seed: int, leaf: int, path: list, n: int, reps: int) -> np.ndarray:
+    """How many of each repetition's draws fall into a leaf: at each node above, its left half takes a hypergeometric share of what the node has.
+    A node draws by itself from (seed, depth, node), so all leaves below see the same split."""
+    share = np.full(reps, n, dtype=np.int64)
+    for depth, step in enumerate(path):
+        left, total = step["left"], step["total"]
+        node = leaf >> (len(path) - depth)
+        to_left = _hypergeometric(np.random.default_rng([seed, depth, node]), left, total - left, share)
+        share = share - to_left if leaf >> (len(path) - depth - 1) & 1 else to_left
+    return share
+
+
 def fold_change_randomization(target: DataFrame, reference: DataFrame, key: str, column: str, alpha: float = 0.05,
                               reps: int = 10000, seed: int = 0, bucket_rows: int = 200_000) -> DataFrame:
     """Is the mean fold change of ``target`` extreme among random subsets of ``reference`` of the same size?
 
-    The reference is split into buckets by a hash of the key. A random subset of size n takes a multivariate
-    hypergeometric share from each bucket; every task derives the same shares from the seed, draws its own part of
-    each subset and returns one partial sum per repetition. No task ever holds more than one bucket.
+    Rows are dealt by a hash of key and value to the leaves of a binary tree over hash ranges, of about ``bucket_rows`` rows each. Every node
+    splits a subset between its halves by a hypergeometric draw of its own, so each leaf knows its share of every subset from the sizes
+    along its path, draws that many of its rows and returns one partial sum a repetition. Splits depend on the seed, the node and the rows
+    below it only. Equal rows are one line with a count, so a row that repeats does not fill a task.
     """
-    observed = target.agg(F.avg(column).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    observed = target.agg(F.avg(column).alias("m"), F.count(column).alias("n"), F.count(F.lit(1)).alias("rows")).first()
     expected = reference.agg(F.avg(column).alias("m"), F.count(column).alias("n")).first()
     n, obs, total = observed["n"], observed["m"], expected["n"]
-    buckets = max(8, math.ceil(total / bucket_rows))
-    tagged = reference.filter(F.col(column).isNotNull()).select(
-        F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), F.xxhash64(key).alias("h"),
-        F.col(column).cast("double").alias("x"))
-    sizes = np.zeros(buckets, dtype=np.int64)
-    for row in tagged.groupBy("bucket").count().collect():  # one number per bucket
-        sizes[row["bucket"]] = row["count"]
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(pdf["bucket"].iloc[0])
-        x = pdf.sort_values(["h", "x"])["x"].to_numpy()
-        sums = np.empty(reps)
-        for r in range(reps):
-            share = np.random.default_rng([seed, r]).multivariate_hypergeometric(sizes, n, method="marginals")[bucket]
-            rng = np.random.default_rng([seed, r, bucket])
-            sums[r] = x[rng.choice(len(x), share, replace=False, shuffle=False)].sum() if share else 0.0
+    if not n or n > total:
+        raise ValueError("the target needs values, and no more than the reference has")
+    depth = max(0, math.ceil(math.log2(total / bucket_rows))) if total > bucket_rows else 0
+    leaf = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
+    tagged = checkpoint(reference.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), F.xxhash64(key, F.col(column).cast("double")).alias("h"))
+                        .groupBy("h", "x").agg(F.count(F.lit(1)).alias("copies")).withColumn("leaf", leaf))
+    sizes = tagged.groupBy("leaf").agg(F.sum("copies").alias("rows"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+    nodes = checkpoint(sizes.select(levels.alias("depth"), "leaf", "rows").groupBy(
+        "depth", F.expr(f"shiftright(leaf, {depth} - depth)").alias("node")).agg(F.sum("rows").alias("rows")))
+    steps = sizes.select("leaf", levels.alias("depth")).withColumn("node", F.expr(f"shiftright(leaf, {depth} - depth)"))
+    below = nodes.filter("node % 2 = 0").select((F.col("depth") - 1).alias("depth"), F.expr("shiftright(node, 1)").alias("node"), F.col("rows").alias("left"))
+    walked = steps.join(nodes, ["depth", "node"]).join(below, ["depth", "node"], "left").groupBy("leaf").agg(F.array_sort(F.collect_list(
+        F.struct("depth", F.coalesce("left", F.lit(0)).alias("left"), F.col("rows").alias("total")))).alias("path"))
+
+    def draw(rows: pd.DataFrame, walk: pd.DataFrame) -> pd.DataFrame:
+        own, rows = int(walk["own"].iloc[0]), rows.sort_values(["h", "x"])
+        x, upto = rows["x"].to_numpy(), np.cumsum(rows["copies"].to_numpy())
+        share = _shares(seed, own, walk["path"].iloc[0][:depth], n, reps)
+        rng, sums = np.random.default_rng([seed, depth, own, 1]), np.zeros(reps)
+        for r in np.flatnonzero(share):
+            places = rng.choice(int(upto[-1]), int(share[r]), replace=False, shuffle=False)
+            sums[r] = x[np.searchsorted(upto, places, side="right")].sum()
         return pd.DataFrame({"rep": np.arange(reps), "part": sums})
 
-    sums = tagged.groupBy("bucket").applyInPandas(draw, "rep long, part double").groupBy("rep").agg(
-        (F.sum("part") / F.lit(float(n))).alias("mean"))
-    beyond = F.col("mean") >= F.lit(obs) if obs > expected["m"] else F.col("mean") <= F.lit(obs)
+    parts = tagged.groupBy("leaf").cogroup(checkpoint(walked.withColumnRenamed("leaf", "own")).groupBy("own")).applyInPandas(draw, "rep long, part double")
+    sums = parts.groupBy("rep").agg((F.sum("part") / F.lit(float(n))).alias("mean"))
+    # a subset that is the target itself may differ from it in the last bit
+    slack = 1e-12 * max(1.0, abs(obs))
+    beyond = F.col("mean") >= F.lit(obs - slack) if obs > expected["m"] else F.col("mean") <= F.lit(obs + slack)
     pval = (F.sum(beyond.cast("long")) + 1) / F.lit(float(reps + 1))
     return sums.agg(pval.alias("pval")).select(
-        F.lit(n).cast("long").alias("group_size"), F.lit(obs).alias("observed_fold_change"),
+        F.lit(observed["rows"]).cast("long").alias("group_size"), F.lit(obs).alias("observed_fold_change"),
         F.lit(expected["m"]).alias("expected_fold_change"), "pval", (F.col("pval") <= alpha).alias("significant"))
 
 

@@ -232,17 +232,45 @@ def _(spark, d):
     return rounded(tails.groupBy("attribute").agg(F.min("tail").alias("stat")), digits=8)
 
 
+# Exact p-values of the statistic: all lattice paths, cutoff by cutoff, less those that touched a cell at least as extreme.
+@query("ranked_list_pvalues", f"""{_BASE}, rkd AS (SELECT gene, row_number() OVER (ORDER BY {'+'.join(r.SAMPLES)} DESC, gene) AS cut FROM counts WHERE gene IN (SELECT gene FROM attrs)),
+  nn AS (SELECT count(*) AS n, floor(count(*)*0.25)::BIGINT AS lowest FROM rkd), ks AS (SELECT attribute, count(*) AS k FROM attrs JOIN rkd USING (gene) GROUP BY 1),
+  pos AS (SELECT attribute, e AS side, CASE WHEN e = 0 THEN cut ELSE n + 1 - cut END AS c FROM attrs JOIN rkd USING (gene), nn, (SELECT unnest([0, 1]) AS e)),
+  cells AS (SELECT *, row_number() OVER (PARTITION BY attribute, side ORDER BY c) AS h FROM pos),
+  sizes AS (SELECT DISTINCT k FROM ks), grid AS (SELECT k, c, n, unnest(range(0, least(k, c) + 1)) AS h FROM sizes, (SELECT unnest(range(1, lowest + 1)) AS c, n FROM nn)),
+  pm AS (SELECT k, c, h, exp(lgamma(c+1)-lgamma(h+1)-lgamma(c-h+1)+lgamma(n-c+1)-lgamma(k-h+1)-lgamma(n-c-k+h+1)-lgamma(n+1)+lgamma(k+1)+lgamma(n-k+1)) AS p FROM grid WHERE n-c-k+h >= 0),
+  tails AS MATERIALIZED (SELECT k, c, h, sum(p) OVER (PARTITION BY k, c ORDER BY h DESC) AS tail FROM pm),
+  stats AS MATERIALIZED (SELECT ks.attribute, s.side, ks.k, coalesce(min(tail), 1.0) AS stat FROM ks JOIN (SELECT unnest([0, 1]) AS side) s ON true
+    LEFT JOIN cells ON cells.attribute = ks.attribute AND cells.side = s.side AND cells.h >= 10 LEFT JOIN tails ON tails.k = ks.k AND tails.c = cells.c AND tails.h = cells.h GROUP BY 1, 2, 3),
+  walk(attribute, side, k, c, h, p) AS (SELECT attribute, side, k, 0::BIGINT, 0::BIGINT, 1.0::DOUBLE FROM stats WHERE stat < 1 UNION ALL
+    (WITH nxt AS (SELECT attribute, side, k, c + 1 AS c, h, p * (1 - (k - h) / (n - c)::DOUBLE) AS p FROM walk, nn WHERE c < lowest UNION ALL
+       SELECT attribute, side, k, c + 1, h + 1, p * ((k - h) / (n - c)::DOUBLE) FROM walk, nn WHERE c < lowest AND h < k)
+     SELECT x.attribute, x.side, x.k, x.c, x.h, sum(x.p) FROM nxt x JOIN stats s ON s.attribute = x.attribute AND s.side = x.side LEFT JOIN tails t ON t.k = x.k AND t.c = x.c AND t.h = x.h
+     WHERE x.p > 0 AND NOT (x.h >= 10 AND t.tail <= s.stat * (1 + 1e-9)) GROUP BY 1, 2, 3, 4, 5)),
+  ps AS (SELECT attribute, side, greatest(0, 1 - sum(p)) AS p FROM walk, nn WHERE c = lowest GROUP BY 1, 2)
+  SELECT stats.attribute AS name, round(min(coalesce(ps.p, 1.0)), 8) AS pval FROM stats LEFT JOIN ps USING (attribute, side) GROUP BY 1""")
+def _(spark, d):
+    return rounded(en.ranked_enrichment(r.attributes(spark, d), checkpoint(_ranked(spark, d)), "gene").select("name", "pval"), digits=8)
+
+
+# The tail of the mean of a random subset by its first three moments (a finite population, drawn without replacement).
 @query("fold_change_randomization", f"""WITH {r.FC}, t AS (SELECT count(*)::BIGINT AS n, avg(fc) AS m FROM fcs WHERE gene IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO'))
   SELECT n AS group_size, round(m,6) AS observed_fold_change, round((SELECT avg(fc) FROM fcs),6) AS expected_fold_change, true AS near FROM t""")
 def _(spark, d):
-    """The drawn p-value against the normal tail of the mean of a random subset."""
+    """The drawn p-value is within four of its own standard errors, and the third-order error of the expansion, of that tail."""
     fc = checkpoint(r.fold_changes(spark, d))
     picked = fc.join(r.table(spark, d, "part").filter("p_type = 'PROMO'").select(F.col("p_partkey").alias("gene")), "gene", "left_semi")
-    row = en.fold_change_randomization(picked, fc, "gene", "fc", seed=11)
-    spread_, total = fc.agg(F.stddev_samp("fc"), F.count("fc")).first()
-    error = F.lit(spread_) * F.sqrt((1 - F.col("group_size") / total) / F.col("group_size"))
-    tail = F.udf(lambda z: 0.5 * math.erfc(abs(z) / math.sqrt(2)), "double")((F.col("observed_fold_change") - F.col("expected_fold_change")) / error)
-    return rounded(row.withColumn("near", F.abs(F.col("pval") - tail) <= 0.03).select("group_size", "observed_fold_change", "expected_fold_change", "near"))
+    row = en.fold_change_randomization(picked, fc, "gene", "fc", seed=11, bucket_rows=500)
+    spread_, skew, total = fc.agg(F.stddev_samp("fc"), F.skewness("fc"), F.count("fc")).first()
+    size = picked.count()
+    error = spread_ * math.sqrt((1 - size / total) / size)
+    skewed = skew * (total - 2 * size) / math.sqrt(size * total * max(total - size, 1))
+    got = row.first()
+    side = 1 if got["observed_fold_change"] > got["expected_fold_change"] else -1
+    z, g = side * (got["observed_fold_change"] - got["expected_fold_change"]) / error, side * skewed
+    tail = 0.5 * math.erfc(z / math.sqrt(2)) + g * (z * z - 1) * math.exp(-z * z / 2) / (6 * math.sqrt(2 * math.pi))
+    allowed = 4 * math.sqrt(max(tail, 1e-4) / 10_000) + 1 / size
+    return rounded(row.withColumn("near", F.abs(F.col("pval") - F.lit(tail)) <= F.lit(allowed)).select("group_size", "observed_fold_change", "expected_fold_change", "near"))
 
 
 # --- ontology: brand, type and size classes of parts with a shared root -------------------------------------------------

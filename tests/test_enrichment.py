@@ -2,6 +2,7 @@ import itertools
 import math
 from math import comb
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,69 @@ def test_fold_change_randomization(spark):
     middle = en.fold_change_randomization(ref.filter("gene % 20 = 10"), ref, "gene", "fc", reps=500, seed=2, bucket_rows=30).first()
     assert high["significant"] and high["pval"] == pytest.approx(1 / 501)
     assert not middle["significant"] and 0.3 < middle["pval"] < 0.7
+    # the same draws however the rows are dealt, also where rows repeat
+    again = en.fold_change_randomization(ref.filter("gene % 20 = 10").repartition(3), ref.repartition(7), "gene", "fc", reps=500, seed=2, bucket_rows=30).first()
+    assert tuple(again) == tuple(middle)
+    alike = spark.range(300).select(F.lit(1).alias("gene"), F.when(F.col("id") < 200, 1.0).otherwise(3.0).alias("fc"))
+    even = en.fold_change_randomization(alike.filter("fc > 1").limit(10), alike, "gene", "fc", reps=2000, seed=1, bucket_rows=40).first()
+    assert even["pval"] < 0.002  # ten of 100 among 300: 1.2e-5
+
+
+def test_random_subsets_are_uniform(spark):
+    """All 20 subsets of three among six rows, drawn through a tree of several leaves."""
+    ref = spark.createDataFrame([(i, float(2 ** i)) for i in range(6)], "gene long, fc double")
+    sums = [2 ** a + 2 ** b + 2 ** c for a, b, c in itertools.combinations(range(6), 3)]
+    for seed, ids in ((4, (2, 3, 4)), (5, (0, 1, 5)), (6, (3, 4, 5))):
+        got = en.fold_change_randomization(ref.filter(F.col("gene").isin(*ids)), ref, "gene", "fc", reps=6000, seed=seed, bucket_rows=2).first()
+        mean = sum(2 ** i for i in ids)
+        want = sum(s >= mean for s in sums) / 20 if mean > 31.5 else sum(s <= mean for s in sums) / 20
+        assert got["pval"] == pytest.approx(want, abs=4 * (want / 6000) ** 0.5 + 1 / 6000)
+
+
+def test_shares_of_a_reference_of_two_billion_rows():
+    path = [{"left": 1_100_000_000, "total": 2_000_000_000}, {"left": 500_000_000, "total": 1_100_000_000}]
+    shares = {leaf: en._shares(3, leaf, path if leaf < 2 else [path[0], {"left": 450_000_000, "total": 900_000_000}], 4000, 3000) for leaf in range(4)}
+    assert (sum(shares.values()) == 4000).all()
+    assert shares[0].mean() == pytest.approx(1000, abs=2.5) and shares[0].std() == pytest.approx((4000 * 0.25 * 0.75) ** 0.5, rel=0.06)
+    # the two ways of drawing agree where both apply
+    rng = np.random.default_rng(0)
+    small = rng.hypergeometric(600_000_000, 300_000_000, 900, 20_000)
+    large = en._hypergeometric(rng, 700_000_000, 350_000_000, np.full(20_000, 900))
+    assert large.mean() == pytest.approx(small.mean(), abs=0.5) and large.std() == pytest.approx(small.std(), rel=0.03)
+
+
+def walked_mhg(n, k_total, min_hits, lowest, stat):
+    """The p-value by all cutoffs one after another."""
+    alive = np.zeros(k_total + 2)
+    alive[0] = 1.0
+    hits = np.arange(k_total + 1)
+    for cutoff in range(1, lowest + 1):
+        move = alive[:-1] * np.clip((k_total - hits) / (n - cutoff + 1), 0, 1)
+        alive[:-1] -= move
+        alive[1:] += move
+        for h in range(min_hits, min(cutoff, k_total) + 1):
+            if stats.hypergeom_sf(h - 1, n, k_total, cutoff) <= stat * (1 + 1e-11):
+                alive[h:] = 0
+                break
+    return 1 - alive.sum()
+
+
+def test_ranked_list_pvalue_of_longer_lists():
+    for n, k, x, lowest, s in ((200, 20, 3, 60, 0.01), (300, 90, 10, 75, 1e-3), (150, 130, 1, 150, 0.05), (250, 5, 1, 100, 0.3)):
+        assert stats.xl_mhg_pvalue(n, k, x, lowest, s) == pytest.approx(walked_mhg(n, k, x, lowest, s), abs=1e-11)
+    # of all paths only the one with every hit in front: exact where one minus the rest would be nothing
+    tiny = stats.hypergeom_sf(29, 5000, 30, 30)
+    assert stats.xl_mhg_pvalue(5000, 30, 30, 1250, tiny) == pytest.approx(tiny, rel=1e-8)
+
+
+def test_ranked_list_pvalue_of_ten_million_keys():
+    import resource
+    import time
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    p = stats.xl_mhg_pvalue(10_000_000, 1000, 10, 2_500_000, 1e-4)
+    assert 1e-4 <= p <= 0.1
+    assert time.perf_counter() - start < 60
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # kB
 
 
 def test_numeric_missing_target_value(spark):
