@@ -18,6 +18,7 @@ from ..functions import stats
 from ..session import checkpoint, spread
 from . import designs
 from .aggregates import column_sums
+from .local_regression import lowess, lowess_trend
 from .normalize import rle_factors
 from .ranking import fdr_adjust, quantiles
 
@@ -54,23 +55,6 @@ def _weighted_fit(y: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple[np.ndarr
     return beta, (w * resid ** 2).sum(1) / df, inverse
 
 
-def _trend(points: Sequence[tuple[float, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Bin means made into a curve, smoothed with a moving average of three."""
-    pts = np.array(sorted(points), float)
-    x, y = pts[:, 0], pts[:, 1]
-    if len(x) >= 3:
-        y = np.convolve(np.r_[y[0], y, y[-1]], np.ones(3) / 3, mode="valid")
-    return x, np.maximum(y, 1e-8)
-
-
-def _binned(rows: DataFrame, x: str, y: str) -> list[tuple[float, float]]:
-    """Mean of ``y`` in equal-width bins of ``x``: at most TREND_BINS points."""
-    edge = rows.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    width = (edge["hi"] - edge["lo"]) / TREND_BINS or 1.0
-    slot = F.least(F.floor((F.col(x) - F.lit(edge["lo"])) / F.lit(width)), F.lit(TREND_BINS - 1))
-    return [(r["x"], r["y"]) for r in rows.groupBy(slot.alias("slot")).agg(F.avg(x).alias("x"), F.avg(y).alias("y")).collect()]
-
-
 def limma_voom(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataFrame, comparisons: Sequence[tuple[str, str, str]] = (),
                covariates: Sequence[str] = (), lrt_factors: Sequence[str] = (), model_factors: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Precision-weighted linear models of log2 counts per million with moderated tests.
@@ -96,7 +80,8 @@ def limma_voom(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataF
         _, var, _ = _weighted_fit(y, np.ones_like(y), x)
         return pd.DataFrame({"ave": y.mean(1) + np.log2(lib).mean() - math.log2(1e6), "root": var ** 0.25})
 
-    at, root = _trend(_binned(_map(rows, first_pass, "ave double, root double").filter("root > 0"), "ave", "root"))
+    at, root = lowess_trend(_map(rows, first_pass, "ave double, root double").filter("root > 0"), "ave", "root", span=0.5)
+    root = np.maximum(root, 1e-8)
 
     def second_pass(pdf: pd.DataFrame) -> pd.DataFrame:
         y = logcpm(_stack(pdf["y"]))
@@ -244,12 +229,86 @@ def _dispersion_trend(genes: DataFrame) -> tuple[float, float]:
     return a0, a1
 
 
+def _genewise_dispersion(y: np.ndarray, size: np.ndarray, x: np.ndarray) -> np.ndarray:
+    base = y / size
+    mean, var = base.mean(1), base.var(1, ddof=1)
+    rough = np.clip((var - mean * (1 / size).mean()) / mean ** 2, 1e-8, 10)
+    _, mu, _ = _nb_fit(y, size, rough, x)
+    disp = _dispersion(y, mu, x)
+    _, mu, _ = _nb_fit(y, size, disp, x)
+    return _dispersion(y, mu, x)
+
+
+def _robust_dispersion(base: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Dispersion by moments that an outlying count cannot move: trimmed squared deviations from trimmed means of the conditions with three samples or more
+    (the largest of them), of all samples where there are none. The factors make trimmed squares of normal values unbiased."""
+    cells = [own for own in {tuple(r): np.flatnonzero((x == r).all(axis=1)) for r in x}.values() if len(own) >= 3]
+    found = []
+    for own in cells or [np.arange(x.shape[0])]:
+        trim, factor = (1 / 8, 1.51) if not cells or len(own) >= 24 else (1 / 4, 1.86) if len(own) > 3 else (1 / 3, 2.04)
+        part = base[:, own]
+        found.append(factor * _trimmed_mean((part - _trimmed_mean(part, trim)[:, None]) ** 2, trim))
+    mean = base.mean(1)
+    return np.maximum((np.max(found, axis=0) - mean) / np.maximum(mean, 1e-12) ** 2, 0.04)
+
+
+def _trimmed_mean(values: np.ndarray, trim: float = 0.2) -> np.ndarray:
+    """Mean of each row without the lowest and highest share ``trim`` of it."""
+    cut = int(values.shape[1] * trim)
+    return np.sort(values, axis=1)[:, cut:values.shape[1] - cut].mean(1)
+
+
+#: Cut-offs that independent filtering compares.
+CUTOFFS = 50
+
+
+def rejections(tested: DataFrame, zeros: int = 0, alpha: float = 0.1, mean: str = "baseMean", pvalue: str = "pvalue") -> pd.DataFrame:
+    """(share, cutoff, tests, rejected): of the rows whose mean reaches each of ``CUTOFFS`` quantiles, those with a p-value and those that
+    Benjamini-Hochberg rejects at ``alpha``. ``zeros`` rows of mean 0 without a p-value count in the quantiles.
+
+    The rejections of all cut-offs are counted together: from all tests down, a limit gives a number of p-values below it, which gives the
+    next limit, until none of the numbers moves. Those are the step-up rejections, without sorting for each cut-off."""
+    n = tested.count()
+    low = (zeros + tested.filter(F.col(mean) == 0).count()) / max(n + zeros, 1)
+    share = np.linspace(low, 0.95 if low < 0.95 else 1.0, CUTOFFS)
+    places = np.maximum((n + zeros - 1) * share - zeros, 0)  # quantiles of all rows, as places among those of the table
+    found = quantiles(tested, mean, {f"q{i}": min(1.0, v / max(n - 1, 1)) for i, v in enumerate(places)}).first()
+    inside = (n + zeros - 1) * share - zeros
+    smallest = tested.agg(F.min(mean)).first()[0] or 0.0
+    cutoff = np.array([found[f"q{i}"] if inside[i] >= 0 else max(0.0, smallest * (1 + inside[i])) for i in range(CUTOFFS)]) if found else np.zeros(CUTOFFS)
+    known = checkpoint(tested.filter(F.col(pvalue).isNotNull()).select(F.col(mean).alias("m"), F.col(pvalue).alias("p")))
+    counted = lambda conditions: np.array(known.agg(*[F.count(F.when(c, 1)) for c in conditions]).first(), dtype=float)
+    tests = counted([F.col("m") >= float(c) for c in cutoff])
+    rejected = tests.copy()
+    while True:
+        limits = alpha * rejected / np.maximum(tests, 1)
+        fewer = counted([(F.col("m") >= float(c)) & (F.col("p") < float(t)) for c, t in zip(cutoff, limits)])
+        if (fewer == rejected).all():
+            break
+        rejected = fewer
+    return pd.DataFrame({"share": share, "cutoff": cutoff, "tests": tests.astype(int), "rejected": rejected.astype(int)})
+
+
+def filter_cutoff(counted: pd.DataFrame) -> float:
+    """The lowest cut-off that rejects nearly as many as the best of a curve through all: no less than its peak minus the usual distance to the curve."""
+    number = counted["rejected"].to_numpy(float)
+    if number.max() <= 10:
+        return float(counted["cutoff"].iloc[0])
+    curve = np.interp(counted["share"], np.unique(counted["share"]), lowess(counted["share"], number, 0.2))
+    some = number > 0
+    enough = np.flatnonzero(number > curve.max() - math.sqrt(((number - curve)[some] ** 2).mean()))
+    return float(counted["cutoff"].iloc[enough[0] if len(enough) else 0])
+
+
 def deseq2(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataFrame, comparisons: Sequence[tuple[str, str, str]] = (),
            covariates: Sequence[str] = (), lrt_factors: Sequence[str] = (), model_factors: Sequence[str] | None = None,
-           scaling_factors: dict[str, float] | None = None, cooks_cutoff: bool = True) -> dict[str, DataFrame]:
+           scaling_factors: dict[str, float] | None = None, cooks_cutoff: bool = True, independent_filtering: bool = True,
+           filter_alpha: float = 0.1) -> dict[str, DataFrame]:
     """Negative binomial models with shrunken dispersions: Wald tests per contrast, likelihood-ratio tests per factor.
 
-    Counts are rounded first. Rows with an outlying count (Cook's distance, three or more replicates) get no p-value.
+    Counts are rounded first. Outlying counts (Cook's distance) of conditions with seven or more samples are replaced by the trimmed mean of the row,
+    and the row is fitted again; rows with one in conditions of three to six get no p-value. Adjusted p-values come from the rows whose mean is
+    above the cut-off with the most rejections at ``filter_alpha`` (``independent_filtering``); rows below it have none.
     """
     table = designs.check_design(design, samples)
     factors = list(model_factors or table.columns)
@@ -264,13 +323,7 @@ def deseq2(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataFrame
 
     def genewise(pdf: pd.DataFrame) -> pd.DataFrame:
         y = _stack(pdf["y"])
-        base = (y / size)
-        mean, var = base.mean(1), base.var(1, ddof=1)
-        rough = np.clip((var - mean * (1 / size).mean()) / mean ** 2, 1e-8, 10)
-        _, mu, _ = _nb_fit(y, size, rough, x)
-        disp = _dispersion(y, mu, x)
-        _, mu, _ = _nb_fit(y, size, disp, x)
-        return pd.DataFrame({key: pdf[key], "y": list(y), "mean": mean, "disp": _dispersion(y, mu, x)})
+        return pd.DataFrame({key: pdf[key], "y": list(y), "mean": (y / size).mean(1), "disp": _genewise_dispersion(y, size, x)})
 
     genes = checkpoint(_map(rows, genewise, f"{key} {kind}, y array<double>, mean double, disp double"))
     a0, a1 = _dispersion_trend(genes)
@@ -281,8 +334,10 @@ def deseq2(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataFrame
     noise = ((mad["q"] if mad and mad["q"] is not None else 1.0) * 1.4826) ** 2
     prior_var = max(noise - stats.trigamma((n - p) / 2), 0.25)
 
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, mean, own = _stack(pdf["y"]), pdf["mean"].to_numpy(), pdf["disp"].to_numpy()
+    cell = np.array([sum(tuple(a) == tuple(b) for b in x) for a in x])  # samples with the same condition
+    limit = _f_quantile(0.99, p, n - p) if cooks_cutoff else math.inf
+
+    def shrunken(y: np.ndarray, mean: np.ndarray, own: np.ndarray) -> tuple:
         center = np.log(a0 + a1 / mean)
         _, mu, _ = _nb_fit(y, size, own, x)
         disp = _dispersion(y, mu, x, center, prior_var)
@@ -291,15 +346,29 @@ def deseq2(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataFrame
         beta, mu, inverse = _nb_fit(y, size, disp, x)
         w = mu / (1 + disp[:, None] * mu)
         hat = w * np.einsum("sp,npq,sq->ns", x, inverse, x)
-        pearson = (y - mu) ** 2 / (mu + disp[:, None] * mu ** 2)
-        cooks = (pearson / p * hat / (1 - np.clip(hat, 0, 0.999)) ** 2).max(1)
+        pearson = (y - mu) ** 2 / (mu + _robust_dispersion(y / size, x)[:, None] * mu ** 2)
+        return disp, beta, inverse, mu, pearson / p * hat / (1 - np.clip(hat, 0, 0.999)) ** 2
+
+    def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, mean = _stack(pdf["y"]), pdf["mean"].to_numpy()
+        disp, beta, inverse, mu, cooks = shrunken(y, mean, pdf["disp"].to_numpy())
+        out = (cooks > limit) & (cell >= 7)
+        again = np.flatnonzero(out.any(axis=1))
+        if len(again):
+            y = y.copy()
+            y[again] = np.where(out[again], np.trunc(_trimmed_mean(y[again] / size)[:, None] * size), y[again])
+            fitted = again[(y[again] > 0).any(axis=1)]
+            mean = (y / size).mean(1)
+            parts = shrunken(y[fitted], mean[fitted], _genewise_dispersion(y[fitted], size, x)) if len(fitted) else None
+            if parts:
+                disp[fitted], beta[fitted], inverse[fitted], mu[fitted] = parts[:4]
+        counted = np.where((cell >= 3) & (cell < 7), cooks, 0.0).max(axis=1)
         return pd.DataFrame({key: pdf[key], "y": list(y), "baseMean": mean, "alpha": disp, "beta": list(beta),
-                             "inv": list(inverse.reshape(len(y), -1)), "loglik": _nb_loglik(y, mu, disp), "cooks": cooks})
+                             "inv": list(inverse.reshape(len(y), -1)), "loglik": _nb_loglik(y, mu, disp), "cooks": counted})
 
     fits = checkpoint(_map(genes, final, f"{key} {kind}, y array<double>, baseMean double, alpha double, beta array<double>, "
                                          "inv array<double>, loglik double, cooks double"))
-    counts_per_cell = pd.Series([tuple(r) for r in x]).value_counts()
-    limit = _f_quantile(0.99, p, n - p) if cooks_cutoff and counts_per_cell.max() >= 3 else math.inf
+    zeros = df.count() - rows.count() if independent_filtering else 0
     schema = f"{key} {kind}, baseMean double, log2FoldChange double, lfcSE double, stat double, pvalue double"
 
     def shaped(pdf: pd.DataFrame, lfc, se, stat, pv) -> pd.DataFrame:
@@ -307,7 +376,11 @@ def deseq2(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataFrame
         return pd.DataFrame({key: pdf[key], "baseMean": pdf["baseMean"], "log2FoldChange": lfc, "lfcSE": se, "stat": stat, "pvalue": pv})
 
     def finish(tested: DataFrame) -> DataFrame:
-        return fdr_adjust(checkpoint(tested.withColumn("pvalue", F.nanvl("pvalue", F.lit(None)))), "pvalue")
+        known = checkpoint(tested.withColumn("pvalue", F.nanvl("pvalue", F.lit(None))))
+        if not independent_filtering:
+            return fdr_adjust(known, "pvalue")
+        least = filter_cutoff(rejections(known, zeros, filter_alpha))
+        return fdr_adjust(known.withColumn("__p", F.when(F.col("baseMean") >= least, F.col("pvalue"))), "__p").drop("__p")
 
     def wald(c: np.ndarray) -> DataFrame:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
