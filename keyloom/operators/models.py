@@ -55,6 +55,23 @@ def _weighted_fit(y: np.ndarray, w: np.ndarray, x: np.ndarray) -> tuple[np.ndarr
     return beta, (w * resid ** 2).sum(1) / df, inverse
 
 
+def _root_trend(rows: DataFrame, lib: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Local regression of the root of the residual deviation on the mean log count."""
+    def first_pass(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = np.log2((_stack(pdf["y"]) + 0.5) / lib * 1e6)
+        _, var, _ = _weighted_fit(y, np.ones_like(y), x)
+        return pd.DataFrame({"ave": y.mean(1) + np.log2(lib).mean() - math.log2(1e6), "root": var ** 0.25})
+
+    at, root = lowess_trend(_map(rows, first_pass, "ave double, root double").filter("root > 0"), "ave", "root", span=0.5)
+    return at, np.maximum(root, 1e-8)
+
+
+def voom_trend(df: DataFrame, key: str, samples: Sequence[str], table: pd.DataFrame, factors: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(mean log count, root deviation) at the anchors of the trend behind the precision weights, for a checked design."""
+    sizes = column_sums(df, samples)
+    return _root_trend(checkpoint(_values(df, key, samples)), np.array([sizes[c] + 1 for c in samples]), designs.model_matrix(table, factors)[0])
+
+
 def limma_voom(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataFrame, comparisons: Sequence[tuple[str, str, str]] = (),
                covariates: Sequence[str] = (), lrt_factors: Sequence[str] = (), model_factors: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Precision-weighted linear models of log2 counts per million with moderated tests.
@@ -75,13 +92,7 @@ def limma_voom(df: DataFrame, key: str, samples: Sequence[str], design: pd.DataF
     def logcpm(y: np.ndarray) -> np.ndarray:
         return np.log2((y + 0.5) / lib * 1e6)
 
-    def first_pass(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = logcpm(_stack(pdf["y"]))
-        _, var, _ = _weighted_fit(y, np.ones_like(y), x)
-        return pd.DataFrame({"ave": y.mean(1) + np.log2(lib).mean() - math.log2(1e6), "root": var ** 0.25})
-
-    at, root = lowess_trend(_map(rows, first_pass, "ave double, root double").filter("root > 0"), "ave", "root", span=0.5)
-    root = np.maximum(root, 1e-8)
+    at, root = _root_trend(rows, lib, x)
 
     def second_pass(pdf: pd.DataFrame) -> pd.DataFrame:
         y = logcpm(_stack(pdf["y"]))
