@@ -363,11 +363,13 @@ def similar_links(docs: DataFrame, rows: DataFrame, close: DataFrame, shingle: i
     sets = store(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("fp").alias("fp"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
     equal = rows.select("key", F.col("fp").alias("b")).distinct().join(sets.select("key", F.col("fp").alias("a")), "key").filter("a != b").select("a", "b")
-    entries = sets.select("key", "size", F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("h"))
+    # only hash and key meet at first; sizes and last shingles follow for the shingles that several sets have
     bucket = Window.partitionBy("h")
-    shared = store(entries.withColumns({
-        "n": F.count(F.lit(1)).over(bucket),
-        "hub": F.min(F.struct(F.xxhash64("key").alias("o"), "key", "size", "last")).over(bucket)}).filter(F.col("n") > 1))
+    met = store(sets.select("key", F.explode("prefix").alias("h")).withColumns({
+        "n": F.count(F.lit(1)).over(bucket), "hub": F.min(F.struct(F.xxhash64("key").alias("o"), "key")).over(bucket)}).filter("n > 1").select(
+        "key", "h", F.col("hub.key").alias("hub")))
+    facts = store(sets.join(met.select("key").distinct(), "key", "left_semi").select("key", "size", F.element_at("prefix", -1).alias("last")))
+    shared = met.join(facts, "key")
     keys = sets.select("key", "fp")
 
     def of_fingerprints(found: DataFrame) -> DataFrame:
@@ -381,8 +383,8 @@ def similar_links(docs: DataFrame, rows: DataFrame, close: DataFrame, shingle: i
 
     links = store(close.union(equal).distinct())
     label = labelled(links)
-    hubs = promising(shared.select(F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("hub.size").alias("sa"), F.col("size").alias("sb"),
-                                   F.col("hub.last").alias("la"), F.col("last").alias("lb"), "h"), least)
+    hubs = promising(shared.select(F.col("hub").alias("a"), F.col("key").alias("b"), F.col("size").alias("sb"), F.col("last").alias("lb"), "h").join(
+        facts.toDF("a", "sa", "la"), "a"), least)
     apart = hubs.join(label.toDF("a", "ga"), "a").join(label.toDF("b", "gb"), "b").filter("ga != gb").drop("ga", "gb")
     links = store(links.union(of_fingerprints(verified(docs, sets, apart, shingle, least))).distinct())
     label = labelled(links)
@@ -390,7 +392,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, close: DataFrame, shingle: i
     members = store(shared.drop("hub").join(label, "key"))
     mixed = store(members.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("salts")).filter(
         "lo != hi").select("h", "salts"))
-    open_ = members.join(mixed, "h").drop("n")
+    open_ = members.join(mixed, "h")
     left = open_.withColumn("salt", F.pmod(F.xxhash64("key", "h"), F.col("salts")).cast("int")).select(
         "h", "salt", F.col("key").alias("a"), F.col("size").alias("sa"), F.col("last").alias("la"), F.col("label").alias("ga"))
     right = open_.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("key").alias("b"), F.col("size").alias("sb"),
