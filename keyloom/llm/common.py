@@ -27,6 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Names of the tables that this process has stored, oldest first.
+_stored: list[str] = []
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from the written copy.
 
@@ -34,11 +38,24 @@ def store(df: DataFrame) -> DataFrame:
     change them. Columnar and compressed, hence smaller than a checkpoint of rows.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/keyloom-{uuid.uuid4().hex}"
+    _stored.append(f"keyloom-{uuid.uuid4().hex}")
+    path = f"{shared_folder(spark)}/{_stored[-1]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_tables() -> list[str]:
+    return list(_stored)
+
+
+def drop_tables(spark: SparkSession, names: Sequence[str]) -> None:
+    """Delete stored tables that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name in names:
+        at = path(f"{shared_folder(spark)}/{name}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows: texts become Python objects one slice at a time."""
     for batch in batches:
