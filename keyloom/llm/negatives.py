@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import SALT
 from .common import store
 
 #: Vectors and anchors of a pack, and vector packs of a part that all anchor packs visit.
