@@ -22,7 +22,6 @@ from .local_regression import lowess, lowess_trend
 from .normalize import rle_factors
 from .ranking import fdr_adjust, quantiles
 
-TREND_BINS = 60
 ROWS_PER_TASK = 20_000
 
 
