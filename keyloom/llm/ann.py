@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import store
@@ -43,7 +43,7 @@ def recall_at(level: np.ndarray, cosine: np.ndarray, trees: int) -> np.ndarray:
 
 
 def best_rows(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query the k best (ids, scores), ties to the smaller id. Scores of chosen rows are summed anew in one fixed order, so
+    """Per query the k best (places, scores), ties to the smaller id. Scores of chosen rows are summed anew in one fixed order, so
     that equal vectors get equal scores."""
     rough = queries @ vectors.T
     rough[own[:, None] == ids[None, :]] = -np.inf
@@ -56,7 +56,7 @@ def best_rows(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np
         top = top[np.isfinite(scores[top])]
         exact = (vectors[top] * q).sum(axis=1)
         order = np.lexsort((ids[top], -exact))[:k]
-        out.append((ids[top][order], exact[order]))
+        out.append((top[order], exact[order]))
     return out
 
 
@@ -67,9 +67,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     Nearness is the inner product in double precision. A candidate with the query's own vec_id is left out; ties go to the smaller vec_id. The
     ascent stops where the k-th neighbour found so far has been caught with probability ``recall`` at least; as that one is never
     nearer than the true one, the rule errs to the safe side. Vectors that are null, zero, or hold null or non-finite components
-    take no part; nor do any shorter than the longest. A query with fewer than k candidates gets all. Rows that
-    repeat a vec_id are candidates of their own. Of exactly equal vectors only the k + 1 smallest ids are indexed, as no others can be in a
-    result. Empty tables give an empty result.
+    take no part. Only vectors of as many components as the query's are its candidates, so a longer or shorter row
+    takes no other one out. A query with fewer than k candidates gets all. Rows that repeat a vec_id are candidates of their own. Of exactly
+    equal vectors only the k + 1 smallest ids, with k rows each, are indexed, as no others can be in a result. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
 
@@ -80,29 +80,37 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         return df.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull())
 
     same = Window.partitionBy("v").orderBy("vec_id")
-    points = store(clean(vectors).withColumn("__n", F.row_number().over(same)).filter(F.col("__n") <= k + 1).drop("__n"))
+    ids = clean(vectors).withColumn("__n", F.dense_rank().over(same)).filter(F.col("__n") <= k + 1)
+    own = Window.partitionBy("v", "vec_id").orderBy("vec_id")
+    points = store(ids.withColumn("__n", F.row_number().over(own)).filter(F.col("__n") <= k).drop("__n").withColumn(
+        "row", F.monotonically_increasing_id()))
     length2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    facts = points.agg(F.count(F.lit(1)).alias("n"), F.max(length2).alias("most"), F.max(F.size("v")).alias("dim")).first()
+    facts = points.agg(F.count(F.lit(1)).alias("n"), F.max(length2).alias("most")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not facts["n"]:
         return spark.createDataFrame([], schema)
-    radius, dim = float(np.sqrt(facts["most"])), facts["dim"]
+    radius = float(np.sqrt(facts["most"]))
     depth = max(0, int(np.ceil(np.log2(facts["n"] / leaf))))
 
     def hashed(query: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if len(batch):
-                    strings = hash_strings(np.stack(batch["v"].to_numpy()), radius, trees, seed, query)
-                    yield pd.DataFrame({"vec_id": batch["vec_id"], "v": batch["v"], "prefixes": list(strings >> (BITS - depth))})
+                for _, rows in batch.groupby(batch["v"].map(len), sort=False):
+                    strings = hash_strings(np.stack(rows["v"].to_numpy()), radius, trees, seed, query)
+                    yield pd.DataFrame({"row": rows["row"], "vec_id": rows["vec_id"], "v": rows["v"], "prefixes": list(strings >> (BITS - depth))})
         return run
 
     def in_leaves(df: DataFrame, query: bool) -> DataFrame:
-        return df.filter(F.size("v") == dim).mapInPandas(hashed(query), "vec_id long, v array<double>, prefixes array<long>")
+        return df.mapInPandas(hashed(query), "row long, vec_id long, v array<double>, prefixes array<long>")
 
-    leaves = in_leaves(points, False).select("vec_id", "v", F.posexplode("prefixes").alias("tree", "prefix"))
+    def tree_number(place: str, dim: Column) -> Column:
+        return (F.col(place) + dim * trees).cast("int")  # each number of components has trees of its own
+
+    leaves = in_leaves(points, False).select("row", "vec_id", "v", F.posexplode("prefixes").alias("tree", "prefix")).withColumn(
+        "tree", tree_number("tree", F.size("v")))
     full = store(leaves.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).cast("int").alias("chunks")))
-    asked = store(in_leaves(clean(queries), True).withColumn("uid", F.monotonically_increasing_id()))
+    asked = store(in_leaves(clean(queries).withColumn("row", F.monotonically_increasing_id()), True).withColumnRenamed("row", "uid").withColumn(
+        "dim", F.size("v")))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, rows in whole_groups(batches):
@@ -114,21 +122,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                               asking["vec_id"].to_numpy(), k)
             yield pd.DataFrame({
                 "uid": np.repeat(asking["uid"].to_numpy(), [len(f[0]) for f in found]),
-                "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found])})
+                **{c: data[c].to_numpy()[np.concatenate([f[0] for f in found])] for c in ("row", "vec_id")},
+                "score": np.concatenate([f[1] for f in found])})
 
-    best, level, todo = None, depth, asked.select("uid", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"),
-                                                  F.get("prefixes", F.col("tree")).alias("prefix"))
+    best, level, todo = None, depth, asked.select("uid", "dim", F.posexplode("prefixes").alias("tree", "prefix")).select(
+        "uid", tree_number("tree", F.col("dim")).alias("tree"), "prefix")
     while True:
         visits = todo.join(full, ["tree", "prefix"]).select(
             "uid", "tree", "prefix", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-        met = visits.join(asked.select("uid", "vec_id", "v"), "uid").select("tree", "prefix", "chunk", F.lit(True).alias("query"), "uid", "vec_id", "v")
+        met = visits.join(asked.select("uid", "vec_id", "v"), "uid").select("tree", "prefix", "chunk", F.lit(True).alias("query"), "uid",
+                                                                           F.lit(0).cast("long").alias("row"), "vec_id", "v")
         data = leaves.join(full, ["tree", "prefix"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).join(
             visits.select("tree", "prefix", "chunk").distinct(), ["tree", "prefix", "chunk"], "left_semi").select(
-            "tree", "prefix", "chunk", F.lit(False).alias("query"), F.lit(0).cast("long").alias("uid"), "vec_id", "v")
+            "tree", "prefix", "chunk", F.lit(False).alias("query"), F.lit(0).cast("long").alias("uid"), "row", "vec_id", "v")
         scored = met.union(data).repartition("tree", "prefix", "chunk").sortWithinPartitions("tree", "prefix", "chunk", "query").mapInPandas(
-            score, "uid long, vec_id long, score double")
+            score, "uid long, row long, vec_id long, score double")
         scored = scored if best is None else scored.union(best)
-        place = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
+        place = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "row")
         best = store(scored.distinct().withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).drop("rank"))
         if level == 0:
             break
@@ -138,15 +148,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
         agree = 1 - F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))) / np.pi
         caught = 1 - F.pow(1 - F.pow(agree, F.lit(level)), F.lit(trees))
         open_ = asked.join(kth, "uid", "left").filter(
-            (F.coalesce("__found", F.lit(0)) < k) | (caught < recall)).select("uid", "prefixes")
+            (F.coalesce("__found", F.lit(0)) < k) | (caught < recall)).select("uid", "dim", "prefixes")
         level -= 1
         span = depth - level - 1  # the sibling subtree at this level has 2 ** span leaves
         sibling = F.shiftright("own", span).bitwiseXOR(F.lit(1).cast("long"))
-        todo = store(open_.select("uid", F.posexplode("prefixes").alias("tree", "own")).select(
-            "uid", "tree", F.explode(F.sequence(F.shiftleft(sibling, span), F.shiftleft(sibling + 1, span) - 1)).alias("prefix")))
+        todo = store(open_.select("uid", "dim", F.posexplode("prefixes").alias("tree", "own")).select(
+            "uid", tree_number("tree", F.col("dim")).alias("tree"), F.explode(F.sequence(F.shiftleft(sibling, span), F.shiftleft(sibling + 1, span) - 1)).alias("prefix")))
         if todo.isEmpty():
             break
-    place = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
+    place = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "row")
     return best.withColumn("rank", F.row_number().over(place)).join(
         asked.select("uid", F.col("vec_id").alias("query_id")), "uid").select("query_id", "rank", "vec_id", "score")
 
