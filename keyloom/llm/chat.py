@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_slices, running_sum, store
-from .ordering import TOKENIZER, encoding
+from .ordering import TOKENIZER, encoding, token_ids
 
 #: Printed marks before the role, before the text and after the text. Their ids follow the vocabulary and its end-of-document id.
 MARKS = ("### ", ": ", "</turn>\n")
@@ -59,7 +59,7 @@ def format_turns(turns: DataFrame, learn: tuple[str, ...] = ("assistant",), toke
         for batch in in_slices(batches):
             ids, masks = [], []
             for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                parts = [enc.encode_ordinary(escape(role or "")), enc.encode_ordinary(escape(text or ""))]
+                parts = [token_ids(enc, escape(role or "")), token_ids(enc, escape(text or ""))]
                 own, mask = assemble(parts, marks, role in learn)
                 ids.append(own), masks.append(mask.tobytes())
             yield pa.RecordBatch.from_arrays(

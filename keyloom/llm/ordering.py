@@ -8,6 +8,7 @@ so slot s is at byte (s % records) * stride of shard s // records, and a reader
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +25,8 @@ from .common import in_slices, running_sum, store
 HEADER, HEADER_BYTES = "<qii", 16
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 ROUNDS = 6
+#: The tokenizer's pattern steps back through a run of white space one sign at a time, which ends its stack on very long ones.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 @lru_cache(maxsize=2)
@@ -36,6 +39,18 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_ids(enc, text: str) -> list[int]:
+    """The ids of ``encode_ordinary`` for texts with white space of any length: the pattern takes a run less its last sign (the whole run
+    at the end of the text) as one piece, so such a piece goes to the merges without the pattern."""
+    ids, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += enc.encode_ordinary(text[at:run.start()])
+        ids += enc._encode_single_piece(text[run.start():end])
+        at = end
+    return ids + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
     x = (x + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
