@@ -82,13 +82,14 @@ def permute(numbers: np.ndarray, total: int, seed: int) -> np.ndarray:
 
 
 def token_records(docs: DataFrame, length: int, tokenizer: str) -> DataFrame:
-    """(part, number, record): fixed-stride records of all documents, numbered within the stored partition."""
+    """(part, number, record): fixed-stride records of all documents in ranges of doc_id and text hash, numbered within the stored
+    partition. Rows that agree in both have the same records, so the sequence of all records does not depend on how ``docs`` is split."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, number = encoding(tokenizer), 0
         for batch in in_slices(batches):
             records = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*enc.encode_ordinary(text or ""), enc.n_vocab], dtype="<u2")
+                ids = np.array([*token_ids(enc, text or ""), enc.n_vocab], dtype="<u2")
                 for n, at in enumerate(range(0, len(ids), length)):
                     part = ids[at:at + length]
                     body = part.tobytes()
@@ -96,7 +97,10 @@ def token_records(docs: DataFrame, length: int, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(records)), pa.int64()),
                                               pa.array(records, pa.binary())], ["number", "record"])
             number += len(records)
-    return store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "number long, record binary")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash"))
+    order = ["doc_id", "__hash"]
+    dealt = plain.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    return store(dealt.mapInArrow(run, "number long, record binary")
                  .withColumn("part", F.spark_partition_id()))
 
 
@@ -108,7 +112,7 @@ def training_order(docs: DataFrame, length: int = 512, records: int = 1024, seed
     padded with zero bytes. ``payload`` is the records of slots first_slot to first_slot + n_records - 1 one after the
     other; all shards but the last have ``records``. Ids take two bytes, so the vocabulary must have fewer than 65,536. Null and empty texts give
     one record with the end id; a null doc_id is written as -1; rows that share a doc_id are written one by one. The slot of a
-    record depends on its number in the stored token table, the number of records and ``seed``. An empty table gives no shards.
+    record depends on its number in the order of doc_id and text hash, the number of records and ``seed``, not on how the rows are split. An empty table gives no shards.
     """
     tokens = token_records(docs, length, tokenizer)
     counts = tokens.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
