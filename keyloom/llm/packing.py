@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_CLASS, UPPER, store, word_count
+from .common import LOWER, SPACE_CLASS, UPPER, running_sum, store, word_count
 
 #: Documents that are packed together; a shard leaves a handful of badly filled bins at most.
 SHARD_DOCS = 8192
@@ -90,20 +90,24 @@ def pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(docs: DataFrame, capacity: int = 1024, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Pack all ``docs`` into bins of ``capacity`` words.
 
-    Returns a row per piece: doc_id, uid (number of the document's row), source, cluster, piece, first_word and size (the words of the
+    Returns a row per piece: doc_id, uid (number of the document's row in the order of doc_id, source, size and cluster), source, cluster, piece, first_word and size (the words of the
     document it holds), bin_id, offset (words before it in the bin). A document longer than the capacity fills bins of its own
     with whole pieces; its rest is packed like a short document. Documents whose words agree after lowering A-Z are one
     duplicate cluster. Documents without words are pieces of size 0. Null sources are one source; a null
     text counts as empty and a null doc_id stays null. Documents are dealt to shards of about ``shard_docs`` at random (by
-    hash), so that a hot source or cluster is spread evenly and shards are packed in parallel. An empty table
-    gives an empty result.
+    hash of doc_id and uid), so that a hot source or cluster is spread evenly and shards are packed in parallel. The result does not
+    depend on how the rows are split or ordered. An empty table gives an empty result.
     """
     words = F.translate(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{SPACE_CLASS}]+", " ")), UPPER, LOWER)
-    sized = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+    facts = ["doc_id", "source", "size", "cluster"]
+    # rows that agree in all of these are alike to the packing; they are counted, and numbered after those before them
+    alike = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                               word_count(F.col("text")).alias("size"), F.xxhash64(words).alias("cluster"))
-                  .withColumn("uid", F.monotonically_increasing_id()))
-    shards = max(1, -(-sized.count() // shard_docs))
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "uid"), F.lit(shards)))
+                  .groupBy(*facts).agg(F.count(F.lit(1)).alias("__n")))
+    sized = running_sum(alike, [], facts, {"__upto": F.col("__n")}).select(
+        *facts, F.explode(F.sequence(F.col("__upto") - F.col("__n"), F.col("__upto") - 1)).alias("uid"),
+        F.ceil(F.col("__upto__all") / shard_docs).alias("__shards"))
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "uid"), F.col("__shards"))).drop("__shards")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         packed = pack_shard(rows, capacity)
