@@ -44,6 +44,24 @@ def test_small_tables_are_searched_exactly(spark):
     assert ann.nearest(table.filter("false"), table, 5).collect() == [] == ann.nearest(table, table.filter("false"), 5).collect()
 
 
+@pytest.mark.parametrize("leaf", [4096, 8])
+def test_vectors_meet_those_of_their_length(spark, leaf):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=5 if i % 3 else 8)]) for i in range(60)] + [(100, [9.0] * 30), (4, [1.0] * 5), (4, [1.0] * 5)]
+    table = spark.createDataFrame(rows, VECTORS)
+    got = ann.nearest(table, table.filter("vec_id IN (0, 1, 100)"), 70, leaf=leaf).collect()  # more than there are: all trees ascend to the root
+    assert Counter((r["query_id"], r["vec_id"]) for r in got) == Counter(
+        (q, i) for q, size in ((0, 8), (1, 5)) for i, v in rows if len(v) == size and i != q)
+    equal = spark.createDataFrame([(300, [3.0] * 5)] * 6 + [(301, [3.0] * 5), (302, [3.0] * 5)] + rows[:9], VECTORS)
+    got_equal = ann.nearest(equal, equal.filter("vec_id = 301"), 4, leaf=leaf).collect()
+    assert [(r["rank"], r["vec_id"]) for r in sorted(got_equal, key=lambda r: r["rank"])] == [(1, 300), (2, 300), (3, 300), (4, 300)]
+    got_equal = ann.nearest(equal, equal.filter("vec_id = 300").limit(1), 2, leaf=leaf).collect()
+    assert {(r["rank"], r["vec_id"]) for r in got_equal} == {(1, 301), (2, 302)}
+    dim = dict((i, v) for i, v in rows[:60])
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 0] == sorted(
+        (i for i in dim if i and i % 3 == 0), key=lambda i: -float(np.float32(dim[0]).astype(float) @ np.float32(dim[i]).astype(float)))
+
+
 @pytest.mark.parametrize("scaled", [False, True])
 def test_forest_reaches_the_recall(spark, scaled):
     rng = np.random.default_rng(1)
@@ -105,6 +123,15 @@ def test_packing_keeps_all_words_and_all_conflicts(spark):
     assert packing.pack(docs.filter("false")).collect() == []
 
 
+def test_bins_do_not_depend_on_splits(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i) if i % 17 else None, " ".join(["w"] * int(rng.integers(0, 60)) + [str(i % 300)]), f"s{i % 9}") for i in range(2000)]
+    rows += [(7, "same text", "s1")] * 50 + [(None, None, None)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = [sorted(packing.pack(docs.repartition(n), 100, 250).collect(), key=repr) for n in (1, 7)]
+    assert made[0] == made[1] and len({r["uid"] for r in made[0]}) == len(rows) == len(made[0])
+
+
 def brute_best_fit(items, capacity):
     """items: (size, source, cluster) in order; every open bin is looked at."""
     bins, placed = [], []
@@ -183,6 +210,19 @@ def test_permutation_is_a_bijection_that_the_key_selects():
     assert (a != b).mean() > 0.99 and abs(np.corrcoef(np.arange(5000), a)[0, 1]) < 0.05
 
 
+def test_long_white_space_has_the_ids_of_the_pattern():
+    enc = ordering.encoding(ordering.TOKENIZER)
+    rng = np.random.default_rng(5)
+    signs = [" ", "\n", "\u3000", "\x85", "\x1c", "ab", "1", "!", "'s", "\u00e9"]
+    for _ in range(200):
+        text = "".join(signs[rng.integers(len(signs))] * int(rng.choice([1, 2, 999, 1000, 1001])) for _ in range(rng.integers(1, 7)))
+        assert ordering.token_ids(enc, text) == enc.encode_ordinary(text)
+    assert ordering.token_ids(enc, "") == []
+    text = "a" + " " * 5_000_000 + "b" + "\n" * 5_000_000
+    assert enc.decode(ordering.token_ids(enc, text)) == text
+    assert len(ordering.token_ids(enc, "a" * 5_000_000)) == 1_250_000
+
+
 def test_training_order_round_trip(spark):
     rows = [(1, "one two three"), (2, None), (3, ""), (4, "long é€ text\n" * 400), (None, "no id"), (5, "same"), (5, "same"), (6, "<|endoftext|>")]
     rows += [(100 + i, f"document number {i} " * (i % 7)) for i in range(60)]
@@ -206,6 +246,8 @@ def test_training_order_round_trip(spark):
         assert got == want * (2 if i == 5 else 1)
     assert enc.decode([x for p in ids[4] for x in p][:-1]) == rows[3][1]
     assert ordering.training_order(docs.filter("false")).collect() == []
+    for n in (1, 7):
+        assert sorted(ordering.training_order(docs.repartition(n), length=16, records=32).collect()) == made
 
 
 def test_running_sums_over_hot_and_null_groups(spark):
