@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,9 @@ SHARD_PAGES = 512
 HOT_SHARE = 1000
 
 # Elements and words of HTML.
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|title|select|canvas|video|audio"
+RAW = frozenset("script style noscript template textarea iframe svg math object title select canvas video audio".split())
+TEXT_ONLY = frozenset("script style textarea title".split())  # nothing but their end tag ends them
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE = frozenset("nav header footer aside form head menu dialog button fieldset".split())
 BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption section article main header footer nav aside form "
                    "blockquote pre figure figcaption address hr body html head details summary menu dialog fieldset legend center".split())
@@ -40,47 +44,115 @@ FURNITURE_WORDS = frozenset(
     "modal overlay newsletter subscribe subscription sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments "
     "disqus reply replies respond discussion social share sharing related recommended recommendations widget toolbar pagination pager login signup search "
     "form complementary contentinfo".split())
+SURE_WORDS = frozenset("comment comments disqus reply replies respond discussion cookie cookies consent gdpr".split())
+CONTENT_WORDS = frozenset("content container wrapper wrap main entry body text layout story".split())
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: Up to the end of a tag: quotes count after an equals sign alone, so apostrophes elsewhere hide nothing. Nothing is tried twice.
+ATTRIBUTES = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
 NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 
 OUTSIDE, ARTICLE, DROPPED = 0, 1, 2
 
 
+def names_in(attributes: str) -> set[str]:
+    return {w for m in NAMED.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
+
+
 def is_furniture(tag: str, attributes: str) -> bool:
     if tag in FURNITURE:
         return True
-    if not attributes or tag in ("html", "body", "main"):
+    if not attributes or tag in ("html", "body", "main") or tag in HEADINGS:
         return False
-    words = {w for m in NAMED.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & ({"comment", "comments"} if tag == "article" else FURNITURE_WORDS))
+    return bool(names_in(attributes) & ({"comment", "comments"} if tag == "article" else FURNITURE_WORDS))
+
+
+def furniture_share(tag: str, attributes: str) -> float:
+    """The share of the text that such an element may hold and still be furniture."""
+    names = names_in(attributes)
+    if names & SURE_WORDS or tag in FURNITURE and tag != "form":
+        return 1.0
+    return 0.5 if names & CONTENT_WORDS else 0.9 if tag == "form" else 1.0
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of the tags in order, without name for comments and raw elements. The scan moves forward only: what one tag
+    finds missing in the rest of the page (an end of a tag, an end tag) is not looked for again."""
+    at, quotes, ends = 0, True, {}
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        opened = TAG.match(page, start)
+        if not opened and page[at:at + 1] not in ("!", "?"):
+            continue
+        found = ATTRIBUTES.match(page, opened.end()) if opened and quotes else None
+        if not found:
+            quotes = quotes and not opened
+            end = page.find(">", at)
+            if end < 0:
+                return
+            at = end + 1
+            attributes = page[opened.end():end] if opened else ""
+        else:
+            at, attributes = found.end(), found[1]
+        name, closing = (opened[2].lower(), bool(opened[1])) if opened else ("", False)
+        if name in RAW and not closing and not (attributes.endswith("/") and name not in TEXT_ONLY):
+            if name not in ends:
+                ends[name] = [m.span() for m in re.finditer(rf"</{name}(?=[\s/>])[^>]*+>?", page, re.I)]
+            last = bisect_left(ends[name], (at, 0))
+            if last < len(ends[name]):
+                at = ends[name][last][1]
+            elif name in TEXT_ONLY:
+                at = len(page)
+            name = ""
+        yield start, at, name, closing, attributes
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of the blocks of a page in order: in the article or main element, in furniture, or elsewhere. White space in a
-    block is one space, character references are decoded, empty blocks are left out."""
-    page = page or ""
-    out: list[tuple[int, str]] = []
+    block is one space, character references are decoded, empty blocks are left out. An element that looks like furniture, but by its names
+    may be the content too, is none if it holds most of the text of the page, or of its article if there is one; nor is a form that holds nine
+    tenths. Up to eight such elements may stand one in the other."""
+    tags, stands = list(tags_of(page or "")), set()
+    for _ in range(9):
+        found = cut(page or "", tags, stands)
+        sizes, held = [0, 0], Counter()
+        for kind, text, inside, part in found:
+            sizes[inside] += len(text)
+            if kind == DROPPED:
+                held[part, inside] += len(text)
+        whole = sizes[1] or sizes[0]
+        wrong = {part[0] for (part, inside), n in held.items() if inside == bool(sizes[1]) and n > part[1] * whole}
+        if not wrong:
+            break
+        stands |= wrong
+    return [(kind, text) for kind, text, _, _ in found]
+
+
+def cut(page: str, tags: list[tuple[int, int, str, bool, str]], stands: set[int]) -> list[tuple[int, str, bool, tuple[int, float]]]:
+    """(kind, text, whether in an article or main element, (start of the furniture, share of the text up to which it is)) of each block; elements
+    that start at ``stands`` are no furniture."""
+    out: list[tuple[int, str, bool, tuple[int, float]]] = []
     buffer: list[str] = []
-    main, skip, depth, at = 0, "", 0, 0
+    main, skip, depth, at, part = 0, "", 0, 0, (0, 1.0)
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            out.append((DROPPED if skip else ARTICLE if main else OUTSIDE, text))
+            out.append((DROPPED if skip else ARTICLE if main else OUTSIDE, text, main > 0, part))
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            buffer.append(page[at:m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    for start, end, tag, closing, attributes in tags:
+        if start > at:
+            buffer.append(page[at:start])
+        at = end
         if not tag:
             continue
-        closing = bool(m[2])
         if tag == "br":
             buffer.append(" ")
         if tag in BLOCKS:
@@ -94,9 +166,9 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
                 continue
             flush()
             skip = ""
-        if not closing and tag not in VOID and is_furniture(tag, m[4] or ""):
+        if not closing and tag not in VOID and start not in stands and is_furniture(tag, attributes):
             flush()
-            skip, depth = tag, 1
+            skip, depth, part = tag, 1, (start, furniture_share(tag, attributes))
         elif tag in MAIN:
             main = max(0, main + (-1 if closing else 1))
     buffer.append(page[at:])
@@ -193,7 +265,7 @@ def main_text(pages: DataFrame, min_pages: int = 3, share: float = 0.01, shard_p
     are the text; else what is left of the others after passages that at least ``min_pages`` pages, and ``share`` of the
     pages, of its host repeat. The host is the part of the url after :// (null or none: the empty host). Of hosts with more than
     ``shard_pages`` pages, passages are counted by a Spark aggregate if any of their pages needs them. Null and empty html give the empty text; rows that
-    repeat each give a row; tags that do not close and very long pages are handled in one pass. An empty table gives an empty result.
+    repeat each give a row; pages are scanned forwards only, whatever tags and quotes they leave open. An empty table gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1))
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host.alias("__host"))
