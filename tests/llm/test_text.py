@@ -1,6 +1,7 @@
 """HTML extraction, chat formatting, Order MinHash and language identification."""
 
 import hashlib
+import time
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,28 @@ CASES = [
 ]
 
 
+CASES += [
+    (page("<form id=aspnetForm><p>Whole page</p><p>in a form</p></form>"), "Whole page\nin a form"),
+    (page("<div class='container with-sidebar'><p>Whole page</p><div class=sidebar>Side</div></div>"), "Whole page"),
+    (page("<article><h2 class='entry-header'>Head</h2><div class='entry-content share-enabled'><p>Long body of the text</p><div class=share>Share</div></div></article>"),
+     "Head\nLong body of the text"),
+    (page("<article><p>Short</p><section id=comments><p>Much longer words of readers</p></section></article><aside>" + "side " * 99 + "</aside>"), "Short"),
+    (page("<p>a</p><video-player src=x></video-player><p>b</p><title-bar>c</title-bar><p>d</p><math-field></math-field><svg width='1'/><p>e</p>"), "a\nb\nc\nd\ne"),
+    (page("<article><p>a<svg><path d='>'/></svg> b</p><video><p>c</p></article>"), "a b\nc"),
+    (page("<article><p title=it's>a</p><p data-x='b>'>c</p></article>"), "a\nc"),
+    (page("<aside>open side<article><p>Kept text of the page</p></article>"), "Kept text of the page"),
+    (page("<article><p>a</p><p x=\"b>c</p></article>"), "a\nc"),
+    (page("<nav>" + "menu " * 50 + "</nav><div class='sidebar'>" + "side " * 50 + "</div><p>Few words</p><form>Name Mail Send it to us</form>"), "Few words"),
+]
+
+
+@pytest.mark.parametrize("piece", ["<a x ", "<a x=\" ", "<svg>", "<a =\">\"", "<!--", "<aside>", "<a x='", "<script", "</svg", "<title>", "<!x", "< ", "<nav><p>x", "<form>x", "<div class='menu content'>x"])
+def test_hostile_markup_is_read_forwards(piece):
+    began = time.perf_counter()
+    html.blocks_of(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 10
+
+
 @pytest.mark.parametrize("source,text", CASES)
 def test_blocks(spark, source, text):
     rows = pd.DataFrame({"kinds": [[k for k, _ in html.blocks_of(source)]], "texts": [[t for _, t in html.blocks_of(source)]]})
