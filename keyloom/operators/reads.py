@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import adapters as search
 from ..sources import reads as sam
 from ..session import checkpoint
+from .graphs import connected_components
 from .skew import heavy_keys, lookup, salted_join
 
 # --- trimming -------------------------------------------------------------------------------------------------------
@@ -203,8 +204,10 @@ def find_duplicates(alignments: DataFrame, handling: str = "mark", scoring: str
     A pair with both mates here is judged as one: its position is both unclipped 5' ends with their strands, its score the sum of its
     mates', and both mates are flagged or kept together. Other reads, and mates whose partner is missing, are judged by their own end.
     The best one is a combining maximum per position, so a position with very many copies is not gathered; copies learn
-    the result through a join in which heavy positions are answered from a broadcast of at most 1000 rows. A
-    duplicate is optical when it sits on the kept read's tile within ``optical_distance`` pixels of it.
+    the result through a join in which heavy positions are answered from a broadcast of at most 1000 rows. Copies on
+    one tile that are linked by steps of at most ``optical_distance`` pixels in either direction are one optical chain, and all
+    of it but its best fragment are optical duplicates, whether the chain holds the kept fragment of the position or not. Names
+    without a tile and two pixel numbers (seven parts between colons) take no part in chains.
     """
     if handling not in ("mark", "remove_optical", "remove_all"):
         raise ValueError("handling must be mark, remove_optical or remove_all")
@@ -227,7 +230,12 @@ def find_duplicates(alignments: DataFrame, handling: str = "mark", scoring: str
                     F.when(whole, 0).otherwise(F.col("flag")).alias("flag"), F.when(whole, 0).otherwise(F.col("pos")).alias("pos"),
                     F.when(whole, "").otherwise(F.col("cigar")).alias("cigar"))
     place = F.when(whole, F.xxhash64("sample", "__low", "__high")).otherwise(F.xxhash64("sample", "__end"))
-    tagged = joined.withColumns({"__place": F.when(counts, place), "__mine": mine}).drop(
+    tile = F.when(F.size(names) >= 7, F.concat_ws(":", F.slice(names, 1, 5)))
+    x, y = (F.try_element_at(names, F.lit(i)).try_cast("long") for i in (6, 7))
+    side = optical_distance + 1
+    cell = F.struct(tile.alias("tile"), F.floor(x / side).alias("i"), F.floor(y / side).alias("j"))
+    located = {"__cell": F.when(counts & tile.isNotNull() & x.isNotNull() & y.isNotNull(), cell), "__x": x, "__y": y}
+    tagged = joined.withColumns({"__place": F.when(counts, place), "__mine": mine, **located}).drop(
         "__s", "__q", "__low", "__high", "__both", "__ends", "__pair", "__score", "__end")
     group = ["sample", "__place"]
     ranked = checkpoint(tagged.filter(counts).groupBy(*group).agg(
@@ -236,22 +244,49 @@ def find_duplicates(alignments: DataFrame, handling: str = "mark", scoring: str
     heavy = ranked.filter(F.col("__n") >= max(100_000, total // 1000))
     joined = lookup(tagged, ranked, group, heavy)
     duplicate = F.coalesce((F.col("__n") > 1) & (F.col("__mine") != F.col("__best")), F.lit(False))
-    kept = F.split("__best.qname", ":")
-
-    def coordinate(parts: Column, i: int) -> Column:
-        return F.try_element_at(parts, F.lit(i)).try_cast("long")
-
-    same_tile = F.concat_ws(":", F.slice(names, 1, 5)) == F.concat_ws(":", F.slice(kept, 1, 5))
-    close = (F.abs(coordinate(names, 6) - coordinate(kept, 6)) <= optical_distance) & \
-        (F.abs(coordinate(names, 7) - coordinate(kept, 7)) <= optical_distance)
-    marked = joined.withColumns({"duplicate": duplicate, "optical": F.coalesce(duplicate & same_tile & close, F.lit(False))})
+    copies = lookup(tagged.select(*group, "__mine", "__cell", "__x", "__y"), ranked.select(*group, "__n"), group, heavy.select(*group, "__n"))
+    chains = _optical_chains(copies.filter("__n > 1 AND __cell IS NOT NULL"), optical_distance)
+    crowded = chains.filter(F.col("__copies") >= max(100_000, total // 1000))
+    joined = lookup(joined, chains, ["__place", "__cell"], crowded)
+    marked = joined.withColumns({"duplicate": duplicate, "optical": F.coalesce(duplicate & (F.col("__mine") != F.col("__first")), F.lit(False))})
     marked = marked.withColumn("flag", F.when(F.col("duplicate"), F.col("flag").bitwiseOR(F.lit(sam.DUPLICATE)))
                                .otherwise(F.col("flag").bitwiseAND(F.lit(~sam.DUPLICATE))))
     if handling == "remove_all":
         marked = marked.filter(~F.col("duplicate"))
     elif handling == "remove_optical":
         marked = marked.filter(~F.col("optical"))
-    return marked.drop("__place", "__mine", "__best", "__n")
+    return marked.drop("__place", "__mine", "__best", "__n", "__cell", "__x", "__y", "__first", "__copies")
+
+
+def _optical_chains(copies: DataFrame, distance: int) -> DataFrame:
+    """(__place, __cell, __first, __copies): the best fragment of the chain that each cell of pixels belongs to, and the cell's fragments.
+
+    Cells are ``distance + 1`` pixels wide, so the fragments of one cell are all linked and cells are the nodes of the graph. A cell is
+    known by the lowest and highest pixel of each of its columns, at most ``distance + 1`` of them however many fragments it has; two
+    cells that touch are linked when two of these columns have pixels within the distance.
+    """
+    columns = copies.groupBy("__place", "__cell", "__x").agg(
+        F.min("__y").alias("low"), F.max("__y").alias("high"), F.max("__mine").alias("best"), F.count(F.lit(1)).alias("n"))
+    cells = checkpoint(columns.groupBy("__place", "__cell").agg(
+        F.collect_list(F.struct(F.col("__x").alias("x"), "low", "high")).alias("columns"), F.max("best").alias("best"), F.sum("n").alias("__copies"))
+        .withColumn("node", F.to_json(F.struct("__place", "__cell"))))
+
+    def moved(i: int, j: int) -> Column:
+        return F.struct(F.col("__cell.tile").alias("tile"), (F.col("__cell.i") + i).alias("i"), (F.col("__cell.j") + j).alias("j"))
+
+    ahead = cells.select("__place", F.explode(F.array(moved(1, -1), moved(1, 0), moved(1, 1), moved(0, 1))).alias("__cell"),
+                         F.col("columns").alias("theirs"), F.col("node").alias("a"))
+
+    def within(p: Column, q: Column) -> Column:
+        return (F.abs(p["x"] - q["x"]) <= distance) & (q["low"] - p["high"] <= distance) & (p["low"] - q["high"] <= distance)
+
+    links = checkpoint(ahead.join(cells.select("__place", "__cell", "columns", F.col("node").alias("b")), ["__place", "__cell"]).filter(
+        F.exists("theirs", lambda p: F.exists("columns", lambda q: within(p, q)))).select("a", "b"))
+    if links.isEmpty():
+        return cells.select("__place", "__cell", F.col("best").alias("__first"), "__copies")
+    named = checkpoint(cells.join(connected_components(cells, links), "node").select("__place", "__cell", "__copies", "best", "component"))
+    firsts = named.groupBy("component").agg(F.max("best").alias("__first"))
+    return checkpoint(named.join(firsts, "component").select("__place", "__cell", "__first", "__copies"))
 
 
 def sort_alignments(alignments: DataFrame, order: str = "coordinate") -> DataFrame:

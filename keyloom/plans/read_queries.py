@@ -203,6 +203,28 @@ def _(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("bases"))
 
 
+# alignments start at the first of a month; names carry one of four tiles and two pixel numbers below 1000
+_OPTICAL = """f AS MATERIALIZED (SELECT row_number() OVER () AS id, l_returnflag AS sample, l_linestatus AS rname, date_diff('month', DATE '1990-01-01', l_shipdate) AS place, l_suppkey % 4 AS tile,
+    l_partkey * 37 % 1000 AS x, l_orderkey * 13 % 1000 AS y, l_orderkey || '-' || l_linenumber AS name, l_quantity::INT AS len FROM lineitem),
+  k AS MATERIALIZED (SELECT *, 'M:1:F:1:' || tile || ':' || x || ':' || y || ':' || name AS qname FROM f),
+  links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.sample = b.sample AND a.rname = b.rname AND a.place = b.place AND a.tile = b.tile AND a.id <> b.id
+    AND abs(a.x - b.x) <= 30 AND abs(a.y - b.y) <= 30),
+  chain(id, component) USING KEY (id) AS (SELECT id, id FROM k UNION
+    SELECT l.a, min(c.component) FROM chain c JOIN links l ON l.b = c.id JOIN recurring.chain o ON o.id = l.a WHERE c.component < o.component GROUP BY l.a)"""
+
+
+@query("optical_duplicates", f"""WITH RECURSIVE {_OPTICAL} SELECT qname, row_number() OVER (PARTITION BY sample, rname, place ORDER BY len DESC, qname DESC) > 1 AS duplicate,
+  row_number() OVER (PARTITION BY component ORDER BY len DESC, qname DESC) > 1 AS optical FROM k JOIN chain USING (id)""")
+def _(spark, d):
+    li = spread(r.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"))
+    n = F.col("l_quantity").cast("int")
+    parts = [F.lit("M:1:F:1"), F.col("l_suppkey") % 4, F.col("l_partkey") * 37 % 1000, F.col("l_orderkey") * 13 % 1000, F.concat_ws("-", "l_orderkey", "l_linenumber")]
+    rows = li.select(F.col("l_returnflag").alias("sample"), F.concat_ws(":", *[p.cast("string") for p in parts]).alias("qname"), F.lit(0).alias("flag"),
+                     F.col("l_linestatus").alias("rname"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("pos"),
+                     F.concat(n.cast("string"), F.lit("M")).alias("cigar"), F.repeat(F.lit("I"), n).alias("qual"))
+    return reads.find_duplicates(checkpoint(rows), optical_distance=30).select("qname", "duplicate", "optical")
+
+
 _EXONS = """ex AS (SELECT s_suppkey AS gene, CASE WHEN s_nationkey % 2 = 0 THEN 'F' ELSE 'O' END AS rname, (1500 + (s_suppkey*37) % 3000)::BIGINT AS s,
   (1500 + (s_suppkey*37) % 3000 + 15)::BIGINT AS e, CASE WHEN s_nationkey % 3 = 0 THEN '-' ELSE '+' END AS strand FROM supplier)"""
 

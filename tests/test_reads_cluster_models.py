@@ -107,6 +107,38 @@ def test_duplicates(alignments):
     assert reads.find_duplicates(alignments, "remove_all").count() == 3
 
 
+def _copies(spark, places):
+    """Copies of one fragment at (tile, x, y), the first of the best quality."""
+    rows = [("s", f"r:1:1:1:{t}:{x}:{y}:{i}", 0, "chr1", 101, "9M", chr(90 - i % 50) * 9) for i, (t, x, y) in enumerate(places)]
+    return spark.createDataFrame(rows, "sample string, qname string, flag int, rname string, pos long, cigar string, qual string")
+
+
+def test_optical_chain_is_followed(spark):
+    """Two steps of 80 pixels reach from the first read to the third; the fourth and fifth are a chain without the kept read."""
+    found = {r["qname"][-1]: (r["duplicate"], r["optical"]) for r in reads.find_duplicates(_copies(
+        spark, [(1, 0, 0), (1, 80, 0), (1, 160, 0), (1, 900, 900), (1, 820, 820), (2, 0, 0)])).collect()}
+    assert found == {"0": (False, False), "1": (True, True), "2": (True, True), "3": (True, False), "4": (True, True), "5": (True, False)}
+
+
+@pytest.mark.parametrize("distance,field", [(0, 8), (1, 14), (10, 120), (25, 200)])
+def test_optical_chains_match_all_pairs(spark, distance, field):
+    rng = np.random.default_rng(distance)
+    places = [(int(t), int(x), int(y)) for t, x, y in zip(rng.integers(0, 2, 60), rng.integers(-field, field, 60), rng.integers(-field, field, 60))]
+    label = list(range(len(places)))
+    for a, p in enumerate(places):
+        for b, q in enumerate(places[:a]):
+            if p[0] == q[0] and max(abs(p[1] - q[1]), abs(p[2] - q[2])) <= distance and label[a] != label[b]:
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    best = {}
+    rows = [(places[i], 9 * (ord(chr(90 - i % 50)) - 33 if 90 - i % 50 - 33 >= 15 else 0), f"r:1:1:1:{places[i][0]}:{places[i][1]}:{places[i][2]}:{i}") for i in range(len(places))]
+    for i, (_, score, name) in enumerate(rows):
+        best[label[i]] = max(best.get(label[i], (-1, "")), (score, name))
+    want = {name: (score, name) != best[label[i]] for i, (_, score, name) in enumerate(rows)}
+    got = {r["qname"]: r["optical"] for r in reads.find_duplicates(_copies(spark, places), optical_distance=distance).collect()}
+    assert got == want and any(want.values())
+
+
 def test_blocks_and_feature_counts(spark, alignments):
     b = {r["qname"]: [tuple(x) for x in r["b"]] for r in alignments.select("qname", reads.blocks("pos", "cigar").alias("b")).collect()}
     assert b["q2"] == [(90, 94), (105, 116)]
