@@ -26,6 +26,7 @@ from .filters import numeric_columns
 from .graphs import connected_components
 from .neighbours import distance_sums, neighbour_counts, neighbour_links
 from .ranking import row_numbers
+from .skew import lookup
 
 UNCLUSTERED = -1
 
@@ -395,12 +396,89 @@ def cluster_similarity(solutions: DataFrame, key: str) -> DataFrame:
                                / (F.lit(n) * F.col("na") * F.col("nb"))).alias("similarity")))
 
 
+def _alike_nodes(need: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links (a, b) that span the nodes of two chunks (``side`` 0 and 1; one chunk alone has only 0) with ``need`` clusters in common."""
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        # the place of a cluster among those of its solution; -1 for no cluster
+        codes = np.stack([pd.factorize(np.array(c, dtype=object))[0] for c in zip(*group["codes"])], axis=1).astype(np.int32)
+        side = group["side"].to_numpy()
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        label = np.arange(len(group))
+        found: list[np.ndarray] = []
+        for i in left:
+            same = ((codes[right] == codes[i]) & (codes[i] >= 0)).sum(1) >= need
+            near = right[same]
+            apart = near[label[near] != label[i]]
+            if len(apart):
+                # one link to each component that is not yet joined to this node's
+                _, first = np.unique(label[apart], return_index=True)
+                ends = apart[first]
+                found.append(np.stack([np.full(len(ends), i), ends], axis=1))
+                joined = np.append(label[ends], label[i])
+                label[np.isin(label, joined)] = joined.min()
+        pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+        ids = group["id"].to_numpy()
+        return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+    return links
+
+
+def feature_consensus(solutions: DataFrame, key: str, evidence_threshold: float = 2 / 3, min_cluster_size: int = 15,
+                      chunk_rows: int = 2048) -> DataFrame:
+    """Clusters of features linked by being together in at least ``evidence_threshold`` of the solutions; others are -1.
+
+    Features with the same clusters in all solutions become one node. Two nodes with t clusters in common share one among the rarest
+    m - t + 1 of each one's m clusters, so only nodes that do meet, in chunks of ``chunk_rows`` against chunks, where links that span them
+    are kept. A node in fewer than t solutions, and a feature that is linked to none, has no cluster. A solution puts a feature
+    into one cluster at most; the smallest counts where it has several.
+    """
+    if not evidence_threshold > 0:
+        raise ValueError("evidence_threshold must be above 0")
+    ids = sorted(r[0] for r in solutions.select("solution").distinct().collect())
+    need = next((t for t in range(1, len(ids) + 1) if t / len(ids) >= evidence_threshold), len(ids) + 1)
+    single = solutions.groupBy(key, "solution").agg(F.min(F.col("cluster").cast("string")).alias("cluster"))
+    taken = F.map_from_entries(F.collect_list(F.struct("solution", "cluster")))
+    codes = F.array(*[F.try_element_at("__m", F.lit(i)) for i in ids])
+    vectors = checkpoint(single.groupBy(key).agg(taken.alias("__m")).select(key, codes.alias("codes")))
+    weighted = vectors.groupBy("codes").agg(F.count(F.lit(1)).alias("n")).filter(F.size(F.array_compact("codes")) >= need)
+    nodes = checkpoint(row_numbers(weighted, [], ["codes"], "id").select("id", "codes", "n"))
+    members = nodes.select("id", "codes", F.posexplode("codes").alias("at", "cluster")).filter("cluster IS NOT NULL")
+    spread_of = checkpoint(members.groupBy("at", "cluster").agg(F.count(F.lit(1)).alias("nodes")))
+    known = lookup(members.select("id", "at", "cluster"), spread_of, ["at", "cluster"], spread_of.filter("nodes >= 100000").orderBy(F.desc("nodes")).limit(1000))
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct("nodes", "at", "cluster"))), 1, F.count(F.lit(1)).cast("int") - need + 1)
+    met = known.groupBy("id").agg(rarest.alias("prefix")).select("id", F.explode("prefix").alias("p")).select("id", "p.at", "p.cluster")
+    sizes = checkpoint(met.groupBy("at", "cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk_rows)).cast("int").alias("chunks"), F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    dealt = lookup(met, sizes, ["at", "cluster"], sizes.filter("k >= 100000").orderBy(F.desc("k")).limit(1000)).filter("chunks IS NOT NULL").join(
+        nodes.select("id", "codes"), "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    # chunk i meets itself and every other chunk once, the smaller number on side 0
+    meetings = dealt.select("id", "codes", "at", "cluster", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
+        "id", "codes", "at", "cluster", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
+        F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side"))
+    kind = nodes.schema["id"].dataType.simpleString()
+    links = checkpoint(meetings.groupBy("at", "cluster", "low", "high").applyInPandas(_alike_nodes(need), f"a {kind}, b {kind}"))
+    named = checkpoint(connected_components(nodes.withColumnRenamed("id", "node"), links).join(nodes.withColumnRenamed("id", "node"), "node"))
+    known_nodes = named.select("codes", F.col("component").alias("cluster"), "n")
+    placed = lookup(vectors, known_nodes, ["codes"], known_nodes.filter("n >= 100000").orderBy(F.desc("n")).limit(1000)).select(key, "cluster")
+    # clusters of equal size are ordered by their smallest feature
+    smallest = placed.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.min(key).alias("__name"))
+    return number_clusters(placed.join(smallest, "cluster", "left").select(key, F.col("__name").alias("cluster")), key, max(2, min_cluster_size))
+
+
 def consensus(solutions: DataFrame, key: str, evidence_threshold: float = 2 / 3, cluster_unclustered: bool = True,
-              min_cluster_size: int = 15) -> DataFrame:
-    """Blocks of similar clusters vote for each feature; small blocks and features without votes are -1."""
+              min_cluster_size: int = 15, by: str = "auto", n_features: int | None = None) -> DataFrame:
+    """Blocks of similar clusters vote for each feature (``by="cluster"``), or features are linked themselves (``by="feature"``); small
+    blocks and features without votes are -1. ``auto`` links features when there are at least 4 clusters per square root of the
+    features (``n_features``, or those with a cluster)."""
+    if by not in ("auto", "cluster", "feature"):
+        raise ValueError("by must be auto, cluster or feature")
+    names = checkpoint(solutions.select(F.concat_ws(":", "solution", "cluster").alias("node")).distinct())
+    if by == "auto":
+        n_features = n_features or solutions.select(key).distinct().count()
+        by = "feature" if names.count() >= 4 * math.sqrt(n_features) else "cluster"
+    if by == "feature":
+        return feature_consensus(solutions, key, evidence_threshold, min_cluster_size)
     similar = checkpoint(cluster_similarity(solutions, key))
     links = similar.filter(F.col("similarity") >= evidence_threshold)
-    names = solutions.select(F.concat_ws(":", "solution", "cluster").alias("node")).distinct()
     blocks = connected_components(names, links.select("a", "b"))
     sizes = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     used = blocks.join(sizes, "component").filter("n > 1").select("node", "component") if not cluster_unclustered else blocks

@@ -259,6 +259,25 @@ def _(spark, d):
     return rounded(cluster.evidence_for_pairs(_solutions(spark, d), pairs, "gene"))
 
 
+# five groupings of parts: brand, type, size (small sizes in none), and both words of the name
+_FIVE = """five AS MATERIALIZED (SELECT p_partkey AS gene, p_brand AS s0, p_type AS s1, CASE WHEN p_size >= 10 THEN p_size END AS s2, split_part(p_name, ' ', 1) AS s3, split_part(p_name, ' ', 2) AS s4 FROM part)"""
+_SAME = " + ".join(f"coalesce((x.s{i} = y.s{i})::INT, 0)" for i in range(5))
+
+
+@query("consensus_features", f"""WITH RECURSIVE {_FIVE}, core AS (SELECT gene FROM five WHERE {" + ".join(f"(s{i} IS NOT NULL)::INT" for i in range(5))} >= 4),
+  {_components(f"SELECT x.gene AS a, y.gene AS b FROM five x JOIN five y ON x.gene <> y.gene AND {_SAME} >= 4")},
+  sized AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component DESC) - 1 AS cluster FROM comp GROUP BY component HAVING count(*) >= 2)
+  SELECT gene, coalesce(cluster, -1)::INTEGER AS cluster FROM five LEFT JOIN comp USING (gene) LEFT JOIN sized USING (component)""")
+def _(spark, d):
+    """Parts that agree in four groupings of five, and what they are linked to."""
+    part = r.table(spark, d, "part")
+    word = F.split("p_name", " ")
+    columns = (F.col("p_brand"), F.col("p_type"), F.when(F.col("p_size") >= 10, F.col("p_size").cast("string")), word[0], F.get(word, F.lit(1)))
+    solutions = part.select(F.col("p_partkey").alias("gene"), F.inline(F.array(
+        *[F.struct(F.lit(i).alias("solution"), c.alias("cluster")) for i, c in enumerate(columns)]))).filter("cluster IS NOT NULL")
+    return cluster.consensus(solutions, "gene", 0.8, min_cluster_size=2, by="feature")
+
+
 @query("consensus_clusters", f"WITH {r.COUNTS} SELECT count(*)::BIGINT AS rows, true AS large_enough, true AS by_size FROM counts")
 def _(spark, d):
     setups = cluster.expand_setups([{"method": "kmeans", "n_clusters": [2, 3]}, {"method": "hierarchical", "n_clusters": 3},

@@ -205,10 +205,31 @@ def test_number_of_clusters(blobs):
     assert best == 3
 
 
+@pytest.mark.parametrize("threshold,chunk", [(0.25, 7), (0.5, 5), (0.75, 2048), (1.0, 3), (1.1, 7)])
+def test_feature_consensus_matches_the_coassociation_matrix(spark, threshold, chunk):
+    rng = np.random.default_rng(int(threshold * 100))
+    table = rng.integers(-1, 6, (90, 4))
+    table[60:] = table[rng.integers(0, 60, 30)]
+    solutions = spark.createDataFrame([(s, int(c), i) for i, row in enumerate(table) for s, c in enumerate(row) if c >= 0], "solution int, cluster int, gene long")
+    together = ((table[:, None] == table[None]) & (table[:, None] >= 0)).sum(2) / 4 >= threshold
+    label = list(range(90))
+    for a in range(90):
+        for b in np.flatnonzero(together[a, :a]):
+            if label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    groups = sorted({x for x in label if label.count(x) >= 3}, key=lambda x: (-label.count(x), -x))
+    present = [i for i in range(90) if (table[i] >= 0).any()]
+    want = {i: groups.index(label[i]) if label[i] in groups else -1 for i in present}
+    got = {r["gene"]: r["cluster"] for r in cluster.feature_consensus(solutions, "gene", threshold, 3, chunk_rows=chunk).collect()}
+    assert got == want and (max(want.values()) >= 0) == (threshold <= 1)
+
+
 def test_consensus_of_repeated_solutions(spark, blobs):
     labels = blobs.select("gene", F.substring("gene", 2, 1).cast("int").alias("cluster"))
     solutions = labels.select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("solution"), "cluster", "gene")
     assert groups_of(cluster.consensus(solutions, "gene", 0.6, min_cluster_size=5)) == {0: {"g0"}, 1: {"g1"}, 2: {"g2"}}
+    assert groups_of(cluster.consensus(solutions, "gene", 0.6, min_cluster_size=5, by="feature")) == {0: {"g0"}, 1: {"g1"}, 2: {"g2"}}
     sim = {(r["a"], r["b"]): r["similarity"] for r in cluster.cluster_similarity(solutions, "gene").collect()}
     assert sim["0:0", "1:0"] == pytest.approx(1.0) and ("0:0", "0:1") not in sim
 
