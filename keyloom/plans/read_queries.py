@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reads
 from ..sources import reads as sam
-from ..session import checkpoint, spread
+from ..session import checkpoint, shared_path, spread
 from . import relations as r
 from .registry import query
 
@@ -33,6 +33,14 @@ def _(spark, d):
     return sam.assemble_fastq(lines)
 
 
+@query("fastq_files_round_trip", f"WITH {_LINES} SELECT sample, read_id, seq, qual FROM rd")
+def _(spark, d):
+    """Written as one folder of files for each sample, and read back by byte ranges of 64 kB."""
+    path = shared_path(spark, "fastq")
+    sam.write_fastq(_reads(spark, d), path)
+    return sam.read_fastq(spark, path, split_bytes=64 << 10)
+
+
 @query("fastq_to_sam_single", f"""WITH {_LINES} SELECT sample, read_id || chr(9) || '4' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || '*' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0'
   || chr(9) || seq || chr(9) || qual AS line FROM rd""")
 def _(spark, d):

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import row_numbers
-from .tables import row_order
+from .fastq import FASTQ_SUFFIXES, read_fastq
 
-# File suffixes that count as reads and alignments.
-FASTQ_SUFFIXES = (".fastq", ".fastq.gz", ".fq", ".fq.gz")
+# File suffixes that count as alignments.
 ALIGNMENT_SUFFIXES = (".sam",)
 # The mandatory SAM fields and the flag bits.
 SAM_FIELDS = (("qname", "string"), ("flag", "int"), ("rname", "string"), ("pos", "long"), ("mapq", "int"),
@@ -41,8 +40,8 @@ def reverse_complement(seq: str | Column) -> Column:
 # --- FASTQ ---------------------------------------------------------------------------------------------------------
 
 def assemble_fastq(lines: DataFrame) -> DataFrame:
-    """Lines (sample, _row, value) to (sample, read_id, seq, qual). Lines are numbered per file with the distributed row
-    numbers, so one large file is not read by one task."""
+    """Lines (sample, _row, value) to (sample, read_id, seq, qual). For lines that are already a table; files are read
+    by ``read_fastq``. Lines are numbered with the distributed row numbers."""
     numbered = row_numbers(lines.select("sample", "_row", "value"), ["sample"], ["_row"], "n")
     record = F.floor((F.col("n") - 1) / 4)
     part = F.pmod(F.col("n") - 1, F.lit(4))
@@ -51,12 +50,6 @@ def assemble_fastq(lines: DataFrame) -> DataFrame:
     return rows.select("sample", F.regexp_extract("head", r"^@(\S+)", 1).alias("read_id"), "seq", "qual")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """A file or folder of FASTQ files (gzip allowed); one sample per file."""
-    raw = spark.read.option("pathGlobFilter", "*.{fastq,fq,fastq.gz,fq.gz}").text(path)
-    return assemble_fastq(raw.select(sample_name(F.col("_metadata.file_path")).alias("sample"), row_order().alias("_row"), "value"))
-
-
 def fastq_lines(reads: DataFrame) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("@"), F.col("read_id")), F.col("seq"), F.lit("+"), F.col("qual"))
 

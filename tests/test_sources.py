@@ -1,4 +1,5 @@
 import gzip
+import io
 import json
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.operators import attributes, genome, mapping
 from keyloom.plans.chain import Pipeline, ReadPipeline
-from keyloom.sources import annotations, genome as genome_source, reads as sam, tables
+from keyloom.sources import annotations, fastq, genome as genome_source, reads as sam, tables
 from keyloom.table import CountTable, FeatureTable
 from conftest import rows
 
@@ -194,6 +195,34 @@ def test_fastq_and_sam_files(spark, tmp_path):
     assert first.count() == second.count() == 3 and {r["flag"] for r in both.collect()} == {77, 141}
 
 
+def test_fastq_byte_ranges_read_every_record_once(spark, tmp_path):
+    """Ranges of every size, so that starts fall on each byte of a record; quality lines may begin with @ or +."""
+    whole = [(f"r{i}", "ACGT"[i % 4] * (i % 5), "@+I@"[i % 4] * (i % 5)) for i in range(40)]
+    body = "".join(f"@{a} x\n{b}\n+\n{c}\n" for a, b, c in whole).encode()
+    for data in (body, body.replace(b"\n", b"\r\n"), body[:-1], body + b"\n\n"):
+        for step in range(1, 60):
+            got = []
+            for start in range(0, len(data), step):
+                stream = io.BytesIO(data)
+                stream.seek(max(start - 1, 0))
+                at = start + len(stream.readline()) - 1 if start else 0
+                got += [(h[1:].split()[0].decode(), s.decode(), q.decode()) for h, s, q in fastq.records(iter(stream.readline, b""), at, start + step)]
+            assert got == whole
+    folder = tmp_path / "fq"
+    folder.mkdir()
+    (folder / "a.b.fq").write_bytes(body)
+    (folder / "empty.fastq").write_bytes(b"")
+    (folder / "notes.txt").write_bytes(body)
+    read = sam.read_fastq(spark, str(folder), split_bytes=37)
+    assert sorted(tuple(r) for r in read.collect()) == sorted(("a", *w) for w in whole)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and read.rdd.getNumPartitions() == -(-len(body) // 37)
+    sam.write_fastq(read, str(tmp_path / "out"), compress=True)
+    assert sorted(tuple(r) for r in sam.read_fastq(spark, str(tmp_path / "out")).collect()) == sorted(("a", *w) for w in whole)
+    (tmp_path / "none").mkdir()
+    assert sam.read_fastq(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_pipelines(spark, counts, tmp_path):
     p = Pipeline(CountTable).add_function("filter_low_reads", threshold=10).add_function("normalize_to_rpm").add_function(
         "describe").add_function("split_by_reads", 1000)
