@@ -1,9 +1,9 @@
 """Nearest neighbours by largest inner product in a hash-prefix forest.
 
-Each tree hashes a vector to a long string of sign bits; its sorted array of strings is stored in leaves of a common prefix, cut
-into chunks of bounded size. A query descends to its leaf in every tree, then all trees ascend together, one bit of the
-prefix at a time, taking in the sibling subtrees, until so long a prefix would have caught its k-th neighbour
-with the wanted probability in one of the trees.
+Each tree hashes a vector to a long string of sign bits. Its sorted array of strings is cut where a prefix holds more than a leaf's
+rows, so leaves lie as deep as the data is dense, at most as deep as the strings are long. A query descends to the longest prefix of its own
+string in every tree, then its trees ascend together, those with the longest prefix by one bit at a time, taking in the
+sibling subtrees, until prefixes of these lengths would have caught its k-th neighbour with the wanted probability in one of the trees.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from .common import store
 TREES = 16
 #: Bits of a hash string.
 BITS = 32
-#: Vectors of a leaf that one task scores at once.
-LEAF = 4096
+#: Rows of a leaf; a prefix with more of them is split by its next bit.
+LEAF = 512
+#: Rows, and queries, that are scored at once.
+CHUNK = 4096
 
 
 def sign_planes(dim: int, trees: int, seed: int) -> np.ndarray:
@@ -61,7 +63,7 @@ def best_rows(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.9, trees: int = TREES, leaf: int = LEAF,
-            seed: int = 7) -> DataFrame:
+            chunk_rows: int = CHUNK, seed: int = 7) -> DataFrame:
     """The k nearest of ``vectors`` (vec_id, embedding) to each of ``queries`` (vec_id, embedding): query_id, rank, vec_id, score.
 
     Nearness is the inner product in double precision. A candidate with the query's own vec_id is left out; ties go to the smaller vec_id. The
@@ -90,30 +92,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
     if not facts["n"]:
         return spark.createDataFrame([], schema)
     radius = float(np.sqrt(facts["most"]))
-    depth = max(0, int(np.ceil(np.log2(facts["n"] / leaf))))
 
-    def hashed(query: bool):
+    def strings(df: DataFrame, query: bool) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for _, rows in batch.groupby(batch["v"].map(len), sort=False):
-                    strings = hash_strings(np.stack(rows["v"].to_numpy()), radius, trees, seed, query)
-                    yield pd.DataFrame({"row": rows["row"], "vec_id": rows["vec_id"], "v": rows["v"], "prefixes": list(strings >> (BITS - depth))})
-        return run
-
-    def in_leaves(df: DataFrame, query: bool) -> DataFrame:
-        return df.mapInPandas(hashed(query), "row long, vec_id long, v array<double>, prefixes array<long>")
-
-    def tree_number(place: str, dim: Column) -> Column:
-        return (F.col(place) + dim * trees).cast("int")  # each number of components has trees of its own
-
-    leaves = in_leaves(points, False).select("row", "vec_id", "v", F.posexplode("prefixes").alias("tree", "prefix")).withColumn(
-        "tree", tree_number("tree", F.size("v")))
-    full = store(leaves.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf)).cast("int").alias("chunks")))
-    asked = store(in_leaves(clean(queries).withColumn("row", F.monotonically_increasing_id()), True).withColumnRenamed("row", "uid").withColumn(
-        "dim", F.size("v")))
+                    found = hash_strings(np.stack(rows["v"].to_numpy()), radius, trees, seed, query)
+                    yield pd.DataFrame({"row": rows["row"], "vec_id": rows["vec_id"], "v": rows["v"], "strings": list(found)})
+        return df.mapInPandas(run, "row long, vec_id long, v array<double>, strings array<long>")
+
+    # each number of components has trees of its own
+    tree = (F.col("tree") + F.size("v") * trees).cast("int").alias("tree")
+    arrays = strings(points, False).select("row", "vec_id", "v", F.posexplode("strings").alias("tree", "string")).select(
+        "row", "vec_id", "v", tree, "string")
+    subtrees = store(split_prefixes(arrays.select("tree", "string"), facts["n"], leaf))
+    deepest = subtrees.agg(F.max("level")).first()[0]
+    asked = store(strings(clean(queries).withColumn("row", F.monotonically_increasing_id()), True).withColumnRenamed("row", "uid"))
+    paths = asked.select("uid", "v", F.posexplode("strings").alias("tree", "string")).select(
+        "uid", F.col("tree").alias("at"), tree, "string", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("level"))
+    matched = paths.withColumn("prefix", prefix_of(F.col("string"), F.col("level"))).join(subtrees, ["tree", "level", "prefix"]).groupBy("uid", "at").agg(
+        F.max(F.struct("level", "tree", "prefix", "rows")).alias("m"))
+    # the longest match is a leaf, or a prefix of which only the other half holds rows: then the ascent begins below it
+    inner = (F.col("m.rows") > leaf) & (F.col("m.level") < BITS)
+    starts = store(matched.select("uid", "at", "m.tree", "m.prefix", "m.rows", "m.level", inner.alias("inner")))
+    todo = starts.filter("NOT inner").select("uid", "tree", "level", "prefix", "rows")
+    lengths = starts.groupBy("uid").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", (F.col("level") + F.col("inner").cast("int")).alias("length")))),
+                                                    lambda s: s["length"]).alias("lengths"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, rows in whole_groups(batches):
+        for rows in whole_groups(batches):
             at = rows["query"].to_numpy()
             if at.all() or not at.any():
                 continue
@@ -125,51 +132,86 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float =
                 **{c: data[c].to_numpy()[np.concatenate([f[0] for f in found])] for c in ("row", "vec_id")},
                 "score": np.concatenate([f[1] for f in found])})
 
-    best, level, todo = None, depth, asked.select("uid", "dim", F.posexplode("prefixes").alias("tree", "prefix")).select(
-        "uid", tree_number("tree", F.col("dim")).alias("tree"), "prefix")
+    place = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "row")
+    best, subtree = None, ["tree", "level", "prefix"]
     while True:
-        visits = todo.join(full, ["tree", "prefix"]).select(
-            "uid", "tree", "prefix", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-        met = visits.join(asked.select("uid", "vec_id", "v"), "uid").select("tree", "prefix", "chunk", F.lit(True).alias("query"), "uid",
-                                                                           F.lit(0).cast("long").alias("row"), "vec_id", "v")
-        data = leaves.join(full, ["tree", "prefix"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).join(
-            visits.select("tree", "prefix", "chunk").distinct(), ["tree", "prefix", "chunk"], "left_semi").select(
-            "tree", "prefix", "chunk", F.lit(False).alias("query"), F.lit(0).cast("long").alias("uid"), "row", "vec_id", "v")
-        scored = met.union(data).repartition("tree", "prefix", "chunk").sortWithinPartitions("tree", "prefix", "chunk", "query").mapInPandas(
+        # rows of a subtree are dealt to parts, and so are its queries; each part of one meets each part of the other
+        parts = store(todo.groupBy(*subtree).agg(F.ceil(F.first("rows") / chunk_rows).cast("int").alias("parts"),
+                                                 F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("sides")))
+        levels = sorted(r[0] for r in parts.select("level").distinct().collect())
+        met = todo.join(parts, subtree).withColumn("side", F.pmod(F.xxhash64("uid"), F.col("sides")).cast("int")).select(
+            "uid", *subtree, "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(asked, "uid").select(
+            *subtree, "part", "side", F.lit(True).alias("query"), "uid", F.lit(0).cast("long").alias("row"), "vec_id", "v")
+        data = arrays.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>"))).withColumn(
+            "prefix", prefix_of(F.col("string"), F.col("level"))).join(parts, subtree).withColumn(
+            "part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).select(
+            *subtree, "part", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), F.lit(False).alias("query"),
+            F.lit(0).cast("long").alias("uid"), "row", "vec_id", "v")
+        group = [*subtree, "part", "side"]
+        scored = met.union(data).repartition(*group).sortWithinPartitions(*group, "query").mapInPandas(
             score, "uid long, row long, vec_id long, score double")
         scored = scored if best is None else scored.union(best)
-        place = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "row")
         best = store(scored.distinct().withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).drop("rank"))
-        if level == 0:
-            break
         kth = best.groupBy("uid").agg(F.min("score").alias("__kth"), F.count(F.lit(1)).alias("__found"))
         length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
         cosine = F.col("__kth") / (length * radius)
         agree = 1 - F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))) / np.pi
-        caught = 1 - F.pow(1 - F.pow(agree, F.lit(level)), F.lit(trees))
-        open_ = asked.join(kth, "uid", "left").filter(
-            (F.coalesce("__found", F.lit(0)) < k) | (caught < recall)).select("uid", "dim", "prefixes")
-        level -= 1
-        span = depth - level - 1  # the sibling subtree at this level has 2 ** span leaves
-        sibling = F.shiftright("own", span).bitwiseXOR(F.lit(1).cast("long"))
-        todo = store(open_.select("uid", "dim", F.posexplode("prefixes").alias("tree", "own")).select(
-            "uid", tree_number("tree", F.col("dim")).alias("tree"), F.explode(F.sequence(F.shiftleft(sibling, span), F.shiftleft(sibling + 1, span) - 1)).alias("prefix")))
-        if todo.isEmpty():
+        missed = F.aggregate("lengths", F.lit(1.0), lambda s, bits: s * (1 - F.pow(agree, bits)))
+        longest = F.array_max("lengths")
+        climbing = asked.join(lengths, "uid").join(kth, "uid", "left").filter(
+            (longest > 0) & ((F.coalesce("__found", F.lit(0)) < k) | (1 - missed < recall))).withColumn("longest", longest)
+        step = store(climbing.select("uid", F.col("longest").alias("level"), F.size("v").alias("dim"), "strings", "lengths"))
+        if step.isEmpty():
             break
+        siblings = step.select("uid", "level", "dim", F.posexplode(F.zip_with("strings", "lengths", lambda s, n: F.struct(s.alias("s"), n.alias("n"))))
+                               .alias("at", "p")).filter("p.n = level")
+        todo = store(siblings.select("uid", (F.col("at") + F.col("dim") * trees).cast("int").alias("tree"), "level", prefix_of(
+            F.col("p.s"), F.col("level")).bitwiseXOR(F.lit(1).cast("long")).alias("prefix")).join(subtrees, subtree))
+        lengths = step.select("uid", F.transform("lengths", lambda n: F.least(n, F.col("level") - 1)).alias("lengths"))
     place = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "row")
     return best.withColumn("rank", F.row_number().over(place)).join(
         asked.select("uid", F.col("vec_id").alias("query_id")), "uid").select("query_id", "rank", "vec_id", "score")
 
 
-def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """The runs of rows with equal (tree, prefix, chunk) of a sorted partition; a run is bounded by the size of a leaf chunk and its queries."""
+def prefix_of(string: Column, level: Column) -> Column:
+    """The first ``level`` bits of a string."""
+    return F.call_function("shiftright", string, F.lit(BITS) - level)
+
+
+def split_prefixes(strings: DataFrame, rows: int, leaf: int) -> DataFrame:
+    """(tree, level, prefix, rows): all prefixes of (tree, string) whose parent has more than ``leaf`` rows, and the empty one. Those with ``leaf``
+    rows at most, and whole strings, are the leaves.
+
+    Strings are counted by a prefix some bits longer than even data would need; only what lies in prefixes that are still too full is
+    counted again, by longer ones.
+    """
+    level, inside, counted = min(BITS, max(0, int(np.ceil(np.log2(max(rows, 1) / leaf)))) + 2), strings, None
+    above = 0
+    while True:
+        counts = store(inside.groupBy("tree", prefix_of(F.col("string"), F.lit(level)).alias("low")).agg(F.count(F.lit(1)).alias("n")))
+        upper = counts.select("tree", "n", "low", F.explode(F.sequence(F.lit(above), F.lit(level))).alias("level")).groupBy(
+            "tree", "level", F.call_function("shiftright", F.col("low"), F.lit(level) - F.col("level")).alias("prefix")).agg(F.sum("n").alias("rows"))
+        counted = upper if counted is None else counted.union(upper)
+        full = counts.filter(F.col("n") > leaf).select("tree", "low")
+        if level == BITS or full.isEmpty():
+            break
+        inside = inside.withColumn("low", prefix_of(F.col("string"), F.lit(level))).join(full, ["tree", "low"], "left_semi").select("tree", "string")
+        above, level = level + 1, min(BITS, level + 6)
+    counted = store(counted)
+    parents = counted.filter(F.col("rows") > leaf).select("tree", (F.col("level") + 1).alias("level"), F.col("prefix").alias("up"))
+    kept = counted.withColumn("up", F.call_function("shiftright", F.col("prefix"), F.lit(1))).join(parents, ["tree", "level", "up"], "left_semi").drop("up")
+    return counted.filter("level = 0").unionByName(kept.select(*counted.columns))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The runs of rows of one part and side of a subtree in a sorted partition; a run is bounded by the rows and queries of a chunk."""
     held, key = [], None
     for batch in batches:
-        for own, rows in batch.groupby(["tree", "prefix", "chunk"], sort=False):
+        for own, rows in batch.groupby(["tree", "level", "prefix", "part", "side"], sort=False):
             if held and own != key:
-                yield key, pd.concat(held)
+                yield pd.concat(held)
                 held = []
             key = own
             held.append(rows)
     if held:
-        yield key, pd.concat(held)
+        yield pd.concat(held)
