@@ -77,30 +77,6 @@ def test_forest_reaches_the_recall(spark, scaled):
     assert len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
 
 
-def test_prefixes_are_split_where_they_are_full(spark):
-    rng = np.random.default_rng(5)
-    dense = np.concatenate([rng.integers(0, 1 << 32, 150), (5 << 28) + rng.integers(0, 1 << 6, 60), np.full(30, 12345678901 % (1 << 32))])
-    rows = [(int(t), int(s)) for t in (0, 1) for s in (dense if t else dense[:5])]
-    got = {(r["tree"], r["level"], r["prefix"]): r["rows"] for r in ann.split_prefixes(
-        spark.createDataFrame(rows, "tree int, string long"), len(rows), 8).collect()}
-    count = Counter((t, level, s >> (32 - level)) for t, s in rows for level in range(33))
-    assert got == {node: n for node, n in count.items() if node[1] == 0 or count[node[0], node[1] - 1, node[2] >> 1] > 8}
-    assert max(level for _, level, _ in got) == 32 and got[0, 0, 0] == 5
-
-
-def test_dense_cluster_is_split_by_longer_prefixes(spark):
-    """A third of the rows lie in one narrow cluster; leaves, and the chunks that are scored, stay small."""
-    rng = np.random.default_rng(6)
-    points = rng.normal(size=(1500, 12))
-    points[::3] = points[0] + 0.05 * rng.normal(size=(500, 12))
-    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
-    table = spark.createDataFrame(rows, VECTORS)
-    got = found(ann.nearest(table, table.filter("vec_id % 30 < 2"), 10, leaf=32, chunk_rows=50))
-    want = brute_nearest(rows, {i for i in range(1500) if i % 30 < 2}, 10)
-    assert Counter(q for q, *_ in got) == Counter(q for q, *_ in want)
-    assert len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
-
-
 def test_query_recall(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in queries.table(spark, "/root/testdata/sf0.1", "embeddings").collect()]
     got = found(queries.op4_nearest_neighbours(spark, "/root/testdata/sf0.1"))
