@@ -221,11 +221,21 @@ def ranked_enrichment(annotations: DataFrame, ranked: DataFrame, key: str, rank:
     the distributed row numbers, so an attribute that covers a third of the list is still split over tasks.
     """
     annotations = annotations.select("attribute", key).distinct()
+    places, n = _list_places(annotations, ranked, key, rank)
+    return finish(_ranked_tests(annotations, places, n, key, min_positive, lowest_cutoff), alpha, correction)
+
+
+def _list_places(annotations: DataFrame, ranked: DataFrame, key: str, rank: str) -> tuple[DataFrame, int]:
+    """(key, __r) of the annotated keys of the list, numbered from 0, and their number."""
     known = ranked.join(annotations.select(key).distinct(), key, "left_semi").select(key, rank)
-    placed_keys = checkpoint(row_numbers(known, [], [rank], "__n").select(key, (F.col("__n") - 1).alias("__r")))
-    n = placed_keys.count()
+    places = checkpoint(row_numbers(known, [], [rank], "__n").select(key, (F.col("__n") - 1).alias("__r")))
+    return places, places.count()
+
+
+def _ranked_tests(annotations: DataFrame, places: DataFrame, n: int, key: str, min_positive: int, lowest_cutoff: float) -> DataFrame:
+    """One row for each attribute with a key in the list, before the correction."""
     min_hits, lowest = min(min_positive, n), min(int(math.floor(lowest_cutoff * n)), n)
-    placed = annotations.join(placed_keys, key)
+    placed = annotations.join(places, key)
     totals = placed.groupBy("attribute").agg(F.count(F.lit(1)).alias("successes"))
     both = placed.select("attribute", F.inline(F.array(
         F.struct(F.lit("top").alias("end"), F.col("__r").cast("long").alias("at")),
@@ -242,17 +252,59 @@ def ranked_enrichment(annotations: DataFrame, ranked: DataFrame, key: str, rank:
     scored = checkpoint(spread(checkpoint(stats_by_end), 50)
         .withColumn("pval", _mhg_pvalue(min_hits, lowest)(F.lit(n), "successes", "stat")))
     fold = F.col("hits") / (F.col("successes") * F.col("draws") / F.lit(float(n)))
-    escore = cells.join(scored.select("attribute", "end", "pval"), ["attribute", "end"]).filter("tail <= pval").groupBy(
+    # the p-value of a perfect list is its tail, up to rounding
+    reached = F.col("tail") <= F.col("pval") * (1 + 1e-9)
+    escore = cells.join(scored.select("attribute", "end", "pval"), ["attribute", "end"]).filter(reached).groupBy(
         "attribute", "end").agg(F.max(fold).alias("escore"))
     merged = scored.join(escore, ["attribute", "end"], "left").withColumn("escore", F.coalesce("escore", F.lit(1.0)))
     # the forward end wins ties
     chosen = merged.groupBy("attribute").agg(F.min(F.struct(
         "pval", F.when(F.col("end") == "top", 0).otherwise(1).alias("o"), "hits", "successes", "draws", "escore")).alias("c"))
     score = F.when(F.col("c.o") == 0, F.log2("c.escore")).otherwise(-F.log2("c.escore"))
-    shaped = chosen.select(F.lit("ranked").alias(SET), F.col("attribute").alias("name"), F.lit(n).cast("long").alias("samples"),
+    return chosen.select(F.lit("ranked").alias(SET), F.col("attribute").alias("name"), F.lit(n).cast("long").alias("samples"),
                            F.col("c.hits").alias("obs"), (F.col("c.successes") * F.col("c.draws") / F.lit(float(n))).alias("exp"),
                            score.alias("log2_enrichment_score"), F.col("c.pval").alias("pval"))
-    return finish(shaped, alpha, correction)
+
+
+def ranked_ontology_enrichment(annotations: DataFrame, ranked: DataFrame, key: str, nodes: DataFrame, edges: DataFrame, rank: str = "rank",
+                               propagate: str = "elim", min_positive: int = 10, lowest_cutoff: float = 0.25, alpha: float = 0.05,
+                               correction: str = "by") -> DataFrame:
+    """XL-mHG tests of ontology terms in a ranked list. ``annotations`` is (term, key), ``nodes`` and ``edges`` as in ``ontology_enrichment``.
+
+    ``elim`` goes deepest level first: the keys of a term that is significant at the top of the list no longer count for its ancestors. What
+    ancestors have lost is carried along as (term, key) and grows by one level's terms at a time. A term that has
+    lost all its keys has p-value 1 and score 0. ``weight`` and ``all.m`` are defined for sets only.
+    """
+    from .ontology import ancestors
+    from .ontology import propagate as lift
+    if propagate not in ("no", "classic", "elim"):
+        raise ValueError("propagate must be no, classic or elim for a ranked list")
+    rows, closure = annotations.select("term", key).distinct(), None
+    if propagate != "no":
+        closure = checkpoint(ancestors(edges))
+        rows = lift(rows, closure, key)
+    rows = checkpoint(rows.join(nodes.select("term").distinct(), "term", "left_semi").select(F.col("term").alias("attribute"), key).distinct())
+    places, n = _list_places(rows, ranked, key, rank)
+    if propagate != "elim":
+        return finish(_ranked_tests(rows, places, n, key, min_positive, lowest_cutoff), alpha, correction)
+    listed = checkpoint(rows.join(places.select(key), key, "left_semi").join(
+        nodes.groupBy(F.col("term").alias("attribute")).agg(F.max("level").alias("level")), "attribute"))
+    lost: DataFrame | None = None
+    tested: DataFrame | None = None
+    for depth in [r[0] for r in listed.select("level").distinct().orderBy(F.desc("level")).collect()]:
+        here = listed.filter(F.col("level") == depth).select("attribute", key)
+        left = here if lost is None else here.join(lost, ["attribute", key], "left_anti")
+        found = checkpoint(_ranked_tests(left, places, n, key, min_positive, lowest_cutoff))
+        bare = here.select(F.col("attribute").alias("name")).distinct().join(found.select("name"), "name", "left_anti").select(
+            F.lit("ranked").alias(SET), "name", F.lit(n).cast("long").alias("samples"), F.lit(0).cast("long").alias("obs"), F.lit(0.0).alias("exp"),
+            F.lit(0.0).alias("log2_enrichment_score"), F.lit(1.0).alias("pval"))
+        level = found.unionByName(bare)
+        tested = level if tested is None else tested.unionByName(level)
+        strong = found.filter((F.col("pval") <= alpha) & (F.col("log2_enrichment_score") > 0)).select(F.col("name").alias("term"))
+        more = left.withColumnRenamed("attribute", "term").join(strong, "term", "left_semi").join(closure.select("term", "ancestor"), "term").filter(
+            "term <> ancestor").select(F.col("ancestor").alias("attribute"), key)
+        lost = checkpoint((more if lost is None else lost.unionByName(more)).distinct())
+    return finish(checkpoint(tested) if tested is not None else _ranked_tests(rows, places, n, key, min_positive, lowest_cutoff), alpha, correction)
 
 
 # --- randomisation of fold changes ---------------------------------------------------------------------------------------

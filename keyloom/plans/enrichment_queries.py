@@ -414,6 +414,24 @@ def _(spark, d):
     return _term_tests(spark, d, propagate="elim", alpha=0.2)
 
 
+@query("ranked_ontology_elim", f"""{_ONTO}, own AS (SELECT DISTINCT term, gene FROM prop WHERE gene IN (SELECT gene FROM counts))
+  SELECT term AS name, (SELECT count(DISTINCT gene) FROM own)::BIGINT AS samples, count(*)::BIGINT AS keys, true AS sound FROM own GROUP BY term""")
+def _(spark, d):
+    """Terms without a significant descendant keep the p-value they have without elimination, and others have no more hits than they had keys."""
+    nodes, edges, direct = ontology(spark, d)
+    up = checkpoint(onto.parent_edges(edges))
+    leveled, ranked, direct = checkpoint(onto.levels(nodes, up)), checkpoint(_ranked(spark, d)), checkpoint(direct)
+    elim = checkpoint(en.ranked_ontology_enrichment(direct, ranked, "gene", leveled, up, alpha=0.2))
+    classic = en.ranked_ontology_enrichment(direct, ranked, "gene", leveled, up, propagate="classic").select("name", F.col("pval").alias("before"))
+    closure = checkpoint(onto.ancestors(up))
+    strong = elim.filter("pval <= 0.2 AND log2_enrichment_score > 0").select(F.col("name").alias("term"))
+    touched = closure.join(strong, "term").select(F.col("ancestor").alias("name")).distinct().withColumn("touched", F.lit(True))
+    keys = onto.propagate(direct, closure, "gene").join(ranked, "gene", "left_semi").groupBy(F.col("term").alias("name")).agg(F.countDistinct("gene").alias("keys"))
+    same = F.abs(F.col("pval") - F.col("before")) <= 1e-9 * F.col("before")
+    return elim.join(classic, "name", "left").join(touched, "name", "left").join(keys, "name").select(
+        "name", "samples", "keys", ((F.col("obs") <= F.col("keys")) & F.when(F.col("touched"), F.col("pval").between(0, 1)).otherwise(same)).alias("sound"))
+
+
 _TERMS = f"""{_ONTO}, ann AS (SELECT term AS attribute, gene FROM prop), {_PARAMS} SELECT set_id, attribute AS name, draws::BIGINT AS samples, hits::BIGINT AS obs,
   round(draws*successes/population::DOUBLE, 6) AS exp, true AS sound FROM prm"""
 

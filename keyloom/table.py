@@ -531,8 +531,12 @@ class RankedSet(FeatureSet):
         res = enrichment.ranked_enrichment(members.withColumnRenamed("pathway", "attribute"), self.ranked, self.key, **options)
         return res.join(names.select(F.col("pathway").alias("name"), F.col("name").alias("pathway_name")), "name", "left")
 
-    def single_set_go_enrichment(self, annotations: DataFrame, closure: DataFrame | None = None, **options) -> DataFrame:
+    def single_set_go_enrichment(self, annotations: DataFrame, closure: DataFrame | None = None, nodes: DataFrame | None = None,
+                                 edges: DataFrame | None = None, **options) -> DataFrame:
+        """With ``nodes`` and ``edges`` of the ontology, annotations are propagated by the option ``propagate`` (no, classic, elim)."""
         from .operators.ontology import propagate
+        if nodes is not None and edges is not None:
+            return enrichment.ranked_ontology_enrichment(annotations, self.ranked, self.key, nodes, edges, **options)
         rows = propagate(annotations, closure, self.key) if closure is not None else annotations
         options.setdefault("correction", "by")
         return enrichment.ranked_enrichment(rows.withColumnRenamed("term", "attribute"), self.ranked, self.key, **options)

@@ -143,6 +143,33 @@ def test_single_list_pvalue_against_enumeration(spark):
     assert not res["spread"]["significant"]
 
 
+def test_terms_of_a_ranked_list_lose_the_keys_of_significant_descendants(spark):
+    """leaf and its twin are at the top; mid has them and ten spread keys; root has all; low is at the bottom, which takes nothing away."""
+    ranked = spark.createDataFrame([(i, i) for i in range(120)], "key long, rank long")
+    direct = [("leaf", i) for i in range(12)] + [("twin", i) for i in range(6, 18)] + [("mid", i) for i in range(20, 120, 10)] + [
+        ("low", i) for i in range(108, 120)] + [("root", i) for i in range(120)] + [("lost", 3)]
+    nodes = spark.createDataFrame([("root", 0), ("mid", 1), ("low", 1), ("only", 1), ("leaf", 2), ("twin", 2), ("lost", 2)], "term string, level int")
+    edges = spark.createDataFrame([("leaf", "mid"), ("leaf", "only"), ("twin", "mid"), ("mid", "root"), ("only", "root"), ("low", "root")], "child string, parent string")
+    ann = spark.createDataFrame(direct + direct[:5], "term string, key long")
+
+    def run(how):
+        return {r["name"]: r for r in en.ranked_ontology_enrichment(ann, ranked, "key", nodes, edges, propagate=how, min_positive=5).collect()}
+
+    elim, classic, plain = run("elim"), run("classic"), run("no")
+    kept = spark.createDataFrame([("mid", i) for i in range(20, 120, 10)] + [("root", i) for i in range(18, 120)] + [("all", i) for i in range(120)], "attribute string, key long")
+    rest = {r["name"]: r["pval"] for r in en.ranked_enrichment(kept, ranked, "key", min_positive=5).collect()}
+    assert set(elim) == set(classic) == {"root", "mid", "low", "only", "leaf", "twin", "lost"} and set(plain) == set(elim) - {"only"}
+    assert all(elim[t]["pval"] == classic[t]["pval"] for t in ("leaf", "twin", "low", "lost"))
+    assert elim["mid"]["pval"] == pytest.approx(rest["mid"]) and elim["root"]["pval"] == pytest.approx(rest["root"])
+    assert classic["leaf"]["log2_enrichment_score"] == pytest.approx(math.log2(10))  # all of its keys come first: rounding takes no cutoff out
+    assert classic["mid"]["significant"] and not elim["mid"]["significant"] and classic["only"]["significant"]
+    assert (elim["only"]["pval"], elim["only"]["obs"], elim["only"]["log2_enrichment_score"]) == (1.0, 0, 0.0)
+    assert all(elim[t]["samples"] == 120 and elim[t]["padj"] >= elim[t]["pval"] for t in elim)
+    assert en.ranked_ontology_enrichment(ann.filter("false"), ranked, "key", nodes, edges).collect() == []
+    with pytest.raises(ValueError):
+        run("weight")
+
+
 def test_fold_change_randomization(spark):
     ref = spark.range(400).select(F.col("id").alias("gene"), (F.col("id") / 100).alias("fc"))
     high = en.fold_change_randomization(ref.filter("gene >= 380"), ref, "gene", "fc", reps=500, seed=2).first()
