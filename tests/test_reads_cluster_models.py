@@ -153,6 +153,34 @@ def test_blocks_and_feature_counts(spark, alignments):
     assert rows(none)["g1"] == (1.0,) and rows(st)["Unassigned_MultiMapping"] == (1,)
 
 
+def test_reads_of_single_genes_meet_no_feature_pairs(spark, monkeypatch):
+    """Genes that lie over each other are told by regions, with exons that touch, repeat and cross bins, on both strands."""
+    rng = np.random.default_rng(3)
+    feats = [(f"g{int(rng.integers(40))}", f"c{int(rng.integers(2))}", int(s), int(s + rng.integers(0, 30)), "+-"[int(rng.integers(2))]) for s in rng.integers(1, 400, 60)]
+    feats += [(f"deep{i}", "c0", 500, 520, "+") for i in range(200)]
+    reads_ = [("s", f"q{i}", int(16 * rng.integers(2)), f"c{int(rng.integers(2))}", int(rng.integers(1, 530)), 30, "4M" if i % 3 else "3M20N4M", {"NH": "1"}) for i in range(400)]
+    features = spark.createDataFrame(feats, "gene string, rname string, start int, end int, strand string")
+    aln = spark.createDataFrame(reads_, "sample string, qname string, flag int, rname string, pos long, mapq int, cigar string, tags map<string,string>")
+    monkeypatch.setattr(reads, "overlaps", None)  # the pairs of reads and genes
+    for stranded in ("no", "forward", "reverse"):
+        for paired in (False, True):
+            want, states = {g: 0.0 for g, *_ in feats}, {}
+            for _, _, flag, rname, pos, _, cigar, _ in reads_:
+                own = [(pos, pos + 3)] if cigar == "4M" else [(pos, pos + 2), (pos + 23, pos + 26)]
+                strand = "-" if flag else "+"
+                met = {g for g, c, s, e, t in feats if c == rname and any(a <= e and s <= b for a, b in own) and (
+                    stranded == "no" or (t == strand) == (stranded == "forward"))}
+                state = "Unassigned_NoFeatures" if not met else "Assigned" if len(met) == 1 else "Unassigned_Ambiguity"
+                states[state] = states.get(state, 0) + 1
+                if len(met) == 1:
+                    want[met.pop()] += 1
+            counts, stats = reads.count_features(aln, features, ["s"], stranded=stranded, paired=paired, bin_size=16)
+            assert {r["gene"]: r["s"] for r in counts.collect()} == want
+            assert {r["status"]: r["s"] for r in stats.collect()} == states
+    stacked = features.filter("gene like 'deep%'").select(F.xxhash64("gene").bitwiseAND(F.lit(1023)).alias("gene_id"), "rname", "strand", F.col("start").cast("long"), F.col("end").cast("long"))
+    assert reads.covered_regions(stacked, 64).count() == 2  # bins 7 and 8
+
+
 def test_validation(alignments):
     broken = alignments.withColumn("cigar", F.when(F.col("qname") == "q2", "3M").otherwise(F.col("cigar")))
     assert {(r["rule"], r["count"]) for r in reads.validate_alignments(broken).collect()} == {("MISMATCH_READ_LENGTH_AND_CIGAR", 1)}
