@@ -181,6 +181,39 @@ def test_reads_of_single_genes_meet_no_feature_pairs(spark, monkeypatch):
     assert reads.covered_regions(stacked, 64).count() == 2  # bins 7 and 8
 
 
+def test_reads_of_many_genes_share_without_pairs(spark, monkeypatch):
+    """Shares of overlapping genes: only reads of several segments and genes of several intervals meet one by one."""
+    rng = np.random.default_rng(4)
+    feats = [(f"g{i}", f"c{int(rng.integers(2))}", int(s), int(s + rng.integers(0, 40)), "+-"[int(rng.integers(2))]) for i, s in enumerate(rng.integers(1, 200, 60))]
+    more = [(f"g{i}", "c0", int(s), int(s + 5), "+") for i, s in enumerate(rng.integers(1, 200, 20))]
+    reads_ = [("s", f"q{i % 300}", int(16 * rng.integers(2)), f"c{int(rng.integers(2))}", int(rng.integers(1, 220)), 30, "9M", {"NH": str(1 + i % 2)}) for i in range(300)]
+    reads_ += reads_[:20]  # repeated rows are one read
+    split = [("s", f"p{i}", 0, "c0", int(rng.integers(1, 200)), 30, "3M20N4M", {"NH": "1"}) for i in range(40)]
+    fields = "sample string, qname string, flag int, rname string, pos long, mapq int, cigar string, tags map<string,string>"
+    formed = []
+    pairs = reads.overlaps
+
+    def watched(*args):
+        out = pairs(*args)
+        formed.append(out.count())
+        return out
+    monkeypatch.setattr(reads, "overlaps", watched)
+    for f, r in ((feats, reads_), (feats + more, reads_ + split)):
+        features = spark.createDataFrame(f, "gene string, rname string, start int, end int, strand string")
+        for stranded in ("no", "forward", "reverse"):
+            want = {g: 0.0 for g, *_ in f}
+            for _, _, flag, rname, pos, _, cigar, tags in {x[1]: x for x in r}.values():
+                own = [(pos, pos + 8)] if cigar == "9M" else [(pos, pos + 2), (pos + 23, pos + 26)]
+                met = {g for g, c, s, e, t in f if c == rname and any(a <= e and s <= b for a, b in own) and (
+                    stranded == "no" or (t == ("-" if flag else "+")) == (stranded == "forward"))}
+                for g in met:
+                    want[g] += 1 / (int(tags["NH"]) * len(met))
+            got, _ = reads.count_features(spark.createDataFrame(r, fields), features, ["s"], stranded=stranded, count_multi_overlapping=True, count_fractionally=True, bin_size=16)
+            assert {x["gene"]: x["s"] for x in got.collect()} == pytest.approx(want, abs=1e-12)
+        if f is feats:
+            assert sum(formed) == 0
+
+
 def test_validation(alignments):
     broken = alignments.withColumn("cigar", F.when(F.col("qname") == "q2", "3M").otherwise(F.col("cigar")))
     assert {(r["rule"], r["count"]) for r in reads.validate_alignments(broken).collect()} == {("MISMATCH_READ_LENGTH_AND_CIGAR", 1)}
