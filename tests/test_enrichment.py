@@ -256,3 +256,14 @@ def test_levels_and_cycles(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "term string")
     assert {r["term"]: r["level"] for r in onto.levels(nodes, edges).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
     assert {(r[0], r[1]) for r in onto.ancestors(edges).collect()} == {("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"), ("d", "b"), ("d", "a")}
+
+
+def test_mhg_pvalue_of_a_long_list_with_a_large_set():
+    """Tens of thousands of cutoffs: a sum for each of them and a step for all hits take minutes."""
+    import time
+    start = time.process_time()
+    p = stats.xl_mhg_pvalue(300_000, 60_000, 10, 75_000, 0.01)
+    assert 0.01 < p < 0.5 and time.process_time() - start < 15
+    n, k, lowest = 2600, 700, 160
+    for s in (1e-2,):
+        assert stats.xl_mhg_pvalue(n, k, 10, lowest, s) == pytest.approx(walked_mhg(n, k, 10, lowest, s), abs=1e-11)
