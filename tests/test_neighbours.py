@@ -87,3 +87,22 @@ def test_medoids_are_the_best_members(spark):
         own = points[labels == c]
         costs = distance.distances(own, own, "manhattan").sum(0)
         assert d[labels == c, c].sum() == pytest.approx(costs.min())
+
+
+def _visits_counted(monkeypatch):
+    seen = []
+    real = neighbours._visited
+    monkeypatch.setattr(neighbours, "_visited", lambda index, rows, *more: (seen.append(rows.count()), real(index, rows, *more))[1])
+    return seen
+
+
+def test_only_rows_outside_the_largest_component_visit_other_cells(spark, monkeypatch):
+    points = np.concatenate([np.random.default_rng(11).normal(size=(400, 4)), np.full((3, 4), 9.0)])
+    table = _table(spark, points).select(F.col("gene").alias("node"), F.col("features").alias("p"))
+    seen = _visits_counted(monkeypatch)
+    links = neighbours.neighbour_links(table, 1.2, chunk_rows=16)
+    labels = {r["node"]: r["component"] for r in graphs.connected_components(table.select("node"), links).collect()}
+    assert _same_partition(labels, _brute(points, 1.2, "euclidean", 1))
+    core = {r["node"] for r in neighbours.core_rows(table, 1.2, 4, chunk_rows=64).collect()}
+    assert core == set(np.flatnonzero((distance.distances(points, points) <= 1.2).sum(1) >= 4))
+    assert len(seen) == 2 and max(seen) < 300
