@@ -84,3 +84,7 @@ def distances(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.nda
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     return METRICS[metric](np.asarray(x, float), np.asarray(y, float))
+
+
+#: Distances that are a share of one less the inner product of shaped rows: (shape, share). Their totals need the sum of the shaped rows only.
+PRODUCTS = {"cosine": (_unit, 1.0), "pearson": (_centred, 0.5), "spearman": (lambda x: _centred(_ranks(x)), 0.5)}

@@ -76,8 +76,11 @@ def _deal(homes: DataFrame, visitors: DataFrame, chunk_rows: int, tasks: int | N
 
 
 def distance_sums(points: DataFrame, metric: str = "euclidean", chunk_rows: int = 2048) -> DataFrame:
-    """(node, cost): total distance of each row of ``points`` (node, p, box) to all rows of its box."""
+    """(node, cost): total distance of each row of ``points`` (node, p, box) to all rows of its box. Where the distance comes from inner products
+    that is one product with the sum of the box; with other distances all rows of a box meet, chunk by chunk."""
     kind = points.schema["node"].dataType.simpleString()
+    if metric in distance.PRODUCTS:
+        return _product_sums(points, metric)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _tasks(batches):
@@ -89,6 +92,30 @@ def distance_sums(points: DataFrame, metric: str = "euclidean", chunk_rows: int
     return _deal(rows, rows, chunk_rows).mapInPandas(run, f"node {kind}, cost double").groupBy("node").agg(F.sum("cost").alias("cost"))
 
 
+def _product_sums(points: DataFrame, metric: str) -> DataFrame:
+    shape, share = distance.PRODUCTS[metric]
+    kinds = {c: points.schema[c].dataType.simpleString() for c in ("node", "box")}
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for box, rows in pdf.groupby("box"):
+                yield pd.DataFrame({"box": [box], "n": [len(rows)], "s": [shape(np.stack(rows["p"].to_numpy()).astype(float)).sum(0)]})
+
+    def cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                # the sum of products row by row, so that equal rows have equal costs
+                products = (shape(np.stack(pdf["p"].to_numpy()).astype(float)) * np.stack(pdf["s"].to_numpy())).sum(1)
+                yield pd.DataFrame({"node": pdf["node"], "cost": share * (pdf["n"].to_numpy() - products)})
+    parts = points.select("box", "p").mapInPandas(add, f"box {kinds['box']}, n long, s array<double>")
+    sizes = parts.groupBy("box").agg(F.sum("n").alias("n"))
+    sums = parts.select("box", F.posexplode("s").alias("at", "x")).groupBy("box", "at").agg(F.sum("x").alias("x")).groupBy("box").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("s"))
+    known = sizes.join(sums, "box")
+    costs = points.select("box", "node", "p").join(known, "box").select("node", "p", "n", "s").mapInPandas(cost, f"node {kinds['node']}, cost double")
+    return costs.groupBy("node").agg(F.sum("cost").alias("cost"))
+
+
 def _tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, key = [], None
     for batch in batches:

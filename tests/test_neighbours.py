@@ -89,6 +89,18 @@ def test_medoids_are_the_best_members(spark):
         assert d[labels == c, c].sum() == pytest.approx(costs.min())
 
 
+@pytest.mark.parametrize("metric", ["cosine", "pearson", "spearman"])
+def test_totals_of_inner_product_distances_need_no_meetings(spark, metric, monkeypatch):
+    points = np.random.default_rng(10).normal(size=(80, 5)).round(1)
+    points[70:] = points[:10]
+    points[3] = 0.0
+    table = _table(spark, points).select(F.col("gene").alias("node"), F.col("features").alias("p"), (F.col("gene") % 3).cast("string").alias("box"))
+    monkeypatch.setattr(neighbours, "_deal", lambda *_: pytest.fail("rows met"))
+    got = {r["node"]: r["cost"] for r in neighbours.distance_sums(table, metric).collect()}
+    for i in range(80):
+        assert got[i] == pytest.approx(distance.distances(points[[i]], points[i % 3::3], metric).sum())
+
+
 def _visits_counted(monkeypatch):
     seen = []
     real = neighbours._visited
