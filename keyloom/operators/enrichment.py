@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import stats
-from ..session import checkpoint, spread
+from ..session import checkpoint, spread, stored
 from .ranking import fdr_adjust, quantiles, row_numbers
 from .skew import grid
 
@@ -94,12 +94,14 @@ def resolve_targets(targets: DataFrame, key: str, background: DataFrame) -> Data
 
 
 def set_parameters(annotations: DataFrame, targets: DataFrame, key: str, background: DataFrame) -> DataFrame:
-    """(set_id, attribute, population, draws, successes, hits) for every set and attribute, those without a hit included."""
-    sizes = targets.groupBy(SET).agg(F.count(F.lit(1)).alias("draws"))
-    population = background.count()
-    rows = annotations.select("attribute", key).distinct().join(background, key, "left_semi")
-    totals = rows.groupBy("attribute").agg(F.count(F.lit(1)).alias("successes"))
-    hits = rows.join(targets, key).groupBy(SET, "attribute").agg(F.count(F.lit(1)).alias("hits"))
+    """(set_id, attribute, population, draws, successes, hits) for every set and attribute, those without a hit included. Where ``targets`` and
+    ``background`` have a column ``n``, a key stands for as many."""
+    size = F.sum("n") if "n" in background.columns else F.count(F.lit(1))
+    sizes = targets.groupBy(SET).agg(size.alias("draws"))
+    population = background.agg(size).first()[0] or 0
+    rows = annotations.select("attribute", key).distinct().join(background, key)
+    totals = rows.groupBy("attribute").agg(size.alias("successes"))
+    hits = rows.join(targets.select(SET, key), key).groupBy(SET, "attribute").agg(size.alias("hits"))
     pairs = grid(totals, sizes)
     return pairs.join(hits, [SET, "attribute"], "left").select(
         SET, "attribute", F.lit(population).cast("long").alias("population"), "draws", "successes",
@@ -403,16 +405,15 @@ def ontology_enrichment(annotations: DataFrame, targets: DataFrame, key: str, no
     if propagate in ("weight", "all.m") and test != "fisher":
         raise ValueError("the weight and all.m methods need Fisher's exact test")
     closure = None
-    rows = annotations.select("term", key).distinct()
+    rows, chosen, counts = _alike(annotations.join(resolve_background(annotations, key, background), key, "left_semi"), targets, key)
     if propagate != "no":
-        closure = ancestors(edges)
+        closure = stored(ancestors(edges))
         rows = lift(rows, closure, key)
-    rows = rows.join(nodes.select("term").distinct(), "term", "left_semi")
-    scope = resolve_background(rows, key, background)
-    rows = checkpoint(rows.join(scope, key, "left_semi"))
-    chosen = checkpoint(resolve_targets(targets, key, scope))
+    rows = stored(rows.join(nodes.select("term").distinct(), "term", "left_semi").join(counts, key))
+    scope = stored(rows.select(key, "n").distinct())
+    chosen = stored(chosen.join(scope, key))
     attributes = rows.withColumnRenamed("term", "attribute")
-    params = checkpoint(set_parameters(attributes, chosen, key, scope))
+    params = stored(set_parameters(attributes, chosen, key, scope))
     fn = _row_test(_test(test))
     if propagate in ("classic", "no"):
         tested = params.withColumn("pval", fn("population", "draws", "successes", "hits"))
@@ -439,16 +440,33 @@ def top_results(results: DataFrame, n: int = 10) -> DataFrame:
     return results.orderBy(F.asc_nulls_last("padj"), F.asc_nulls_last("pval"), SET, "name").limit(n)
 
 
+def _alike(annotations: DataFrame, targets: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(term, key), (set_id, key) and (key, n): one key for all that have the same terms and are in the same sets, with their number. No test
+    tells such keys apart, so what follows works on as many rows as there are kinds of keys."""
+    known = annotations.filter(F.col("term").isNotNull() & F.col(key).isNotNull())
+    terms = known.groupBy(key).agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    sets = resolve_targets(targets, key, known.select(key).distinct()).groupBy(key).agg(F.sort_array(F.collect_set(F.struct(SET))).alias("sets"))
+    kinds = stored(terms.join(sets, key, "left").groupBy("terms", "sets").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n")))
+    return (kinds.select(F.explode("terms").alias("term"), key), kinds.select(F.explode("sets").alias("s"), key).select(f"s.{SET}", key),
+            kinds.select(key, "n"))
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    return rows if "n" in rows.columns else rows.withColumn("n", F.lit(1).cast("long"))
+
+
 def _elim(params: DataFrame, rows: DataFrame, targets: DataFrame, key: str, nodes: DataFrame, closure: DataFrame,
           fn, alpha: float) -> DataFrame:
     """Deepest level first: genes of a significant, enriched term no longer count for its ancestors.
 
     Terms of one level are never ancestors of each other, so a level is one aggregate. What a term has lost is the
-    union of its significant descendants' genes, so only the list of significant terms is carried along.
+    union of its significant descendants' genes, so only the list of significant terms is carried along. A gene of ``rows`` stands for ``n`` if there
+    is such a column.
     """
+    rows = _sized(rows)
     flagged = params.withColumn("score", fold_enrichment()).join(
         nodes.select(F.col("term").alias("attribute"), "level"), "attribute")
-    flagged = checkpoint(flagged)
+    flagged = stored(flagged)
     depths = [r["level"] for r in flagged.select("level").distinct().orderBy(F.desc("level")).collect()]
     done: list[DataFrame] = []
     significant: DataFrame | None = None
@@ -457,15 +475,15 @@ def _elim(params: DataFrame, rows: DataFrame, targets: DataFrame, key: str, node
         if significant is not None:
             lost_keys = (significant.join(closure, "term").select(SET, F.col("ancestor").alias("attribute"), "term")
                          .join(here.select("attribute").distinct(), "attribute", "left_semi")
-                         .join(rows, "term").select(SET, "attribute", key).distinct()
-                         .join(rows.withColumnRenamed("term", "attribute"), ["attribute", key], "left_semi"))
-            mine = targets.withColumn("__t", F.lit(1))
+                         .join(rows.select("term", key), "term").select(SET, "attribute", key).distinct()
+                         .join(rows.withColumnRenamed("term", "attribute"), ["attribute", key]))
+            mine = targets.select(SET, key, F.lit(1).alias("__t"))
             lost = lost_keys.join(mine, [SET, key], "left").groupBy(SET, "attribute").agg(
-                F.count(F.lit(1)).alias("lost"), F.count("__t").alias("lost_hits"))
+                F.sum("n").alias("lost"), F.sum(F.when(F.col("__t") == 1, F.col("n")).otherwise(0)).alias("lost_hits"))
             here = here.join(lost, [SET, "attribute"], "left").fillna(0, ["lost", "lost_hits"])
         else:
             here = here.withColumn("lost", F.lit(0)).withColumn("lost_hits", F.lit(0))
-        here = checkpoint(here.withColumn("pval", fn(
+        here = stored(here.withColumn("pval", fn(
             "population", "draws", F.col("successes") - F.col("lost"), F.col("hits") - F.col("lost_hits"))))
         done.append(here.select(*params.columns, "pval"))
         new = here.filter((F.col("pval") <= alpha) & (F.col("score") > 0)).select(SET, F.col("attribute").alias("term"))
@@ -482,52 +500,50 @@ def _weight(params: DataFrame, rows: DataFrame, targets: DataFrame, key: str, no
     Levels go deepest first. A term is tested on its weighted genes. As long as some child is at least as significant, with the ratio
     p(term) / p(child), the genes of such children lose that factor in the term and all its ancestors, the children are done with, and the term is
     tested again. Children that are all less significant lose their ratio in their own genes. A level is worked
-    through in common, one round for all its terms, on a stored table of (set, term, gene, weight).
+    through in common, one round for all its terms, on a stored table of (set, term, gene, weight). A gene of ``rows`` stands for ``n`` if there is
+    such a column.
     """
+    rows = _sized(rows)
     sizes = params.select(SET, F.col("attribute").alias("term"), "population", "draws")
     hit = targets.select(SET, key).distinct().withColumn("hit", F.lit(1.0))
-    state = checkpoint(grid(rows.select("term", key), sizes.select(SET).distinct()).join(hit, [SET, key], "left").select(
-        SET, "term", key, F.coalesce("hit", F.lit(0.0)).alias("hit"), F.lit(1.0).alias("w")))
-    itself = checkpoint(rows.select("term").distinct())
-    upward = closure.select("term", F.col("ancestor").alias("up")).union(itself.select("term", F.col("term").alias("up")))
-
-    def fresh(name: str) -> Column:
-        """The column without what Catalyst knows of its equals: a union cannot carry that over a checkpoint."""
-        return F.concat(F.col(name), F.lit("")).alias(name)
+    state = stored(grid(rows.select("term", key, "n"), sizes.select(SET).distinct()).join(hit, [SET, key], "left").select(
+        SET, "term", key, "n", F.coalesce("hit", F.lit(0.0)).alias("hit"), F.lit(1.0).alias("w")))
+    itself = rows.select("term").distinct()
+    upward = stored(closure.select("term", F.col("ancestor").alias("up")).union(itself.select("term", F.col("term").alias("up"))))
+    links = stored(edges.select(F.col("parent").alias("term"), "child").distinct())
+    leveled = stored(sizes.join(nodes.select("term", "level"), "term"))
 
     def tested(which: DataFrame) -> DataFrame:
         s, h = F.col("s"), F.col("h")
         cells = [F.floor(c) for c in (h, s - h, F.col("draws") - h, F.col("population") - s - F.col("draws") + h)]
         sums = state.join(which.select(SET, "term").distinct(), [SET, "term"], "left_semi").groupBy(SET, "term").agg(
-            F.sum("w").alias("s"), F.sum(F.col("w") * F.col("hit")).alias("h"))
-        return checkpoint(sums.join(sizes, [SET, "term"]).select(
-            fresh(SET), fresh("term"), fn(cells[0] + cells[1] + cells[2] + cells[3], cells[0] + cells[2], cells[0] + cells[1], cells[0]).alias("pval")))
-
-    def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
-        return checkpoint(old.join(new, [SET, "term"], "left_anti").unionByName(new))
+            F.sum(F.col("w") * F.col("n")).alias("s"), F.sum(F.col("w") * F.col("hit") * F.col("n")).alias("h"))
+        return sums.join(leveled, [SET, "term"]).select(
+            SET, "term", fn(cells[0] + cells[1] + cells[2] + cells[3], cells[0] + cells[2], cells[0] + cells[1], cells[0]).alias("pval"))
 
-    leveled = checkpoint(sizes.select(SET, "term").join(nodes.select("term", "level"), "term"))
     done = None
     for depth in [r["level"] for r in leveled.select("level").distinct().orderBy(F.desc("level")).collect()]:
-        mine = tested(leveled.filter(F.col("level") == depth))
-        links = mine.select(SET, "term").join(edges.select(F.col("parent").alias("term"), "child").distinct(), "term")
-        left = None if done is None else checkpoint(links.join(done.select(SET, F.col("term").alias("child")), [SET, "child"], "left_semi"))
-        while left is not None and not left.isEmpty():
-            below = done.select(SET, F.col("term").alias("child"), F.col("pval").alias("pc"))
-            ratio = F.nanvl(F.col("pval") / F.greatest("pc", F.lit(1e-50)), F.lit(1.0))
-            pairs = left.join(mine, [SET, "term"]).join(below, [SET, "child"]).withColumn("ratio", ratio)
+        mine = leveled.filter(F.col("level") == depth).select(SET, "term")
+        if done is None:
+            done = stored(tested(mine))
+            continue
+        left = stored(mine.join(links, "term").join(done.select(SET, F.col("term").alias("child")), [SET, "child"], "left_semi"))
+        done = stored(done.unionByName(tested(mine)))
+        while not left.isEmpty():
+            above, below = (done.select(SET, F.col("term").alias(name), F.col("pval").alias(p)) for name, p in (("term", "pt"), ("child", "pc")))
+            ratio = F.nanvl(F.col("pt") / F.greatest("pc", F.lit(1e-50)), F.lit(1.0))
+            pairs = left.join(above, [SET, "term"]).join(below, [SET, "child"]).select(SET, "term", "child", ratio.alias("ratio"))
             waits = pairs.groupBy(SET, "term").agg((F.max("ratio") >= 1).alias("waits"))
-            pairs = checkpoint(pairs.join(waits, [SET, "term"]))
+            pairs = stored(pairs.join(waits, [SET, "term"]))
             rising = pairs.filter("ratio >= 1")
             shrink = pairs.filter(~F.col("waits")).groupBy(SET, F.col("child").alias("term")).agg(F.product("ratio").alias("own"))
             share = rising.join(upward, "term").select(SET, F.col("up").alias("term"), "child", "ratio").join(
                 rows.select(F.col("term").alias("child"), key), "child").groupBy(SET, "term", key).agg(F.product(1 / F.col("ratio")).alias("shared"))
-            state = checkpoint(state.join(shrink, [SET, "term"], "left").join(share, [SET, "term", key], "left").select(
-                SET, "term", key, "hit", (F.col("w") * F.coalesce("own", F.lit(1.0)) * F.coalesce("shared", F.lit(1.0))).alias("w")))
-            done = replaced(done, tested(shrink))
-            mine = replaced(mine, tested(rising))
-            left = checkpoint(pairs.filter("waits AND ratio < 1").select(SET, "term", "child"))
-        done = mine if done is None else checkpoint(done.unionByName(mine))
+            state = stored(state.join(shrink, [SET, "term"], "left").join(share, [SET, "term", key], "left").select(
+                SET, "term", key, "n", "hit", (F.col("w") * F.coalesce("own", F.lit(1.0)) * F.coalesce("shared", F.lit(1.0))).alias("w")))
+            again = tested(shrink.select(SET, "term").union(rising.select(SET, "term"))).withColumnRenamed("pval", "new")
+            done = stored(done.join(again, [SET, "term"], "left").select(SET, "term", F.coalesce("new", "pval").alias("pval")))
+            left = pairs.filter("waits AND ratio < 1").select(SET, "term", "child")
     return params.join(done.withColumnRenamed("term", "attribute"), [SET, "attribute"])
 
 

@@ -11,7 +11,7 @@ from ..operators import attributes as attr
 from ..operators import enrichment as en
 from ..operators import ontology as onto
 from ..operators import ranking
-from ..session import checkpoint
+from ..session import checkpoint, stored
 from . import relations as r
 from .registry import query, rounded
 
@@ -365,12 +365,14 @@ def _(spark, d):
     return attr.filter_by_pathway(r.counts(spark, d).select("gene", "a_f"), "gene", members, "3")
 
 
-def _term_tests(spark, d, **options):
+def _term_inputs(spark, d):
     nodes, edges, direct = ontology(spark, d)
-    up = onto.parent_edges(edges)
-    leveled = checkpoint(onto.levels(nodes, up)).withColumn("namespace", F.lit("parts"))
-    res = en.ontology_enrichment(direct, r.target_sets(spark, d), "gene", leveled, up, **options)
-    return _round(res.drop("namespace"))
+    up = stored(onto.parent_edges(edges))
+    return direct, r.target_sets(spark, d), "gene", stored(onto.levels(nodes, up)).withColumn("namespace", F.lit("parts")), up
+
+
+def _term_tests(inputs, **options):
+    return _round(en.ontology_enrichment(*inputs, **options).drop("namespace"))
 
 
 _TERM_OUT = f"{_OUT}, level FROM adj JOIN (SELECT term, max(level)::INTEGER AS level FROM lv GROUP BY 1) l ON l.term = adj.attribute"
@@ -378,12 +380,12 @@ _TERM_OUT = f"{_OUT}, level FROM adj JOIN (SELECT term, max(level)::INTEGER AS l
 
 @query("ontology_enrichment_classic", f"{_ONTO}, {_LVL}, ann AS (SELECT term AS attribute, gene FROM prop), {_PARAMS}, {_FISHER}, {_fdr(extra=_BY)} {_TERM_OUT}")
 def _(spark, d):
-    return _term_tests(spark, d, propagate="classic")
+    return _term_tests(_term_inputs(spark, d), propagate="classic")
 
 
 @query("ontology_enrichment_unpropagated", f"{_ONTO}, {_LVL}, ann AS (SELECT term AS attribute, gene FROM dir), {_PARAMS}, {_HYPER}, {_fdr(extra=_BY)} {_TERM_OUT}")
 def _(spark, d):
-    return _term_tests(spark, d, propagate="no", test="hypergeometric")
+    return _term_tests(_term_inputs(spark, d), propagate="no", test="hypergeometric")
 
 
 def _elim_sql(alpha: float, depth: int) -> str:
@@ -411,7 +413,7 @@ def _elim_sql(alpha: float, depth: int) -> str:
 @query("ontology_enrichment_elim", f"""{_ONTO}, {_LVL}, mx AS (SELECT term, max(level)::INTEGER AS level FROM lv GROUP BY 1), ann AS (SELECT term AS attribute, gene FROM prop),
   {_PARAMS}, {_elim_sql(0.2, 3)}, {_fdr(extra=_BY)} {_TERM_OUT.replace("0.05", "0.2")}""")
 def _(spark, d):
-    return _term_tests(spark, d, propagate="elim", alpha=0.2)
+    return _term_tests(_term_inputs(spark, d), propagate="elim", alpha=0.2)
 
 
 @query("ranked_ontology_elim", f"""{_ONTO}, own AS (SELECT DISTINCT term, gene FROM prop WHERE gene IN (SELECT gene FROM counts))
@@ -439,14 +441,16 @@ _TERMS = f"""{_ONTO}, ann AS (SELECT term AS attribute, gene FROM prop), {_PARAM
 @query("ontology_enrichment_weight", _TERMS)
 def _(spark, d):
     """Weighting keeps counts and expectations, p-values are probabilities and adjusted ones no smaller."""
-    res = _term_tests(spark, d, propagate="weight")
+    res = _term_tests(_term_inputs(spark, d), propagate="weight")
     return res.select("set_id", "name", "samples", "obs", "exp", (F.col("pval").between(0, 1) & (F.col("padj") >= F.col("pval"))).alias("sound"))
 
 
 @query("ontology_enrichment_combined", _TERMS)
 def _(spark, d):
     """The combined p-value is the geometric mean of the three methods'."""
-    each = {m: checkpoint(_term_tests(spark, d, propagate=m).select("set_id", "name", "samples", "obs", "exp", F.col("pval").alias(m))) for m in ("classic", "elim", "weight", "all.m")}
+    direct, targets, *rest = _term_inputs(spark, d)
+    inputs = direct, checkpoint(targets), *rest
+    each = {m: checkpoint(_term_tests(inputs, propagate=m).select("set_id", "name", "samples", "obs", "exp", F.col("pval").alias(m))) for m in ("classic", "elim", "weight", "all.m")}
     rows = each["all.m"]
     for m in ("classic", "elim", "weight"):
         rows = rows.join(each[m].select("set_id", "name", m), ["set_id", "name"])

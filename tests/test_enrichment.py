@@ -69,6 +69,27 @@ def test_weight_against_golden_subset(go):
         assert got[term] == pytest.approx(want, rel=1e-6)
 
 
+def test_alike_keys_are_tested_as_one_row(spark):
+    """60 keys of four kinds, a key without a term, one outside the ontology and null keys: the same p-values as key by key, from four rows."""
+    edges = spark.createDataFrame([("leaf", "root"), ("twin", "root")], "child string, parent string")
+    nodes = spark.createDataFrame([("root", 0), ("leaf", 1), ("twin", 1)], "term string, level int")
+    direct = [("leaf" if i % 2 else "twin", i) for i in range(60)]
+    odd = [(None, 90), ("elsewhere", 91), ("leaf", None), ("leaf", 1)]
+    ann = spark.createDataFrame(direct + odd, "term string, key long")
+    chosen = [i for i in range(60) if i % 2 and i < 30 or i % 2 == 0 and i >= 50]
+    targets = spark.createDataFrame([("set", i) for i in (*chosen, 90, 91, 99)], "set_id string, key long")
+    rows, sets, kinds = en._alike(ann, targets, "key")
+    assert sorted(r["n"] for r in kinds.collect()) == [1, 5, 15, 15, 25] and rows.count() == 5 and sets.count() == 3
+    every = checkpoint(spark.createDataFrame(direct + [("root", i) for i in range(60)], "term string, key long"))
+    own = checkpoint(spark.createDataFrame([("set", i) for i in chosen], "set_id string, key long"))
+    params = checkpoint(en.set_parameters(every.withColumnRenamed("term", "attribute"), own, "key", every.select("key").distinct()))
+    closure, fisher = onto.ancestors(edges), en._row_test(stats.fisher_pvalue)
+    for how, apart in (("elim", en._elim(params, every, own, "key", nodes, closure, fisher, 0.05)), ("weight", en._weight(params, every, own, "key", nodes, edges, closure, fisher))):
+        want = {r["attribute"]: r for r in apart.collect()}
+        got = {r["name"]: r for r in en.ontology_enrichment(ann, targets, "key", nodes, edges, propagate=how).collect()}
+        assert {t: (r["pval"], r["samples"], r["obs"]) for t, r in got.items()} == {t: (pytest.approx(r["pval"]), r["draws"], r["hits"]) for t, r in want.items()}
+
+
 def test_combined_is_geometric_mean(go):
     rows, targets, edges, nodes, params = go
     fisher = en._row_test(stats.fisher_pvalue)
