@@ -1,4 +1,4 @@
-"""FASTQ files as a Spark data source whose partitions are byte ranges that find the next start of a record by themselves."""
+"""FASTQ files as a Spark data source of byte ranges that find the next start of a record by themselves."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 FASTQ_SUFFIXES = (".fastq", ".fastq.gz", ".fq", ".fq.gz")
 SPLIT_BYTES = 128 << 20
 BATCH_RECORDS = 20_000
+#: Tasks that small ranges are dealt to at least, if there are as many.
+LEAST_TASKS = 64
 FIELDS = pa.schema([(c, pa.string()) for c in ("sample", "read_id", "seq", "qual")])
 
 
@@ -30,6 +32,27 @@ class ByteRange(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Byte ranges that one task reads one after another."""
+    ranges: list[ByteRange]
+
+
+def dealt(ranges: list[ByteRange], least_tasks: int = LEAST_TASKS, task_bytes: int = SPLIT_BYTES) -> list[Ranges]:
+    """Ranges in their order, dealt to tasks of about ``task_bytes`` bytes, or fewer where that makes less than ``least_tasks`` tasks."""
+    room = min(task_bytes, -(-sum(r.end - r.start for r in ranges) // least_tasks))
+    out: list[Ranges] = []
+    held = 0
+    for r in ranges:
+        size = r.end - r.start
+        if not out or held + size > room:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += size
+    return out
+
+
 def sample_of(path: str) -> str | None:
     """The ``sample=...`` folder that ``write_fastq`` makes, else the file's name without its suffixes."""
     folder = re.search(r"/sample=([^/]*)/[^/]*$", path)
@@ -90,12 +113,14 @@ class FastqReader(DataSourceReader):
         for f in sorted((f for f in files if f.is_file and holds_reads(f.path)), key=lambda f: f.path):
             step = f.size if f.path.endswith(".gz") else self.split_bytes
             out += [ByteRange(f.path, sample_of(f.path), s, min(s + step, f.size)) for s in range(0, f.size, max(step, 1))]
-        return out or [ByteRange("", None, 0, 0)]
+        return dealt(out) or [Ranges([])]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(self.path)
+        for one in partition.ranges:
+            yield from self._read(system, one)
+
+    def _read(self, system: fs.FileSystem, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         with system.open_input_file(partition.path) as raw:
             if partition.path.endswith(".gz"):
                 found = records(iter(gzip.GzipFile(fileobj=raw)), 0, 1 << 62)
@@ -123,7 +148,7 @@ class FastqReader(DataSourceReader):
 
 
 class FastqSource(DataSource):
-    """Format ``fastq``: a file, or a folder with all its folders. Option ``split_bytes``: bytes of one partition; gzip files are not split."""
+    """Format ``fastq``: a file, or a folder with all its folders. Option ``split_bytes``: bytes of one range; gzip files are not split. Small ranges share a task."""
 
     @classmethod
     def name(cls) -> str:

@@ -239,3 +239,18 @@ def test_pipelines(spark, counts, tmp_path):
     reads = spark.createDataFrame([("s", "r", "NNACGTAC", "IIIIIII#")], "sample string, read_id string, seq string, qual string")
     out, side = ReadPipeline().add_function("trim_quality").add_function("trim_n").apply_to(reads)
     assert out.first()["seq"] == "ACGTA" and side == []
+
+
+def test_small_byte_ranges_share_tasks(tmp_path):
+    """Thousands of ranges are dealt to few tasks, each byte once and in order; large ranges keep a task each, and tasks grow to ``task_bytes`` only."""
+    path = tmp_path / "many.fastq"
+    path.write_bytes(b"".join(b"@r%d\nACGT\n+\nIIII\n" % i for i in range(5000)))
+    size = path.stat().st_size
+    reader = fastq.FastqReader(f"file://{path}", 37)
+    tasks = reader.partitions()
+    assert fastq.LEAST_TASKS <= len(tasks) <= fastq.LEAST_TASKS + 2
+    spans = [(r.start, r.end) for t in tasks for r in t.ranges]
+    assert spans == [(at, min(at + 37, size)) for at in range(0, size, 37)]
+    assert [v for t in tasks for b in reader.read(t) for v in b.column("read_id").to_pylist()] == [f"r{i}" for i in range(5000)]
+    wide = [fastq.ByteRange("x", None, 100 * i, 100 * i + 100) for i in range(9)]
+    assert [len(t.ranges) for t in fastq.dealt(wide, 2, 200)] == [2, 2, 2, 2, 1] and [len(t.ranges) for t in fastq.dealt(wide, 20, 1000)] == [1] * 9
