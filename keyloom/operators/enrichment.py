@@ -340,6 +340,25 @@ def _shares(seed: int, leaf: int, path: list, n: int, reps: int) -> np.ndarray:
     return share
 
 
+#: Rows of a leaf up to which the subsets of many repetitions are drawn together, and random numbers held for that.
+SMALL_LEAF, HELD = 4096, 1 << 21
+
+
+def _subset_sums(rng: np.random.Generator, x: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The sum of a random subset of ``x`` of each size in ``share``: the rows of the smallest of as many random numbers."""
+    sums = np.zeros(len(share))
+    for size in np.unique(share[share > 0]):
+        of = np.flatnonzero(share == size)
+        step = max(1, HELD // len(x))
+        for at in range(0, len(of), step):
+            part = of[at:at + step]
+            if size == len(x):
+                sums[part] = x.sum()
+            else:
+                sums[part] = x[np.argpartition(rng.random((len(part), len(x))), size - 1, axis=1)[:, :size]].sum(1)
+    return sums
+
+
 def fold_change_randomization(target: DataFrame, reference: DataFrame, key: str, column: str, alpha: float = 0.05,
                               reps: int = 10000, seed: int = 0, bucket_rows: int = 200_000) -> DataFrame:
     """Is the mean fold change of ``target`` extreme among random subsets of ``reference`` of the same size?
@@ -372,6 +391,8 @@ def fold_change_randomization(target: DataFrame, reference: DataFrame, key: str,
         x, upto = rows["x"].to_numpy(), np.cumsum(rows["copies"].to_numpy())
         share = _shares(seed, own, walk["path"].iloc[0][:depth], n, reps)
         rng, sums = np.random.default_rng([seed, depth, own, 1]), np.zeros(reps)
+        if upto[-1] <= SMALL_LEAF:
+            return pd.DataFrame({"rep": np.arange(reps), "part": _subset_sums(rng, np.repeat(x, rows["copies"].to_numpy()), share)})
         for r in np.flatnonzero(share):
             places = rng.choice(int(upto[-1]), int(share[r]), replace=False, shuffle=False)
             sums[r] = x[np.searchsorted(upto, places, side="right")].sum()
