@@ -383,3 +383,15 @@ def test_planted_genes_are_found(simulated, run, column):
     assert table[(table["gene"] >= "g010") & (table["gene"] < "g020")][column].mean() == pytest.approx(-math.log2(6), abs=0.4)
     lrt = res["LRT_condition"].toPandas()
     assert planted <= set(lrt[lrt["padj"] < 0.05]["gene"])
+
+
+@pytest.mark.parametrize("adapter,least", [("ACGTACC", 3), ("ACNTNC", 2), ("AAAA", 1), ("ACGTA", 6)])
+def test_adapters_without_errors_need_no_alignment(adapter, least, monkeypatch):
+    rng = np.random.default_rng(5)
+    reads = ["", "A", adapter.lower(), "ACGTACCACGTACC", "\nACGTACé"] + ["".join(rng.choice(list("ACGTacgtN"), n)) for n in rng.integers(0, 40, 300)]
+    reads += [r + adapter[:i] for i in range(len(adapter)) for r in reads[5:60]]
+    aligned = [adapters._search_block([r], np.array([True]), adapter, 0.1, least, True) for r in reads]
+    monkeypatch.setattr(adapters, "_search_block", None)
+    got = adapters.search_three_prime(reads, adapter, 0.1, least)
+    for one, want in zip(got, zip(*aligned)):
+        assert one.tolist() == [int(x[0]) for x in want]
