@@ -288,3 +288,34 @@ def test_mhg_pvalue_of_a_long_list_with_a_large_set():
     n, k, lowest = 2600, 700, 160
     for s in (1e-2,):
         assert stats.xl_mhg_pvalue(n, k, 10, lowest, s) == pytest.approx(walked_mhg(n, k, 10, lowest, s), abs=1e-11)
+
+
+def test_paths_of_long_lists_are_folded_by_their_counts(monkeypatch):
+    """Wide bands of hits go on by one product with the ways to draw; it gives what the band of each number of hits gives."""
+    folded, by_counts = [], stats._hits_by_counts
+
+    def watched(*args):
+        folded.append(len(args[0]) * args[-1])
+        return by_counts(*args)
+    monkeypatch.setattr(stats, "_hits_by_counts", watched)
+    quick = stats.xl_mhg_pvalue(200_000, 40_000, 10, 50_000, 0.003)
+    assert sum(folded) > 1_000_000
+    monkeypatch.setattr(stats, "_hits_by_counts", lambda *args: None)
+    assert quick == pytest.approx(stats.xl_mhg_pvalue(200_000, 40_000, 10, 50_000, 0.003), rel=1e-12)
+    for size, *args in ((40, 3, 900, 300, 30, 30), (70, 30, 5000, 900, 300, 200)):
+        alive = np.random.default_rng(2).random(size)
+        alive /= alive.sum()
+        near = stats._hits_later(np.concatenate([np.zeros(args[0]), alive]), *args[1:4])
+        got = by_counts(alive, *args)
+        least = min(len(got), len(near))
+        assert got.sum() == pytest.approx(1.0) and got[:least] == pytest.approx(near[:least], abs=1e-14)
+
+
+@pytest.mark.parametrize("draws", [1, 5, 64, 65])
+def test_few_draws_are_followed_one_by_one(draws):
+    alive = np.random.default_rng(draws).random(30)
+    alive /= alive.sum()
+    want = stats._hits_later(np.concatenate([np.zeros(12), alive]), 700, 130, draws)[12:]
+    got = stats._hits_soon(alive, 12, 700, 130, draws)
+    size = min(len(want), len(got))
+    assert got[:size] == pytest.approx(want[:size], abs=1e-14) and got[size:].sum() < 1e-14
