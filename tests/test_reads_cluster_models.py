@@ -395,3 +395,17 @@ def test_adapters_without_errors_need_no_alignment(adapter, least, monkeypatch):
     got = adapters.search_three_prime(reads, adapter, 0.1, least)
     for one, want in zip(got, zip(*aligned)):
         assert one.tolist() == [int(x[0]) for x in want]
+
+
+def test_reads_of_one_place_are_one_kind(spark):
+    """Reads with the same segments and judgement meet features once, with their number."""
+    rows = spark.createDataFrame([(f"r{i}", "A", "c", "+", None if i % 5 else "low", 1 + i % 2, [(10, 30)]) for i in range(600)] + [("s", "A", "c", "+", None, 1, [(10, 12), (28, 30)])],
+                                 "read string, sample string, rname string, strand string, reason string, nh int, blocks array<struct<start:long,end:long>>")
+    features = spark.createDataFrame([("g", "c", 25, 40, "+"), ("h", "c", 1, 15, "+"), ("k", "c", 18, 20, "+")], "gene string, rname string, start long, end long, strand string")
+    heavy = spark.createDataFrame([], "rname string, bin long, strand string")
+    judged, shares = reads._all_genes(rows, features, 16, heavy, "no", 1 / (F.col("nh") * F.col("genes")))
+    kinds = judged.collect()
+    assert len(kinds) <= 5 and sum(r["n"] for r in kinds) == 601
+    assert sorted((r["nh"], r["n"], r["genes"]) for r in kinds if r["ok"]) == [(1, 1, 2), (1, 240, 3), (2, 240, 3)]
+    sums = {r["gene"]: float(r["w"]) for r in shares.groupBy("gene").agg(F.sum("w").alias("w")).collect()}
+    assert sums == {"g": pytest.approx(120.5), "h": pytest.approx(120.5), "k": pytest.approx(120.0)}
