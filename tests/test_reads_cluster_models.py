@@ -409,3 +409,28 @@ def test_reads_of_one_place_are_one_kind(spark):
     assert sorted((r["nh"], r["n"], r["genes"]) for r in kinds if r["ok"]) == [(1, 1, 2), (1, 240, 3), (2, 240, 3)]
     sums = {r["gene"]: float(r["w"]) for r in shares.groupBy("gene").agg(F.sum("w").alias("w")).collect()}
     assert sums == {"g": pytest.approx(120.5), "h": pytest.approx(120.5), "k": pytest.approx(120.0)}
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_duplicates_are_told_without_moving_the_table(spark):
+    """Few places and few chains travel to the rows; mates meet in one exchange, and pairs are judged as one."""
+    assert _exchanges(reads.find_duplicates(_copies(spark, [(1, 5 * i, 0) for i in range(40)]))) == 0
+    rng = np.random.default_rng(6)
+    rows, judged = [], {}
+    for i in range(60):
+        at, name, quality = int(rng.integers(100, 103)), f"q{i:02d}", [int(x) for x in rng.integers(50, 70, 2)]
+        mates = 2 if i % 6 else 1
+        for mate in range(mates):
+            rows.append(("s", name, 1 | (64, 128 | 16)[mate], "c", at + 20 * mate, "5M", chr(quality[mate]) * 5))
+        best = sum(5 * (q - 33) for q in quality[:mates])
+        judged[name] = ((at, mates), (best, name))
+    kept = {}
+    for place, mine in judged.values():
+        kept[place] = max(kept.get(place, mine), mine)
+    marked = reads.find_duplicates(spark.createDataFrame(rows, "sample string, qname string, flag int, rname string, pos long, cigar string, qual string"))
+    assert _exchanges(marked) == 1
+    got = marked.collect()
+    assert len(got) == len(rows) and {(r["qname"], r["duplicate"]) for r in got} == {(n, mine != kept[place]) for n, (place, mine) in judged.items()}
